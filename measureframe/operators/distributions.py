@@ -4,19 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from measureframe.operators.reshape import label_values
 from measureframe.operators.summary import _side_by_side, mean_error
 from measureframe.plans.ordering import group_quantiles, join_on
-from measureframe.roles import (
-    SEP, as_list, drop_missing, inf_to_null, join_name, pick_features, q, with_columns,
-)
+from measureframe.roles import as_list, drop_missing, inf_to_null, pick_features, q
 
 BINS = 100
 GRID = 200
@@ -322,7 +319,10 @@ def _bootstrap_means(data: DataFrame, keys: Sequence[str], replicates: int, seed
     cols = [q(k) for k in keys]
     counted = data.groupBy(*cols, F.col("_y")).agg(F.count(F.lit(1)).alias("_c"))
     counted = counted.withColumn("_h", F.xxhash64(*cols, F.col("_y"), F.lit(seed)))
-    schema = data.select(*cols).schema.add("_r", "int").add("_wy", "double").add("_w", "double")
+    schema = T.StructType([
+        *data.select(*cols).schema.fields, T.StructField("_r", T.IntegerType()),
+        T.StructField("_wy", T.DoubleType()), T.StructField("_w", T.DoubleType()),
+    ])
     key_names = list(keys)
 
     def weigh(batches):

@@ -97,6 +97,7 @@ def kmeans(
 ) -> DataFrame:
     """Label ``Cluster 1``... on z-scores: the cheapest of ``n_init`` starts.
 
+    ``tol`` bounds the squared shift of the centres, on features of variance 1.
     Clusters are numbered by their sorted centres.
     """
     feats = list(features)
@@ -104,7 +105,7 @@ def kmeans(
     try:
         models = [
             KMeans(
-                featuresCol="_z", predictionCol="_k", k=n_clusters, maxIter=max_iter, tol=tol,
+                featuresCol="_z", predictionCol="_k", k=n_clusters, maxIter=max_iter, tol=tol**0.5,
                 seed=seed + i, initMode="random" if init == "random" else "k-means||",
             ).fit(rows)
             for i in range(n_init)

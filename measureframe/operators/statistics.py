@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from measureframe.operators.reshape import label_values
 from measureframe.plans.ordering import (
-    average_ranks, cut_points, join_on, running_totals, slice_of, task_rows,
+    average_ranks, cut_points, running_totals, task_rows,
 )
 from measureframe.roles import as_category, as_list, drop_missing, q
 
