@@ -53,9 +53,14 @@ def _square(row: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 
 def _corr(x: Column, y: Column) -> Column:
-    """Correlation of the rows with both values; null without spread."""
+    """Correlation of the rows with both values; null without spread.
+
+    (``corr`` itself fails on a constant column under ANSI arithmetic.)
+    """
     both = x.isNotNull() & y.isNotNull()
-    return F.nanvl(F.corr(F.when(both, x), F.when(both, y)), F.lit(None).cast("double"))
+    a, b = F.when(both, x), F.when(both, y)
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def _pearson(df: DataFrame, feats: Sequence[str]) -> DataFrame:
