@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +15,7 @@ from measureframe.operators import (
 )
 from measureframe.operators.filters import RangeFilter
 from measureframe.plans import flows
+from measureframe.plans.lineage import checkpoint_folder
 from measureframe.roles import as_category, q
 from measureframe.sources.paths import parse_path
 from measureframe.streaming.windows import stream_summary
@@ -34,11 +35,13 @@ def query(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to ``digits`` places, by plain arithmetic (``round`` goes through decimals)."""
     # A mean of decimals can lie exactly between two rounded values; the nudge decides it alike
     # in both engines.  + 0.0: a negative zero is a zero.
-    nudge = 2e-9 if digits == 6 else 0.0
+    nudge, unit = (2e-9 if digits == 6 else 0.0), 10.0**digits
     return df.select(*[
-        (F.round(q(f.name) + nudge, digits) + 0.0).alias(f.name) if f.dataType.typeName() in ("double", "float") else q(f.name)
+        (F.rint((q(f.name) + nudge) * unit) / unit + 0.0).alias(f.name)
+        if f.dataType.typeName() in ("double", "float") else q(f.name)
         for f in df.schema.fields
     ])
 
@@ -675,11 +678,6 @@ def stream_daily(spark, sf):
 
 def _checkpoint_folder(spark, name: str) -> str:
     """A new folder in the shared checkpoint directory the session names."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4()}"
-    return tempfile.mkdtemp(prefix=name)
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
 
 

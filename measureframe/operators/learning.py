@@ -11,9 +11,9 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.storagelevel import StorageLevel
 
-from measureframe.plans.ordering import cut_points, join_on, running_totals, task_rows
+from measureframe.plans.lineage import settled
+from measureframe.plans.ordering import cut_points, join_on, running_totals, slice_count, task_rows
 from measureframe.roles import (
     SEP, as_category, as_list, categories, drop_missing, join_name, q, with_columns,
 )
@@ -101,7 +101,7 @@ def kmeans(
     Clusters are numbered by their sorted centres.
     """
     feats = list(features)
-    rows = _z_vectors(df, feats).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = settled(_z_vectors(df, feats).select("_z"))
     try:
         models = [
             KMeans(
@@ -168,8 +168,9 @@ def group_split(
     groups = groups.withColumn("_h", row_hash(groups, seed, keys))
     hashes = groups.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
     # Only the distinct groups are ranked, in slices when there are many.
-    many = groups.count() > task_rows(df)
-    run = running_totals(hashes, [], "_h", ["_c"], cut_points(groups, ["_h"])["_h"] if many else None)
+    n = groups.count()
+    cuts = cut_points(groups, ["_h"], slice_count(df, n))["_h"] if n > task_rows(df) else None
+    run = running_totals(hashes, [], "_h", ["_c"], cuts)
     chosen = run.select("_h", (F.col("_c_upto") <= F.round(F.col("_c_total") * train_share)).alias(name))
     marked = groups.join(chosen, "_h").drop("_h")
     return join_on(data, marked, keys)
@@ -220,9 +221,13 @@ def random_forest(
     ready = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(feats))], outputCol="_x").transform(
         codes.transform(plain)
     ).select("_x", "_y", "_train")
-    forest = RandomForestClassifier(
-        featuresCol="_x", labelCol="_y", numTrees=n_trees, maxDepth=max_depth, seed=seed
-    ).fit(ready.filter("_train"))
+    train = settled(ready.filter("_train").select("_x", "_y"))
+    try:
+        forest = RandomForestClassifier(
+            featuresCol="_x", labelCol="_y", numTrees=n_trees, maxDepth=max_depth, seed=seed
+        ).fit(train)
+    finally:
+        train.unpersist()
     accuracy = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy").evaluate(
         forest.transform(ready.filter("not _train"))
     )

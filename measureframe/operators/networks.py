@@ -14,13 +14,13 @@ from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from measureframe.functions.scalar import from_db, to_db
-from measureframe.operators.learning import group_split, minmax_bounds, minmax_impute, row_hash
+from measureframe.operators.learning import group_split, minmax_bounds, minmax_impute
+from measureframe.plans.lineage import settled
 from measureframe.roles import as_category, categories, q, with_columns
 
 # Hidden widths of the four networks, and which of them is the code.
@@ -102,6 +102,11 @@ def loss_and_gradient(shape: Shape, flat: np.ndarray, x: np.ndarray) -> tuple[fl
     return loss, grad
 
 
+def matrix(column, width: int) -> np.ndarray:
+    """Arrow lists of equal length as rows of a matrix, without a Python object per row."""
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, width)
+
+
 def train_rows(shape, state, x, batch, rate, decay, rng) -> tuple[float, int]:
     """One local pass of mini-batch RMSprop; ``state`` holds weights and mean squares."""
     w, v = state
@@ -140,8 +145,8 @@ def _epoch(rows, shape, grid, weights, squares, seed, epoch, train):
         state = {c: (weights[c].copy(), squares[c].copy()) for c in range(len(grid))}
         sums = np.zeros((len(grid), 2))
         seen = 0
-        for part, pdf in enumerate(batches):
-            x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
+        for part, table in enumerate(batches):
+            x = matrix(table.column(0), shape.widths[0])
             seen += len(x)
             for c, (batch, rate, decay) in enumerate(grid):
                 if train:
@@ -162,9 +167,13 @@ def _epoch(rows, shape, grid, weights, squares, seed, epoch, train):
                 pos += range(size)
                 a += list(state[c][0] * seen)
                 b += list(state[c][1] * seen)
-            yield pd.DataFrame({"config": c, "pos": pos, "a": a, "b": b, "rows": float(seen)})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c] * len(pos), pa.int32()), pa.array(pos, pa.int32()), pa.array(a, pa.float64()),
+                 pa.array(b, pa.float64()), pa.array([float(seen)] * len(pos), pa.float64())],
+                names=["config", "pos", "a", "b", "rows"],
+            )
 
-    found = rows.mapInPandas(run, schema).groupBy("config", "pos").agg(
+    found = rows.mapInArrow(run, schema).groupBy("config", "pos").agg(
         F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("rows").alias("rows")
     )
     # (1 + weights) rows per configuration, whatever the size of the table.
@@ -210,9 +219,7 @@ def ae_fit(
     vectors = scaled.select("_train", F.array(*[q(f) for f in feats]).alias("_x"))
     train = vectors.filter("_train").select("_x")
     held = vectors.filter("not _train").select("_x")
-    # The order of the rows in a batch must not depend on how a task was scheduled.
-    train = train.sortWithinPartitions(row_hash(train, seed)).persist(StorageLevel.MEMORY_AND_DISK)
-    held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    train, held = settled(train), settled(held)
     weights = [initial_weights(shape, seed) for _ in grid]
     squares = [np.zeros(shape.size) for _ in grid]
     losses, models = [], []
@@ -241,7 +248,7 @@ def ae_fit(
     ))
     table = spark.createDataFrame(models, MODEL_SCHEMA)
     final = [m for m in models if m[3] == epochs]
-    applied = _run_models(scaled, final, feats, "_train")
+    applied = _run_models(scaled, final, feats)
     label = as_category(F.when(F.col("_train"), "training").otherwise("validation"), "Autoencoder")
     cats = [q(c) for c in categories(df)]
 
@@ -262,34 +269,37 @@ def ae_fit(
     }
 
 
-def _run_models(df: DataFrame, models: Sequence, feats: Sequence[str], *keep: str) -> DataFrame:
+def _run_models(df: DataFrame, models: Sequence, feats: Sequence[str]) -> DataFrame:
     """Rows x models with ``_code`` and ``_recon``; one scan for all models.
 
     Only the feature values go to Python; the other columns stay in the JVM.
     """
     nets = [(ae_spec(m[1], len(feats)), np.asarray(m[7])) for m in models]
 
-    @F.pandas_udf("array<array<double>>")
-    def run(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
-        rows = np.stack(x.to_numpy()).astype(np.float64)
-        per_model = []
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        rows = matrix(x, len(feats))
+        # Per model its code, then its reconstruction, side by side.
+        parts = []
         for shape, flat in nets:
             values = forward(shape, flat, rows)
-            per_model.append(np.concatenate([values[shape.code], values[-1]], axis=1))
-        return pd.Series([[m[i] for m in per_model] for i in range(len(rows))])
+            parts += [values[shape.code], values[-1]]
+        out = np.concatenate(parts, axis=1)
+        ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
 
-    # A missing feature counts as 0 after scaling.
+    # A missing feature counts as 0.
     vector = F.array(*[F.coalesce(q(f).cast("double"), F.lit(0.0)) for f in feats])
-    out = df.withColumn("_out", run(vector)).select(*[q(c) for c in df.columns], F.posexplode("_out").alias("_m", "_y"))
-    name = F.element_at(F.lit([m[0] for m in models]), F.col("_m") + 1)
-    code = F.element_at(F.lit([s.widths[s.code] for s, _ in nets]), F.col("_m") + 1)
-    return out.select(
-        *[q(c) for c in df.columns], name.alias("model_file"),
-        F.slice("_y", F.lit(1), code).alias("_code"),
-        F.slice("_y", code + 1, F.lit(len(feats))).alias("_recon"),
-    )
+    models_out, at = [], 1
+    for m, (shape, _) in zip(models, nets):
+        code = shape.widths[shape.code]
+        models_out.append(F.struct(
+            F.lit(m[0]).alias("model_file"), F.slice("_y", at, code).alias("_code"),
+            F.slice("_y", at + code, len(feats)).alias("_recon"),
+        ))
+        at += code + len(feats)
+    out = df.withColumn("_y", run(vector))
+    return out.select(*[q(c) for c in df.columns], F.inline(F.array(*models_out)))
 
 
 def _collect_models(models: DataFrame) -> list:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from measureframe.roles import (
     SEP, as_category, as_list, categories, drop_missing, features as feature_columns, join_name, q,
@@ -116,16 +116,30 @@ def unpivot_table(
     )
 
 
+def _order_by(by: str | Sequence[str], ascending: bool) -> list[Column]:
+    return [q(c).asc_nulls_last() if ascending else q(c).desc_nulls_last() for c in as_list(by)]
+
+
 def sort_rows(df: DataFrame, by: str | Sequence[str], ascending: bool = True) -> DataFrame:
     """Sort with missing values last in either direction."""
-    return df.orderBy(*[
-        q(c).asc_nulls_last() if ascending else q(c).desc_nulls_last() for c in as_list(by)
-    ])
+    return _total_sort(df, _order_by(by, ascending))
+
+
+def _total_sort(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Global sort in which rows with equal keys can go to different tasks.
+
+    Ties are broken by a hash of the row, and copies of one row by the partition they
+    come from: both are the same when a task is rerun, so that no row is lost.
+    """
+    tied = df.select(
+        "*", F.xxhash64(*[q(c) for c in df.columns]).alias("_tie"), F.spark_partition_id().alias("_from")
+    )
+    return tied.orderBy(*order, "_tie", "_from").drop("_tie", "_from")
 
 
 def top_rows(df: DataFrame, by: str | Sequence[str], n: int, ascending: bool = False) -> DataFrame:
     """The first ``n`` sorted rows, kept per partition before they are merged."""
-    return sort_rows(df, by, ascending).limit(n)
+    return df.orderBy(*_order_by(by, ascending)).limit(n)
 
 
 def category_rank(column: str, order: Sequence[str]):
@@ -157,7 +171,7 @@ def order_categories(
     ordered = [*head, *[c for c in df.columns if c not in head]]
     out = df.select(*[cols.get(c, q(c)) for c in ordered])
     if sort:
-        out = out.orderBy(*[
+        out = _total_sort(out, [
             category_rank(c, full[c]).asc_nulls_last() if c in full else q(c).asc_nulls_last()
             for c in head
         ])

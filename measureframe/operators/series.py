@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from measureframe.plans.ordering import (
-    cut_points, join_on, largest_group, slice_of, task_rows,
+    cut_points, join_on, largest_group, slice_count, slice_of, task_rows,
 )
 from measureframe.roles import SEP, as_list, categories, drop_missing, join_name, q
 
@@ -134,8 +134,9 @@ def series_analysis_long(
         drop_missing(placed, [*keys, "_at"]).groupBy(*by, q(step), F.col("_at")).agg(F.avg("_v").alias("_v"))
     )
     cuts: list[float] = []
-    if order is None and largest_group(df, keys) > task_rows(df):
-        cuts = cut_points(df, [step])[step]
+    # With an order, a series has no more points than there are labels.
+    if order is None and (largest := largest_group(df, keys)) > task_rows(df):
+        cuts = cut_points(df, [step], slice_count(df, largest))[step]
     points = points.withColumn("_slice", slice_of(F.col("_at"), cuts))
     whole = W.partitionBy(*by)
     part = W.partitionBy(*by, F.col("_slice"))

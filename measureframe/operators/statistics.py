@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from measureframe.operators.reshape import label_values
 from measureframe.plans.ordering import (
-    average_ranks, cut_points, running_totals, task_rows,
+    average_ranks, cut_points, running_totals, slice_count, task_rows,
 )
 from measureframe.roles import as_category, as_list, drop_missing, q
 
@@ -52,22 +52,56 @@ def _square(row: DataFrame, feats: Sequence[str]) -> DataFrame:
     ])))
 
 
-def _corr(x: Column, y: Column) -> Column:
-    """Correlation of the rows with both values; null without spread.
+def pair_correlations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row with the correlation of each named pair of columns, pairwise complete.
 
-    (``corr`` itself fails on a constant column under ANSI arithmetic.)
+    Tasks reduce their rows to the moments of each pair with matrix products, so the
+    shuffle carries one row per pair and task.  Values are centred on the column means
+    first, which keeps the differences of squares exact enough.
     """
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+    cols = sorted({c for p in pairs.values() for c in p})
+    means = df.agg(F.struct(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
+    centred = df.select(*[(q(c) - means[f"m{i}"]).alias(f"_z{i}") for i, c in enumerate(cols)])
+    names = list(pairs)
+    left = [cols.index(pairs[p][0]) for p in names]
+    right = [cols.index(pairs[p][1]) for p in names]
+
+    def moments(batches):
+        total = None
+        for pdf in batches:
+            z = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            mask = ~np.isnan(z)
+            z = np.where(mask, z, 0.0)
+            mask = mask.astype(np.float64)
+            n, s, ss, cross = mask.T @ mask, z.T @ mask, (z * z).T @ mask, z.T @ z
+            part = np.stack([
+                n[left, right], s[left, right], s[right, left], ss[left, right], ss[right, left], cross[left, right]
+            ])
+            total = part if total is None else total + part
+        if total is not None:
+            yield pd.DataFrame({"pair": names, **{k: total[i] for i, k in enumerate(_MOMENTS)}})
+
+    schema = "pair string, " + ", ".join(f"{k} double" for k in _MOMENTS)
+    sums = centred.mapInPandas(moments, schema).groupBy("pair").agg(*[F.sum(k).alias(k) for k in _MOMENTS])
+    n = F.col("n")
+    vx, vy = n * F.col("sxx") - F.col("sx") ** 2, n * F.col("syy") - F.col("sy") ** 2
+    # Below the rounding error of the squares, a column has no spread.
+    some = (vx > n * F.col("sxx") * 1e-13) & (vy > n * F.col("syy") * 1e-13)
+    r = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(vx) * F.sqrt(vy))
+    inside = F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+    return sums.select("pair", F.when(some, inside).alias("r")).agg(*[
+        F.max(F.when(F.col("pair") == p, F.col("r"))).alias(p) for p in names
+    ])
+
+
+_MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 def _pearson(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    return df.agg(*[
-        _corr(q(feats[i]).cast("double"), q(feats[j]).cast("double")).alias(_pair(i, j))
-        for i in range(len(feats)) for j in range(i, len(feats))
-    ])
+    data = df.select(*[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
+    return pair_correlations(data, {
+        _pair(i, j): (f"_x{i}", f"_x{j}") for i in range(len(feats)) for j in range(i, len(feats))
+    })
 
 
 def _spearman(df: DataFrame, feats: Sequence[str]) -> DataFrame:
@@ -82,7 +116,7 @@ def _spearman(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     # Partners without missing values all see the same rows.
     full = [totals[f"_{i}"] == totals["n"] for i in range(n)]
     mask = {(i, j): i if full[j] else j for i in range(n) for j in range(n)}
-    cuts = cut_points(data, data.columns) if totals["n"] > task_rows(df) else {}
+    cuts = cut_points(data, data.columns, slice_count(df, totals["n"])) if totals["n"] > task_rows(df) else {}
     ranked = data
     for i in range(n):
         x = f"_x{i}"
@@ -93,20 +127,21 @@ def _spearman(df: DataFrame, feats: Sequence[str]) -> DataFrame:
         ranks = average_ranks(counts, [], x, {f"_n{m}": f"_rank{i}_{m}" for m in partners}, cuts.get(x))
         named = ranks.withColumnRenamed(x, "_value")
         ranked = ranked.join(named, F.col(x) == F.col("_value"), "left").drop("_value")
-    cols = []
-    for i in range(n):
-        for j in range(i, n):
-            both = F.col(f"_x{i}").isNotNull() & F.col(f"_x{j}").isNotNull()
-            a, b = F.col(f"_rank{i}_{mask[i, j]}"), F.col(f"_rank{j}_{mask[j, i]}")
-            cols.append(_corr(F.when(both, a), F.when(both, b)).alias(_pair(i, j)))
-    return ranked.agg(*cols)
+    # A rank with a mask is present only where the partner is.
+    shown = ranked.select(*[
+        F.when(F.col(f"_x{i}").isNotNull() & F.col(f"_x{m}").isNotNull(), F.col(f"_rank{i}_{m}")).alias(f"_rank{i}_{m}")
+        for i, m in sorted({(i, mask[i, j]) for i in range(n) for j in range(n)})
+    ])
+    return pair_correlations(shown, {
+        _pair(i, j): (f"_rank{i}_{mask[i, j]}", f"_rank{j}_{mask[j, i]}") for i in range(n) for j in range(i, n)
+    })
 
 
 def _kendall(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     """Tau-b for every pair of features."""
     data = df.select(*[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
     rows = data.agg(F.count(F.lit(1))).first()[0]
-    cuts = cut_points(data, data.columns) if rows > task_rows(df) else {}
+    cuts = cut_points(data, data.columns, slice_count(df, rows)) if rows > task_rows(df) else {}
     pairs = [
         kendall_tau(data, f"_x{i}", f"_x{j}", cuts).select(
             F.struct(F.lit(_pair(i, j)).alias("pair"), F.col("tau")).alias("_t")
@@ -193,7 +228,7 @@ def ks_test(
         F.count_if(q(comparison) == F.lit(v)).alias(f"_n{i}") for i, v in enumerate(labels)
     ])
     sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    cuts = cut_points(data, ["_x"])["_x"] if sizes > task_rows(df) else None
+    cuts = cut_points(data, ["_x"], slice_count(df, sizes))["_x"] if sizes > task_rows(df) else None
     run = running_totals(counts, keys, "_x", [f"_n{i}" for i in range(len(labels))], cuts)
 
     def share(i: int) -> Column:

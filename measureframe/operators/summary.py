@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from measureframe.operators.reshape import label_values, numeric_features, pivot_table
 from measureframe.plans.ordering import (
-    counted_quantiles, group_quantiles, join_on, largest_group, quantile_arrays, task_rows,
+    counted_quantiles, fits_task, group_quantiles, join_on, largest_group, quantile_arrays,
     unpacked_quantiles,
 )
 from measureframe.roles import (
@@ -69,12 +69,12 @@ def summarize(
 
     if not ordered or not numbers:
         out = data.groupBy(*by).agg(*plain)
-    elif quantiles == "exact" and largest_group(data, keys) <= task_rows(data):
+    elif quantiles == "exact" and fits_task(data, largest := largest_group(data, keys), numbers):
         packed = data.groupBy(*by).agg(*plain, *quantile_arrays(numbers, probs))
         out = packed.select("*", *unpacked_quantiles(numbers, probs, title))
     else:
         found = (
-            counted_quantiles(data, keys, numbers, probs, title) if quantiles == "exact"
+            counted_quantiles(data, keys, numbers, probs, title, largest) if quantiles == "exact"
             else group_quantiles(data, keys, numbers, probs, title, quantiles)
         )
         out = _side_by_side(data.groupBy(*by).agg(*plain), found, keys) if plain else found

@@ -4,7 +4,7 @@ Everything that needs sorted values (quantiles, ranks, empirical distribution
 functions, concordance, running values) is built on one step: split the value
 axis at cut points, total every slice, carry the totals over the (few) slices
 and sort only inside a slice.  The cut points are approximate quantiles of the
-*whole* column, so a slice holds about 1/SLICES of all rows at most, whichever
+*whole* column, so a slice holds no more than its share of all rows, whichever
 group those rows belong to.  They decide where the work is done, not the result.
 """
 
@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from measureframe.roles import as_list, q, with_columns
 
-#: Slices of the value axis; a power of two.
-SLICES = 256
+#: Fewest and most slices of the value axis; powers of two.
+SLICES = (16, 4096)
 #: Rows of one group that a single task may sort.
-TASK_ROWS = 2_000_000
+TASK_ROWS = 1_000_000
 
 _SLICE = "_slice"
 
@@ -30,6 +30,12 @@ def task_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.measureframe.taskRows", str(TASK_ROWS)))
 
 
+def slice_count(df: DataFrame, rows: int) -> int:
+    """A power of two that leaves about a quarter of the row limit to a slice."""
+    wanted = max(1, 4 * rows // task_rows(df))
+    return min(SLICES[1], max(SLICES[0], 1 << (wanted - 1).bit_length()))
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the biggest group: one pass over the key columns, one row back."""
     counts = df.groupBy(*[q(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
@@ -53,7 +59,7 @@ def join_on(
     return left.join(other, match, how).drop(*renamed)
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], slices: int = SLICES) -> dict[str, list[float]]:
+def cut_points(df: DataFrame, columns: Sequence[str], slices: int = SLICES[0]) -> dict[str, list[float]]:
     """``slices - 1`` approximate quantiles per column, all in one aggregate (one row back)."""
     shares = [i / slices for i in range(1, slices)]
     row = df.agg(*[
@@ -103,7 +109,7 @@ def running_totals(
     sliced = df.withColumn(_SLICE, spot)
     inside = keys + [_SLICE]
     sums = sliced.groupBy(*[q(k) for k in inside]).agg(*[F.sum(q(v)).alias(v) for v in values])
-    # At most SLICES rows per group from here on.
+    # One row per group and slice from here on.
     by = W.partitionBy(*[q(k) for k in keys]) if keys else W.partitionBy(F.lit(0))
     before = by.orderBy(_SLICE).rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
@@ -139,9 +145,9 @@ def value_counts(df: DataFrame, keys: Sequence[str], features: Sequence[str]) ->
     )
 
 
-def feature_slices(df: DataFrame, features: Sequence[str]) -> Column:
+def feature_slices(df: DataFrame, features: Sequence[str], rows: int) -> Column:
     """Slice number of ``_x`` for the feature named in ``_feature``."""
-    cuts = cut_points(df, features)
+    cuts = cut_points(df, features, slice_count(df, rows))
     spot = F.lit(0)
     for f in features:
         spot = F.when(F.col("_feature") == f, slice_of(F.col("_x"), cuts[f])).otherwise(spot)
@@ -171,12 +177,19 @@ def group_quantiles(
         ])
     if method != "exact":
         raise ValueError("method must be 'exact' or 'approx'")
-    if (largest_group(df, keys) if largest is None else largest) > task_rows(df):
-        return counted_quantiles(df, keys, features, probs, name)
+    if largest is None:
+        largest = largest_group(df, keys)
+    if not fits_task(df, largest, features):
+        return counted_quantiles(df, keys, features, probs, name, largest)
     packed = df.groupBy(*by).agg(*quantile_arrays(features, probs))
     return packed.select(*by, *unpacked_quantiles(features, probs, name))
 
 
+def fits_task(df: DataFrame, rows: int, features: Sequence[str]) -> bool:
+    """Whether one task can hold the distinct values of all features of a group."""
+    return rows * len(features) <= task_rows(df)
+
+
 def quantile_arrays(features: Sequence[str], probs: Sequence[float]) -> list[Column]:
     """One built-in aggregate per feature, which yields all its quantiles."""
     shares = F.lit([float(p) for p in probs])
@@ -198,11 +211,13 @@ def counted_quantiles(
     features: Sequence[str],
     probs: Sequence[float],
     name: Callable[[str, float], str],
+    largest: int,
 ) -> DataFrame:
     """Quantiles from running counts of the distinct values."""
     by = [q(k) for k in keys]
     counts = value_counts(df, keys, features)
-    run = running_totals(counts, [*keys, "_feature"], "_x", ["_n"], feature_slices(df, features))
+    slices = feature_slices(df, features, largest) if largest > task_rows(df) else None
+    run = running_totals(counts, [*keys, "_feature"], "_x", ["_n"], slices)
     first, last = F.col("_n_upto") - F.col("_n"), F.col("_n_upto") - 1
     spots = {p: F.lit(float(p)) * (F.col("_n_total") - 1) for p in probs}
     covers = {
