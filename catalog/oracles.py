@@ -514,6 +514,15 @@ def all_oracles() -> dict[str, str]:
         "SELECT row_key, treatment, fov, "
         "CAST((SELECT count(DISTINCT treatment) FROM m b WHERE b.treatment < m.treatment) AS INTEGER) AS \"treatment code\", "
         "CAST((SELECT count(DISTINCT fov) FROM m b WHERE b.fov < m.fov) AS INTEGER) AS \"fov code\" FROM m")
+    o["pca_two"] = _m(
+        "SELECT unnest(['PC 1', 'PC 2']) AS \"PC\", round(unnest([(1 + abs(r)) / 2, (1 - abs(r)) / 2]), 6) "
+        'AS "explained var ratio" FROM (SELECT corr(photons, nadph_t2) AS r FROM m)')
+    z = ", ".join(
+        f"round({f}, 6) AS {f}, round(({f} - (SELECT avg({f}) FROM p)) / (SELECT stddev_pop({f}) FROM p), 6) + 0.0 "
+        f"AS {f}__standardized" for f in ("photons", "nadph_t2"))
+    o["pca_standardized"] = _m(
+        f"SELECT fov, compartment, cell, treatment, {z} FROM p",
+        "p AS (SELECT * FROM m WHERE photons IS NOT NULL AND nadph_t2 IS NOT NULL)")
     code, recon = _ae()
     o["ae_apply"] = _m(
         "SELECT 'given' AS model_file, fov, cell, " + ", ".join(

@@ -538,6 +538,19 @@ def pca_explained(spark, sf):
     return rounded(learning.pca(measurements(spark, sf), ["nadph_a2p", "fad_a1p", "photons", "nadph_t2"])[1])
 
 
+@query
+def pca_two(spark, sf):
+    """Two features: the shares are (1 + |r|) / 2 and (1 - |r|) / 2."""
+    return rounded(learning.pca(measurements(spark, sf), ["photons", "nadph_t2"], None)[1])
+
+
+@query
+def pca_standardized(spark, sf):
+    """The z-scores that enter the components, next to the categories."""
+    out = learning.pca(measurements(spark, sf), ["photons", "nadph_t2"], 1, True, True)[0]
+    return rounded(out.drop("PC 1"))
+
+
 @query
 def pca_components(spark, sf):
     return learning.pca(measurements(spark, sf), ["nadph_a2p", "fad_a1p", "photons", "nadph_t2"])[0]

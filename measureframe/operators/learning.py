@@ -106,7 +106,7 @@ def kmeans(
         models = [
             KMeans(
                 featuresCol="_z", predictionCol="_k", k=n_clusters, maxIter=max_iter, tol=tol**0.5,
-                seed=seed + i, initMode="random" if init == "random" else "k-means||",
+                seed=seed + i, initMode="random" if init == "random" else "k-means||", solver="block",
             ).fit(rows)
             for i in range(n_init)
         ]

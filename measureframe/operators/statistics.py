@@ -22,6 +22,8 @@ KS_COEFFICIENT = {0.10: 1.22, 0.05: 1.36, 0.025: 1.48, 0.01: 1.63, 0.005: 1.73,
 KS_TERMS = 100
 #: Largest sample with an exact p-value.
 KS_EXACT_ROWS = 10_000
+#: Longest rank table that is broadcast.
+_BROADCAST_ROWS = 100_000
 #: Most pair columns in one aggregate; beyond it pairs become rows.
 _WIDE_PAIRS = 128
 
@@ -52,16 +54,23 @@ def _square(row: DataFrame, feats: Sequence[str]) -> DataFrame:
     ])))
 
 
-def pair_correlations(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+def pair_correlations(
+    df: DataFrame, pairs: dict[str, tuple[str, str]], centres: dict[str, float] | None = None
+) -> DataFrame:
     """One row with the correlation of each named pair of columns, pairwise complete.
 
     Tasks reduce their rows to the moments of each pair with matrix products, so the
-    shuffle carries one row per pair and task.  Values are centred on the column means
-    first, which keeps the differences of squares exact enough.
+    shuffle carries one row per pair and task.  Values are centred first (on the column
+    means, unless the caller knows the ``centres`` and saves that pass), which keeps the
+    differences of squares exact enough.
     """
     cols = sorted({c for p in pairs.values() for c in p})
-    means = df.agg(F.struct(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
-    centred = df.select(*[(q(c) - means[f"m{i}"]).alias(f"_z{i}") for i, c in enumerate(cols)])
+    if centres is None:
+        means = df.agg(F.struct(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(cols)])).scalar()
+        middle = [means[f"m{i}"] for i in range(len(cols))]
+    else:
+        middle = [F.lit(float(centres[c])) for c in cols]
+    centred = df.select(*[(q(c) - mid).alias(f"_z{i}") for i, (c, mid) in enumerate(zip(cols, middle))])
     names = list(pairs)
     left = [cols.index(pairs[p][0]) for p in names]
     right = [cols.index(pairs[p][1]) for p in names]
@@ -112,7 +121,10 @@ def _spearman(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     """
     n = len(feats)
     data = df.select(*[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
-    totals = data.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"_x{i}").alias(f"_{i}") for i in range(n)]).first()
+    totals = data.agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(f"_x{i}").alias(f"_{i}") for i in range(n)],
+        *[F.approx_count_distinct(f"_x{i}").alias(f"_d{i}") for i in range(n)],
+    ).first()
     # Partners without missing values all see the same rows.
     full = [totals[f"_{i}"] == totals["n"] for i in range(n)]
     mask = {(i, j): i if full[j] else j for i in range(n) for j in range(n)}
@@ -126,15 +138,24 @@ def _spearman(df: DataFrame, feats: Sequence[str]) -> DataFrame:
         ])
         ranks = average_ranks(counts, [], x, {f"_n{m}": f"_rank{i}_{m}" for m in partners}, cuts.get(x))
         named = ranks.withColumnRenamed(x, "_value")
+        if totals[f"_d{i}"] <= _BROADCAST_ROWS:
+            # A rank table this short saves moving all rows; a longer one is joined by key.
+            named = F.broadcast(named)
         ranked = ranked.join(named, F.col(x) == F.col("_value"), "left").drop("_value")
     # A rank with a mask is present only where the partner is.
     shown = ranked.select(*[
         F.when(F.col(f"_x{i}").isNotNull() & F.col(f"_x{m}").isNotNull(), F.col(f"_rank{i}_{m}")).alias(f"_rank{i}_{m}")
         for i, m in sorted({(i, mask[i, j]) for i in range(n) for j in range(n)})
     ])
+    # The mean rank of k rows is (k + 1) / 2, whatever the ties.  The number of rows with both
+    # values is not known here, but no more than a good centre is needed.
+    centres = {
+        f"_rank{i}_{m}": (min(totals[f"_{i}"], totals[f"_{m}"]) + 1) / 2
+        for i, m in {(i, mask[i, j]) for i in range(n) for j in range(n)}
+    }
     return pair_correlations(shown, {
         _pair(i, j): (f"_rank{i}_{mask[i, j]}", f"_rank{j}_{mask[j, i]}") for i in range(n) for j in range(i, n)
-    })
+    }, centres)
 
 
 def _kendall(df: DataFrame, feats: Sequence[str]) -> DataFrame:
@@ -190,11 +211,12 @@ def kendall_tau(df: DataFrame, x: str, y: str, cuts: dict[str, list[float]] | No
         F.sum((F.col("one") * below_minus_above).cast(wide)), F.lit(0).cast(wide)
     ).cast("double")).scalar()
 
+    # All further numbers come from the same counted cells, whose shuffle is reused.
     def tied(col: str) -> Column:
-        per = points.groupBy(col).agg(F.count(F.lit(1)).cast("double").alias("t"))
+        per = cells.groupBy(col).agg(F.sum("c").cast("double").alias("t"))
         return per.agg(F.coalesce(F.sum(F.col("t") * (F.col("t") - 1) / 2), F.lit(0.0))).scalar()
 
-    n = points.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    n = cells.agg(F.sum("c").cast("double").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / F.lit(2.0)
     return n.select(
         F.try_divide(score, F.sqrt(pairs - tied("x")) * F.sqrt(pairs - tied("y"))).alias("tau")

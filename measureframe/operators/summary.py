@@ -7,10 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from measureframe.operators.reshape import label_values, numeric_features, pivot_table
-from measureframe.plans.ordering import (
-    counted_quantiles, fits_task, group_quantiles, join_on, largest_group, quantile_arrays,
-    unpacked_quantiles,
-)
+from measureframe.plans.ordering import group_quantiles, join_on
 from measureframe.roles import (
     SEP, as_category, as_list, categories, drop_missing, join_name, q,
 )
@@ -69,14 +66,9 @@ def summarize(
 
     if not ordered or not numbers:
         out = data.groupBy(*by).agg(*plain)
-    elif quantiles == "exact" and fits_task(data, largest := largest_group(data, keys), numbers):
-        packed = data.groupBy(*by).agg(*plain, *quantile_arrays(numbers, probs))
-        out = packed.select("*", *unpacked_quantiles(numbers, probs, title))
     else:
-        found = (
-            counted_quantiles(data, keys, numbers, probs, title, largest) if quantiles == "exact"
-            else group_quantiles(data, keys, numbers, probs, title, quantiles)
-        )
+        # Two aggregates: next to the quantiles, the plain ones would lose their code generation.
+        found = group_quantiles(data, keys, numbers, probs, title, quantiles)
         out = _side_by_side(data.groupBy(*by).agg(*plain), found, keys) if plain else found
     cols = [join_name(f, a, sep=sep) for f in feats for a in aggs]
     return out.select(*by, *[q(c) for c in cols if c in out.columns])

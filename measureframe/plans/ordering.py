@@ -181,8 +181,13 @@ def group_quantiles(
         largest = largest_group(df, keys)
     if not fits_task(df, largest, features):
         return counted_quantiles(df, keys, features, probs, name, largest)
-    packed = df.groupBy(*by).agg(*quantile_arrays(features, probs))
-    return packed.select(*by, *unpacked_quantiles(features, probs, name))
+    # One aggregate per feature yields all its quantiles.
+    shares = F.lit([float(p) for p in probs])
+    packed = df.groupBy(*by).agg(*[F.percentile(q(f), shares).alias(f"_q{i}") for i, f in enumerate(features)])
+    return packed.select(*by, *[
+        F.get(F.col(f"_q{i}"), F.lit(j)).alias(name(f, p))
+        for i, f in enumerate(features) for j, p in enumerate(probs)
+    ])
 
 
 def fits_task(df: DataFrame, rows: int, features: Sequence[str]) -> bool:
@@ -190,21 +195,6 @@ def fits_task(df: DataFrame, rows: int, features: Sequence[str]) -> bool:
     return rows * len(features) <= task_rows(df)
 
 
-def quantile_arrays(features: Sequence[str], probs: Sequence[float]) -> list[Column]:
-    """One built-in aggregate per feature, which yields all its quantiles."""
-    shares = F.lit([float(p) for p in probs])
-    return [F.percentile(q(f), shares).alias(f"_q{i}") for i, f in enumerate(features)]
-
-
-def unpacked_quantiles(
-    features: Sequence[str], probs: Sequence[float], name: Callable[[str, float], str]
-) -> list[Column]:
-    return [
-        F.get(F.col(f"_q{i}"), F.lit(j)).alias(name(f, p))
-        for i, f in enumerate(features) for j, p in enumerate(probs)
-    ]
-
-
 def counted_quantiles(
     df: DataFrame,
     keys: Sequence[str],
