@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from measureframe.operators.reshape import label_values
 from measureframe.plans.ordering import (
-    average_ranks, cut_points, running_totals, slice_count, task_rows,
+    average_ranks, cut_points, running_totals, slice_count, slice_of, task_rows,
 )
 from measureframe.roles import as_category, as_list, drop_missing, q
 
@@ -161,14 +161,18 @@ def _spearman(df: DataFrame, feats: Sequence[str]) -> DataFrame:
 def _kendall(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     """Tau-b for every pair of features."""
     data = df.select(*[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
-    rows = data.agg(F.count(F.lit(1))).first()[0]
+    sizes = data.agg(
+        F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in data.columns]
+    ).first()
+    rows = sizes["n"]
     cuts = cut_points(data, data.columns, slice_count(df, rows)) if rows > task_rows(df) else {}
-    pairs = [
-        kendall_tau(data, f"_x{i}", f"_x{j}", cuts).select(
+    pairs = []
+    for i, j in combinations(range(len(feats)), 2):
+        # The column with fewer values has fewer rank bits; tau is symmetric.
+        y, x = sorted((f"_x{i}", f"_x{j}"), key=lambda c: sizes[c])
+        pairs.append(kendall_tau(data, x, y, cuts).select(
             F.struct(F.lit(_pair(i, j)).alias("pair"), F.col("tau")).alias("_t")
-        )
-        for i, j in combinations(range(len(feats)), 2)
-    ]
+        ))
     # One entry per pair of features.
     taus = reduce(DataFrame.unionAll, pairs).agg(F.map_from_entries(F.collect_list("_t")).alias("_m"))
     return _square(taus.select(
@@ -193,18 +197,22 @@ def kendall_tau(df: DataFrame, x: str, y: str, cuts: dict[str, list[float]] | No
     rank = running_totals(ones, [], "y", ["one"], cuts.get(y)).select(
         F.col("y").alias("_y"), (F.col("one_upto") - 1).alias("rank"), F.col("one_total").alias("_distinct")
     )
-    placed = cells.join(rank, F.col("y") == F.col("_y")).select("x", "rank", "c", "_distinct")
+    # The slice of x is found once per cell, before the cells are spread over the bits.
+    spot = slice_of(F.col("x"), cuts[x]) if cuts.get(x) else F.lit(0)
+    placed = cells.withColumn("_spot", spot).join(rank, F.col("y") == F.col("_y"))
     bits = F.ceil(F.log2(F.greatest(F.col("_distinct"), F.lit(2)).cast("double"))).cast("int")
     level = F.col("level")
-    spread = placed.select("x", "rank", "c", F.explode(F.sequence(F.lit(0), bits - 1)).alias("level"))
+    spread = placed.select("x", "_spot", "rank", "c", F.explode(F.sequence(F.lit(0), bits - 1)).alias("level"))
     bit = F.expr("shiftright(rank, level) & 1")
     sides = spread.groupBy(
-        level, F.expr("shiftright(rank, level + 1)").alias("prefix"), F.col("x")
+        level, F.expr("shiftright(rank, level + 1)").alias("prefix"), F.col("x"), F.col("_spot")
     ).agg(
         F.sum(F.when(bit == 0, F.col("c")).otherwise(0)).alias("zero"),
         F.sum(F.when(bit == 1, F.col("c")).otherwise(0)).alias("one"),
     )
-    run = running_totals(sides, ["level", "prefix"], "x", ["zero"], cuts.get(x))
+    run = running_totals(
+        sides, ["level", "prefix"], "x", ["zero"], F.col("_spot") if cuts.get(x) else None
+    )
     wide = "decimal(38,0)"
     below_minus_above = 2 * F.col("zero_upto") - F.col("zero") - F.col("zero_total")
     score = run.agg(F.coalesce(
