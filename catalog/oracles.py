@@ -330,6 +330,22 @@ def all_oracles() -> dict[str, str]:
         "l_quantity + 2.5 AS quantity_plus FROM lineitem")
     o["round_view"] = "SELECT c_custkey, round(c_acctbal, 1) AS c_acctbal FROM customer"
 
+    o["import_text"] = _m(
+        'SELECT fov AS "FOV", fov || \'-\' || treatment AS "FOV-Treatment", treatment AS "Treatment", '
+        'round(fad_a1p, 6) AS "FAD a1[%]", photons AS "FAD photons", round(nadph_a1p, 6) AS "NAD(P)H a1[%]", '
+        'round(nadph_a2p, 6) AS "NAD(P)H a2[%]", nadph_t1 AS "NAD(P)H t1", round(nadph_t2, 6) AS "NAD(P)H t2", '
+        'CAST(row_key AS DOUBLE) AS row_key, '
+        'round((nadph_a1p * nadph_t1 + nadph_a2p * nadph_t2) / 100, 6) AS "NAD(P)H tm", '
+        f'round({div("nadph_a2p", "nadph_a1p")}, 6) AS "NAD(P)H a2[%]/a1[%]", '
+        'round((nadph_t2 - 1500) / 2900 * 100, 6) AS "NADPH %", round(100 - (nadph_t2 - 1500) / 2900 * 100, 6) AS "NADH %", '
+        f'round({div("nadph_a2p", "fad_a1p")}, 6) AS "FLIRR" FROM m')
+    tm = "(nadph_a1p * nadph_t1 + nadph_a2p * nadph_t2) / 100"
+    ratio = div("nadph_a2p", "fad_a1p")
+    o["import_text_delimiters"] = _m(
+        'SELECT fov AS "FOV", treatment AS "Treatment", ' + ", ".join(
+            f'count({e}) AS "{n}__count", round(avg({e}), 6) AS "{n}__mean", round(max({e}), 6) AS "{n}__max"'
+            for n, e in {"FLIRR": ratio, "NAD(P)H tm": tm}.items()) + " FROM m GROUP BY fov, treatment")
+
     o["range_filter_keepna"] = _m("SELECT row_key, photons FROM m WHERE photons BETWEEN 5 AND 30 OR photons IS NULL")
     o["range_filter_dropna"] = _m("SELECT row_key, photons FROM m WHERE photons BETWEEN 5 AND 30")
     o["filter_table"] = _m(f"SELECT {_ALL} FROM m WHERE treatment IN ('Ctrl', 'T30') AND {_KEPT}")

@@ -17,6 +17,7 @@ from measureframe.operators.filters import RangeFilter
 from measureframe.plans import flows
 from measureframe.plans.lineage import checkpoint_folder
 from measureframe.roles import as_category, q
+from measureframe.sources import sink, text
 from measureframe.sources.paths import parse_path
 from measureframe.streaming.windows import stream_summary
 
@@ -103,6 +104,41 @@ def round_view(spark, sf):
     return columns.round_view(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), 1)
 
 
+# text files
+
+_HEADERS = {
+    "nadph_a1p": "Exc1_-Ch2-_a1[%]", "nadph_a2p": "Exc1_-Ch2-_a2[%]", "nadph_t1": "Exc1_-Ch2-_t1",
+    "nadph_t2": "Exc1_-Ch2-_t2", "fad_a1p": "Exc2_-Ch3-_a1[%]", "photons": "Exc2_-Ch3-_photons", "line_no": "Exc3_-unused",
+}
+
+
+def _text_files(spark, sf) -> str:
+    """The view as raw text files, one folder per field, in a new shared folder."""
+    folder = _checkpoint_folder(spark, "text")
+    m = measurements(spark, sf)
+    raw = m.select("fov", F.col("treatment").alias("Treatment"), "row_key", *[F.col(c).alias(h) for c, h in _HEADERS.items()])
+    sink.write_table(raw, folder, "csv", ["fov"])
+    return folder
+
+
+def _text_spec(**options) -> text.ImportSpec:
+    return text.ImportSpec(parser={"FOV": r".*/fov=(.*?)/"}, combos=[("FOV", "Treatment")], **options)
+
+
+@query
+def import_text(spark, sf):
+    """Whole way of an import: files, path labels, renamed and dropped headers, derived columns."""
+    df = text.read_measurements(spark, _text_files(spark, sf), _text_spec())
+    return rounded(df.drop("Directory", "File"))
+
+
+@query
+def import_text_delimiters(spark, sf):
+    """The same files, every character of the delimiter separating cells."""
+    df = text.read_measurements(spark, _text_files(spark, sf), _text_spec(delimiter="\t;"))
+    return rounded(summary.summarize(df, ["FOV", "Treatment"], ["FLIRR", "NAD(P)H tm"], ["count", "mean", "max"]))
+
+
 # filters
 
 @query

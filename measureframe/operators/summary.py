@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from measureframe.functions import registry
 from measureframe.operators.reshape import label_values, numeric_features, pivot_table
 from measureframe.plans.ordering import group_quantiles, join_on
 from measureframe.roles import (
@@ -40,16 +42,20 @@ def summarize(
     quantiles: str = "exact",
     keep_null_groups: bool = False,
 ) -> DataFrame:
-    """Chosen aggregates of all features per observed group, in one table."""
+    """Chosen aggregates of all features per observed group, in one table.
+
+    ``aggs`` may also name registered aggregate functions (``Column -> Column``).
+    """
     keys, feats = as_list(grouping), numeric_features(df, features)
     feats = [f for f in feats if f not in keys]
-    unknown = [a for a in aggs if a not in AGGREGATES]
+    custom = [a for a in aggs if a in registry.names("aggregate")]
+    unknown = [a for a in aggs if a not in AGGREGATES and a not in custom]
     if unknown:
         raise ValueError(f"unknown aggregates: {unknown}")
     data = df.select(*[q(c) for c in [*keys, *feats]])
     if keys and not keep_null_groups:
         data = drop_missing(data, keys)
-    simple = [a for a in aggs if a not in _QUANTILES]
+    simple = [a for a in aggs if a not in _QUANTILES and a not in custom]
     ordered = [a for a in aggs if a in _QUANTILES]
     by = [q(k) for k in keys]
     text = [c for c in feats if isinstance(data.schema[c].dataType, T.StringType)]
@@ -64,12 +70,17 @@ def summarize(
     def title(f: str, p: float) -> str:
         return join_name(f, labels[p], sep=sep)
 
-    if not ordered or not numbers:
-        out = data.groupBy(*by).agg(*plain)
-    else:
-        # Two aggregates: next to the quantiles, the plain ones would lose their code generation.
-        found = group_quantiles(data, keys, numbers, probs, title, quantiles)
-        out = _side_by_side(data.groupBy(*by).agg(*plain), found, keys) if plain else found
+    # One aggregate per kind: next to the others, the plain ones would lose their code generation.
+    parts = [data.groupBy(*by).agg(*plain)] if plain else []
+    if ordered and numbers:
+        parts.append(group_quantiles(data, keys, numbers, probs, title, quantiles))
+    if custom and numbers:
+        parts.append(data.groupBy(*by).agg(*[
+            registry.lookup("aggregate", a)(q(f)).alias(join_name(f, a, sep=sep)) for f in numbers for a in custom
+        ]))
+    if not parts:
+        raise ValueError("nothing to aggregate")
+    out = reduce(lambda a, b: _side_by_side(a, b, keys), parts)
     cols = [join_name(f, a, sep=sep) for f in feats for a in aggs]
     return out.select(*by, *[q(c) for c in cols if c in out.columns])
 

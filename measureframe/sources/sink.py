@@ -55,6 +55,6 @@ def write_results(
     return written
 
 
-def read_models(spark: SparkSession, pattern: str) -> DataFrame:
+def glob_models(spark: SparkSession, pattern: str) -> DataFrame:
     """Model tables below a path pattern such as ``models/AE*``."""
     return spark.read.parquet(pattern)

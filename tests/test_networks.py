@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from measureframe.operators import networks as n
+from measureframe.sources.sink import glob_models
 
 FEATURES = ["nadph_a2p", "photons", "nadph_t2"]
 
@@ -53,7 +54,7 @@ def test_decoded_and_encoded(fitted, m):
 
 def test_saved_models_apply_alike(fitted, m, spark, tmp_path):
     n.save_models(fitted["models"], str(tmp_path / "models"))
-    loaded = n.load_models(spark, str(tmp_path / "models"))
+    loaded = glob_models(spark, str(tmp_path / "mod*"))
     recon, coded = n.ae_apply(m, loaded)
     assert recon.count() == 4 * m.count() and coded.columns[-1] == "Feature 3"
     again, _ = n.ae_apply(m, fitted["models"])

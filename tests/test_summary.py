@@ -105,3 +105,25 @@ def test_change_labels(spark):
     got = {r["g"]: (r["t rel %"], r["Category"]) for r in table.collect()}
     assert got == {"1": (50.0, "up"), "2": (-20.0, "down")}
     assert {(r["g"], r["Category"]) for r in labelled.collect()} == {("1", "up"), ("2", "down"), ("3", "unassigned")}
+
+
+def test_registered_aggregates(m):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from measureframe.functions import registry
+
+    if "spread_for_test" not in registry.names("aggregate"):
+        @registry.register("aggregate", "spread_for_test")
+        def spread(col):
+            return F.max(col) - F.min(col)
+
+        @F.pandas_udf("double")
+        def middle(x: pd.Series) -> float:
+            return float((x.max() + x.min()) / 2)
+
+        registry.register("aggregate", "middle_for_test")(middle)
+    row = summary.summarize(m, (), "photons", ["max", "spread_for_test", "median"]).first()
+    assert row["photons__spread_for_test"] == row["photons__max"] - 3
+    rows = summary.summarize(m, "fov", "photons", ["min", "max", "middle_for_test"]).collect()
+    assert all(r["photons__middle_for_test"] == (r["photons__min"] + r["photons__max"]) / 2 for r in rows)
