@@ -562,6 +562,11 @@ def all_oracles() -> dict[str, str]:
             f"count({f}) AS {f}__count, round(quantile_cont({f}, 0.5), 6) AS {f}__median, round(avg({f}), 6) AS {f}__mean, "
             f"round(stddev_samp({f}), 6) AS {f}__std, round(stddev_samp({f}) / sqrt(count({f})), 6) AS {f}__sem"
             for f in ("photons", "nadph_t2")) + " FROM m GROUP BY treatment")
+    kind = _bin("tm", [(0, 400, "short"), (400, 1200, "middle"), (1200, 9000, "long")], "'unassigned'")
+    o["stream_import"] = _m(
+        f'SELECT fov AS "FOV", treatment AS "Treatment", {kind} AS kind, row_key, photons AS "FAD photons", '
+        f'round(tm, 6) AS "NAD(P)H tm", round({div("nadph_a2p", "fad_a1p")}, 6) AS "FLIRR" FROM t',
+        "t AS (SELECT *, (nadph_a1p * nadph_t1 + nadph_a2p * nadph_t2) / 100 AS tm FROM m WHERE photons BETWEEN 5 AND 45)")
     o["stream_daily"] = (
         "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(value) AS value__count, "
         "round(avg(value), 6) AS value__mean, round(stddev_samp(value), 6) AS value__std, "

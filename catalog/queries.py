@@ -19,6 +19,7 @@ from measureframe.plans.lineage import checkpoint_folder
 from measureframe.roles import as_category, q
 from measureframe.sources import sink, text
 from measureframe.sources.paths import parse_path
+from measureframe.streaming.measurements import stream_measurements
 from measureframe.streaming.windows import stream_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -706,6 +707,25 @@ def flow_features_ks(spark, sf):
 
 # streaming
 
+@query
+def stream_import(spark, sf):
+    """The text files as a stream: parsed, derived, filtered and categorised on arrival."""
+    source = _text_files(spark, sf)
+    columns_ = {"Treatment": "string", "row_key": "long", **{h: "double" for h in _HEADERS.values()}}
+    bins = {"feature": "NAD(P)H tm", "bins": [(0, 400, "short"), (400, 1200, "middle"), (1200, 9000, "long")], "name": "kind"}
+    stream = stream_measurements(
+        spark, source, columns_, _text_spec(), [RangeFilter("FAD photons", 5, 45, True)], bins)
+    # Rows go from the tasks to files, and from there to the reader.
+    target = _checkpoint_folder(spark, "stream_import")
+    run = (
+        stream.writeStream.format("parquet").option("path", f"{target}/rows").option("checkpointLocation", f"{target}/log")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    done = spark.read.parquet(f"{target}/rows")
+    return rounded(done.select("FOV", "Treatment", "kind", "row_key", "FAD photons", "NAD(P)H tm", "FLIRR"))
+
+
 @query
 def stream_daily(spark, sf):
     """Available-now run over the events file; the complete result is one row per window."""
@@ -727,6 +747,9 @@ def stream_daily(spark, sf):
 
 def _checkpoint_folder(spark, name: str) -> str:
     """A new folder in the shared checkpoint directory the session names."""
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4()}"
+    shared = checkpoint_folder(spark)
+    if shared is None:
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 

@@ -218,8 +218,8 @@ def box_stats(
     reach = fenced.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         # A whisker does not start inside the box.
-        F.least(F.min(F.when(inside, F.col("_x"))), F.first("q1")).alias("whisker low"),
-        F.greatest(F.max(F.when(inside, F.col("_x"))), F.first("q3")).alias("whisker high"),
+        F.least(F.min(F.when(inside, F.col("_x"))), F.max("q1")).alias("whisker low"),
+        F.greatest(F.max(F.when(inside, F.col("_x"))), F.max("q3")).alias("whisker high"),
         F.count_if(~inside).alias("outliers"),
     )
     out = _side_by_side(boxes.drop("_lowfence", "_highfence"), reach, keys)

@@ -11,7 +11,7 @@ from pyspark.storagelevel import StorageLevel
 def checkpoint_folder(spark: SparkSession) -> str | None:
     """The shared folder named by ``spark.checkpoint.dir``; a new one in local runs only."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None and sc.master.startswith("local"):
         named = tempfile.mkdtemp(prefix="measureframe-")
     if named is not None and sc.getCheckpointDir() is None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -60,7 +61,7 @@ def list_files(
         .option("recursiveFileLookup", "true")
         .load(as_list(paths))
         .select(F.col("path"), F.col("length"))
-        .withColumn("name", F.regexp_extract(plain_path(F.col("path")), r"([^/]*)$", 1))
+        .withColumn("name", F.regexp_extract("path", r"([^/]*)$", 1))
     )
     wanted = F.lit(False)
     for ext in extensions:
@@ -91,7 +92,7 @@ def _split_regex(delimiter: str) -> str:
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.text(paths).select(
+    return spark.read.text(_literal(paths)).select(
         F.col("value"), F.col("_metadata.file_path").alias(_PATH),
         F.col("_metadata.file_block_start").alias("_start"),
     )
@@ -102,7 +103,7 @@ def _header_groups(spark: SparkSession, paths: list[str], shared: bool) -> list[
     if not paths:
         return []
     if shared:
-        first = spark.read.text(paths[0]).head()
+        first = spark.read.text(_literal(paths[:1])).head()
         return [(first["value"], paths)] if first else []
     # The first line of a file is in the split that starts at 0; the id grows along a scan task.
     heads = (
@@ -114,7 +115,7 @@ def _header_groups(spark: SparkSession, paths: list[str], shared: bool) -> list[
     )
     groups: dict[str, list[str]] = {}
     for row in heads.orderBy(_PATH).toLocalIterator():
-        groups.setdefault(row["header"], []).append(row[_PATH])
+        groups.setdefault(row["header"], []).append(unquote(row[_PATH]))
     return list(groups.items())
 
 
@@ -126,21 +127,19 @@ def _cells(spark: SparkSession, header: str, paths: list[str], delimiter: str) -
         rows = (
             spark.read.schema(schema)
             .options(header=True, sep=delimiter, mode="PERMISSIVE", nullValue="")
-            .csv(_load_paths(paths))
+            .csv(_literal(paths))
         )
         return rows.select(*[q(n) for n in names], F.col("_metadata.file_path").alias(_PATH))
     pattern = _split_regex(delimiter)
     names = _clean_header(re.split(pattern, header))
-    rows = _lines(spark, _load_paths(paths)).filter((F.col("value") != header) & (F.trim("value") != ""))
+    rows = _lines(spark, paths).filter((F.col("value") != header) & (F.trim("value") != ""))
     parts = rows.select(F.split("value", pattern, -1).alias("_parts"), _PATH)
     return parts.select(*[F.get("_parts", F.lit(i)).alias(n) for i, n in enumerate(names)], _PATH)
 
 
-def _load_paths(paths: list[str]) -> list[str]:
-    """URIs from the file index, readable again by the reader (which takes plain paths)."""
-    from urllib.parse import unquote
-
-    return [unquote(p) for p in paths]
+def _literal(paths: Sequence[str]) -> list[str]:
+    """Paths for a reader, which would take brackets and stars for a pattern."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in paths]
 
 
 def _clean_header(names: Sequence[str]) -> list[str]:
@@ -214,7 +213,7 @@ def read_measurements(
     """
     files, _ = discover_files(spark, paths, spec.extensions, spec.exclude)
     listed = [r["path"] for r in files.toLocalIterator()]
-    groups = _header_groups(spark, _load_paths(listed), spec.shared_header)
+    groups = _header_groups(spark, listed, spec.shared_header)
     if not groups:
         raise FileNotFoundError(f"no readable files below {paths}")
     table: DataFrame | None = None

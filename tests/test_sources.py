@@ -58,6 +58,15 @@ def test_delimiter_characters_are_alternatives(spark, tmp_path):
     assert dict(typed.dtypes)["x"] == "int" and dict(typed.dtypes)["z"] == "string"
 
 
+@pytest.mark.parametrize("delimiter", [",", ",;"])
+@pytest.mark.parametrize("shared", [True, False])
+def test_awkward_file_names(spark, tmp_path, delimiter, shared):
+    (tmp_path / "x [1] {a} 50%25-b-c.csv").write_text("v,w\n1,2\n")
+    spec = ImportSpec(delimiter=delimiter, parser={"Part": r".*/(.*?)-"}, shared_header=shared)
+    row = text.read_measurements(spark, str(tmp_path), spec).first()
+    assert (row["v"], row["Part"], row["File"]) == (1.0, "x [1] {a} 50%25", "x [1] {a} 50%25-b-c.csv")
+
+
 def test_preview_and_open(spark, folder, tmp_path):
     assert text.preview(spark, folder, SPEC, 1).count() == 2
     path = tmp_path / "one.txt"
