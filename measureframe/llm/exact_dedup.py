@@ -39,7 +39,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             .select("grp", "digit", "n", "keep_id", (F.octet_length("digit") < width).alias("ended"), F.monotonically_increasing_id().alias("next")),
             "digits",
         )
-        joined = written(rows.join(found, ["grp", "digit"], "left").drop("grp", "digit"), "rows")
+        # A sort-merge join at every size: counts of shared digits grow with the rows, and hot digits are split.
+        joined = written(rows.join(found.hint("merge"), ["grp", "digit"], "left").drop("grp", "digit"), "rows")
         alone = F.col("next").isNull()
         done.append(joined.filter(alone | F.col("ended")).select(
             "row", "id", F.when(alone, F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
