@@ -1,14 +1,66 @@
-"""From raw documents to packed sequences, stage by stage."""
+"""From raw documents to packed sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept.
+All but the last return the columns of ``documents``, whatever further ones there are.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from measureframe.llm.exact_dedup import exact_dedup
+from measureframe.llm.language import fit, identify
+from measureframe.llm.minhash import near_dedup, with_text_hash
+from measureframe.llm.mixing import mix
+from measureframe.llm.packing import pack
+from measureframe.llm.queries import WEIGHTS, tokenizer_path
 from measureframe.llm.store import written
 
-STAGES: list = []
+#: Slots of the mixture that are written by one task.
+SLOTS_A_TASK = 256
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a language that the model knows; it learns from the labelled rows."""
+    return identify(docs, fit(docs, F.lit(True))).filter("not rejected").select("row.*")
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, one."""
+    return exact_dedup(docs).filter("kept").select("row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a component of near copies, one; every text without words."""
+    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash")).distinct()
+    rows = with_text_hash(docs)
+    same = F.col("row.doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash"))
+    once = rows.join(kept, same).groupBy("keep_id", "keep_hash").agg(F.first("row").alias("row"))
+    return once.select("row.*")
+
+
+def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture in its order: sources that run out begin again until each has come whole."""
+    mixed = mix(docs, WEIGHTS, block_docs=64, repeat=True)
+    slots = mixed.agg(F.max("slot")).first()[0] or 0
+    return mixed.repartitionByRange(1 + slots // SLOTS_A_TASK, "slot").sortWithinPartitions("slot", "place").select("row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens: the pieces of documents, their ids and their places."""
+    return pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=2, size=1024)
+
+
+STAGES = [
+    ("language ID", languages),
+    ("exact dedup", exact_copies),
+    ("MinHash near-dedup", near_copies),
+    ("mixing sources to target weights", weighted),
+    ("best-fit packing", packed),
+]
 
+#: No SQL fits a language model or a tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 
 

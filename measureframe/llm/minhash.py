@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from measureframe.llm.components import components
 from measureframe.llm.store import short_batches, written
@@ -175,7 +176,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = reps.join(nodes, "node").select("node", F.col("first.doc_id").alias("want_id"), F.col("first.text_hash").alias("want_hash"))
-        source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_hashed, f"doc_id {docs.schema[id_col].dataType.simpleString()}, text string, text_hash bigint")
+        source = with_text_hash(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("row.*", "text_hash")
         same = F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash"))
         return written(source.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")
 
@@ -189,7 +190,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _hashed(batches):
-    for batch in batches:
-        hashes = [xxhash.xxh3_64_intdigest((t or "").encode()) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashes, pa.uint64()).view(pa.int64())], ["doc_id", "text", "text_hash"])
+def with_text_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every row, in ``row``, with the hash of its text that ``near_dedup`` returns; null counts as empty."""
+    def run(batches):
+        for batch in batches:
+            hashes = [xxhash.xxh3_64_intdigest((t or "").encode()) for t in batch.column(0).field(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.uint64()).view(pa.int64())], ["row", "text_hash"])
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("text_hash", T.LongType())]))

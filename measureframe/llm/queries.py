@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measureframe.llm.exact_dedup import exact_dedup
+from measureframe.llm.language import fit, identify
 from measureframe.llm.minhash import near_dedup
+from measureframe.llm.mixing import mix
 from measureframe.llm.packing import pack
 
 
@@ -16,6 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def id_remainder(divisor: int):
+    """crc32 of the id as text, modulo ``divisor``; an id that is null counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(divisor))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -26,6 +33,13 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = fit(docs, id_remainder(4) != 2, per_label=1500)
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("row.doc_id", "lang_pred", "score", "rejected").withColumn("held_out", id_remainder(4) == 2)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2, size=1024)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -36,10 +50,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", sha.alias("text_sha256"))
 
 
+#: Target weights of the known sources: one has ten parts, the nineteen others one each.
+WEIGHTS = {f"src{i}": 10 if i == 0 else 1 for i in range(20)}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(documents(spark, sf_dir).select("doc_id", "source"), WEIGHTS, block_docs=64)
+    return mixed.select("row.doc_id", "row.source", "stream", "block", "epoch", "slot", "place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op5_language": op5_language,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
