@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from measureframe.llm import url_filter
 from measureframe.llm.exact_dedup import exact_dedup
+from measureframe.llm.feistel import KINDS, pseudonymise
 from measureframe.llm.language import fit, identify
 from measureframe.llm.minhash import near_dedup
 from measureframe.llm.mixing import mix
@@ -33,6 +35,20 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge_urls(pages).select("row.page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
+
+
+#: The key of the pseudonyms; a user gives one of their own.
+KEY = b"measureframe pseudonyms"
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pseudonymise(docs, KEY).select("row.doc_id", F.col("new_text").alias("text"), *[f"n_{k}" for k in KINDS])
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(docs, id_remainder(4) != 2, per_label=1500)
@@ -61,6 +77,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op4_pseudonyms": op4_pseudonyms,
     "op5_language": op5_language,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
@@ -68,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_url_filter": url_filter.oracle(),
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
