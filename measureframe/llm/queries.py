@@ -11,9 +11,12 @@ from measureframe.llm import url_filter
 from measureframe.llm.exact_dedup import exact_dedup
 from measureframe.llm.feistel import KINDS, pseudonymise
 from measureframe.llm.language import fit, identify
+from measureframe.llm.merkle import compare_edits
 from measureframe.llm.minhash import near_dedup
 from measureframe.llm.mixing import mix
 from measureframe.llm.packing import pack
+from measureframe.llm.store import new_path
+from measureframe.llm.token_files import count_tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +59,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score", "rejected").withColumn("held_out", id_remainder(4) == 2)
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edits(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), end_id=2, size=1024)
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
@@ -66,6 +73,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).select(F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", sha.alias("text_sha256"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), new_path(spark, "tokens"), tokenizer_path("piece_bpe_32k.model"), end_id=2)
+
+
 #: Target weights of the known sources: one has ten parts, the nineteen others one each.
 WEIGHTS = {f"src{i}": 10 if i == 0 else 1 for i in range(20)}
 
@@ -80,8 +91,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_language": op5_language,
+    "op6_merkle": op6_merkle,
     "op7_packing": op7_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
