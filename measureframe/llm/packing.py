@@ -2,65 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
-import re
 from collections import Counter
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from measureframe.llm.store import short_batches, written
-
-#: Entries that a worker's memory of encoded chunks may hold; it is then begun anew.
-MEMORY = 400_000
-#: ASCII white space and what follows up to the next; the tokenizer never joins across such a start.
-_CHUNK = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-
-
-class ChunkIds(dict):
-    """Token ids (little-endian unsigned 32 bit) of a text by a byte-level BPE tokenizer.
-
-    Its rule for cutting a text before merging never lets a piece begin before a run of
-    white space and end behind it, so each chunk of ``white space + other`` is encoded alone and
-    remembered.  A chunk that ends in white space of another kind would run together
-    with the next one; such a text is encoded whole, as is one with a special token.
-    """
-
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def encoded(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if chunk[-1].isspace() and chunk.strip(" \t\n\r\x0b\x0c"):
-            raise ValueError
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self.encoded(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = value
-        return value
-
-    def of(self, text: str) -> bytes:
-        if not any(s in text for s in self.special):
-            try:
-                return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
-            except ValueError:
-                pass
-        return self.encoded(text)
-
-
-@lru_cache(maxsize=2)
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
-
+from measureframe.llm.tokens import byte_bpe
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens; only the first may be shorter than ``size``."""
@@ -75,12 +25,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, i
     made them.  A null text counts as empty and gives one piece, the end id alone.
     """
     def run(batches):
-        task, seen, memo = TaskContext.get().partitionId(), Counter(), chunk_ids(tokenizer)
+        task, seen, encoder = TaskContext.get().partitionId(), Counter(), byte_bpe(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memo.of(text or "") + end
+                ids = encoder.ids(text or "") + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, size)):
                     out.append((doc, k, start, length, ids[4 * start : 4 * (start + length)], task, seen[length]))
                     seen[length] += 1
