@@ -7,7 +7,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,8 +17,8 @@ from measureframe.llm.words import WordHashes, lower_words, mixed, shingle_set
 
 #: A pair with similarity 0.75 shares none of 48 bands of 5 coordinates once in 430 000; one with more, far less often.
 BANDS, ROWS = 48, 5
-#: A bucket with no more open members tests all pairs across components at once; a larger one goes on hub by hub.
-SMALL = 32
+#: Members of a bucket that are hubs in its first round of open pairs, and in each further one.
+HUBS, MORE_HUBS = 32, 256
 
 
 def _permuted(x: np.ndarray, seed: tuple[int, int]) -> np.ndarray:
@@ -115,10 +115,11 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
 
     Nodes that share a band are candidates.  First each node is tested against the smallest
     hub among its buckets, one pair for each node at most, which settles families of copies.
-    Then every bucket whose members still lie in several components tests its open pairs: all of
-    them where few members are left, else the pairs with its smallest and its largest
-    node, which then leave it, until no bucket is open.  A pair is left
-    out only when its components are joined already or its sizes exclude the link.
+    Then, in every bucket whose members still lie in several components, some members of its
+    smallest components are hubs: they are tested against all members of other
+    components and leave the bucket, until what is left of it is one component.  A pair is left
+    out only when its components are joined already or its sizes exclude the link; a
+    round makes pairs in proportion to the members.
     """
     rows = reps.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
     shared = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -130,30 +131,26 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
     )
     tested = written(first, "tested")
     links = [confirmed(tested, texts, width)]
-    open_rows = members.select("bucket", "node", "n")
+    open_rows, hubs = members.select("bucket", "node", "n"), HUBS
     while True:
         roots = components(reduce(DataFrame.union, links))
         placed = open_rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        state = placed.groupBy("bucket").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"),
-            F.min(F.struct("node", "n", "root")).alias("one"), F.max(F.struct("node", "n", "root")).alias("two"),
-        ).filter("low != high").drop("low", "high")
-        placed = written(placed.join(state, "bucket"), "open")
-        if not placed.limit(1).count():
+        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
+        several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
+        # Few rows a bucket leave each task, so no bucket is gathered for its ranks.
+        order = F.row_number().over(Window.partitionBy("bucket").orderBy("part", "node"))
+        placed = written(placed.join(several, "bucket").join(parts, ["bucket", "root"]), "open")
+        chosen = written(placed.withColumn("nth", order).filter(F.col("nth") <= hubs).select(
+            "bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")), "hubs")
+        if not chosen.limit(1).count():
             return roots
-        small = placed.filter(F.col("size") <= SMALL).select("bucket", "node", "n", "root")
-        other = small.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")])
-        pairs = small.join(other, "bucket").filter("node < node_b and root != root_b").filter(_alike_in_size("n", "n_b")).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
-        large = placed.filter(F.col("size") > SMALL)
-        for hub in ("one", "two"):
-            by = large.select("node", "n", "root", *[F.col(f"{hub}.{c}").alias(f"{c}_b") for c in ("node", "n", "root")])
-            pairs = pairs.union(by.filter("root != root_b").filter(_alike_in_size("n", "n_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")))
+        pairs = placed.join(chosen, "bucket").filter("root != hub_root").filter(_alike_in_size("n", "hub_n")).select(
+            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         fresh = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "tested")
         links.append(confirmed(fresh, texts, width))
         tested = tested.union(fresh)
-        open_rows = written(large.filter("node != one.node and node != two.node").select("bucket", "node", "n"), "open")
-        if not open_rows.limit(1).count():
-            return components(reduce(DataFrame.union, links))
+        gone = chosen.select("bucket", F.col("hub").alias("node"))
+        open_rows, hubs = placed.select("bucket", "node", "n").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
