@@ -15,6 +15,7 @@ from measureframe.llm.merkle import compare_edits
 from measureframe.llm.minhash import near_dedup
 from measureframe.llm.mixing import mix
 from measureframe.llm.packing import pack
+from measureframe.llm.ppm import score
 from measureframe.llm.store import new_path
 from measureframe.llm.token_files import count_tokens
 
@@ -38,6 +39,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score(documents(spark, sf_dir), id_remainder(5) != 1)
+    return scores.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return url_filter.judge_urls(pages).select("row.page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft")
@@ -88,6 +94,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_ppm": op2_ppm,
     "op3_url_filter": op3_url_filter,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_language": op5_language,
