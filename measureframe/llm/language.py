@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,13 +137,13 @@ def sampled(docs: DataFrame, per_label: int, id_col: str, text_col: str, label_c
     def bags(batches):
         for batch in batches:
             found = [np.unique(np.concatenate(p), return_counts=True) if (p := subwords(t)) else (np.zeros(0), np.zeros(0)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x.astype(np.int32) for x, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))], ["label", "buckets", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[i].astype(k).tobytes() for x in found], pa.binary()) for i, k in enumerate(("<u2", "<u4")))], ["label", "buckets", "counts"])
 
-    chosen = rows.filter(lot < share).select("text", "label").mapInArrow(bags, "label string, buckets array<int>, counts array<int>")
-    table = chosen.toArrow()
-    kept = zip(*(table.column(i).to_pylist() if i == 0 else table.column(i) for i in range(3)))
-    out = [(label, b.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.float64)) for label, b, n in kept if len(b)]
-    return sorted(out, key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
+    chosen = rows.filter(lot < share).select("text", "label").mapInArrow(bags, "label string, buckets binary, counts binary").toArrow()
+    labels, buckets, counts = (chosen.column(i) for i in range(3))
+    # Views of what was received, in an order that does not depend on how it came.
+    bags_ = [(label.as_py(), np.frombuffer(b.as_buffer(), "<u2"), np.frombuffer(n.as_buffer(), "<u4")) for label, b, n in zip(labels, buckets, counts)]
+    return sorted((x for x in bags_ if len(x[1])), key=lambda x: (x[0], len(x[1]), xxhash.xxh3_64_intdigest(x[1]), xxhash.xxh3_64_intdigest(x[2])))
 
 
 def fit(docs: DataFrame, training: Column, per_label: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> LanguageModel:
