@@ -9,15 +9,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measureframe.llm.store import short_batches, written
+from measureframe.llm.store import short_batches
+from measureframe.plans.ordering import slice_of
 
 #: A run of words ends behind a word whose hash is divisible by so much, and after so many words at the latest.
 RUN, LONGEST = 6, 24
+#: Rows of a stretch of ids, as an average, until there are so many stretches.
+STRETCH_ROWS, STRETCHES = 4096, 20_000
 _SECTION = re.compile(r"\n[ \t]*\n\s*")
 
 
@@ -137,63 +139,60 @@ def _compared(text: str, own: str, following: str, other: str, ends: WordEnds) -
     return len(text), hashlib.sha256(new.encode()).hexdigest(), own, print_, likeness(own, print_), likeness(own, other)
 
 
+def stretches(ids: DataFrame) -> tuple[Column, DataFrame]:
+    """The stretch of a row by its ``id``, and (stretch, first id) of every stretch, in order.
+
+    Stretches are cut at approximate quantiles of the ids, so each holds about as many rows.  The driver
+    receives two numbers a stretch, of which there are at most ``STRETCHES``.
+    """
+    n = ids.count()
+    parts = max(1, min(STRETCHES, n // STRETCH_ROWS))
+    cuts = sorted(set(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    stretch = F.when(F.col("id").isNull(), 0).otherwise(slice_of(F.col("id"), cuts)).cast("int")
+    firsts = ids.groupBy(stretch.alias("stretch")).agg(F.min(F.struct(F.col("id").isNotNull().alias("has"), "id")).alias("first"))
+    return stretch, firsts.select("stretch", "first.id").orderBy("stretch")
+
+
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness, one row a document.
 
-    Rows are dealt out by ranges of the id and sorted inside, so a document's successor is the next row of the
-    task; the texts move once.  Only the last row of a task waits for the first one of the next: those
-    rows, two a task, are written with their texts and joined.  The successor of the last document is the first.
+    Rows are dealt into stretches of the (numeric) ids and sorted inside, so a document's successor is the next
+    row.  The first rows of a stretch are sent to the one before as well, as guests that
+    only end it; so each text moves once.  The successor of the last document is the first.
 
     A null text counts as empty; an id that is null comes first; rows with the same id follow each other in
     the order of their texts.  Other columns are not read; an empty table gives no rows.
     """
     short_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    stretch, firsts = stretches(rows.select("id"))
+    found = [tuple(r) for r in firsts.collect()]
+    host = {first: found[i - 1][0] for i, (_, first) in enumerate(found)}
+    # Guests are few: one id a stretch.  The join's small side has as many rows.
+    guests = docs.sparkSession.createDataFrame([(k, v) for k, v in host.items()], T.StructType([T.StructField("first", rows.schema["id"].dataType), T.StructField("host", T.IntegerType())]))
+    sent = rows.join(F.broadcast(guests), F.col("id").eqNullSafe(F.col("first")), "left").select(
+        "id", "text", F.explode(F.when(F.col("host").isNull(), F.array(F.struct(stretch.alias("stretch"), F.lit(False).alias("guest")))).otherwise(
+            F.array(F.struct(stretch.alias("stretch"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("stretch"), F.lit(True).alias("guest"))))).alias("at"))
+    dealt = sent.select("id", "text", "at.*").repartition("stretch").sortWithinPartitions("stretch", "guest", "id", "text")
 
     def run(batches):
-        task, ends = TaskContext.get().partitionId(), WordEnds()
-        held, first = None, True
+        ends, held, at = WordEnds(), None, None
         for batch in batches:
-            ids, out = batch.column(0), []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                text = text or ""
+            ids, out = batch.column("id"), []
+            for i, (text, stretch_, guest) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "stretch", "guest")))):
+                if stretch_ != at:
+                    held, at = None, stretch_
+                if guest and held is None:
+                    continue  # a further guest
                 row = (ids.slice(i, 1), text, fingerprint(text, ends))
-                if first:
-                    out.append((row[0], "first", text, *[None] * 6))
-                    first = False
                 if held:
-                    out.append((held[0], "done", None, *_compared(held[1], held[2], text, row[2], ends)))
-                held = row
-            yield from made(task, out)
-        if held:
-            yield from made(task, [(held[0], "last", held[1], *[None] * 6)])
-
-    def made(task, out):
-        if out:
-            columns = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays(list(columns[0])), pa.array([task] * len(out), pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string()),
-                *(pa.array(c, k) for c, (_, k) in zip(columns[3:], _RESULT)),
-            ], ["doc_id", "task", "part", "text", *(n for n, _ in _RESULT)])
-
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("task", T.IntegerType()), T.StructField("part", T.StringType()), T.StructField("text", T.StringType()), *_FIELDS])
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = written(ordered.mapInArrow(run, schema), "fingerprints")
-    # One number a task: which one follows which.
-    tasks = sorted(r.task for r in rows.filter("part = 'first'").select("task").collect())
-    follows = docs.sparkSession.createDataFrame(list(zip(tasks, tasks[1:] + tasks[:1])), "task int, next int")
-    firsts = rows.filter("part = 'first'").select(F.col("task").alias("next"), F.col("text").alias("following"))
-    lasts = rows.filter("part = 'last'").select("doc_id", "task", "text").join(follows, "task").join(firsts, "next").select("doc_id", "text", "following")
-
-    def stitch(batches):
-        ends = WordEnds()
-        for batch in batches:
-            found = [_compared(t, fingerprint(t, ends), n, fingerprint(n, ends), ends) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            columns = zip(*found) if found else [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, (_, k) in zip(columns, _RESULT))], ["doc_id", *(n for n, _ in _RESULT)])
+                    out.append((held[0], *_compared(held[1], held[2], text, row[2], ends)))
+                held = None if guest else row
+            if out:
+                columns = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(list(columns[0])), *(pa.array(c, k) for c, (_, k) in zip(columns[1:], _RESULT))], ["doc_id", *(n for n, _ in _RESULT)])
 
-    edges = lasts.mapInArrow(stitch, T.StructType([T.StructField("doc_id", kind), *_FIELDS]))
-    return rows.filter("part = 'done'").drop("task", "part", "text").union(edges)
+    return dealt.mapInArrow(run, T.StructType([T.StructField("doc_id", rows.schema["id"].dataType), *_FIELDS]))
 
 
 _FIELDS = [T.StructField(n, T.LongType() if k == pa.int64() else T.DoubleType() if k == pa.float64() else T.StringType()) for n, k in _RESULT]

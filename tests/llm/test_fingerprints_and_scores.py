@@ -55,7 +55,9 @@ def brute_edits(rows):
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 90])
-def test_compare_edits(spark, n):
+@pytest.mark.parametrize("stretch", [4096, 8])
+def test_compare_edits(spark, monkeypatch, n, stretch):
+    monkeypatch.setattr(merkle, "STRETCH_ROWS", stretch)
     rng = random.Random(n)
     rows = [(i * 3, rng.choice([None, "", "ab", "é" * 9, " ".join(rng.choices(["x", "yy", "zé\n"], k=rng.randint(1, 200)))])) for i in range(n)]
     rows += [(3, "tie a"), (3, "tie b"), (3, "tie a"), (None, "none")] if n > 2 else []
