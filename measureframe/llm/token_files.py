@@ -6,14 +6,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from measureframe.llm.store import shard_count, shard_of, short_batches
+from measureframe.llm.store import short_batches
 
 #: Tokens that are searched at once.
 BLOCK = 1 << 20
+#: Documents in a file, at most.
+FILE_DOCS = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -23,32 +25,37 @@ def _pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def streams(docs: DataFrame, shards: int, id_col: str, *columns) -> DataFrame:
-    """doc_id, the stream it belongs to, and further columns."""
-    return docs.select(F.col(id_col).alias("doc_id"), shard_of(shards, F.col(id_col)).alias("stream"), *columns)
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_docs: int = FILE_DOCS) -> None:
+    """Write ``kind=ids/stream=n`` folders of flat files of little-endian unsigned 16-bit ids, ``end_id`` behind each document.
 
-
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, shards: int, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write each stream as flat files of little-endian unsigned 16-bit ids, ``end_id`` behind each document.
-
-    A stream's documents lie in the order of their ids.  The files are made by Spark's own text
-    writer, on any file system that it knows: a document's bytes are a line and the bytes of
-    ``end_id`` part the lines, so these have to be valid UTF-8, as those of small ids are.
+    A stream is what one task reads; nothing is shuffled, and a stream is cut into files of at most ``file_docs`` documents.
+    The same job writes ``kind=docs/stream=n``: the number and the id of each document, for
+    who wants to know whose tokens they are.  Spark's own text writer makes the files, on any file
+    system that it knows: a document's bytes are a line and the bytes of ``end_id`` part the
+    lines, so these have to be valid UTF-8, as those of small ids are.
     """
     short_batches(docs.sparkSession)
-    separator = np.asarray([end_id], "<u2").tobytes().decode()
+    separator = _separator(end_id)
 
     def run(batches):
-        model = _pieces(tokenizer)
+        model, task, first = _pieces(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = model.encode([t or "" for t in batch.column("text").to_pylist()], num_threads=1)
+            n = batch.num_rows
+            ids = [np.asarray(i, "<u2").tobytes() for i in model.encode([t or "" for t in batch.column(1).to_pylist()], num_threads=1)]
+            names = [b"%d:%s" % (first + i, b"" if d is None else str(d).encode()) for i, d in enumerate(batch.column(0).to_pylist())]
+            numbers = np.arange(first, first + n, dtype=np.int64)
+            first += n
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("stream"), pa.array([np.asarray(i, "<u2").tobytes() for i in ids], pa.binary())], ["doc_id", "stream", "ids"])
+                pa.array(["ids"] * n + ["docs"] * n, pa.string()), pa.array(np.full(2 * n, task, np.int32)), pa.array(np.tile(numbers, 2)), pa.array(ids + names, pa.binary()),
+            ], ["kind", "stream", "number", "value"])
+
+    rows = docs.select(id_col, text_col).mapInArrow(run, "kind string, stream int, number bigint, value binary")
+    ordered = rows.sortWithinPartitions("kind", "stream", "number").select("kind", "stream", F.col("value").cast("string").alias("value"))
+    ordered.write.partitionBy("kind", "stream").option("lineSep", separator).option("maxRecordsPerFile", file_docs).text(path)
+
 
-    rows = streams(docs, shards, id_col, F.col(text_col).alias("text"))
-    schema = T.StructType([rows.schema["doc_id"], rows.schema["stream"], T.StructField("ids", T.BinaryType())])
-    encoded = rows.mapInArrow(run, schema).repartition(shards, "stream").sortWithinPartitions("stream", "doc_id", "ids")
-    encoded.select("stream", F.col("ids").cast("string").alias("value")).write.partitionBy("stream").option("lineSep", separator).text(path)
+def _separator(end_id: int) -> str:
+    return np.asarray([end_id], "<u2").tobytes().decode()
 
 
 def scan_token_files(files: DataFrame, end_id: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
@@ -98,30 +105,30 @@ def scan_token_files(files: DataFrame, end_id: int, dtype: str = "<u2", block: i
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(stream, part, content) of files in ``stream=n`` folders; the part is the file's name.
+    """(stream, part, content) of the ids' files; the part is the file's name.
 
     Spark reads a file as one value, so a file is at most 2 GB; longer ones are cut anywhere
     between two ids, as the scan stitches over parts.
     """
-    return spark.read.format("binaryFile").load(path).select("stream", F.element_at(F.split("path", "/"), -1).alias("part"), "content")
+    return spark.read.format("binaryFile").load(f"{path}/kind=ids").select("stream", F.element_at(F.split("path", "/"), -1).alias("part"), "content")
 
 
-def numbered(docs: DataFrame, shards: int, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, stream and doc_no in the order in which ``write_token_files`` writes."""
-    inside = Window.partitionBy("stream").orderBy("doc_id")
-    return streams(docs, shards, id_col).withColumn("doc_no", (F.row_number().over(inside) - 1).cast("long"))
+def written_documents(spark: SparkSession, path: str, end_id: int = 2) -> DataFrame:
+    """(stream, doc_no, doc_id as text) of the documents in the files."""
+    names = spark.read.option("lineSep", _separator(end_id)).text(f"{path}/kind=docs")
+    return names.select("stream", F.split_part("value", F.lit(":"), F.lit(1)).cast("long").alias("doc_no"), F.nullif(F.expr("substr(value, instr(value, ':') + 1)"), F.lit("")).alias("doc_id"))
 
 
-def count_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_rows: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, stream, doc_no, start, n_tokens of every document, by writing token files and scanning them.
+def count_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_docs: int = FILE_DOCS) -> DataFrame:
+    """doc_id, stream, doc_no, start, n_tokens, ended of every document, by writing token files and scanning them.
 
-    Streams are made by a hash of the id and hold ``shard_rows`` documents as an average.  A null text
-    counts as empty and has 0 tokens; rows that repeat an id are counted each; an id that is null
-    comes first in its stream.  Other columns are not read; an empty table gives no rows.
+    A null text counts as empty and has 0 tokens; rows that repeat an id are counted each; an id may be null.
+    Other columns are not read; an empty table gives no rows.
     """
-    shards = shard_count(docs.count(), shard_rows)
-    write_token_files(docs, path, tokenizer, shards, end_id, id_col, text_col)
-    spark = docs.sparkSession
-    files = read_token_files(spark, path) if docs.limit(1).count() else spark.createDataFrame([], "stream int, part string, content binary")
-    found = scan_token_files(files, end_id)
-    return found.join(numbered(docs, shards, id_col), ["stream", "doc_no"]).select("doc_id", "stream", "doc_no", "start", "n_tokens", "ended")
+    write_token_files(docs, path, tokenizer, end_id, id_col, text_col, file_docs)
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType
+    if docs.limit(1).count():
+        found = scan_token_files(read_token_files(spark, path), end_id).join(written_documents(spark, path, end_id), ["stream", "doc_no"])
+    else:
+        found = spark.createDataFrame([], "doc_id string, stream int, doc_no bigint, start bigint, n_tokens bigint, ended boolean")
+    return found.select(F.col("doc_id").cast(kind).alias("doc_id"), "stream", "doc_no", "start", "n_tokens", "ended")

@@ -150,10 +150,10 @@ def test_token_counts(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     docs = [(i, t) for i, t in enumerate([*ODD, None, "long word " * 3000])] + [(3, "again"), (None, "no id")]
-    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id bigint, text string, stream string")
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id bigint, text string, stream string").repartition(3)
     from measureframe.llm.store import new_path
 
-    got = token_files.count_tokens(df, new_path(spark, "test"), path, shard_rows=5).collect()
+    got = token_files.count_tokens(df, new_path(spark, "test"), path, file_docs=5).collect()
     assert all(r.ended for r in got)
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(model.encode(t or ""))) for i, t in docs)
     assert token_files.count_tokens(df.limit(0), new_path(spark, "test"), path).count() == 0
