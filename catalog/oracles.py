@@ -349,6 +349,9 @@ def all_oracles() -> dict[str, str]:
     o["range_filter_keepna"] = _m("SELECT row_key, photons FROM m WHERE photons BETWEEN 5 AND 30 OR photons IS NULL")
     o["range_filter_dropna"] = _m("SELECT row_key, photons FROM m WHERE photons BETWEEN 5 AND 30")
     o["filter_table"] = _m(f"SELECT {_ALL} FROM m WHERE treatment IN ('Ctrl', 'T30') AND {_KEPT}")
+    o["filter_reversed"] = _m(f"SELECT {_ALL} FROM m WHERE photons IS NULL")
+    o["filter_limited"] = _m(
+        f"SELECT {_ALL} FROM m WHERE photons BETWEEN 8 AND 40 AND (nadph_t2 BETWEEN 2600 AND 6000 OR nadph_t2 IS NULL)")
     o["filter_discarded"] = _m(
         f"SELECT {_ALL} FROM m WHERE treatment IN ('Ctrl', 'T30') AND NOT coalesce({_KEPT}, false)")
     o["filter_report"] = _m(
@@ -515,6 +518,9 @@ def all_oracles() -> dict[str, str]:
     o["corr_spearman"] = _spearman()
     o["corr_kendall"] = _kendall()
     o["ks_statistic"] = _ks("lineitem", "l_extendedprice", "l_returnflag", [], "WITH")
+    o["ks_default"] = _ks("m", "photons", "treatment", ["fov"], f"WITH m AS ({MEASUREMENT_SQL}),")
+    lines = "(SELECT l_extendedprice, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS l_quantity FROM lineitem)"
+    o["ks_many_labels"] = _ks(lines, "l_extendedprice", "l_quantity", [], "WITH")
     o["ks_pvalue"] = _ks("m", "photons", "treatment", ["fov", "compartment"], f"WITH m AS ({MEASUREMENT_SQL}),")
 
     o["standardized"] = _m(

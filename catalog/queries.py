@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -156,8 +157,9 @@ def range_filter_dropna(spark, sf):
 
 _RANGES = [
     RangeFilter("photons", 5, 40, True), RangeFilter("nadph_t2", 2500, 6000, True),
-    RangeFilter("fad_a1p", 70, 10, True), RangeFilter("nadph_t1", 0, 1, False),
+    RangeFilter("fad_a1p", 10, 70, True), RangeFilter("nadph_t1", 0, 1, False),
 ]
+_LIMITED = [RangeFilter("photons", 1, 40, True, lowest=45, highest=8), RangeFilter("nadph_t2", 2500, 6000, True, False, lowest=2600)]
 
 
 @query
@@ -165,6 +167,17 @@ def filter_table(spark, sf):
     return rounded(filters.filter_table(measurements(spark, sf), _RANGES, {"treatment": ["Ctrl", "T30"]}))
 
 
+@query
+def filter_reversed(spark, sf):
+    """A range whose low end lies above its high end keeps no value, only missing ones."""
+    return rounded(filters.filter_table(measurements(spark, sf), [RangeFilter("photons", 70, 10, True, False)]))
+
+
+@query
+def filter_limited(spark, sf):
+    return rounded(filters.filter_table(measurements(spark, sf), _LIMITED))
+
+
 @query
 def filter_discarded(spark, sf):
     return rounded(filters.discarded(measurements(spark, sf), _RANGES, {"treatment": ["Ctrl", "T30"]}))
@@ -546,9 +559,21 @@ def ks_pvalue(spark, sf):
     return rounded(out)
 
 
+@query
+def ks_default(spark, sf):
+    return rounded(statistics.ks_test(measurements(spark, sf), "photons", "treatment", ["fov"]))
+
+
+@query
+def ks_many_labels(spark, sf):
+    """The 50 quantities as labels: 1225 pairs."""
+    lines = table(spark, sf, "lineitem").withColumn("l_quantity", q("l_quantity").cast("int").cast("string"))
+    return rounded(statistics.ks_test(lines, "l_extendedprice", "l_quantity"))
+
+
 @query
 def ks_exact(spark, sf):
-    return statistics.ks_test(measurements(spark, sf), "photons", "treatment", ["fov", "cell"], pvalue="auto")
+    return statistics.ks_test(measurements(spark, sf), "photons", "treatment", ["fov", "cell"], pvalue="exact")
 
 
 # learning
@@ -746,10 +771,11 @@ def stream_daily(spark, sf):
 
 
 def _checkpoint_folder(spark, name: str) -> str:
-    """A new folder in the shared checkpoint directory the session names."""
+    """A new folder in the shared checkpoint directory the session names; where it names none, in one of its own."""
     shared = checkpoint_folder(spark)
     if shared is None:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        shared = tempfile.mkdtemp(prefix="measureframe-")
+        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4()}"
 
 

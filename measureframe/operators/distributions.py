@@ -18,22 +18,6 @@ from measureframe.roles import as_list, drop_missing, inf_to_null, pick_features
 BINS = 100
 GRID = 200
 
-# Feature -> (low, high, bins) of the histogram defaults.
-FEATURE_BINS: dict[str, tuple[float, float, int]] = {
-    "trp t1": (0, 8000, 81), "trp t2": (0, 8000, 81), "trp tm": (0, 4000, 81),
-    "trp a1[%]": (0, 100, 21), "trp a2[%]": (0, 100, 21), "trp a1[%]/a2[%]": (0, 2, 81),
-    "trp E%1": (0, 100, 21), "trp E%2": (0, 100, 21), "trp E%3": (0, 100, 21),
-    "trp r1": (0, 100, 21), "trp r2": (0, 100, 21), "trp r3": (0, 100, 21),
-    "trp chi": (0, 4.7, 81), "trp photons": (0, 160, 81), "NAD(P)H t1": (0, 800, 81),
-    "NAD(P)H t2": (0, 400, 81), "NAD(P)H tm": (0, 2000, 81), "NAD(P)H photons": (0, 2000, 81),
-    "NAD(P)H a2[%]": (0, 100, 51), "NADPH %": (0, 99, 34), "NADH %": (0, 100, 51),
-    "NAD(P)H/NADH": (0, 3, 31), "NAD(P)H chi": (0.7, 4.7, 81), "FAD t1": (0, 4000, 81),
-    "FAD t2": (1000, 7000, 81), "FAD tm": (0, 4000, 81), "FAD a1[%]": (0, 100, 51),
-    "FAD a2[%]": (0, 100, 21), "FAD a1[%]/a2[%]": (0, 16, 81), "FAD chi": (0.7, 4.7, 81),
-    "FAD photons": (0, 800, 81), "FLIRR": (0, 2.4, 81), "NADPH a2/FAD a1": (0, 10, 101),
-}
-
-
 def _group_title(keys: Sequence[str]) -> Column:
     if not keys:
         return F.lit("all")
@@ -95,8 +79,8 @@ def histogram_long(
     step = (hi - lo) / F.lit(bins)
     if density:
         # Area 1 over the values inside the range.
-        inside = W.partitionBy(F.lit(0)) if stacked else group
-        share = F.try_divide(F.col("count").cast("double"), F.sum("count").over(inside) * step)
+        inside = grid.agg(F.sum("count")).scalar() if stacked else F.sum("count").over(group)
+        share = F.try_divide(F.col("count").cast("double"), inside * step)
     else:
         share = F.try_divide(F.col("count") * F.lit(100.0), F.col("_total"))
     grid = grid.select("*", share.alias("share"))
@@ -261,15 +245,10 @@ def violin_stats(
     }
 
 
-def swarm_points(
-    df: DataFrame, feature: str, grouping: str | Sequence[str] = (), limit: int = 1000
-) -> DataFrame:
-    """The points of a dot plot; a table above ``limit`` rows must be summarised first."""
+def swarm_points(df: DataFrame, feature: str, grouping: str | Sequence[str] = ()) -> DataFrame:
+    """The points of a dot plot, all of them."""
     keys = as_list(grouping)
-    points = drop_missing(df.select(*[q(k) for k in keys], q(feature)), [*keys, feature])
-    if len(points.take(limit + 1)) > limit:
-        raise ValueError(f"more than {limit} points: summarise the table first")
-    return points
+    return drop_missing(df.select(*[q(k) for k in keys], q(feature)), [*keys, feature])
 
 
 def line_ci(
@@ -326,56 +305,25 @@ def _bootstrap_means(data: DataFrame, keys: Sequence[str], replicates: int, seed
     key_names = list(keys)
 
     def weigh(batches):
-        rep = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-        def uniform(h: np.ndarray) -> np.ndarray:
-            z = h[:, None] + rep[None, :]
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-            return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-
-        def weights(u: np.ndarray, c: np.ndarray) -> np.ndarray:
-            # Poisson(c) by inversion; the means differ by row, so one sweep serves all rows.
-            lam = c.astype(np.float64)[:, None]
-            out = np.zeros_like(u)
-            small = c <= 50
-            if small.any():
-                us, ls = u[small], lam[small]
-                term = np.exp(-ls) * np.ones_like(us)
-                total, k = term.copy(), np.zeros_like(us)
-                for i in range(1, int(c[small].max()) * 4 + 30):
-                    above = us > total
-                    if not above.any():
-                        break
-                    k += above
-                    term = term * ls / i
-                    total = total + term
-                out[small] = k
-            if (~small).any():
-                ul, ll = u[~small], lam[~small]
-                # Normal quantile (logistic start, then Newton steps on the error function).
-                out[~small] = np.maximum(0.0, np.round(ll + np.sqrt(ll) * _normal_quantile(ul)))
-            return out
-
-        def _normal_quantile(p: np.ndarray) -> np.ndarray:
-            # Abramowitz & Stegun 26.2.23
-            t = np.sqrt(-2 * np.log(np.minimum(p, 1 - p)))
-            z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (
-                1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t**3
-            )
-            return np.where(p < 0.5, -z, z)
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows():
+            for label, (wy, w) in sums.items():
+                out = {k: [v] * replicates for k, v in zip(key_names, label)}
+                yield pd.DataFrame({**out, "_r": np.arange(replicates, dtype=np.int32), "_wy": wy, "_w": w})
 
         for pdf in batches:
-            for start in range(0, len(pdf), 2000):
-                chunk = pdf.iloc[start:start + 2000]
-                w = weights(uniform(chunk["_h"].to_numpy().astype(np.uint64)), chunk["_c"].to_numpy())
-                wy = w * chunk["_y"].to_numpy()[:, None]
-                for label, at in chunk.groupby(key_names, sort=False, dropna=False).indices.items():
-                    label = label if isinstance(label, tuple) else (label,)
-                    out = {k: [v] * replicates for k, v in zip(key_names, label)}
-                    out.update(_r=np.arange(replicates, dtype=np.int32), _wy=wy[at].sum(0), _w=w[at].sum(0))
-                    yield pd.DataFrame(out)
+            labels = list(zip(*[pdf[k] for k in key_names]))
+            for label, h, c, y in zip(labels, pdf["_h"].to_numpy().astype(np.uint64), pdf["_c"].to_numpy(), pdf["_y"].to_numpy()):
+                # The sum of c Poisson(1) weights, one generator for each value.
+                w = np.random.Generator(np.random.PCG64(int(h))).poisson(c, replicates)
+                own = sums.setdefault(label, np.zeros((2, replicates)))
+                own[0] += w * y
+                own[1] += w
+            if len(sums) > 1000:  # bounded memory, whatever the number of groups
+                yield from rows()
+                sums.clear()
+        yield from rows()
 
     drawn = counted.mapInPandas(weigh, schema)
     return drawn.groupBy(*cols, F.col("_r")).agg(

@@ -13,32 +13,35 @@ from measureframe.roles import categories, features, q
 
 @dataclass(frozen=True)
 class RangeFilter:
-    """Keep ``low <= x <= high``; ``dropna`` decides about missing values."""
+    """Keep ``low <= x <= high``; ``dropna`` decides about missing values.
+
+    A range whose low end lies above its high end holds no value.  Of the allowed limits,
+    which may be given in either order, the lower one raises ``low``; the upper one is only carried along.
+    """
 
     name: str
     low: float = 0.0
     high: float = 100.0
     selected: bool = False
     dropna: bool = True
+    lowest: float | None = None
+    highest: float | None = None
 
-    def clipped(self, lowest: float | None = None, highest: float | None = None) -> "RangeFilter":
-        """Range inside the allowed limits, with reversed bounds swapped."""
-        low, high = min(self.low, self.high), max(self.low, self.high)
-        if lowest is not None:
-            low = max(low, lowest)
-        if highest is not None:
-            high = min(high, highest)
-        return replace(self, low=low, high=high)
+    def bounds(self) -> tuple[float, float]:
+        """The range that holds, inside the allowed limits."""
+        both = self.lowest is not None and self.highest is not None
+        lowest = min(self.lowest, self.highest) if both else self.lowest
+        return (self.low if lowest is None else max(self.low, lowest)), self.high
 
     def keeps(self) -> Column:
         """Never-null condition, so that its negation is the complement."""
-        low, high = min(self.low, self.high), max(self.low, self.high)
+        low, high = self.bounds()
         inside = F.coalesce(q(self.name).between(low, high), F.lit(False))
         return inside if self.dropna else inside | q(self.name).isNull()
 
     def condition(self) -> Column:
         """Plain comparison of the column, which the scan can use."""
-        low, high = min(self.low, self.high), max(self.low, self.high)
+        low, high = self.bounds()
         inside = q(self.name).between(low, high)
         return inside if self.dropna else inside | q(self.name).isNull()
 
@@ -79,9 +82,13 @@ CONFIGURED_RANGES: dict[str, RangeFilter] = {
 }
 
 
-def default_ranges(df: DataFrame) -> list[RangeFilter]:
-    """The default range of every feature; 0..100, unselected, for unlisted ones."""
-    return [DEFAULT_RANGES.get(f, RangeFilter(f)) for f in features(df)]
+def default_ranges(df: DataFrame, configured: bool = False) -> list[RangeFilter]:
+    """The default range of every feature; 0..100, unselected, for unlisted ones.
+
+    ``configured`` takes the ranges of the default configuration.
+    """
+    known = CONFIGURED_RANGES if configured else DEFAULT_RANGES
+    return [known.get(f, RangeFilter(f)) for f in features(df)]
 
 
 def active_filters(

@@ -79,11 +79,27 @@ def concat_rows(tables: Mapping[str, DataFrame], source: str = "Source") -> Data
     ])
 
 
+def _keyed_once(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows, with an error for a key that comes again; grouping serves the join that follows."""
+    others = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*[q(k) for k in keys]).agg(
+        F.count(F.lit(1)).alias("_rows"), F.first(F.struct(*[q(c) for c in others], F.lit(0).alias("_none"))).alias("_row"))
+    failed = F.raise_error(F.concat(F.lit("a key is not unique: "), F.to_json(F.struct(*[q(k) for k in keys]))))
+    row = F.when(F.col("_rows") == 1, F.col("_row")).otherwise(failed)
+    return one.select(*[q(k) for k in keys], row.alias("_row")).select(*[
+        q(c) if c in keys else F.col("_row").getField(c).alias(c, metadata=df.schema[c].metadata) for c in df.columns
+    ])
+
+
 def zip_columns(
     tables: Sequence[DataFrame], on: str | Sequence[str], numbers_only: bool = True
 ) -> DataFrame:
-    """Tables side by side, aligned on a key that is unique in each of them."""
+    """Tables side by side, aligned on a key that is unique in each of them.
+
+    A key that occurs twice in a table is an error when the rows are made.
+    """
     keys = as_list(on)
+    tables = [_keyed_once(t, keys) for t in tables]
     out = tables[0]
     for other in tables[1:]:
         others = [
@@ -124,16 +140,14 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(q(column)).distinct()
 
 
-def split_table(df: DataFrame, by: str | Sequence[str], limit: int = 10_000) -> dict[tuple, DataFrame]:
-    """One lazy table per label combination.
+def split_table(df: DataFrame, by: str | Sequence[str]) -> dict[tuple, DataFrame]:
+    """One lazy table per label combination, each a filter of ``df``.
 
-    Only the distinct labels reach the driver; more than ``limit`` of them is an
-    error, and ``split_to`` (one directory per label) is the way to split further.
+    The distinct labels reach the driver, as they name the tables; ``split_to`` (one directory
+    per label, in one pass) is the way to split by many labels.
     """
     keys = as_list(by)
-    labels = df.select(*[q(k) for k in keys]).distinct().take(limit + 1)
-    if len(labels) > limit:
-        raise ValueError(f"more than {limit} label combinations; use split_to")
+    labels = df.select(*[q(k) for k in keys]).distinct().toLocalIterator()
     return {
         tuple(row): df.filter(
             reduce(lambda a, b: a & b, [q(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, row)])

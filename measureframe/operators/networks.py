@@ -7,6 +7,7 @@ the same pass over the rows; only weights and losses leave the tasks.
 
 from __future__ import annotations
 
+import math
 import re
 import sys
 from collections.abc import Mapping, Sequence
@@ -16,7 +17,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from measureframe.functions.scalar import from_db, to_db
 from measureframe.operators.learning import group_split, minmax_bounds, minmax_impute
@@ -376,21 +377,25 @@ def ae_augment(
         F.max(number).alias("top"), F.count_if(number.isNull()).alias("text"),
         *[F.avg(q(f) * q(f)).alias(f"p{i}") for i, f in enumerate(feats)],
     )).scalar()
-    copies = df.select(
-        *[q(c) for c in cats], *[q(f).cast("double").alias(f) for f in feats],
-        F.explode(F.sequence(F.lit(0), F.lit(sets - 1))).alias("_set"),
-    )
+    rows = df.select(*[q(c) for c in cats], *[q(f).cast("double").alias(f) for f in feats])
+    if add_noise:
+        # Rows that repeat are numbered from their count, so each gets noise of its own.
+        counted = rows.groupBy(*[q(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("_rows"))
+        rows = counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).drop("_rows")
+    copies = rows.withColumn("_set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
     renumbered = F.when(
         span["text"] == 0, (number + span["top"] * F.col("_set")).cast("string")
     ).otherwise(F.concat(q(last).cast("string"), F.lit("."), F.col("_set").cast("string")))
     changed = {last: as_category(renumbered, last)}
     if add_noise:
+        # Normal draws from a hash of the row, the copy and the feature: the same however the rows lie.
+        content = [q(c) for c in [*cats, *feats]]
         for i, f in enumerate(feats):
             sigma = F.sqrt(from_db(to_db(span[f"p{i}"]) - F.lit(float(snr_db))))
-            changed[f] = q(f) + F.randn(seed * 1000 + i) * sigma
+            changed[f] = q(f) + _normal_draw(F.xxhash64(*content, F.col("_nth"), F.col("_set"), F.lit(seed), F.lit(i))) * sigma
     copies = copies.select(*[
         changed[c].alias(c, metadata={"role": "category"}) if c == last else changed[c].alias(c) if c in changed else q(c)
-        for c in copies.columns if c != "_set"
+        for c in copies.columns if c not in ("_set", "_nth")
     ])
     head: list = []
     if models is not None:
@@ -418,6 +423,13 @@ def ae_augment(
     ])
 
 
+def _normal_draw(key: Column) -> Column:
+    """A standard normal number from a 64-bit hash, by its two uniform halves."""
+    unit = lambda bits: (bits + F.lit(0.5)) / F.lit(float(2**31))
+    low, high = key.bitwiseAND(F.lit(2**31 - 1)), F.shiftrightunsigned(key, 33)
+    return F.sqrt(F.lit(-2.0) * F.log(unit(low))) * F.cos(F.lit(2 * math.pi) * unit(high))
+
+
 def save_models(models: DataFrame, path: str, mode: str = "append") -> None:
     models.write.mode(mode).partitionBy("model_file").parquet(path)
 

@@ -9,23 +9,20 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from measureframe.operators.reshape import label_values
 from measureframe.plans.ordering import (
-    average_ranks, cut_points, running_totals, slice_count, slice_of, task_rows,
+    average_ranks, cut_points, join_on, running_totals, slice_count, slice_of, task_rows,
 )
 from measureframe.roles import as_category, as_list, drop_missing, q
 
 # c(alpha) of the critical distance.
 KS_COEFFICIENT = {0.10: 1.22, 0.05: 1.36, 0.025: 1.48, 0.01: 1.63, 0.005: 1.73, 0.001: 1.95}
 KS_TERMS = 100
-#: Largest sample with an exact p-value.
-KS_EXACT_ROWS = 10_000
 #: Longest rank table that is broadcast.
 _BROADCAST_ROWS = 100_000
-#: Most pair columns in one aggregate; beyond it pairs become rows.
-_WIDE_PAIRS = 128
+#: Distinct values whose shares are held at once, for all labels.
+_KS_VALUES = 4096
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pearson") -> DataFrame:
@@ -213,10 +210,11 @@ def kendall_tau(df: DataFrame, x: str, y: str, cuts: dict[str, list[float]] | No
     run = running_totals(
         sides, ["level", "prefix"], "x", ["zero"], F.col("_spot") if cuts.get(x) else None
     )
-    wide = "decimal(38,0)"
+    # Counts of rows; their products may exceed a long.
+    factor, wide = "decimal(18,0)", "decimal(38,0)"
     below_minus_above = 2 * F.col("zero_upto") - F.col("zero") - F.col("zero_total")
     score = run.agg(F.coalesce(
-        F.sum((F.col("one") * below_minus_above).cast(wide)), F.lit(0).cast(wide)
+        F.sum(F.col("one").cast(factor) * below_minus_above.cast(factor)).cast(wide), F.lit(0).cast(wide)
     ).cast("double")).scalar()
 
     # All further numbers come from the same counted cells, whose shuffle is reused.
@@ -237,75 +235,81 @@ def ks_test(
     comparison: str,
     grouping: str | Sequence[str] = (),
     alpha: float = 0.05,
-    pvalue: str = "auto",
+    pvalue: str = "asymptotic",
     values: Sequence[str] | None = None,
 ) -> DataFrame:
     """Two-sample test for every pair of ``comparison`` labels inside each group.
 
-    ``pvalue``: ``asymptotic`` (Kolmogorov series), ``exact`` (lattice paths), or
-    ``auto``: exact while both samples have at most 10 000 rows.
+    ``pvalue``: ``asymptotic`` (Kolmogorov series) or ``exact`` (lattice paths).
+
+    Values are counted per label first.  Each slice of the value axis then gets the counts below it,
+    forms the shares of all labels at its values, and gives the largest distance of each pair
+    that it sees, so pairs of labels never meet as rows before that maximum, and labels
+    stay off the driver.
     """
+    if pvalue not in ("asymptotic", "exact"):
+        raise ValueError("pvalue must be asymptotic or exact")
     keys = [k for k in as_list(grouping) if k != comparison]
-    by = [q(k) for k in keys]
+    names = [f"_k{i}" for i in range(len(keys))]
     data = drop_missing(
-        df.select(*by, q(comparison), q(feature).cast("double").alias("_x")), [*keys, comparison, "_x"]
-    )
-    labels = [(v,) for v in values] if values is not None else label_values(data, [comparison])
-    labels = [v for (v,) in labels]
-    pairs = list(combinations(range(len(labels)), 2))
-    # One row per distinct value, with the count of each label beside it.
-    counts = data.groupBy(*by, F.col("_x")).agg(*[
-        F.count_if(q(comparison) == F.lit(v)).alias(f"_n{i}") for i, v in enumerate(labels)
+        df.select(*[q(k) for k in keys], q(comparison), q(feature).cast("double").alias("_x")), [*keys, comparison, "_x"]
+    ).select(*[q(k).alias(n) for k, n in zip(keys, names)], q(comparison).alias("_label"), "_x")
+    if values is not None:
+        data = data.filter(F.col("_label").isin(list(values)))
+    sizes = data.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    cuts = cut_points(data, ["_x"], slice_count(df, sizes))["_x"] if sizes > task_rows(df) else []
+    counts = data.groupBy(*names, "_label", "_x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_slice", slice_of(F.col("_x"), cuts))
+    inside = counts.groupBy(*names, "_label", "_slice").agg(F.sum("_n").alias("_n"))
+    # One row per group, slice and label: every label has its share in every slice.
+    places = inside.select(*names, "_slice").distinct()
+    labels = inside.groupBy(*names, "_label").agg(F.sum("_n").alias("_total"))
+    grid = places.join(labels, names) if names else _beside(places, labels)
+    by_label = W.partitionBy(*names, "_label").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = join_on(grid, inside, [*names, "_label", "_slice"], "left").select(
+        *[F.col(n).alias(f"_g{n}") for n in names], F.col("_label").alias("_g_label"), F.col("_slice").alias("_g_slice"), "_total", F.coalesce(F.sum("_n").over(by_label), F.lit(0)).alias("_before"))
+    order = {v: i for i, v in enumerate(values)} if values is not None else None
+
+    def distances(counted: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        start = start.sort_values("_g_label", key=lambda c: c.map(order) if order else c)
+        found, total = list(start["_g_label"]), start["_total"].to_numpy(np.float64)
+        xs, at = np.unique(counted["_x"].to_numpy(), return_inverse=True)
+        where = pd.Index(found).get_indexer(counted["_label"])
+        n, base = counted["_n"].to_numpy(), start["_before"].to_numpy(np.float64)
+        best = np.zeros((len(found), len(found)))
+        for first in range(0, len(xs), _KS_VALUES):
+            own = (at >= first) & (at < first + _KS_VALUES)
+            upto = np.zeros((min(_KS_VALUES, len(xs) - first), len(found)))
+            np.add.at(upto, (at[own] - first, where[own]), n[own])
+            upto = np.cumsum(upto, axis=0) + base
+            base, share = upto[-1], upto / total
+            for i in range(len(found) - 1):
+                best[i, i + 1:] = np.maximum(best[i, i + 1:], np.abs(share[:, i + 1:] - share[:, i:i + 1]).max(axis=0))
+        i, j = np.triu_indices(len(found), 1)
+        out = {k: [start[f"_g{k}"].iloc[0]] * len(i) for k in names}
+        label = pd.Series(found, dtype=start["_g_label"].dtype)
+        return pd.DataFrame({**out, "_a": label.iloc[i].array, "_b": label.iloc[j].array, "_n1": total[i].astype(np.int64), "_n2": total[j].astype(np.int64), "_d": best[i, j]})
+
+    kinds = {f.name: f.dataType for f in data.schema}
+    schema = T.StructType([
+        *[T.StructField(n, kinds[n]) for n in names], T.StructField("_a", kinds["_label"]), T.StructField("_b", kinds["_label"]),
+        T.StructField("_n1", T.LongType()), T.StructField("_n2", T.LongType()), T.StructField("_d", T.DoubleType()),
     ])
-    sizes = data.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    cuts = cut_points(data, ["_x"], slice_count(df, sizes))["_x"] if sizes > task_rows(df) else None
-    run = running_totals(counts, keys, "_x", [f"_n{i}" for i in range(len(labels))], cuts)
-
-    def share(i: int) -> Column:
-        return F.try_divide(F.col(f"_n{i}_upto").cast("double"), F.col(f"_n{i}_total"))
-
-    def entry(i: int, j: int, distance: Column, n1: Column, n2: Column) -> Column:
-        return F.struct(
-            F.lit(labels[i]).cast("string").alias("_a"), F.lit(labels[j]).cast("string").alias("_b"),
-            n1.alias("_n1"), n2.alias("_n2"), distance.alias("_d"),
-        )
-
-    if not pairs:
-        raise ValueError(f"{comparison} has fewer than two labels")
-    if len(pairs) <= _WIDE_PAIRS:
-        best = run.groupBy(*by).agg(
-            *[F.max(F.abs(share(i) - share(j))).alias(f"_d{k}") for k, (i, j) in enumerate(pairs)],
-            *[F.max(f"_n{i}_total").alias(f"_t{i}") for i in range(len(labels))],
-        )
-        found = best.select(*by, F.inline(F.array(*[
-            entry(i, j, F.col(f"_d{k}"), F.col(f"_t{i}"), F.col(f"_t{j}")) for k, (i, j) in enumerate(pairs)
-        ])))
-    else:
-        # Many labels: a row per label pair, reduced before the shuffle.
-        rows = run.select(*by, F.inline(F.array(*[
-            entry(i, j, F.abs(share(i) - share(j)), F.col(f"_n{i}_total"), F.col(f"_n{j}_total"))
-            for i, j in pairs
-        ])))
-        found = rows.groupBy(*by, F.col("_a"), F.col("_b")).agg(
-            F.max("_n1").alias("_n1"), F.max("_n2").alias("_n2"), F.max("_d").alias("_d")
-        )
-    found = found.filter((F.col("_n1") > 0) & (F.col("_n2") > 0))
+    by = [*names, "_slice"]
+    best = counts.groupBy(*by).cogroup(before.groupBy(*[f"_g{n}" for n in by])).applyInPandas(distances, schema)
+    found = best.groupBy(*names, "_a", "_b").agg(F.max("_n1").alias("_n1"), F.max("_n2").alias("_n2"), F.max("_d").alias("_d"))
+    found = found.select(*[q(n).alias(k) for n, k in zip(names, keys)], F.col("_a").cast("string").alias("_a"), F.col("_b").cast("string").alias("_b"), "_n1", "_n2", "_d")
     return _ks_columns(found, keys, comparison, alpha, pvalue)
 
 
+def _beside(places: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every slice with every label, where there is a single group."""
+    return places.withColumn("_one", F.lit(1)).join(labels.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def _ks_columns(found: DataFrame, keys: Sequence[str], comparison: str, alpha: float, pvalue: str) -> DataFrame:
     n1, n2, d = F.col("_n1").cast("double"), F.col("_n2").cast("double"), F.col("_d")
-    asymptotic = kolmogorov_tail(d * F.sqrt(n1 * n2 / (n1 + n2)))
-    if pvalue == "asymptotic":
-        p = asymptotic
-    else:
-        limit = KS_EXACT_ROWS if pvalue == "auto" else 2**31
-        small = F.greatest(n1, n2) <= limit
-        found = found.withColumn(
-            "_exact", exact_tail()(F.when(small, d), F.when(small, n1), F.when(small, n2))
-        )
-        p = F.when(small, F.col("_exact")).otherwise(asymptotic)
-    found = found.withColumn("_p", p)
+    exact = pvalue == "exact"
+    found = found.withColumn("_p", exact_tail()(d, n1, n2) if exact else kolmogorov_tail(d * F.sqrt(n1 * n2 / (n1 + n2))))
     critical = F.lit(KS_COEFFICIENT[alpha]) * F.sqrt((n1 + n2) / (n1 * n2))
     apart = (d > critical) & (F.col("_p") < alpha)
     head = [as_category(q(k), k) for k in keys] or [as_category(F.lit("none"), "Grouping")]

@@ -235,15 +235,19 @@ def group_transform(
 ) -> DataFrame:
     """A group aggregate on every row of its group.
 
-    Aggregate and join back instead of a window: a big group is never gathered.
+    Aggregate and join back instead of a window: a big group is never gathered.  Without
+    grouping all rows are one group; rows with a missing key are in none and get a missing value.
     """
     keys, feats = as_list(grouping), as_list(features)
+    if not keys:
+        one = group_transform(df.withColumn("_all", F.lit(1)), ["_all"], feats, agg, name)
+        return one.drop("_all")
     at = {f: name.format(agg=agg, feature=f) for f in feats}
     if agg in _QUANTILES:
         stats = group_quantiles(df, keys, feats, [_QUANTILES[agg]], lambda f, p: at[f])
     else:
         stats = df.groupBy(*[q(k) for k in keys]).agg(*[_simple(agg, f).alias(n) for f, n in at.items()])
-    return join_on(df, stats, keys, "left")
+    return join_on(df, drop_missing(stats, keys), keys, "left")
 
 
 def right_closed(

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
 
 def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The shared folder named by ``spark.checkpoint.dir``; a new one in local runs only."""
+    """The shared folder that ``spark.checkpoint.dir`` names, if any."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None and sc.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="measureframe-")
     if named is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named

@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from measureframe.roles import as_list, q, with_columns
 
-#: Fewest and most slices of the value axis; powers of two.
-SLICES = (16, 4096)
+#: Fewest slices of the value axis, a power of two; more rows make more slices.
+SLICES = 16
 #: Rows of one group that a single task may sort.
 TASK_ROWS = 1_000_000
 
@@ -33,7 +33,7 @@ def task_rows(df: DataFrame) -> int:
 def slice_count(df: DataFrame, rows: int) -> int:
     """A power of two that leaves about a quarter of the row limit to a slice."""
     wanted = max(1, 4 * rows // task_rows(df))
-    return min(SLICES[1], max(SLICES[0], 1 << (wanted - 1).bit_length()))
+    return max(SLICES, 1 << (wanted - 1).bit_length())
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -59,7 +59,7 @@ def join_on(
     return left.join(other, match, how).drop(*renamed)
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], slices: int = SLICES[0]) -> dict[str, list[float]]:
+def cut_points(df: DataFrame, columns: Sequence[str], slices: int = SLICES) -> dict[str, list[float]]:
     """``slices - 1`` approximate quantiles per column, all in one aggregate (one row back)."""
     shares = [i / slices for i in range(1, slices)]
     row = df.agg(*[

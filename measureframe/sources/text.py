@@ -33,6 +33,9 @@ MISSING_TEXT = (
 )
 
 
+_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
+
+
 @dataclass(frozen=True)
 class ImportSpec:
     """What to read and what to do with it."""
@@ -132,7 +135,11 @@ def _cells(spark: SparkSession, header: str, paths: list[str], delimiter: str) -
         return rows.select(*[q(n) for n in names], F.col("_metadata.file_path").alias(_PATH))
     pattern = _split_regex(delimiter)
     names = _clean_header(re.split(pattern, header))
-    rows = _lines(spark, paths).filter((F.col("value") != header) & (F.trim("value") != ""))
+    # Spark's CSV reader drops the first line of each file, wherever the splits lie; a separator
+    # that no line has leaves the lines whole.
+    whole = {"header": True, "sep": "\u0001", "quote": ""}
+    rows = spark.read.schema("value string").options(**whole).csv(_literal(paths)).select(
+        "value", F.col("_metadata.file_path").alias(_PATH)).filter(F.trim("value") != "")
     parts = rows.select(F.split("value", pattern, -1).alias("_parts"), _PATH)
     return parts.select(*[F.get("_parts", F.lit(i)).alias(n) for i, n in enumerate(names)], _PATH)
 
@@ -158,12 +165,18 @@ def _present(col: Column) -> Column:
     return F.when(~F.trim(col).isin(*MISSING_TEXT), col)
 
 
+def _number(cell: Column, kind: str = "double") -> Column:
+    """The cell as a number; missing for text, also where a cast would see one (``1d``, ``2F``)."""
+    text = F.trim(cell)
+    return F.when(text.rlike(_NUMBER), text.try_cast(kind))
+
+
 def _numeric_columns(df: DataFrame, candidates: list[str]) -> set[str]:
     """Candidates without any cell that is neither missing nor a number (one pass, one row)."""
     if not candidates:
         return set()
     bad = df.agg(*[
-        F.count_if(_present(q(c)).isNotNull() & F.trim(q(c)).try_cast("double").isNull()).alias(f"_{i}")
+        F.count_if(_present(q(c)).isNotNull() & _number(q(c)).isNull()).alias(f"_{i}")
         for i, c in enumerate(candidates)
     ]).first()
     return {c for i, c in enumerate(candidates) if bad[i] == 0}
@@ -180,7 +193,8 @@ def _typed(df: DataFrame, labels: set[str], types: Mapping[str, str] | None) ->
             continue
         cell = _present(q(c))
         kind = types.get(c, "string") if c not in labels else "string"
-        made.append((cell if kind == "string" else F.trim(cell).try_cast(kind)).alias(c))
+        numeric = kind in ("double", "float", "int", "bigint", "long", "smallint", "tinyint")
+        made.append((cell if kind == "string" else _number(cell, kind) if numeric else F.trim(cell).try_cast(kind)).alias(c))
     return df.select(*made)
 
 

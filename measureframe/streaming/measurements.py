@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from measureframe.operators.filters import RangeFilter, filter_table
 from measureframe.operators.summary import categorize
-from measureframe.roles import q
-from measureframe.sources.text import _PATH, ImportSpec, transform_measurements
+from measureframe.sources.text import (
+    _PATH, ImportSpec, _split_regex, _typed, reserved_labels, transform_measurements,
+)
 
 
 def stream_measurements(
@@ -23,22 +24,31 @@ def stream_measurements(
 ) -> DataFrame:
     """New files, parsed, renamed, derived, filtered and categorised as in batch.
 
-    ``columns`` (header name to type) fixes the schema; the query's checkpoint
-    remembers which files were read.
+    ``columns`` (header name to type) are the columns that every file has to have, in any order and
+    among others; a file without one of them is an error, as nothing may be guessed.
+    A file is one row until its lines are taken apart, so its own header names its cells.
+    The query's checkpoint remembers which files were read.
     """
-    schema = ", ".join("`" + n.replace("`", "``") + f"` {t}" for n, t in columns.items())
     reader = (
-        spark.readStream.schema(schema)
-        .options(header=True, sep=spec.delimiter, recursiveFileLookup=True)
+        spark.readStream.option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*{" + ",".join(spec.extensions) + "}")
     )
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    raw = reader.csv(path).select(
-        *[q(c) for c in columns], F.col("_metadata.file_path").alias(_PATH), F.col("_metadata.file_name").alias("_name")
-    )
+    pattern = _split_regex(spec.delimiter)
+    clean = lambda c: F.regexp_replace(c, '^["\r]+|["\r]+$', "")
+    files = reader.text(path, wholetext=True).select(
+        F.split("value", "\r\n|\n|\r").alias("_lines"), F.col("_metadata.file_path").alias(_PATH), F.col("_metadata.file_name").alias("_name")
+    ).withColumn("_names", F.transform(F.split(F.get("_lines", F.lit(0)), pattern, -1), clean))
     if spec.exclude:
-        raw = raw.filter(~F.col("_name").isin(list(spec.exclude)))
-    table = transform_measurements(raw.drop("_name"), spec)
+        files = files.filter(~F.col("_name").isin(list(spec.exclude)))
+    absent = F.array_except(F.lit(list(columns)), F.col("_names"))
+    unknown = F.raise_error(F.concat(F.lit("columns missing in "), F.col(_PATH), F.lit(": "), F.array_join(absent, ", ")))
+    lines = F.when(F.size(absent) == 0, F.expr("slice(_lines, 2, greatest(size(_lines) - 1, 0))")).otherwise(unknown.cast("array<string>"))
+    rows = files.select("_names", _PATH, F.explode(lines).alias("_line")).filter(F.trim("_line") != "")
+    parts = rows.withColumn("_parts", F.transform(F.split("_line", pattern, -1), clean))
+    raw = parts.select(
+        *[F.get("_parts", F.array_position("_names", c).cast("int") - 1).alias(c) for c in columns], _PATH)
+    table = transform_measurements(_typed(raw, reserved_labels(spec), columns), spec)
     table = filter_table(table, ranges)
     return categorize(table, **categorize_by) if categorize_by else table

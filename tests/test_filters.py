@@ -10,9 +10,13 @@ def test_range_is_inclusive_and_missing_optional(missing):
     assert filters.range_filter(df, "unknown", 1, 4).count() == 5
 
 
-def test_clip_and_swap():
-    f = RangeFilter("x", 90, 10).clipped(20, 80)
-    assert (f.low, f.high) == (20, 80)
+def test_reversed_range_is_empty_and_limits_may_be_in_either_order(missing):
+    df = nan_to_null(missing)
+    assert filters.range_filter(df, "x", 4, 1).count() == 0
+    assert filters.range_filter(df, "x", 4, 1, dropna=False).count() == 1
+    assert RangeFilter("x", 1, 9, lowest=80, highest=2).bounds() == (2, 9)
+    assert RangeFilter("x", 1, 9, lowest=3).bounds() == (3, 9) and RangeFilter("x", 1, 9, highest=5).bounds() == (1, 9)
+    assert filters.filter_table(df, [RangeFilter("x", 0, 9, True, lowest=2)]).count() == 3
 
 
 def test_discarded_is_the_complement(m):
@@ -43,6 +47,7 @@ def test_defaults_apply_only_on_request(spark):
     assert len(filters.DEFAULT_RANGES) == 38
     assert sum(f.selected for f in filters.DEFAULT_RANGES.values()) == 10
     assert sum(f.selected for f in filters.CONFIGURED_RANGES.values()) == 3
+    assert filters.default_ranges(df, configured=True)[0].high == 1000
 
 
 def test_series_filter(spark):

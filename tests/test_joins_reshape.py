@@ -39,11 +39,18 @@ def test_concat_and_zip(sides, spark):
     assert joins.zip_columns([a, b], "k", numbers_only=False).columns == ["k", "v", "v_1", "s"]
 
 
+def test_zip_refuses_a_key_that_comes_twice(spark):
+    one = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0)], "k int, v double")
+    two = spark.createDataFrame([(1, 5.0)], "k int, w double")
+    for tables in ([one, two], [two, one]):
+        with pytest.raises(Exception, match="not unique"):
+            joins.zip_columns(tables, "k").collect()
+
+
 def test_split_is_disjoint_and_complete(m, tmp_path, spark):
     parts = joins.split_table(m, ["fov", "treatment"])
     assert sum(p.count() for p in parts.values()) == m.count()
-    with pytest.raises(ValueError):
-        joins.split_table(m, "row_key", limit=5)
+    assert len(joins.split_table(m.limit(50), "row_key")) == m.limit(50).select("row_key").distinct().count()
     joins.split_to(m, "fov", str(tmp_path / "split"))
     back = spark.read.parquet(str(tmp_path / "split"))
     assert back.count() == m.count()

@@ -6,6 +6,7 @@ from measureframe.operators.filters import RangeFilter
 from measureframe.plans import jobs
 from measureframe.roles import categories
 from measureframe.sources import sink, text
+from measureframe.roles import q
 from measureframe.sources.paths import parse_path, path_patterns
 from measureframe.sources.text import ImportSpec
 from measureframe.streaming.measurements import stream_measurements
@@ -121,6 +122,44 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     assert set(batch.columns) | {"kind"} == set(stream.columns)
 
 
+def test_stream_rows_equal_batch_rows(spark, tmp_path):
+    """Two headers in different order, two delimiters, texts for missing values, and labels that look like numbers."""
+    base = tmp_path / "in"
+    base.mkdir()
+    (base / "Results-a-ctrl-1.txt").write_text("x;y\tg;n\n10;20\tu;1d\nNA;1e3\tNA;2F\n\nx;y\tg;n\n")
+    (base / "Results-b-dox-2.txt").write_text("y\tx;n\tg\n7\t-.5;3\tw\n")
+    spec = ImportSpec(delimiter="\t;", parser="fov_treatment_cell", types={"x": "double", "y": "double", "g": "string", "n": "string"}, derived=())
+    batch = text.read_measurements(spark, str(base), spec)
+    stream = stream_measurements(spark, str(base), spec.types, spec)
+    run = (
+        stream.writeStream.format("memory").queryName("rows").trigger(availableNow=True)
+        .option("checkpointLocation", str(tmp_path / "cp")).start()
+    )
+    run.awaitTermination()
+    names = sorted(batch.columns)
+    assert sorted(stream.columns) == names
+    rows = [sorted(map(tuple, df.select(*[q(c) for c in names]).collect()), key=repr) for df in (batch, spark.table("rows"))]
+    assert rows[0] == rows[1] and len(rows[0]) == 4
+    # A line that equals the header inside a file is a row like any other.
+    assert sum(r["x"] is None and r["g"] == "g" for r in batch.collect()) == 1
+
+
+def test_stream_refuses_a_file_without_a_declared_column(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x\ty\n1\t2\n")
+    stream = stream_measurements(spark, str(tmp_path / "in"), {"x": "double", "z": "double"}, ImportSpec(derived=()))
+    run = stream.writeStream.format("memory").queryName("refused").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    with pytest.raises(Exception, match="columns missing"):
+        run.awaitTermination()
+
+
+def test_only_plain_numbers_are_numbers(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\ty\tz\n1d\t1e5\t 2.5 \n2F\t-.5\tInf\n")
+    df = text.read_measurements(spark, str(tmp_path), ImportSpec(derived=()))
+    assert [dict(df.dtypes)[c] for c in "xyz"] == ["string", "double", "double"]
+    assert [r["x"] for r in df.collect()] == ["1d", "2F"]
+
+
 def test_job(spark, folder, tmp_path):
     spec = {
         "import": {"parser": "fov_treatment_cell", "exclude": ["skip.txt"]},

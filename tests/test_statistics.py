@@ -87,20 +87,21 @@ def test_ks_distance(m, spark, small):
 
 def test_ks_extremes_and_labels(spark):
     rows = [("a", float(i)) for i in range(5)] + [("b", float(i)) for i in range(5)] + [("c", 10.0 + i) for i in range(5)]
-    out = {r["g 1 & 2"]: r for r in s.ks_test(spark.createDataFrame(rows, "g string, x double"), "x", "g").collect()}
+    out = {r["g 1 & 2"]: r for r in s.ks_test(spark.createDataFrame(rows, "g string, x double"), "x", "g", pvalue="exact").collect()}
     assert out["a-b"]["statistic"] == 0.0 and out["a-b"]["p-values"] == 1.0
     assert out["a-c"]["statistic"] == 1.0 and out["a-c"]["Grouping"] == "none"
     assert out["a-c"]["p-values"] == pytest.approx(2 / math.comb(10, 5))
     assert out["a-c"]["dissimilar (<0.05)"] == "Yes" and out["a-b"]["dissimilar (<0.05)"] == "No"
     single = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "g string, x double")
-    assert s.ks_test(single, "x", "g").first()["p-values"] == 1.0
+    assert s.ks_test(single, "x", "g", pvalue="exact").first()["p-values"] == 1.0
+    assert s.ks_test(single.filter("g = 'a'"), "x", "g").count() == 0
     with pytest.raises(ValueError):
-        s.ks_test(single.filter("g = 'a'"), "x", "g")
+        s.ks_test(single, "x", "g", pvalue="auto")
 
 
 def test_exact_p_by_enumeration(spark):
     rows = [("a", v) for v in (1.0, 3.0, 5.0, 7.0)] + [("b", v) for v in (2.0, 8.0, 9.0)]
-    row = s.ks_test(spark.createDataFrame(rows, "g string, x double"), "x", "g").first()
+    row = s.ks_test(spark.createDataFrame(rows, "g string, x double"), "x", "g", pvalue="exact").first()
     hits = total = 0
     for chosen in itertools.combinations(range(7), 4):
         a = np.array(chosen, float)
@@ -110,10 +111,27 @@ def test_exact_p_by_enumeration(spark):
     assert row["p-values"] == pytest.approx(hits / total)
 
 
-def test_many_labels_give_the_same_rows(m, monkeypatch):
-    wide = s.ks_test(m, "photons", "treatment", "fov", pvalue="asymptotic").toPandas()
-    monkeypatch.setattr(s, "_WIDE_PAIRS", 1)
-    tall = s.ks_test(m, "photons", "treatment", "fov", pvalue="asymptotic").toPandas()
-    order = ["fov", "treatment 1", "treatment 2"]
-    pd.testing.assert_frame_equal(
-        wide.sort_values(order).reset_index(drop=True), tall.sort_values(order).reset_index(drop=True))
+@pytest.mark.parametrize("sliced_rows", ["10", "1000000"])
+def test_many_labels_in_slices_and_pieces(spark, monkeypatch, sliced_rows):
+    """30 labels, some of them missing in a group, against direct distances."""
+    monkeypatch.setattr(s, "_KS_VALUES", 7)
+    spark.conf.set("spark.measureframe.taskRows", sliced_rows)
+    rng = np.random.default_rng(3)
+    rows = [(str(int(g)), int(k), float(x)) for g, k, x in zip(rng.integers(0, 2, 900), rng.integers(0, 30, 900), rng.integers(0, 60, 900)) if g or k > 3]
+    try:
+        out = s.ks_test(spark.createDataFrame(rows, "g string, k int, x double"), "x", "k", "g").collect()
+        some = s.ks_test(spark.createDataFrame(rows, "g string, k int, x double"), "x", "k", "g", values=[9, 5, 2]).collect()
+    finally:
+        spark.conf.unset("spark.measureframe.taskRows")
+    values = {}
+    for g, k, x in rows:
+        values.setdefault((g, k), []).append(x)
+    pairs = {(g, a, b) for g, a in values for h, b in values if g == h and a < b}
+    assert len(out) == len(pairs)
+    for r in out:
+        a, b = int(r["k 1"]), int(r["k 2"])
+        assert (r["g"], a, b) in pairs
+        assert r["statistic"] == pytest.approx(ks_d(np.array(values[r["g"], a]), np.array(values[r["g"], b])))
+    assert sorted((r["g"], r["k 1"], r["k 2"]) for r in some) == [("0", "9", "5"), ("1", "5", "2"), ("1", "9", "2"), ("1", "9", "5")]
+
+

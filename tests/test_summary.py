@@ -98,6 +98,12 @@ def test_group_transform(m):
     assert out.select("fov", "mean photons").distinct().count() == 3
 
 
+def test_group_transform_without_grouping_and_with_a_missing_key(missing):
+    df = nan_to_null(missing)
+    assert {r["mean x"] for r in summary.group_transform(df, [], "x").collect()} == {3.5}
+    assert [(r["g"], r["max x"]) for r in summary.group_transform(df, "g", "x", "max").collect() if r["g"] is None] == [(None, None)]
+
+
 def test_change_labels(spark):
     rows = [("1", "c", 10.0), ("1", "t", 15.0), ("2", "c", 10.0), ("2", "t", 8.0), ("3", "t", 1.0)]
     df = spark.createDataFrame(rows, "g string, s string, v double")
