@@ -19,7 +19,7 @@ ORDER = 5
 BITS, BORDER = 9, 256
 SYMBOL = (1 << BITS) - 1
 #: Bytes of text that one block holds, as an average, and that are turned into grams at once.
-BLOCK_BYTES, CHUNK = 16 << 20, 1 << 20
+BLOCK_BYTES, CHUNK = 24 << 20, 1 << 20
 #: The last symbols of a context by which grams are dealt out; shorter contexts are few enough to send along.
 SHORT = 2
 
@@ -230,7 +230,7 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
     # The end is a word of its own, once in every training text.
     tokens, distinct = sums.tokens + size.ends, sums.words + (size.ends > 0)
     floor = float(np.log10(tokens + 0.5 * (distinct + 1)))
-    answered_words = words.select("block", "word").join(known, "word").select("block", F.lit(-1).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value"))
+    answered_words = words.select("block", "word").join(known, "word").select("block", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("values"), "word", "c")
 
     asked = counted.filter("gram is not null")
     low = asked.groupBy(F.col("gram").bitwiseAND((1 << BITS * SHORT) - 1).alias("gram")).agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
@@ -242,19 +242,26 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
         gram, n = group["gram"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
         distinct, where = np.unique(gram, return_inverse=True)
         values = Trie(gram, n, order, SHORT, sent.value).log10(distinct)
-        return pd.DataFrame({"block": group["block"], "gram": gram, "word": None, "value": values[where]})
+        # One row for each block: its grams in this part, in order, and their values.
+        block = group["block"].to_numpy()
+        at = np.lexsort((gram, block))
+        cuts = np.flatnonzero(np.diff(block[at])) + 1
+        own = np.split(at, cuts)
+        return pd.DataFrame({
+            "block": np.array([block[i[0]] for i in own], np.int32), "grams": [gram[i].tobytes() for i in own],
+            "values": [values[where[i]].tobytes() for i in own], "word": None, "c": pd.array([None] * len(own), "Int64")})
 
     parts = max(64, 4 * blocks)
-    answered_grams = asked.withColumn("part", shard_of(parts, tail)).groupBy("part").applyInPandas(answer, "block int, gram bigint, word binary, value double")
+    answered_grams = asked.withColumn("part", shard_of(parts, tail)).groupBy("part").applyInPandas(answer, "block int, grams binary, values binary, word binary, c bigint")
     answers = answered_grams.union(answered_words)
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        gram, value = right["gram"].to_numpy(), right["value"].to_numpy()
-        is_gram = gram >= 0
-        gram = gram[is_gram]
+        packed = right["word"].isna().to_numpy()
+        gram = np.frombuffer(b"".join(right["grams"][packed]), np.int64)
+        share = np.frombuffer(b"".join(right["values"][packed]), np.float64)
         order_ = np.argsort(gram)
-        gram, share = gram[order_], value[is_gram][order_]
-        counts = dict(zip(right["word"].to_numpy()[~is_gram], value[~is_gram].astype(np.int64)))
+        gram, share = gram[order_], share[order_]
+        counts = dict(zip(right["word"][~packed], right["c"][~packed].astype(np.int64)))
         out = []
         for trains, text in zip(left["trains"], left["text"]):
             body = lowered(text)
