@@ -81,6 +81,23 @@ _PATTERNS = {
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
 }
 _COMPILED = {k: re.compile(p) for k, p in _PATTERNS.items()}
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {c: int(w[:2]) for w in (
+    "15NO 16BE 18DKFIFKFOGLNLSD 19MKSI 20ATBAEEKZLTLUMNXK 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQOMSOTL 24ADCZESMDPKROSASESKTNVG "
+    "25AOCVGWLYMZPTST 26DZIRISTR 27BICFCGCMDJFRGAGFGPGQGRITKMMCMGMQMRNCPFPMRESMTDTFWFYTBLMF 28ALAZBFBJBYCICYDOGTHNHULBMAMLNENIPLSNSVTG "
+    "29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU").split() for c in re.findall("[A-Z]{2}", w[2:])}
+_IBANS = {n: re.compile(rf"(?<![0-9A-Za-z])[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{(n - 4) // 4}}}" + (f" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") + "(?![0-9A-Za-z])")
+          for n in set(_IBAN_LENGTHS.values())}
+#: Country codes of two digits; 7 has one, all others three.
+_TWO_DIGITS = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Digits of a full number behind the country code; where it is not known, a number may have any length.
+_FULL = {c: int(n) for n, w in (part.split(":") for part in (
+    "7:354 423 960,8:45 47 53 65 216 226 227 230 266 267 356 357 370 371 372 373 374 382 383 386 387 389 852 853 961 965 968 973 974 975 976 993,"
+    "9:27 31 32 33 34 36 40 41 46 48 51 56 61 66 93 94 212 213 218 221 233 237 243 244 249 250 251 254 255 256 258 260 261 263 264 265 351 352 353 355 358 359 "
+    "375 377 380 381 385 420 421 855 886 962 963 966 967 970 971 972 992 994 995 996 998,"
+    "10:7 20 30 39 43 44 49 52 57 58 60 63 64 81 82 84 90 91 92 95 98 225 229 234 378 880 964 977,11:54 55 62 86").split(",")) for c in w.split()}
+#: What begins a number of another kind, or a time, by its shape alone, as a pseudonym keeps that.
+_BEGINS = re.compile("|".join([*(_PATTERNS[k] for k in ("date", "ip", "ssn", "card")), "[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])", "[0-9]{1,2}:[0-9]{2}"]))
 _NUMBERS = tuple(k for k in _PATTERNS if k != "email")
 #: Where data may be: every mail sign, every first digit of a run.
 _HINT = re.compile("@|(?<![0-9])[0-9]")
@@ -93,7 +110,7 @@ class Pseudonyms:
     """Replaces validated personal data; equal values get equal pseudonyms under one key, in any text.
 
     Cards (Luhn) keep their first digit and length and get the right check digit; phone numbers keep
-    the country's part; IBANs (checksum) keep the country and get the right checksum; social security
+    the country's part; IBANs (checksum, the country's length) keep the country and get the right checksum; social security
     numbers stay valid; IPv4 addresses and dates of the years 1000 to 9999 stay valid, and one day
     has one pseudonym in all three formats; the local part of a mail address keeps the class of each of its
     characters, and its domain.  What fails its validation is left as it is.
@@ -122,7 +139,8 @@ class Pseudonyms:
     def phone(self, s: str, back: bool) -> str | None:
         digits = re.sub("[^0-9]", "", s)
         if s.startswith("+") and not s.startswith("+1"):
-            return _refill(s, digits[:2] + self._digits(f"phone{digits[:2]}/", digits[2:], back))
+            country = _country(digits)
+            return _refill(s, country + self._digits(f"phone{country}/", digits[len(country) :], back))
         head, ten = digits[:-10], digits[-10:]
         value = ((int(ten[:3]) - 200) * 800 + int(ten[3:6]) - 200) * 10_000 + int(ten[6:])
         value = self.permute("phone", 800 * 800 * 10_000, value, back)
@@ -198,16 +216,61 @@ class Pseudonyms:
         out, done = [], 0
         for hint in _HINT.finditer(text or ""):
             for start, kinds in _starts(text, hint.start()):
-                hit = next(((k, m, new) for k in kinds if start >= done and (m := _COMPILED[k].match(text, start)) and (new := getattr(self, k)(m.group(), back)) is not None), None)
+                hit = next(((k, end, new) for k in kinds if start >= done and (end := _end(k, text, start)) and (new := getattr(self, k)(text[start:end], back)) is not None), None)
                 if hit:
-                    kind, m, new = hit
-                    out += [text[done : m.start()], new]
-                    done = m.end()
+                    kind, end, new = hit
+                    out += [text[done:start], new]
+                    done = end
                     found[kind] += 1
                     break
         return ("".join([*out, text[done:]]) if out else text), found
 
 
+def _country(digits: str) -> str:
+    return digits[: 1 if digits[0] == "7" else 2 if digits[:2] in _TWO_DIGITS else 3]
+
+
+def _end(kind: str, text: str, start: int) -> int | None:
+    """Where data of a kind that begins at ``start`` ends.
+
+    That rests on the shape and on what a pseudonym keeps, so it is found again in the new text.
+    An IBAN has its country's length, whatever word follows; of a country without one it is the whole run.
+    """
+    pattern = _COMPILED[kind]
+    if kind == "iban":
+        pattern = _IBANS.get(_IBAN_LENGTHS.get(text[start : start + 2]), pattern)
+    m = pattern.match(text, start)
+    if not m:
+        return None
+    return start + _phone_length(m.group(), text, start) if kind == "phone" and text[start] == "+" and text[start + 1] != "1" else m.end()
+
+
+def _phone_length(s: str, text: str, start: int) -> int:
+    """The characters of an international number among digits that go on behind it.
+
+    It ends at the first space behind a full number, behind a group of six digits or more that an area code
+    goes before, or before a date, a time or data of another kind.
+    """
+    country = _country(re.sub("[^0-9]", "", s))
+    count, before = -len(country), 0
+    for i, c in enumerate(s):
+        if c.isdigit():
+            count += 1
+            continue
+        if c == " " and count >= 6 and (count >= _FULL.get(country, 99) or (before > 0 and count - before >= 6) or _begins(text, start + i + 1, count)):
+            return i
+        if s[i : i + 3 : 2] == "()":  # one digit in brackets is a trunk prefix
+            count -= 1
+        before = count
+    return len(s)
+
+
+def _begins(text: str, at: int, count: int) -> bool:
+    """Whether other data begins here.  Four groups may also be the number's last one and three of a card's."""
+    m = _BEGINS.match(text, at)
+    return bool(m) and (count >= 8 or m.group().count(" ") < 3 or not _COMPILED["card"].match(text, at + 5))
+
+
 def _starts(text: str, at: int) -> list[tuple[int, tuple[str, ...]]]:
     """Where data with this mail sign or first digit may begin, the longest first, and of what kinds."""
     if text[at] == "@":

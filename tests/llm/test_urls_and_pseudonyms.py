@@ -111,3 +111,43 @@ def test_pseudonymise(spark):
     back = pseudonymise(pseudonymise(df, b"key").selectExpr("row.doc_id", "new_text AS text"), b"key", back=True)
     assert sorted(((r.row.doc_id, r.new_text) for r in back.collect()), key=repr) == sorted(((i, t) for i, t, _ in rows), key=repr)
     assert pseudonymise(df.limit(0), b"key").count() == 0
+
+
+#: Valid data of each kind; IBANs of lengths that are multiples of four and others.
+VALUES = {
+    "iban": ["AT611904300234573201", "AT61 1904 3002 3457 3201", "BE68539007547034", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "SE45 5000 0000 0583 9825 7466",
+             "PL61 1090 1014 0000 0712 1981 2874", "CZ65 0800 0000 1920 0014 5399", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"],
+    "phone": ["+49 30 1234567", "+49 30 123456", "+49 170 123 45 67", "+49 30 1234 5678", "+49 (0) 30 12345678", "+33 6 12 34 56 78", "+44 20 7946 0958", "+358 40 123 4567", "+7 495 123-45-67",
+              "+1 (988) 555-2485", "988-555-2485"],
+    "card": ["4785380592391139", "4785-3805-9239-1139", "4785 3805 9239 1139"], "ssn": ["123-45-6789"], "ip": ["152.143.123.131"],
+    "date": ["2020-02-29", "29.02.2020", "02/29/2020"], "email": ["dikcoc.46@mail4.example.com"],
+}
+AFTER = ["BIC OPSKATWW", "EUR 500", "USD", "A1B2 C3", "15 Uhr", "15:30", "2021", "7", "1234 X", "2021-05-06", "05.06.2021", "05/06/2021", "152.143.123.131", "123-45-6789", "988-555-2485", "4785 3805 9239 1139",
+         "+49 30 12345678", "AT61 1904 3002 3457 3201", "word"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_what_follows_changes_nothing(kind):
+    """The value gets the pseudonym that it has alone, and so does what follows."""
+    own = Pseudonyms(b"key")
+    for value in VALUES[kind]:
+        alone, found = own.replace(value)
+        assert found == {kind: 1} and alone != value
+        for after in AFTER:
+            text, rest = f"to {value} {after} and", own.replace(after)
+            new, both = own.replace(text)
+            assert new == f"to {alone} {rest[0]} and", text
+            assert both == found + rest[1] and own.replace(new, back=True)[0] == text
+
+
+def test_phone_keeps_its_whole_country_code_and_its_extension():
+    own = Pseudonyms(b"key")
+    assert own.replace("+358 40 123 4567")[0].startswith("+358 ")
+    for text in ("+49 30 1234567-15", "+49.30.1234.5678", "+49 30 12 34 56 78", "+86 138 1234 5678", "+91 98765 43210", "+852 1234 5678"):
+        new, found = own.replace(text)
+        assert found == {"phone": 1} and not set(re.findall(r"\d{4,}", text)) & set(re.findall(r"\d{4,}", new))
+        assert own.replace(new, back=True)[0] == text
+    rng = random.Random(7)
+    for _ in range(2000):
+        text = f"+{rng.choice([49, 33, 7, 358, 852, 299, 62])}" + "".join(rng.choice(" .-") * rng.randint(0, 1) + str(rng.randint(0, 9)) for _ in range(rng.randint(6, 13))) + rng.choice(["", " 15", " 2021-05-06", " 1.2.3.4"])
+        assert own.replace(own.replace(text)[0], back=True)[0] == text
