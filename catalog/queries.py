@@ -20,7 +20,7 @@ from measureframe.plans.lineage import checkpoint_folder
 from measureframe.roles import as_category, q
 from measureframe.sources import sink, text
 from measureframe.sources.paths import parse_path
-from measureframe.streaming.measurements import stream_measurements
+from measureframe.streaming.measurements import import_new_files
 from measureframe.streaming.windows import stream_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -738,16 +738,9 @@ def stream_import(spark, sf):
     source = _text_files(spark, sf)
     columns_ = {"Treatment": "string", "row_key": "long", **{h: "double" for h in _HEADERS.values()}}
     bins = {"feature": "NAD(P)H tm", "bins": [(0, 400, "short"), (400, 1200, "middle"), (1200, 9000, "long")], "name": "kind"}
-    stream = stream_measurements(
-        spark, source, columns_, _text_spec(), [RangeFilter("FAD photons", 5, 45, True)], bins)
     # Rows go from the tasks to files, and from there to the reader.
-    target = _checkpoint_folder(spark, "stream_import")
-    run = (
-        stream.writeStream.format("parquet").option("path", f"{target}/rows").option("checkpointLocation", f"{target}/log")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    done = spark.read.parquet(f"{target}/rows")
+    done = import_new_files(
+        spark, source, _checkpoint_folder(spark, "stream_import"), columns_, _text_spec(), [RangeFilter("FAD photons", 5, 45, True)], bins)
     return rounded(done.select("FOV", "Treatment", "kind", "row_key", "FAD photons", "NAD(P)H tm", "FLIRR"))
 
 

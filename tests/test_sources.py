@@ -9,7 +9,7 @@ from measureframe.sources import sink, text
 from measureframe.roles import q
 from measureframe.sources.paths import parse_path, path_patterns
 from measureframe.sources.text import ImportSpec
-from measureframe.streaming.measurements import stream_measurements
+from measureframe.streaming.measurements import import_new_files, stream_measurements
 
 HEAD = "Exc1_-Ch2-_t1\tExc1_-Ch2-_t2\tExc2_-z\tCell line\tnote"
 
@@ -153,6 +153,36 @@ def test_stream_refuses_a_file_without_a_declared_column(spark, tmp_path):
         run.awaitTermination()
 
 
+@pytest.mark.parametrize("delimiter", ["\t", "\t;"])
+def test_new_files_are_read_in_splits_and_once(spark, tmp_path, delimiter):
+    base, target = tmp_path / "in put+1", str(tmp_path / "out")
+    base.mkdir()
+    spec = ImportSpec(delimiter=delimiter, parser="fov_treatment_cell", types={"x": "double", "g": "string"}, exclude=("skip.txt",), derived=())
+    (base / "skip.txt").write_text("q\n1\n")
+    new = lambda: import_new_files(spark, str(base), target, spec.types, spec)
+    assert new().count() == 0 and set(new().columns) >= {"x", "g", "FOV"}
+    (base / "Results-a-ctrl-1.txt").write_text("x\tg\n" + "".join(f"{i}\tu{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        first = new()
+        batch = text.read_measurements(spark, str(base), spec)
+        rows = lambda df: sorted(map(tuple, df.select(*[q(c) for c in sorted(batch.columns)]).collect()))
+        assert sorted(first.columns) == sorted(batch.columns) and rows(first) == rows(batch)
+        # One file, many tasks.
+        assert len(list((tmp_path / "out" / "rows" / "turn=0").glob("part-*"))) > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    # A turn that was broken off left rows; it is read again in whole.
+    spark.range(3).write.parquet(f"{target}/rows/turn=1")
+    (base / "Results-b-dox-2.txt").write_text("g\tn\tx\nw\t1\t-7\n")
+    assert new().count() == 5001 and new().count() == 5001
+    assert [tuple(r) for r in new().filter("x < 0").select("x", "g", "FOV").collect()] == [(-7.0, "w", "b")]
+    (base / "Results-c-dox-3.txt").write_text("x\n1\n")
+    for _ in range(2):
+        with pytest.raises(ValueError, match="columns missing in .*c-dox-3.txt: g"):
+            new()
+
+
 def test_only_plain_numbers_are_numbers(spark, tmp_path):
     (tmp_path / "a.txt").write_text("x\ty\tz\n1d\t1e5\t 2.5 \n2F\t-.5\tInf\n")
     df = text.read_measurements(spark, str(tmp_path), ImportSpec(derived=()))
