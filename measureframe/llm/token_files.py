@@ -61,7 +61,7 @@ def _separator(end_id: int) -> str:
 def scan_token_files(files: DataFrame, end_id: int, dtype: str = "<u2", block: int = BLOCK) -> DataFrame:
     """stream, doc_no, start, n_tokens, ended of every document, from rows (stream, part, content).
 
-    The parts of a stream, in their order, are one flat run of ids; a document may run over any number of
+    The parts of a stream, in the order of their names (numbers count as numbers), are one flat run of ids; a document may run over any number of
     parts and blocks.  Each block is searched for ``end_id`` at once and gives its number of tokens, of
     ends, and its last end.  A prefix scan over these sums, a few numbers a block, tells every
     block where in the stream it lies, how many documents ended before it and where the
@@ -88,7 +88,10 @@ def scan_token_files(files: DataFrame, end_id: int, dtype: str = "<u2", block: i
 
     blocks = files.select(F.col("stream").cast("int"), F.col("part").cast("string"), "content").mapInArrow(
         run, "stream int, part string, at bigint, tokens bigint, ends array<bigint>")
-    order = Window.partitionBy("stream").orderBy("part", "at")
+    # Spark counts a task's files .c000 ... .c999, .c1000, so numbers are filled up to one width.
+    pieces = F.regexp_extract_all("part", F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    name = F.array_join(F.transform(pieces, lambda x: F.when(x.rlike("^[0-9]{1,40}$"), F.lpad(x, 40, "0")).otherwise(x)), "")
+    order = Window.partitionBy("stream").orderBy(name, "part", "at")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     size = F.size("ends")
     placed = blocks.withColumn("begin", F.coalesce(F.sum("tokens").over(earlier), F.lit(0))).withColumn("before", F.coalesce(F.sum(size).over(earlier), F.lit(0)))

@@ -144,6 +144,13 @@ def test_scan_stitches_over_parts_and_blocks(spark, seed):
         assert sorted(r.doc_no for r in got if r.stream == stream) == list(range(sum(w[0] == stream for w in want)))
 
 
+def test_more_than_a_thousand_parts_are_stitched_in_order(spark):
+    """Document k has k tokens and its own part, named as Spark names them."""
+    rows = [(0, f"part-00000-1b5e.c{k:03d}.txt", np.asarray([9] * k + [2], "<u2").tobytes()) for k in range(1013)]
+    got = token_files.scan_token_files(spark.createDataFrame(rows, "stream int, part string, content binary").repartition(4), 2)
+    assert sorted((r.doc_no, r.n_tokens) for r in got.collect()) == [(k, k) for k in range(1013)]
+
+
 def test_token_counts(spark):
     import sentencepiece
 
