@@ -24,7 +24,7 @@ _SECTION = re.compile(r"\n[ \t]*\n\s*")
 
 
 def _leaf_hash(words: list[bytes]) -> str:
-    return xxhash.xxh3_64_hexdigest(b" ".join(words))[:6]
+    return xxhash.xxh3_64_hexdigest(b" ".join(words))[:12]
 
 
 def _node_hash(kind: str, children: list[str]) -> str:

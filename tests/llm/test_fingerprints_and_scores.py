@@ -54,6 +54,10 @@ def brute_edits(rows):
     return sorted(out, key=repr)
 
 
+def test_different_runs_have_different_leaves():
+    assert len({merkle._leaf_hash([b"run", b"%d" % i]) for i in range(100_000)}) == 100_000
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 90])
 @pytest.mark.parametrize("stretch", [4096, 8])
 def test_compare_edits(spark, monkeypatch, n, stretch):
