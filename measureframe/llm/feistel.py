@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measureframe.llm.store import short_batches
+from measureframe.llm.store import short
 
 ROUNDS = 8
 KINDS = ("card", "phone", "iban", "ssn", "ip", "date", "email")
@@ -288,11 +288,10 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", back: bool
     tasks and runs; ``back`` with the same key restores them.  A null text stays null, an empty one empty.
     Rows that repeat get the same answer; other columns pass through under any name.
     """
-    short_batches(docs.sparkSession)
 
     def run(batches):
         own = Pseudonyms(key)
-        for batch in batches:
+        for batch in short(batches):
             done = [own.replace(t, back) for t in batch.column(0).field(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([t for t, _ in done], pa.string()), *(pa.array([n[k] for _, n in done], pa.int32()) for k in KINDS)],

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measureframe.llm.store import short_batches
+from measureframe.llm.store import short
 
 #: Lengths in bytes of the subwords, and buckets they are hashed into.
 LENGTHS, BUCKETS = (2, 3, 4, 5), 1 << 16
@@ -135,7 +135,7 @@ def sampled(docs: DataFrame, per_label: int, id_col: str, text_col: str, label_c
     lot = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
 
     def bags(batches):
-        for batch in batches:
+        for batch in short(batches):
             found = [np.unique(np.concatenate(p), return_counts=True) if (p := subwords(t)) else (np.zeros(0), np.zeros(0)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[i].astype(k).tobytes() for x in found], pa.binary()) for i, k in enumerate(("<u2", "<u4")))], ["label", "buckets", "counts"])
 
@@ -151,7 +151,6 @@ def fit(docs: DataFrame, training: Column, per_label: int = 1500, id_col: str =
 
     That bound and the number of labels bound what the driver receives and fits.
     """
-    short_batches(docs.sparkSession)
     rows = sampled(docs.filter(training), per_label, id_col, text_col, label_col)
     return train(rows) if rows else LanguageModel(["und"], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
 
@@ -163,12 +162,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     with score 0 and is rejected; so is one whose score lies below the model's least.  Rows
     that repeat get the same answer; other columns pass through under any name.
     """
-    short_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = sent.value
-        for batch in batches:
+        for batch in short(batches):
             found = [own.predict(t) for t in batch.column(0).field(text_col).to_pylist()]
             score = np.array([s for _, s in found])
             label = [name for name, _ in found]

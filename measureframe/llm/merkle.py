@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measureframe.llm.store import short_batches
+from measureframe.llm.store import short
 from measureframe.plans.ordering import slice_of
 
 #: A run of words ends behind a word whose hash is divisible by so much, and after so many words at the latest.
@@ -163,7 +163,6 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text counts as empty; an id that is null comes first; rows with the same id follow each other in
     the order of their texts.  Other columns are not read; an empty table gives no rows.
     """
-    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     stretch, firsts = stretches(rows.select("id"))
     found = [tuple(r) for r in firsts.collect()]
@@ -177,7 +176,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         ends, held, at = WordEnds(), None, None
-        for batch in batches:
+        for batch in short(batches):
             ids, out = batch.column("id"), []
             for i, (text, stretch_, guest) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "stretch", "guest")))):
                 if stretch_ != at:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measureframe.llm.components import components
-from measureframe.llm.store import short_batches, written
+from measureframe.llm.store import short, written
 from measureframe.llm.words import WordHashes, lower_words, mixed, shingle_set
 
 #: A pair with similarity 0.75 shares none of 48 bands of 5 coordinates once in 430 000; one with more, far less often.
@@ -85,7 +85,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     """doc_id, text_hash, n_shingles, node (digest of the set), bands (its keys), sketch."""
     def run(batches):
         memo = WordHashes()
-        for batch in batches:
+        for batch in short(batches):
             texts = batch.column(1).to_pylist()
             sets = [shingle_set(memo.of(lower_words(t)), width) for t in texts]
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -113,7 +113,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of nodes with 100 * intersection >= 75 * union, on the full sets."""
     def run(batches):
         memo, last = WordHashes(), {}
-        for batch in batches:
+        for batch in short(batches):
             a, b, text_a, text_b = (batch.column(i).to_pylist() for i in range(4))
             keep = []
             for i in range(len(a)):
@@ -191,7 +191,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
-    short_batches(spark)
     found = written(features(docs, id_col, text_col, width), "features")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     reps = written(
@@ -217,7 +216,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def with_text_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row, in ``row``, with the hash of its text that ``near_dedup`` returns; null counts as empty."""
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             hashes = [xxhash.xxh3_64_intdigest((t or "").encode()) for t in batch.column(0).field(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.uint64()).view(pa.int64())], ["row", "text_hash"])
 

@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from measureframe.llm.store import short_batches, written
+from measureframe.llm.store import short, written
 from measureframe.llm.tokens import byte_bpe
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -27,7 +27,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, i
     def run(batches):
         task, seen, encoder = TaskContext.get().partitionId(), Counter(), byte_bpe(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in short(batches):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encoder.ids(text or "") + end
@@ -38,7 +38,6 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = 1024, i
 
     names = ["doc_id", "piece", "start", "length", "ids", "task", "nth"]
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
-    short_batches(docs.sparkSession)
     types = [pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids binary, task int, nth bigint")
 

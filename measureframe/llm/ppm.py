@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measureframe.llm.store import short_batches, shard_count, shard_of, written
+from measureframe.llm.store import short, shard_count, shard_of, written
 
 #: Bytes of context; a gram is a context and the symbol behind it.
 ORDER = 5
@@ -184,7 +184,7 @@ def _counted(order: int):
 
     def run(batches):
         block = None
-        for batch in batches:
+        for batch in short(batches):
             for at, trains, text in zip(*(batch.column(c).to_pylist() for c in ("block", "trains", "text"))):
                 if block is None or at != block.number:
                     if block:
@@ -214,7 +214,6 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
     are not read; an empty table gives no rows.  Without training rows every symbol is as likely as any.
     """
     spark = docs.sparkSession
-    short_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.count(F.when(training, 1)).alias("ends")).first()
     blocks = shard_count(size.bytes + size.n, BLOCK_BYTES)
@@ -234,8 +233,8 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
 
     asked = counted.filter("gram is not null")
     low = asked.groupBy(F.col("gram").bitwiseAND((1 << BITS * SHORT) - 1).alias("gram")).agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
-    short = Trie(low.column(0).to_numpy(), low.column(1).to_numpy(), SHORT - 1)
-    sent = spark.sparkContext.broadcast(short)
+    lower = Trie(low.column(0).to_numpy(), low.column(1).to_numpy(), SHORT - 1)
+    sent = spark.sparkContext.broadcast(lower)
     tail = F.shiftright("gram", BITS).bitwiseAND((1 << BITS * SHORT) - 1)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from measureframe.llm.store import short_batches
+from measureframe.llm.store import short
 
 #: Tokens that are searched at once.
 BLOCK = 1 << 20
@@ -34,12 +34,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     system that it knows: a document's bytes are a line and the bytes of ``end_id`` part the
     lines, so these have to be valid UTF-8, as those of small ids are.
     """
-    short_batches(docs.sparkSession)
     separator = _separator(end_id)
 
     def run(batches):
         model, task, first = _pieces(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in short(batches):
             n = batch.num_rows
             ids = [np.asarray(i, "<u2").tobytes() for i in model.encode([t or "" for t in batch.column(1).to_pylist()], num_threads=1)]
             names = [b"%d:%s" % (first + i, b"" if d is None else str(d).encode()) for i, d in enumerate(batch.column(0).to_pylist())]
@@ -73,7 +72,7 @@ def scan_token_files(files: DataFrame, end_id: int, dtype: str = "<u2", block: i
     width = np.dtype(dtype).itemsize
 
     def run(batches):
-        for batch in batches:
+        for batch in short(batches):
             for stream, part, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = content.as_buffer()
                 if len(raw) % width:
