@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measureframe.llm import url_filter
+from measureframe.llm.divergence import divergence
 from measureframe.llm.exact_dedup import exact_dedup
 from measureframe.llm.feistel import KINDS, pseudonymise
 from measureframe.llm.language import fit, identify
@@ -92,6 +93,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "stream", "block", "epoch", "slot", "place")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_ppm": op2_ppm,
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -112,4 +118,28 @@ ORACLES: dict[str, str] = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_divergence": """
+        WITH docs AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        words AS (SELECT lang, source, doc, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+        size AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS n FROM kept GROUP BY lang),
+        cells AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        grp AS (SELECT lang, source, coalesce(any_value(t.n), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM docs)
+                LEFT JOIN (SELECT lang, source, sum(c) AS n FROM cells GROUP BY ALL) t USING (lang, source) GROUP BY ALL),
+        dense AS (
+            SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 1)) // (grp.n + size.v) AS p,
+                   1 + (1000000000 * (kept.n + 1)) // (size.n + size.v) AS usual
+            FROM grp JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN cells USING (lang, source, term)),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item, coalesce(any_value(d.value), 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source != b.source
+            LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+                       FROM dense x JOIN dense y ON x.lang = y.lang AND x.term = y.term AND x.source != y.source GROUP BY ALL) d
+            ON d.lang = a.lang AND d.source = a.source AND d.other = b.source GROUP BY ALL),
+        over AS (SELECT lang, source, term AS item, (((p - usual) * (p - usual)) // usual)::BIGINT AS value FROM dense WHERE c > 0 AND p > usual),
+        everything AS (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' AS part FROM over)
+        SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM everything
+        QUALIFY part = 'pair' OR rank <= 200
+    """,
 }
