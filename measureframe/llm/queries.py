@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measureframe.llm import url_filter
+from measureframe.llm.alignment import align
 from measureframe.llm.divergence import divergence
 from measureframe.llm.exact_dedup import exact_dedup
 from measureframe.llm.feistel import KINDS, pseudonymise
@@ -93,6 +94,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "row.source", "stream", "block", "epoch", "slot", "place")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), groups="sha256")
+    return docs.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(documents(spark, sf_dir))
 
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_alignment": op11_alignment,
     "op13_divergence": op13_divergence,
 }
 
