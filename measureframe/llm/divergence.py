@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from measureframe.llm.store import short, written
 
 #: Shares are whole numbers of this many parts.
 PARTS = 1_000_000_000
-#: Sums of (lang, term, source) that a task holds before it hands them on.
-MEMORY = 200_000
+#: Sums of terms in groups that a task holds before it hands them on.
+MEMORY = 300_000
 #: Groups of a lang whose pairs with as many others are summed in one task.
 BLOCK = 512
 #: Documents of its lang that a kept term is in, at least, and ranks of terms that are listed.
@@ -32,45 +33,61 @@ def terms(text: str) -> list[bytes]:
 def collapsed(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """lang, text, sources, copies: each distinct text of a lang once, with its number of copies in each source.
 
-    Copies are counted on digests, map-side first, so a text that a third of all rows repeat is
+    Copies are counted on digests of 128 bits, map-side first, so a text that a third of all rows repeat is
     a few rows.  The text itself is moved once, one row from each task that has it.
     """
-    null_is_empty = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = docs.select(null_is_empty(lang_col).alias("lang"), null_is_empty(source_col).alias("source"), null_is_empty(text_col).alias("text"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    copies = rows.groupBy("lang", "digest", "source").agg(F.count(F.lit(1)).alias("n"))
-    copies = copies.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
-    texts = rows.groupBy("lang", "digest").agg(F.first("text").alias("text"))
-    return texts.join(copies, ["lang", "digest"]).select("lang", "text", F.col("copies.source").alias("sources"), F.col("copies.n").alias("copies"))
+    rows = docs.select(_plain(lang_col).alias("lang"), _plain(source_col).alias("source"), _plain(text_col).alias("text"))
+    rows = rows.withColumn("high", F.xxhash64("text")).withColumn("low", F.xxhash64(F.lit(1), "text", F.octet_length("text")))
+    copies = rows.groupBy("lang", "high", "low", "source").agg(F.count(F.lit(1)).alias("n"))
+    copies = copies.groupBy("lang", "high", "low").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
+    texts = rows.groupBy("lang", "high", "low").agg(F.first("text").alias("text"))
+    return texts.join(copies, ["lang", "high", "low"]).select("lang", "text", F.col("copies.source").alias("sources"), F.col("copies.n").alias("copies"))
 
 
-def weighted_terms(texts: DataFrame) -> DataFrame:
-    """lang, source, term, n, docs: occurrences and documents of each term, every text tokenized once and weighted by its copies."""
+def _plain(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
+def weighted_terms(texts: DataFrame, numbers) -> DataFrame:
+    """lang, term, g, n, docs: occurrences and documents of each term in each group, every text tokenized once and weighted by its copies.
+
+    ``numbers`` is a broadcast of the numbers of langs and of groups, by lang and source.
+    """
     def run(batches):
-        held: dict[tuple[str, bytes, str], list[int]] = defaultdict(lambda: [0, 0])
+        at = numbers.value
+        words: dict[tuple[int, int], Counter] = defaultdict(Counter)
+        holders: dict[tuple[int, int], Counter] = defaultdict(Counter)
 
         def emitted():
-            keys, sums = list(held), np.array(list(held.values()), np.int64).reshape(-1, 2)
-            held.clear()
-            yield pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()),
-                pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["lang", "source", "term", "n", "docs"])
+            for (lang, g), found in words.items():
+                own = holders[lang, g]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(found), lang, np.int32)), pa.array(list(found), pa.binary()).cast(pa.string()), pa.array(np.full(len(found), g, np.int32)),
+                    pa.array(np.fromiter(found.values(), np.int64, len(found))), pa.array(np.fromiter(map(own.__getitem__, found), np.int64, len(found)))],
+                    ["lang", "term", "g", "n", "docs"])
+            words.clear()
+            holders.clear()
 
+        fresh = 0
         for batch in short(batches):
             for lang, text, sources, copies in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "sources", "copies"))):
-                own: dict[bytes, int] = defaultdict(int)
-                for term in terms(text):
-                    own[term] += 1
-                for term, n in own.items():
-                    for source, times in zip(sources, copies):
-                        sums = held[lang, term, source]
-                        sums[0] += n * times
-                        sums[1] += times
-                if len(held) >= MEMORY:
-                    yield from emitted()
+                found = terms(text)
+                distinct = set(found)
+                for source, times in zip(sources, copies):
+                    group = at[lang][source]
+                    if times == 1:
+                        words[group].update(found)
+                        holders[group].update(distinct)
+                    else:
+                        words[group].update({t: n * times for t, n in Counter(found).items()})
+                        holders[group].update(dict.fromkeys(distinct, times))
+                fresh += len(distinct)
+            if fresh >= MEMORY and sum(map(len, words.values())) >= MEMORY:
+                yield from emitted()
+                fresh = 0
         yield from emitted()
 
-    return texts.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
+    return texts.mapInArrow(run, "lang int, term string, g int, n bigint, docs bigint")
 
 
 def shares(count: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -93,19 +110,18 @@ class Lang:
     """The groups of a lang, in the order of their sources, and the shares of a term that they do not have."""
 
     def __init__(self, sources: list[str], totals: list[int], kept: int) -> None:
-        self.at = {s: i for i, s in enumerate(sources)}
-        self.totals, self.kept, self.total = totals, kept, sum(totals)
+        self.sources, self.totals, self.kept, self.total = sources, totals, kept, sum(totals)
         self.missing = np.array([int(shares(np.int64(0), n, kept)) for n in totals], np.int64)
 
 
-def _cells(batch, langs: dict[str, Lang]):
+def _cells(batch, langs: list[Lang]):
     """lang, and for its rows of the batch: row, group, share of each cell (a term in a group that has it)."""
-    names = np.array(batch.column("lang").to_pylist(), object)
-    for name in dict.fromkeys(names.tolist()):
+    names = batch.column("lang").to_numpy()
+    for name in np.unique(names).tolist():
         own, rows = langs[name], np.flatnonzero(names == name)
         part = batch.take(pa.array(rows))
-        sizes = np.array([len(x) for x in part.column("sources")], np.int64)
-        group = np.array([own.at[s] for s in part.column("sources").flatten().to_pylist()], np.int64)
+        sizes = pc.list_value_length(part.column("groups")).to_numpy()
+        group = part.column("groups").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         count = part.column("counts").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         share = np.empty(len(count), np.int64)
         for g in np.unique(group):
@@ -122,7 +138,7 @@ def _pair_sums(kept: DataFrame, sent, blocks: int) -> DataFrame:
     pair of groups that it met, never pairs of each term, and of many groups it looks at one block of pairs.
     """
     def run(batches):
-        sums: dict[tuple[str, int, int], np.ndarray] = {}
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
         for batch in batches:
             g_blocks, h_blocks = (batch.column(c).to_numpy() for c in ("g_block", "h_block"))
             for gb, hb in {*zip(g_blocks.tolist(), h_blocks.tolist())}:
@@ -133,7 +149,7 @@ def _pair_sums(kept: DataFrame, sent, blocks: int) -> DataFrame:
         for (name, gb, hb), value in sums.items():
             g, h = np.nonzero(value[1])
             yield pa.RecordBatch.from_arrays([
-                pa.array([name] * len(g), pa.string()), pa.array(g + gb * BLOCK), pa.array(h + hb * BLOCK), pa.array(value[0][g, h]), pa.array(value[1][g, h])],
+                pa.array(np.full(len(g), name, np.int32)), pa.array(g + gb * BLOCK), pa.array(h + hb * BLOCK), pa.array(value[0][g, h]), pa.array(value[1][g, h])],
                 ["lang", "g", "h", "value", "either"])
 
     def add(sums, name, own, rows, row, group, share, gb, hb):
@@ -156,7 +172,7 @@ def _pair_sums(kept: DataFrame, sent, blocks: int) -> DataFrame:
 
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     rows = kept.withColumn("g_block", F.explode(every)).withColumn("h_block", F.explode(every)) if blocks > 1 else kept.withColumn("g_block", F.lit(0)).withColumn("h_block", F.lit(0))
-    found = rows.mapInArrow(run, "lang string, g bigint, h bigint, value bigint, either bigint")
+    found = rows.mapInArrow(run, "lang int, g bigint, h bigint, value bigint, either bigint")
     return found.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"), F.sum("either").alias("either"))
 
 
@@ -168,10 +184,10 @@ def _over_shares(kept: DataFrame, sent) -> DataFrame:
                 usual = shares(part.column("n").to_numpy(), own.total, own.kept)[row]
                 over = np.flatnonzero(share > usual)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([name] * len(over), pa.string()), pa.array(group[over]), part.column("term").take(pa.array(row[over])),
+                    pa.array(np.full(len(over), name, np.int32)), pa.array(group[over]), part.column("term").take(pa.array(row[over])),
                     pa.array(distance(share[over], usual[over]))], ["lang", "g", "item", "value"])
 
-    return kept.mapInArrow(run, "lang string, g bigint, item string, value bigint")
+    return kept.mapInArrow(run, "lang int, g bigint, item string, value bigint")
 
 
 def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", docs_at_least: int = DOCS, ranks: int = RANKS) -> DataFrame:
@@ -188,33 +204,33 @@ def divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     source has no pairs.  Other columns are not read; an empty table gives no rows.  The driver holds one
     row for each (lang, source), as the result has their square.
     """
+    spark = docs.sparkSession
+    groups = sorted((r.lang, r.source) for r in docs.select(_plain(lang_col).alias("lang"), _plain(source_col).alias("source")).distinct().collect())
+    by_lang: dict[str, list[str]] = defaultdict(list)
+    for lang, source in groups:
+        by_lang[lang].append(source)
+    numbers = spark.sparkContext.broadcast({lang: {s: (i, k) for k, s in enumerate(sources)} for i, (lang, sources) in enumerate(by_lang.items())})
     kept = written(
-        weighted_terms(collapsed(docs, text_col, lang_col, source_col))
-        .groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        .groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("cells"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-        .filter(F.col("docs") >= docs_at_least).select("lang", "term", "n", F.col("cells.source").alias("sources"), F.col("cells.n").alias("counts")),
+        weighted_terms(collapsed(docs, text_col, lang_col, source_col), numbers)
+        .groupBy("lang", "term", "g").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        .groupBy("lang", "term").agg(F.collect_list(F.struct("g", "n")).alias("cells"), F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        .filter(F.col("docs") >= docs_at_least).select("lang", "term", "n", F.col("cells.g").alias("groups"), F.col("cells.n").alias("counts")),
         "terms")
-    empty = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    groups = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source")).distinct()
-    cells = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("cell")).groupBy("lang", F.col("cell.sources").alias("source")).agg(F.sum("cell.counts").alias("total"))
-    sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"))
-    found = groups.join(cells, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "kept"]).collect()
-    by_lang: dict[str, list] = defaultdict(list)
-    for r in sorted(found, key=lambda r: (r.lang, r.source)):
-        by_lang[r.lang].append(r)
-    langs = {name: Lang([r.source for r in rows], [r.total for r in rows], rows[0].kept) for name, rows in by_lang.items()}
-    spark = docs.sparkSession
+    cells = kept.select("lang", F.explode(F.arrays_zip("groups", "counts")).alias("cell")).groupBy("lang", F.col("cell.groups").alias("g")).agg(F.sum("cell.counts").alias("n"))
+    totals = {(r.lang, r.g): r.n for r in cells.collect()}
+    sizes = {r.lang: r.n for r in kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = [Lang(sources, [totals.get((i, k), 0) for k in range(len(sources))], sizes.get(i, 0)) for i, sources in enumerate(by_lang.values())]
     sent = spark.sparkContext.broadcast(langs)
     table = written(spark.createDataFrame(
-        [(name, i, s, int(own.missing[i]), own.kept, len(own.at)) for name, own in langs.items() for s, i in own.at.items()],
-        "lang string, g bigint, source string, missing bigint, kept bigint, groups bigint"), "groups")
-    blocks = max((-(-len(own.at) // BLOCK) for own in langs.values()), default=1)
+        [(i, name, k, s, int(own.missing[k]), own.kept, len(own.sources)) for i, (name, own) in enumerate(zip(by_lang, langs)) for k, s in enumerate(own.sources)],
+        "lang int, name string, g bigint, source string, missing bigint, kept bigint, groups bigint"), "groups")
+    blocks = max((-(-len(own.sources) // BLOCK) for own in langs), default=1)
 
     pairs = table.filter("groups > 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("h")).filter("g != h")
     other = table.select("lang", F.col("g").alias("h"), F.col("source").alias("item"), F.col("missing").alias("h_missing"))
     apart = (F.col("missing") - F.col("h_missing")) * (F.col("missing") - F.col("h_missing"))
     pairs = pairs.join(other, ["lang", "h"]).join(_pair_sums(kept, sent, blocks), ["lang", "g", "h"], "left").na.fill(0, ["value", "either"]).select(
-        "lang", "source", F.lit("pair").alias("part"), "item", (F.col("value") + (F.col("kept") - F.col("either")) * F.call_function("div", apart, F.col("h_missing"))).alias("value"))
-    over = _over_shares(kept, sent).join(table.select("lang", "g", "source"), ["lang", "g"]).select("lang", "source", F.lit("term").alias("part"), "item", "value")
+        F.col("name").alias("lang"), "source", F.lit("pair").alias("part"), "item", (F.col("value") + (F.col("kept") - F.col("either")) * F.call_function("div", apart, F.col("h_missing"))).alias("value"))
+    over = _over_shares(kept, sent).join(table.select("lang", "name", "g", "source"), ["lang", "g"]).select(F.col("name").alias("lang"), "source", F.lit("term").alias("part"), "item", "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     return pairs.withColumn("rank", rank).union(over.withColumn("rank", rank).filter(F.col("rank") <= ranks))
