@@ -18,6 +18,7 @@ from measureframe.llm.minhash import near_dedup
 from measureframe.llm.mixing import mix
 from measureframe.llm.packing import pack
 from measureframe.llm.ppm import score
+from measureframe.llm.repeats import remove_repeats
 from measureframe.llm.store import new_path
 from measureframe.llm.token_files import count_tokens
 
@@ -99,6 +100,14 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), length=100)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r.end - r.start)
+    return found.select(
+        "row.doc_id", F.octet_length(F.coalesce(F.col("row.text"), F.lit(""))).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(documents(spark, sf_dir))
 
@@ -115,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
     "op11_alignment": op11_alignment,
+    "op12_repeats": op12_repeats,
     "op13_divergence": op13_divergence,
 }
 

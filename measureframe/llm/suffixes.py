@@ -44,19 +44,43 @@ class Queues:
         self.held = 0
 
     def pop(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """What has arrived so far, in order and in steps."""
+        """What has arrived so far, in order and in steps; small arrivals are taken together."""
         arrived, self.parts[symbol] = self.parts[symbol], []
+        taken: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for part in arrived:
             if isinstance(part[0], np.ndarray):
                 self.held -= len(part[0])
-                positions, common = part
             else:
                 at, n, kind = part
                 self.file.seek(at)
-                positions = np.frombuffer(self.file.read(n * kind.itemsize), kind)
-                common = np.frombuffer(self.file.read(2 * n), np.int16)
-            for start in range(0, len(positions), STEP):
-                yield positions[start : start + STEP], common[start : start + STEP]
+                part = np.frombuffer(self.file.read(n * kind.itemsize), kind), np.frombuffer(self.file.read(2 * n), np.int16)
+            taken.append(part)
+            size += len(part[0])
+            if size >= STEP:
+                yield from self._steps(taken)
+                taken, size = [], 0
+        if taken:
+            yield from self._steps(taken)
+
+    def pop_back(self, symbol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What has arrived, the last steps first; inside a step in order."""
+        arrived, self.parts[symbol] = self.parts[symbol], []
+        while arrived:
+            size = 0
+            for first in range(len(arrived) - 1, -1, -1):
+                part = arrived[first]
+                size += len(part[0]) if isinstance(part[0], np.ndarray) else part[1]
+                if size >= STEP:
+                    break
+            self.parts[symbol], arrived = arrived[first:], arrived[:first]
+            yield from reversed(list(self.pop(symbol)))
+
+    @staticmethod
+    def _steps(parts):
+        positions, common = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts))
+        for start in range(0, len(positions), STEP):
+            yield positions[start : start + STEP], common[start : start + STEP]
 
 
 def joined(strings: list[bytes]) -> np.ndarray:
@@ -134,7 +158,10 @@ def sorted_seeds(text: np.ndarray, eight: np.ndarray, seeds: np.ndarray, depth:
     after[ends] = np.flatnonzero(ends)
     key = _words(eight, points)
     # Behind the first byte of the next seed all bits are set, and a substring sorts after longer ones that begin alike.
-    length = np.where(np.isin(np.append(points[1:], 0), seeds, assume_unique=False), np.append(points[1:], points[-1]) - points + 1, 8)
+    next_point = np.append(points[1:], points[-1])
+    is_seed = np.zeros(len(text), bool)
+    is_seed[seeds] = True
+    length = np.where(is_seed[next_point], next_point - points + 1, 8)
     length[ends] = 1
     length = np.minimum(length, 8)
     key |= np.where(length < 8, (np.uint64(1) << (64 - 8 * np.minimum(length, 7)).astype(np.uint64)) - np.uint64(1), np.uint64(0))
@@ -162,7 +189,7 @@ class _Carry:
             first = np.concatenate([[True], symbol[1:] != symbol[:-1]])
             start = np.where(first, 0, np.concatenate([[0], at[:-1] + 1]))
             padded = np.append(common, np.int16(0))
-            least = np.minimum.reduceat(padded, np.stack([start, at + 1], axis=1).ravel())[::2]
+            least = np.minimum.reduceat(padded, np.column_stack([start, at + 1]).ravel())[::2]
             least[first] = np.minimum(least[first], self.least[symbol[first]])
             value = np.minimum(least + 1, depth).astype(np.int16)
             begins = np.append(np.flatnonzero(first), len(at))
@@ -202,13 +229,11 @@ def suffix_array(strings: list[bytes], depth: int, memory: int, found: Callable[
     # Up: L suffixes of each bucket, then its seeds.
     waiting, large, carry = Queues(memory), Queues(memory), _Carry()
 
-    def scan(positions, common, symbol, up):
+    def scan(positions, common, symbol, goes, ends):
+        """Push what lies before each place if it is of the type that is induced: ``goes`` compares it with the symbol."""
         before = text[positions - 1]
-        go = (before > symbol) if up == "seeds" else (before >= symbol) if up else (before <= symbol)
-        if up == "large":
-            go = before < symbol
-        go &= positions > 0
-        if up != "seeds" and up is not True:
+        go = goes(before, symbol) & (positions > 0)
+        if not ends:
             go &= before != END
         index = np.flatnonzero(go)
         for target, at, value in carry.routed(common, index, before[index], depth):
@@ -219,14 +244,14 @@ def suffix_array(strings: list[bytes], depth: int, memory: int, found: Callable[
         while waiting.parts[symbol]:
             for positions, common in waiting.pop(symbol):
                 large.push(symbol, positions, common)
-                scan(positions, common, symbol, True)
+                scan(positions, common, symbol, np.greater_equal, True)
                 last = positions[-1]
         for start in range(bounds[symbol], bounds[symbol + 1], STEP):
             part = slice(start, min(start + STEP, bounds[symbol + 1]))
             common = seed_common[part].copy()
             if start == bounds[symbol] and last is not None:
                 common[0] = meeting(last, seeds[start])
-            scan(seeds[part], common, symbol, "seeds")
+            scan(seeds[part], common, symbol, np.greater, True)
 
     # Down: S suffixes of each bucket, then its L suffixes; all of them, in falling order, are the result.
     waiting, carry = Queues(memory), _Carry()
@@ -235,20 +260,16 @@ def suffix_array(strings: list[bytes], depth: int, memory: int, found: Callable[
         while waiting.parts[symbol]:
             for positions, common in waiting.pop(symbol):
                 found(positions, common)
-                scan(positions, common, symbol, False)
+                scan(positions, common, symbol, np.less_equal, False)
                 last = positions[-1]
-        rising = list(large.parts[symbol])
-        large.parts[symbol] = []
         following = None
-        for part in reversed(rising):
-            large.parts[symbol] = [part]
-            for positions, common in reversed(list(large.pop(symbol))):
-                falling = np.concatenate([[0], common[:0:-1]]).astype(np.int16)
-                if following is not None:
-                    falling[0] = following
-                elif last is not None:
-                    falling[0] = meeting(last, positions[-1])
-                following = common[0]
-                found(positions[::-1], falling)
-                scan(positions[::-1], falling, symbol, "large")
+        for positions, common in large.pop_back(symbol):
+            falling = np.concatenate([[0], common[:0:-1]]).astype(np.int16)
+            if following is not None:
+                falling[0] = following
+            elif last is not None:
+                falling[0] = meeting(last, positions[-1])
+            following = common[0]
+            found(positions[::-1], falling)
+            scan(positions[::-1], falling, symbol, np.less, False)
     return text
