@@ -7,21 +7,20 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measureframe.llm.components import components
-from measureframe.llm.store import short, written
+from measureframe.llm.store import settled_in, short, written
 from measureframe.llm.words import WordHashes, lower_words, mixed, shingle_set
 
 #: A pair with similarity 0.75 shares none of 48 bands of 5 coordinates once in 430 000; one with more, far less often.
 BANDS, ROWS = 48, 5
-#: A sketch has the low 4 bits of each coordinate, in 4 planes.  At similarity 0.75 they agree in 0.766 of the
-#: 240 coordinates as a mean; fewer than this come once in some 40 million pairs (5.5 standard deviations).
-AGREE, PLANES = 147, 4
-#: Members of a bucket that are hubs in its first round of open pairs, and in each further one.
+#: Members of a group of open nodes that are hubs in its first round, and in each further one.
 HUBS, MORE_HUBS = 32, 256
+#: Counters, a power of two, that tell common shingles from rare ones.
+COUNTERS = 1 << 20
 
 
 def _permuted(x: np.ndarray, seed: tuple[int, int]) -> np.ndarray:
@@ -61,28 +60,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """The low bits of the coordinates: ``PLANES`` runs of 64-bit words for each signature."""
-    pad = -signature.shape[1] % 64
-    words = []
-    for plane in range(PLANES):
-        bits = np.pad((signature >> np.uint32(plane) & np.uint32(1)).astype(np.uint8), ((0, 0), (0, pad)))
-        words.append(np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64))
-    return np.concatenate(words, axis=1)
-
-
-def _sketches_agree(x: str, y: str):
-    """Whether enough coordinates agree for the similarity to be possible."""
-    per = (BANDS * ROWS + 63) // 64
-    apart = []
-    for word in range(per):
-        differ = [F.get(x, F.lit(plane * per + word)).bitwiseXOR(F.get(y, F.lit(plane * per + word))) for plane in range(PLANES)]
-        apart.append(F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), differ)))
-    return F.lit(BANDS * ROWS) - reduce(lambda a, b: a + b, apart) >= AGREE
-
-
 def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (digest of the set), bands (its keys), sketch."""
+    """doc_id, text_hash, n_shingles, node (digest of the set), bands (its keys)."""
     def run(batches):
         memo = WordHashes()
         for batch in short(batches):
@@ -90,11 +69,11 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             sets = [shingle_set(memo.of(lower_words(t)), width) for t in texts]
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
-            keys, drawn = np.zeros((0, BANDS), np.uint64), iter(())
+            keys = np.zeros((0, BANDS), np.uint64)
             if len(full):
                 starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                 signature = signatures(np.concatenate([sets[i] for i in full]), starts, BANDS * ROWS)
-                keys, drawn = band_keys(signature, BANDS, ROWS), iter(sketches(signature))
+                keys = band_keys(signature, BANDS, ROWS)
             ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),
@@ -102,11 +81,10 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 pa.array(sizes),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.ListArray.from_arrays(ends, keys.reshape(-1).view(np.int64)),
-                pa.array([next(drawn) if n else None for n in sizes], pa.list_(pa.int64())),
-            ], ["doc_id", "text_hash", "n_shingles", "node", "bands", "sketch"])
+            ], ["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node binary, bands array<bigint>, sketch array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, text_hash bigint, n_shingles bigint, node binary, bands array<bigint>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -135,19 +113,80 @@ def _alike_in_size(x: str, y: str):
     return 100 * F.least(F.col(x), F.col(y)) >= 75 * F.greatest(F.col(x), F.col(y))
 
 
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def _rarity(texts: DataFrame, width: int) -> np.ndarray:
+    """How often shingles come in the texts, in ``COUNTERS`` counters by hash; its size is fixed.
+
+    It only orders shingles, so it need not be exact: any one order serves.
+    """
+    def run(batches):
+        memo, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
+        for batch in short(batches):
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, _counter(shingle_set(memo.of(lower_words(text)), width)), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+
+    found = texts.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(COUNTERS, np.int64)
+    total[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return total
+
+
+def _prefixes(texts: DataFrame, width: int) -> DataFrame:
+    """bucket, node, n, indexed: the rarest shingles of each node, as many as decide a link.
+
+    In one order of all shingles, rare ones first, two sets of sizes m <= n with a similarity of 3/4 share one that is among the
+    first m - ceil(6/7 m) + 1 of the smaller (``indexed``) and the first n - ceil(3/4 n) + 1 of the larger.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(_rarity(texts, width))
+
+    def run(batches):
+        memo = WordHashes()
+        for batch in short(batches):
+            parts, sizes, indexed = [], [], []
+            for text in batch.column(1).to_pylist():
+                own = shingle_set(memo.of(lower_words(text)), width)
+                n = len(own)
+                own = own[np.lexsort((own, sent.value[_counter(own)]))][: n + (-3 * n // 4) + 1]
+                parts.append(own)
+                sizes.append(n)
+                indexed.append(np.arange(len(own)) < n + (-6 * n // 7) + 1)
+            times = [len(p) for p in parts]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(parts)), times))),
+                pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(np.concatenate(indexed))], ["bucket", "node", "n", "indexed"])
+
+    return texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint, indexed boolean")
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) after further links: components of the roots that they join, carried over to the nodes."""
+    if roots is None:
+        return components(links)
+    for end in ("a", "b"):
+        links = links.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    found = written(components(written(links.select("a", "b"), "joined")), "merged")
+    new = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return written(new.unionByName(found.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
 def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
     """(node, root) of the nodes that are linked with others.
 
     Nodes that share a band are candidates.  First each node is tested against the smallest
     hub among its buckets, one pair for each node at most, which settles families of copies.
-    Then, in every bucket whose members still lie in several components, some members of its
-    smallest components are hubs: they are tested against all members of other
-    components and leave the bucket, until what is left of it is one component.  A pair is left
-    out only when its components are joined already, or its sizes or its signatures exclude the
-    link; a round makes pairs in proportion to the members.
+    Buckets whose members still lie in several components are open.  Of their nodes only those go on that share a
+    rare shingle, as sets with the wanted similarity must (``_prefixes``); strangers with a common passage share none.  In
+    every group of nodes by such a shingle that has several components, some indexed members of its smallest components are hubs:
+    they are tested against the members of other components and leave the group, until no indexed member is
+    left or the group is one component.  A pair is left out only when its components are joined already, or sizes or
+    shingles exclude the link; a round makes pairs in proportion to the members.
     """
     rows = reps.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
-    drawn = reps.select("node", "sketch")
     shared = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(rows.join(shared.drop("size"), "bucket"), "members")
     texts = texts_of(members.select("node").distinct())
@@ -155,29 +194,37 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
         members.filter(F.col("node") != F.col("hub.node")).withColumn("hub_n", F.col("hub.n")).filter(_alike_in_size("n", "hub_n"))
         .groupBy("node").agg(F.min("hub.node").alias("a")).select("a", F.col("node").alias("b"))
     )
-    tested = written(first, "tested")
-    links = [confirmed(tested, texts, width)]
-    open_rows, hubs = members.select("bucket", "node", "n"), HUBS
+    tested = [written(first, "tested")]
+    roots = _merged(None, confirmed(tested[0], texts, width))
+    placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    nodes = members.select("bucket", "node").join(several.select("bucket"), "bucket", "left_semi").select("node").distinct()
+    groups = _prefixes(written(texts.join(nodes, "node", "left_semi"), "open-texts"), width)
+    # A shingle that one node has, or that nobody has indexed, brings no pair.
+    groups = written(groups, "prefixes")
+    useful = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("indexed").alias("any")).filter("size > 1 and any").select("bucket")
+    groups, hubs = written(groups.join(useful, "bucket", "left_semi"), "groups"), HUBS
     while True:
-        roots = components(reduce(DataFrame.union, links))
-        placed = open_rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
-        several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
-        # Few rows a bucket leave each task, so no bucket is gathered for its ranks.
+        placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"), F.max("indexed").alias("any"))
+        several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max("any").alias("any")).filter("roots > 1 and any").select("bucket")
+        placed = written(placed.join(several, "bucket", "left_semi").join(parts.drop("any"), ["bucket", "root"]), "open")
+        # Few rows a group leave each task, so no group is gathered for its ranks.
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("part", "node"))
-        placed = placed.join(several, "bucket").join(parts, ["bucket", "root"])
-        placed = written(placed.join(drawn, "node"), "open")
-        chosen = written(placed.withColumn("nth", order).filter(F.col("nth") <= hubs).select(
-            "bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("sketch").alias("hub_sketch")), "hubs")
+        chosen = written(placed.filter("indexed").withColumn("nth", order).filter(F.col("nth") <= hubs).select(
+            "bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")), "hubs")
         if not chosen.limit(1).count():
             return roots
-        pairs = placed.join(chosen, "bucket").filter("root != hub_root").filter(_alike_in_size("n", "hub_n")).filter(_sketches_agree("sketch", "hub_sketch")).select(
+        # The smaller set of a pair is the indexed one.
+        decides = (F.col("hub_n") <= F.col("n")) | F.col("indexed")
+        pairs = placed.join(chosen, "bucket").filter("root != hub_root").filter(decides).filter(_alike_in_size("n", "hub_n")).select(
             F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        fresh = written(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "tested")
-        links.append(confirmed(fresh, texts, width))
-        tested = tested.union(fresh)
+        before = reduce(DataFrame.unionAll, tested)
+        fresh = written(pairs.distinct().join(before, ["a", "b"], "left_anti"), "tested")
+        tested = [written(before.unionAll(fresh), "tested")]
+        roots = _merged(roots, confirmed(fresh, texts, width))
         gone = chosen.select("bucket", F.col("hub").alias("node"))
-        open_rows, hubs = placed.select("bucket", "node", "n").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
+        groups, hubs = placed.select("bucket", "node", "n", "indexed").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -190,12 +237,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that repeat both id and text are kept or dropped together.  Other columns are not read; an
     empty table gives no rows.
     """
-    spark: SparkSession = docs.sparkSession
+    return settled_in(docs.sparkSession, lambda: _near_dedup(docs, id_col, text_col, width), "near")
+
+
+def _near_dedup(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     found = written(features(docs, id_col, text_col, width), "features")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     reps = written(
         found.filter("node is not null").groupBy("node").agg(
-            F.min_by("bands", key).alias("bands"), F.min_by("sketch", key).alias("sketch"), F.first("n_shingles").alias("n_shingles"), F.min(key).alias("first")), "nodes")
+            F.min_by("bands", key).alias("bands"), F.first("n_shingles").alias("n_shingles"), F.min(key).alias("first")), "nodes")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = reps.join(nodes, "node").select("node", F.col("first.doc_id").alias("want_id"), F.col("first.text_hash").alias("want_hash"))
@@ -204,7 +254,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return written(source.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")
 
     roots = linked(reps, texts_of, width)
-    placed = found.drop("bands", "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = found.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = placed.filter("root is not null").groupBy("root").agg(F.min(key).alias("first"))
     none = F.col("root").isNull()
     return placed.join(firsts, "root", "left").select(

@@ -152,3 +152,32 @@ def test_components(spark, kind):
             for x in group[name[b]]:
                 group[x] = group[name[a]]
     assert got == {x: min(g) for x, g in group.items()}
+
+
+def test_strangers_with_a_common_passage_are_not_compared_in_pairs(spark, monkeypatch):
+    """Two thousand short texts, 0.67 alike by a passage: the pairs tested grow with the texts, not with their square."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    passage = " ".join(word() for _ in range(44))
+    sizes = []
+    plain = minhash.confirmed
+
+    def counted(pairs, texts, width):
+        sizes.append(pairs.count())
+        return plain(pairs, texts, width)
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    rows = [(i, f"{passage} {' '.join(word() for _ in range(10))}") for i in range(2000)]
+    copies = [(5000 + i, rows[i][1] + " tail") for i in range(0, 2000, 100)]
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(spark.createDataFrame(rows + copies, "doc_id bigint, text string")).collect()}
+    assert all(got[i] == i for i, _ in rows) and all(got[5000 + i] == i for i in range(0, 2000, 100))
+    assert sum(sizes) < 3 * 2000, sizes
+
+
+def test_near_dedup_of_a_very_long_text(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(200_000)]
+    other = words[:190_000] + ["changed"] * 3
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:90_000]))]
+    got = {r.doc_id: r.component_id for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
