@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import heapq
-from fractions import Fraction
 from math import gcd
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +28,9 @@ def schedule(weights: dict[str, int]) -> list[tuple[str, int]]:
     whole block away from its share.
     """
     period = sum(weights.values())
-    share = {s: Fraction(w, period) for s, w in weights.items() if w}
-    release = lambda s, j: int(Fraction(j) / share[s])
-    deadline = lambda s, j: -int(-Fraction(j + 1) // share[s])
-    waiting = [(0, s, 0) for s in share]
+    release = lambda s, j: j * period // weights[s]
+    deadline = lambda s, j: -(-(j + 1) * period // weights[s])
+    waiting = [(0, s, 0) for s, w in weights.items() if w]
     ready: list[tuple[int, str, int]] = []
     heapq.heapify(waiting)
     slots = []
@@ -71,6 +71,42 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, d
     return out
 
 
+class Slots:
+    """Where each turn of a stream goes: for every stream its phases in order, as measured on the driver.
+
+    All phases together are as long as their periods; a task looks its rows up in arrays.
+    """
+
+    def __init__(self, parts: list[tuple[int, dict[str, int], dict[str, int], int]]) -> None:
+        self.phases: dict[str, list[tuple[int, int, int, np.ndarray]]] = {}
+        for first, gone, own, _ in parts:
+            at: dict[str, list[int]] = {s: [] for s in own}
+            for k, (s, _) in enumerate(schedule(own)):
+                at[s].append(k)
+            period = sum(own.values())
+            for s in own:
+                self.phases.setdefault(s, []).append((gone[s], first, period, np.array(at[s], np.int64)))
+
+    def of(self, stream: str, turns: np.ndarray) -> np.ndarray:
+        phases = self.phases[stream]
+        which = np.searchsorted([p[0] for p in phases], turns, side="right") - 1
+        out = np.empty(len(turns), np.int64)
+        for k in np.unique(which):
+            gone, first, period, at = phases[k]
+            rounds, nth = np.divmod(turns[which == k] - gone, len(at))
+            out[which == k] = first + rounds * period + at[nth]
+        return out
+
+
+def _by_stream(streams: pd.Series, numbers: pd.Series, function) -> pd.Series:
+    """``function(stream, numbers of its rows)`` brought back to the rows."""
+    out = np.empty(len(streams), np.int64)
+    codes, names = pd.factorize(streams)
+    for k, name in enumerate(names):
+        out[codes == k] = function(name, numbers.to_numpy(np.int64)[codes == k])
+    return pd.Series(out, streams.index)
+
+
 def ranked(docs: DataFrame, source_col: str, weights: dict[str, int], id_col: str) -> DataFrame:
     """Every row (in ``row``) with its mixed source ``stream`` and its rank in it, from 0.
 
@@ -102,8 +138,8 @@ def mix(docs: DataFrame, weights: dict[str, int], block_docs: int = 64, repeat:
     With it, sources that run out begin again (``epoch`` 1, 2 ...) until each has come
     whole at least once, so the shares hold to the end and no row is lost.
 
-    The driver holds a period of the schedule, as long as the sum of the weights, and block counts
-    of the weighted sources.  Rows that repeat are mixed each; an empty table gives no rows;
+    The driver holds a period of the schedule for each phase, as long as the sum of the weights left in it, and block
+    counts of the weighted sources; tasks get both as a table, the plan is the same for any number of sources.  Rows that repeat are mixed each; an empty table gives no rows;
     columns may have any names and types but maps in the order's hash.
     """
     weights = reduced({OTHER: 1} | weights)
@@ -113,27 +149,27 @@ def mix(docs: DataFrame, weights: dict[str, int], block_docs: int = 64, repeat:
     weights = reduced({s: weights[s] for s in counts}) if counts else {}
     block = (F.col("rank") / block_docs).cast("long")
     placed = rows.withColumn("block", block).withColumn("place", (F.col("rank") % block_docs).cast("int"))
+    sent = docs.sparkSession.sparkContext.broadcast
     if repeat and counts:
         # As many periods as the source needs that takes longest; earlier epochs of others follow each other.
         periods = max(-(-n // weights[s]) for s, n in blocks.items())
-        total = F.create_map(*[F.lit(x) for s in counts for x in (s, periods * weights[s])])[F.col("stream")]
-        own = F.create_map(*[F.lit(x) for s, n in blocks.items() for x in (s, n)])[F.col("stream")]
-        epochs = ((total - F.col("block") - 1) / own).cast("long")
-        placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs)))
-        placed = placed.withColumn("turn", F.col("block") + F.col("epoch") * own)
+        lengths = sent({s: (n, periods * weights[s]) for s, n in blocks.items()})
+
+        def last_epochs(streams: pd.Series, number: pd.Series) -> pd.Series:
+            return _by_stream(streams, number, lambda s, n: (lengths.value[s][1] - n - 1) // lengths.value[s][0])
+
+        def turns(streams: pd.Series, number: pd.Series) -> pd.Series:
+            return _by_stream(streams, number, lambda s, n: n * lengths.value[s][0])
+
+        placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.pandas_udf(last_epochs, "long")("stream", "block"))))
+        placed = placed.withColumn("turn", F.col("block") + F.pandas_udf(turns, "long")("stream", "epoch"))
         parts = [(0, dict.fromkeys(counts, 0), weights, periods)]
     else:
         placed = placed.withColumn("epoch", F.lit(0).cast("long")).withColumn("turn", F.col("block"))
         parts = phases(blocks, weights)
-    slot = F.lit(None).cast("long")
-    for first, gone, own, rounds in reversed(parts):
-        at: dict[str, list[int]] = {s: [] for s in own}
-        for k, (s, _) in enumerate(schedule(own)):
-            at[s].append(k)
-        period = sum(own.values())
-        for s in own:
-            turn = F.col("turn") - gone[s]
-            k = (turn % own[s]).cast("int")
-            here = F.lit(first) + (turn / own[s]).cast("long") * period + F.array(*[F.lit(x) for x in at[s]])[k]
-            slot = F.when((F.col("stream") == s) & (turn >= 0) & (turn < rounds * own[s]), here).otherwise(slot)
-    return placed.select("row", "stream", "block", "epoch", slot.cast("long").alias("slot"), "place")
+    table = sent(Slots(parts))
+
+    def slots(streams: pd.Series, turn: pd.Series) -> pd.Series:
+        return _by_stream(streams, turn, lambda s, t: table.value.of(s, t))
+
+    return placed.select("row", "stream", "block", "epoch", F.pandas_udf(slots, "long")("stream", "turn").alias("slot"), "place")

@@ -87,3 +87,48 @@ def test_mix_of_rows_that_repeat_one_source_and_nothing(spark):
     assert mix(spark.createDataFrame(rows, "doc_id bigint, source string"), {}, block_docs=2).count() == 3
     for repeat in (False, True):
         assert mix(spark.createDataFrame([], "doc_id bigint, source string"), WEIGHTS, repeat=repeat).count() == 0
+
+
+def brute_slots(blocks, weights):
+    """Slot by slot: among released blocks the nearest deadline, then the name; period by period, until all blocks are dealt."""
+    out, gone, now = {}, dict.fromkeys(blocks, 0), 0
+    while left := [s for s in blocks if gone[s] < blocks[s]]:
+        own = mixing.reduced({s: weights[s] for s in left})
+        total = sum(own.values())
+        while all(gone[s] < blocks[s] for s in left):
+            nth = dict.fromkeys(left, 0)
+            for slot in range(total):
+                ready = [s for s in left if nth[s] < own[s] and Fraction(nth[s] * total, own[s]) < slot + 1]
+                s = min(ready, key=lambda s: (-(-(nth[s] + 1) * total // own[s]), s))
+                if gone[s] + nth[s] < blocks[s]:
+                    out[s, gone[s] + nth[s]] = now + slot
+                nth[s] += 1
+            now += total
+            for s in left:
+                gone[s] += own[s]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_mix_against_slot_by_slot_scheduling(spark, seed):
+    rng = random.Random(seed)
+    weights = {f"s{i}": rng.randint(1, 5) for i in range(6)}
+    rows = [(i, rng.choice([*weights, "s0", "s0", None])) for i in range(250)]
+    got = mix(spark.createDataFrame(rows, "doc_id bigint, source string"), weights, block_docs=3).collect()
+    sizes = Counter(s or "*" for _, s in rows)
+    want = brute_slots({s: -(-n // 3) for s, n in sizes.items()}, mixing.reduced({"*": 1} | weights))
+    assert {(r.stream, r.block): r.slot for r in got} == want
+
+
+def test_two_thousand_sources_of_different_lengths(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    weights = {f"s{i}": 1 + i % 3 for i in range(2000)}
+    df = spark.range(2000).select(F.explode(F.sequence(F.lit(0), (F.col("id") / 20).cast("int"))).alias("k"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    df = df.select(F.monotonically_increasing_id().alias("doc_id"), "source")
+    start = time.monotonic()
+    rows = mix(df, weights, block_docs=2).select("row.source", "slot", "place").collect()
+    assert time.monotonic() - start < 60
+    assert len(rows) == df.count() and len({(r.slot, r.place) for r in rows}) == len(rows)
