@@ -70,10 +70,22 @@ def scope(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _scopes.remove(paths)
+        _scopes[:] = [other for other in _scopes if other is not paths]
         delete(spark, paths)
 
 
+_stage: list[str] = []
+
+
+def next_stage(spark: SparkSession) -> None:
+    """Delete what the stage before wrote for itself; its result has been written and is all that is read on."""
+    if any(paths is _stage for paths in _scopes):
+        delete(spark, _stage)
+        _stage.clear()
+    else:
+        _scopes.insert(0, _stage)
+
+
 def settled_in(spark: SparkSession, build, name: str) -> DataFrame:
     """``build()`` written, and every table that was written on the way deleted."""
     with scope(spark):

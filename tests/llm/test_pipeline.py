@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from measureframe.llm.store import written
+from measureframe.llm.store import shared_folder
 from pyspark.sql import functions as F
 
 from .test_copies import brute_near
@@ -13,6 +13,13 @@ from .test_packing import checked
 SF = "/root/testdata/sf0.001"
 
 
+def written(df, name):
+    """A stage's result, written by who runs the stages."""
+    path = f"{shared_folder(df.sparkSession)}/result-{name}-{random.randrange(1 << 60)}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "MinHash near-dedup", "mixing sources to target weights", "best-fit packing"]
     source = spark.read.parquet(f"{SF}/documents.parquet")
