@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -39,23 +40,50 @@ class PieceIds(dict):
     def _bytes(self, i: int, piece: str) -> bytes:
         return bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def __missing__(self, word: str) -> list[int]:
-        if not word:
-            raise ValueError
-        if len(self) >= MEMORY:
-            self.clear()
-        ids = self.model.encode(word)
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def ids(self, text: str) -> list[int]:
+    def learn(self, texts: list[str]) -> None:
+        """Encode all words at once that the texts bring and the memory lacks."""
+        if self.by_word:
+            new = list({w for t in texts for w in t.split(" ") if w and w not in self})
+            if len(self) + len(new) > MEMORY:
+                self.clear()
+                new = list({w for t in texts for w in t.split(" ") if w})
+            for word, ids in zip(new, self.model.encode(new, num_threads=1)):
+                self[word] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def ids(self, text: str) -> bytes:
+        """Ids, little-endian, 32 bits each."""
         if self.by_word and "▁" not in text:
             try:
-                return [i for word in text.split(" ") for i in self[word]]
-            except ValueError:
+                return b"".join(map(self.__getitem__, text.split(" ")))
+            except KeyError:
                 pass
-        return self.model.encode(text)
+        return np.array(self.model.encode(text), "<u4").tobytes()
+
+
+class TokenBytes:
+    """The bytes of every id, one after the other."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.sizes = np.array([len(x) for x in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spelled(self, ids: list[np.ndarray], texts: list[bytes]) -> np.ndarray:
+        """Whether the bytes of each list of ids are those of its text."""
+        every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        ends = np.cumsum([len(i) for i in ids])
+        total = np.concatenate([[0], np.cumsum(self.sizes[every])])
+        long = total[ends] - total[ends - [len(i) for i in ids]]
+        good = long == [len(t) for t in texts]
+        # Only texts of the right length are compared, all of them at once.
+        chosen = every[np.repeat(good, [len(i) for i in ids])]
+        sizes = self.sizes[chosen]
+        place = np.repeat(self.starts[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        wrong = self.flat[place] != np.frombuffer(b"".join([t for t, g in zip(texts, good) if g]), np.uint8)
+        sums = np.concatenate([[0], np.cumsum(wrong)])
+        stop = np.cumsum(long[good])
+        good[good] = sums[stop] == sums[stop - long[good]]
+        return good
 
 
 class Encoders:
@@ -68,26 +96,30 @@ class Encoders:
         entry = {i: token for token, i in self.a.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.bytes_a = [bytes(back[c] for c in entry[i]) if i in entry and all(c in back for c in entry[i]) else b"" for i in range(max(entry) + 1)]
         self.bytes_b = self.b.bytes
-        self.sizes_a = np.array([len(x) for x in self.bytes_a], np.int64)
-        self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
-
-    def both(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of space+text by A and of text by B; none where either's bytes are not those of space+text."""
-        none = np.zeros(0, np.int64)
-        if not text:
-            return none, none
-        spaced, ids = " " + text, None
+        self.spelled_a, self.spelled_b = TokenBytes(self.bytes_a), TokenBytes(self.bytes_b)
+        self.sizes_a, self.sizes_b = self.spelled_a.sizes, self.spelled_b.sizes
+
+    def _ids_a(self, text: str) -> bytes:
         if not any(s in text for s in self.a.special):
             try:
-                ids = b"".join(map(self.a.spaced.__getitem__, text.split(" ")))
+                return b"".join(map(self.a.spaced.__getitem__, text.split(" ")))
             except ValueError:
                 pass
-        a = np.frombuffer(self.a.whole(spaced) if ids is None else ids, "<u4").astype(np.int64)
-        b = np.array(self.b.ids(text), np.int64)
-        whole = spaced.encode()
-        if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
-            return none, none
-        return a, b
+        return self.a.whole(" " + text)
+
+    def both(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of space+text by A and of text by B, for each text; none where either's bytes are not those of space+text."""
+        full = [t for t in texts if t]
+        self.b.learn(full)
+        ids = [[np.frombuffer(f(t), "<u4").astype(np.int64) for t in full] for f in (self._ids_a, self.b.ids)]
+        spaced = [(" " + t).encode() for t in full]
+        good = iter(self.spelled_a.spelled(ids[0], spaced) & self.spelled_b.spelled(ids[1], spaced) if full else ())
+        pairs, none = zip(*ids), np.zeros(0, np.int64)
+        out = []
+        for t in texts:
+            found = next(pairs) if t else (none, none)
+            out.append(found if t and next(good) else (none, none))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -184,9 +216,10 @@ def _aligned(path_a: str, path_b: str, groups: str):
                 pa.array([pair], pa.list_(pa.int64())), pa.array([holders], pa.list_(pa.int64()))], names)
 
         for batch in short(batches):
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            texts = batch.column(1).to_pylist()
+            for i, (text, both) in enumerate(zip(texts, own.both(texts))):
                 ids.append(batch.column(0).slice(i, 1))
-                tokens.append(own.both(text))
+                tokens.append(both)
                 size += len(text or "") + 64
                 if size >= BLOCK_BYTES:
                     yield from finished()
