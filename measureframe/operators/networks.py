@@ -7,6 +7,7 @@ the same pass over the rows; only weights and losses leave the tasks.
 
 from __future__ import annotations
 
+import base64
 import math
 import re
 import sys
@@ -16,12 +17,12 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import BarrierTaskContext, StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from measureframe.functions.scalar import from_db, to_db
-from measureframe.operators.learning import group_split, minmax_bounds, minmax_impute
-from measureframe.plans.lineage import settled
+from measureframe.operators.learning import group_split
+from measureframe.plans.ordering import task_rows
 from measureframe.roles import as_category, categories, q, with_columns
 
 # Hidden widths of the four networks, and which of them is the code.
@@ -108,22 +109,6 @@ def matrix(column, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, width)
 
 
-def train_rows(shape, state, x, batch, rate, decay, rng) -> tuple[float, int]:
-    """One local pass of mini-batch RMSprop; ``state`` holds weights and mean squares."""
-    w, v = state
-    total, batches = 0.0, 0
-    order = rng.permutation(len(x))
-    for start in range(0, len(x), batch):
-        loss, g = loss_and_gradient(shape, w, x[order[start:start + batch]])
-        g += decay * w
-        v *= _ALPHA
-        v += (1 - _ALPHA) * g * g
-        w -= rate * g / (np.sqrt(v) + _EPS)
-        total += loss
-        batches += 1
-    return total, batches
-
-
 # Workers get these helpers by value, so they need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -134,59 +119,84 @@ def parameter_grid(
     return list(product(batch_sizes, learning_rates, weight_decays))
 
 
-def _epoch(rows, shape, grid, weights, squares, seed, epoch, train):
-    """(config, position, weighted weight, weighted square) sums of one pass, and losses.
+def _together(values: np.ndarray, tasks: int) -> np.ndarray:
+    """The sum of every task's values, known to all of them."""
+    if tasks == 1:
+        return values
+    gathered = BarrierTaskContext.get().allGather(base64.b64encode(values.tobytes()).decode())
+    return np.sum([np.frombuffer(base64.b64decode(g)) for g in gathered], axis=0).reshape(values.shape)
+
 
-    Position -1 carries the summed loss and the number of batches.
+def _training(shape, grid, weights, squares, seed, first, last, blocks, tasks):
+    """A function of one task: its part in epochs ``first`` to ``last`` of mini-batch RMSprop.
+
+    Rows are dealt into blocks by their hash, and a task holds whole blocks.  An epoch visits the blocks, and
+    the rows of a block, in orders drawn from the seed, so each point of the grid takes the steps of one sequential run on
+    any number of tasks.  In a stage a block's task trains on it and hands weights on to all; the points
+    of the grid follow each other through the blocks, one block apart, so as many tasks work as the grid has
+    points.  The weights of a finished epoch are scored on the held-back rows of all tasks in the stage that
+    begins the next epoch.
     """
-    size = shape.size
-    schema = "config int, pos int, a double, b double, rows double"
+    width, size, epochs = shape.widths[0], shape.size, last - first + 1
 
     def run(batches):
-        state = {c: (weights[c].copy(), squares[c].copy()) for c in range(len(grid))}
-        sums = np.zeros((len(grid), 2))
-        seen = 0
-        for part, table in enumerate(batches):
-            x = matrix(table.column(0), shape.widths[0])
-            seen += len(x)
+        parts = [(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(zero_copy_only=False), matrix(t.column(3), width)) for t in batches]
+        block, h, fits, x = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0), np.zeros(0, bool), np.zeros((0, width)))
+        held, own = x[~fits], {}
+        for k in np.unique(block[fits]).tolist():
+            here = np.flatnonzero(fits & (block == k))
+            own[k] = x[here[np.lexsort((*x[here].T[::-1], h[here]))]]
+        n_held = int(_together(np.array([float(len(held))]), tasks)[0])
+        orders = [np.random.default_rng([seed, e]).permutation(blocks) for e in range(first, last + 1)]
+        state = [(w.copy(), v.copy()) for w, v in zip(weights, squares)]
+        # By point of the grid and epoch: summed loss, mini-batches, summed squares on the held-back rows, and the weights.
+        done = {(c, e): [0.0, 0.0, 0.0, None] for c in range(len(grid)) for e in range(epochs)}
+        for stage in range(epochs * blocks + len(grid)):
+            sent = np.zeros((len(grid), 2 * size + 4))
             for c, (batch, rate, decay) in enumerate(grid):
-                if train:
-                    rng = np.random.default_rng([seed, epoch, c, part])
-                    loss, n = train_rows(shape, state[c], x, batch, rate, decay, rng)
-                else:
-                    loss, n = 0.0, 0
-                    for start in range(0, len(x), batch):
-                        chunk = x[start:start + batch]
-                        loss += float(np.mean((forward(shape, state[c][0], chunk)[-1] - chunk) ** 2))
-                        n += 1
-                sums[c] += loss, n
-        if not seen:
-            return
-        for c in range(len(grid)):
-            pos, a, b = [-1], [sums[c, 0]], [sums[c, 1]]
-            if train:
-                pos += range(size)
-                a += list(state[c][0] * seen)
-                b += list(state[c][1] * seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c] * len(pos), pa.int32()), pa.array(pos, pa.int32()), pa.array(a, pa.float64()),
-                 pa.array(b, pa.float64()), pa.array([float(seen)] * len(pos), pa.float64())],
-                names=["config", "pos", "a", "b", "rows"],
-            )
-
-    found = rows.mapInArrow(run, schema).groupBy("config", "pos").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("rows").alias("rows")
-    )
-    # (1 + weights) rows per configuration, whatever the size of the table.
-    losses = np.full(len(grid), np.nan)
-    new_w, new_v = [w.copy() for w in weights], [v.copy() for v in squares]
-    for r in found.collect():
-        if r["pos"] < 0:
-            losses[r["config"]] = r["a"] / r["b"] if r["b"] else np.nan
-        else:
-            new_w[r["config"]][r["pos"]] = r["a"] / r["rows"]
-            new_v[r["config"]][r["pos"]] = r["b"] / r["rows"]
-    return losses, new_w, new_v
+                epoch, i = divmod(stage - c, blocks)
+                if epoch >= 1 and i == 0 and epoch <= epochs:
+                    sent[c, 0] = np.sum((forward(shape, state[c][0], held)[-1] - held) ** 2)
+                if 0 <= epoch < epochs and (k := int(orders[epoch][i])) in own:
+                    w, v = state[c][0].copy(), state[c][1].copy()
+                    rows = own[k][np.random.default_rng([seed, first + epoch, k]).permutation(len(own[k]))]
+                    for start in range(0, len(rows), batch):
+                        loss, gradient = loss_and_gradient(shape, w, rows[start:start + batch])
+                        descend(w, v, gradient, rate, decay)
+                        sent[c, 1:3] += loss, 1
+                    sent[c, 3], sent[c, 4:4 + size], sent[c, 4 + size:] = 1, w, v
+            known = _together(sent, tasks)
+            for c in range(len(grid)):
+                epoch, i = divmod(stage - c, blocks)
+                if epoch >= 1 and i == 0 and epoch <= epochs:
+                    done[c, epoch - 1][2] = known[c, 0]
+                if 0 <= epoch < epochs:
+                    if known[c, 3]:
+                        state[c] = known[c, 4:4 + size].copy(), known[c, 4 + size:].copy()
+                    done[c, epoch][0] += known[c, 1]
+                    done[c, epoch][1] += known[c, 2]
+                    done[c, epoch][3] = state[c]
+        if tasks == 1 or BarrierTaskContext.get().partitionId() == 0:
+            keys = sorted(done)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([first + e for _, e in keys], pa.int32()), pa.array([c for c, _ in keys], pa.int32()),
+                pa.array([done[k][0] / done[k][1] if done[k][1] else None for k in keys], pa.float64()),
+                pa.array([done[k][2] / (n_held * width) if n_held else None for k in keys], pa.float64()),
+                *(pa.array([done[k][3][part] for k in keys], pa.list_(pa.float64())) for part in (0, 1))],
+                names=["epoch", "config", "fitted", "checked", "weights", "squares"])
+
+    return run
+
+
+def descend(w: np.ndarray, v: np.ndarray, gradient: np.ndarray, rate: float, decay: float) -> None:
+    """One RMSprop step, in place."""
+    g = gradient + decay * w
+    v *= _ALPHA
+    v += (1 - _ALPHA) * g * g
+    w -= rate * g / (np.sqrt(v) + _EPS)
+
+
+_EPOCH_SCHEMA = "epoch int, config int, fitted double, checked double, weights array<double>, squares array<double>"
 
 
 def ae_fit(
@@ -204,45 +214,51 @@ def ae_fit(
     rescale: bool = False,
     model_name: str = "AEModel",
     seed: int = 0,
+    tasks: int | None = None,
 ) -> dict[str, DataFrame]:
     """Train the grid; returns ``loss``, ``models``, ``decoded`` and ``encoded`` tables.
 
-    Each task trains on its own rows, then weights are averaged by row count, epoch
-    by epoch.  Checkpoints are kept every ``checkpoint_interval`` epochs and at the end.
+    One job trains ``checkpoint_interval`` epochs.  Losses and weights are those of one sequential run, however the
+    rows are dealt: rows form blocks of ``spark.measureframe.taskRows`` rows, a task holds blocks in memory, and with more
+    than one the tasks are a barrier stage that passes the weights on from block to block (``_training``).
+    ``tasks`` are as many as blocks, at most as many as run at once.  A lost executor costs the epochs since
+    the last job.  The training loss is the mean over the mini-batches, the validation loss that over the held-back rows.
     """
     spark = df.sparkSession
     feats = list(features)
     shape = ae_spec(network, len(feats))
     grid = parameter_grid(batch_sizes, learning_rates, weight_decays)
     split = group_split(df, grouping, train_share, seed, series, name="_train")
-    low, high = minmax_bounds(split.filter("_train"), feats)
-    scaled = minmax_impute(split, feats, F.col("_train"))
-    vectors = scaled.select("_train", F.array(*[q(f) for f in feats]).alias("_x"))
-    train = vectors.filter("_train").select("_x")
-    held = vectors.filter("not _train").select("_x")
-    train, held = settled(train), settled(held)
+    bounds = split.agg(
+        F.count(F.lit(1)).alias("n"), *[f(F.when(F.col("_train"), q(c))).cast("double") for f in (F.min, F.max) for c in feats]).first()
+    low, high = list(bounds[1:len(feats) + 1]), list(bounds[len(feats) + 1:])
+    scaled = _unit_scaled(split, feats, low, high)
+    blocks = max(1, -(-bounds["n"] // task_rows(df)))
+    tasks = max(1, min(blocks, tasks or spark.sparkContext.defaultParallelism))
+    rows = scaled.select("_train", F.array(*[q(f) for f in feats]).alias("_x")).withColumn("_h", F.xxhash64(F.lit(seed), "_x"))
+    rows = rows.select(F.pmod("_h", F.lit(blocks)).cast("int").alias("_block"), "_h", "_train", "_x")
+    rows = rows.repartition(tasks, "_block") if tasks > 1 else rows.coalesce(1)
+    several = epochs > checkpoint_interval
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK) if several else rows
     weights = [initial_weights(shape, seed) for _ in grid]
     squares = [np.zeros(shape.size) for _ in grid]
     losses, models = [], []
     try:
-        for epoch in range(1, epochs + 1):
-            fitted, weights, squares = _epoch(train, shape, grid, weights, squares, seed, epoch, True)
-            checked, _, _ = _epoch(held, shape, grid, weights, squares, seed, epoch, False)
-            keep = epoch == epochs or epoch % checkpoint_interval == 0
-            for c, (batch, rate, decay) in enumerate(grid):
-                file = f"{model_name}_{batch}_{rate}_{decay}_epoch{epoch:04d}.model" if keep else "---"
-                losses.append((
-                    str(epoch), str(batch), str(rate), str(decay),
-                    float(fitted[c]), None if np.isnan(checked[c]) else float(checked[c]), file,
-                ))
+        for first in range(1, epochs + 1, checkpoint_interval):
+            last = min(epochs, first + checkpoint_interval - 1)
+            train = _training(shape, grid, weights, squares, seed, first, last, blocks, tasks)
+            # One row for each epoch and point of the grid.
+            for r in sorted(rows.mapInArrow(train, _EPOCH_SCHEMA, barrier=tasks > 1).collect(), key=lambda r: (r.epoch, r.config)):
+                batch, rate, decay = grid[r.config]
+                keep = r.epoch == epochs or r.epoch % checkpoint_interval == 0
+                file = f"{model_name}_{batch}_{rate}_{decay}_epoch{r.epoch:04d}.model" if keep else "---"
+                losses.append((str(r.epoch), str(batch), str(rate), str(decay), r.fitted, r.checked, file))
+                weights[r.config], squares[r.config] = np.array(r.weights), np.array(r.squares)
                 if keep:
-                    models.append((
-                        file, network, feats, epoch, int(batch), float(rate), float(decay),
-                        [float(w) for w in weights[c]], low, high,
-                    ))
+                    models.append((file, network, feats, r.epoch, int(batch), float(rate), float(decay), list(r.weights), low, high))
     finally:
-        train.unpersist()
-        held.unpersist()
+        if several:
+            rows.unpersist()
     loss = spark.createDataFrame(losses, (
         "Epoch string, `Batch Size` string, `Learning Rate` string, `Weight Decay` string, "
         "`Training Loss` double, `Validation Loss` double, `Model File` string"
@@ -270,6 +286,14 @@ def ae_fit(
     }
 
 
+def _unit_scaled(df: DataFrame, feats: Sequence[str], low: Sequence[float], high: Sequence[float]) -> DataFrame:
+    """Features on the training rows' ranges, which are known; missing becomes 0."""
+    return with_columns(df, {
+        f: F.coalesce((q(f) - F.lit(low[i])) / F.lit((high[i] - low[i]) or 1.0) if low[i] is not None else F.lit(None), F.lit(0.0))
+        for i, f in enumerate(feats)
+    })
+
+
 def _run_models(df: DataFrame, models: Sequence, feats: Sequence[str]) -> DataFrame:
     """Rows x models with ``_code`` and ``_recon``; one scan for all models.
 

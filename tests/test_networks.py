@@ -86,3 +86,53 @@ def test_noise_level(spark):
 
 def test_networks_copy_amplitude_names():
     assert n.amplitude_columns(["FAD a1", "FAD a2", "FAD t1", "NAD a1%"]) == {"FAD": ["FAD a1", "FAD a2"], "NAD": []}
+
+
+def sequential(rows, seed, width, network, epochs, grid, blocks):
+    """Mini-batch RMSprop in one process, written out plainly; rows are (hash, trains, values)."""
+    shape = n.ae_spec(network, width)
+    rows, out = sorted(rows), {}
+    held = np.array([r[2] for r in rows if not r[1]])
+    parts = [np.array([r[2] for r in rows if r[1] and r[0] % blocks == k]).reshape(-1, width) for k in range(blocks)]
+    for c, (batch, rate, decay) in enumerate(grid):
+        w, v = n.initial_weights(shape, seed), np.zeros(shape.size)
+        for epoch in range(1, epochs + 1):
+            losses = []
+            for k in np.random.default_rng([seed, epoch]).permutation(blocks):
+                x = parts[k][np.random.default_rng([seed, epoch, int(k)]).permutation(len(parts[k]))]
+                for start in range(0, len(x), batch):
+                    loss, g = n.loss_and_gradient(shape, w, x[start:start + batch])
+                    g = g + decay * w
+                    v = 0.99 * v + 0.01 * g * g
+                    w = w - rate * g / (np.sqrt(v) + 1e-8)
+                    losses.append(loss)
+            out[epoch, c] = (np.mean(losses), np.mean((n.forward(shape, w, held)[-1] - held) ** 2))
+    return out
+
+
+@pytest.mark.parametrize("limit, tasks, parts, arrow", [(10**6, None, 3, 10_000), (10**6, 4, 5, 100), (2000, 1, 3, 10_000), (2000, 3, 7, 7)])
+def test_training_equals_one_sequential_run(spark, m, limit, tasks, parts, arrow):
+    """The same losses to 1e-9 however rows are dealt to blocks, tasks, partitions and Arrow batches."""
+    from measureframe.operators.learning import group_split, minmax_impute
+
+    feats, seed = ["nadph_a2p", "photons"], 3
+    split = group_split(m, ["fov", "cell"], 0.7, seed, "treatment", name="_train")
+    scaled = minmax_impute(split, feats, F.col("_train")).select(F.array(*feats).alias("_x"), "_train")
+    rows = [(r[0], r[1], list(r[2])) for r in scaled.select(F.xxhash64(F.lit(seed), "_x"), "_train", "_x").collect()]
+    grid = n.parameter_grid([128, 50], [1e-2], [1e-8])
+    want = sequential(rows, seed, 2, "AE Simulator 1-3", 3, grid, -(-len(rows) // limit))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(arrow))
+    spark.conf.set("spark.measureframe.taskRows", str(limit))
+    try:
+        found = n.ae_fit(
+            m.repartition(parts), feats, ["fov", "cell"], "treatment", "AE Simulator 1-3", epochs=3, batch_sizes=[128, 50],
+            learning_rates=[1e-2], checkpoint_interval=2, seed=seed, tasks=tasks)["loss"].collect()
+    finally:
+        spark.conf.set(key, before)
+        spark.conf.unset("spark.measureframe.taskRows")
+    assert len(found) == 6
+    for r in found:
+        fitted, checked = want[int(r["Epoch"]), [g[0] for g in grid].index(int(r["Batch Size"]))]
+        assert r["Training Loss"] == pytest.approx(fitted, abs=1e-9) and r["Validation Loss"] == pytest.approx(checked, abs=1e-9)
