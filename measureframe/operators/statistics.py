@@ -3,40 +3,42 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
-from functools import reduce
+from decimal import Decimal
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from measureframe.plans.ordering import (
-    average_ranks, cut_points, join_on, running_totals, slice_count, slice_of, task_rows,
-)
+from measureframe.plans.ordering import cut_points, join_on, running_totals, slice_count, slice_of, task_rows
+from measureframe.plans.ranking import ranked
 from measureframe.roles import as_category, as_list, drop_missing, q
 
 # c(alpha) of the critical distance.
 KS_COEFFICIENT = {0.10: 1.22, 0.05: 1.36, 0.025: 1.48, 0.01: 1.63, 0.005: 1.73, 0.001: 1.95}
 KS_TERMS = 100
-#: Longest rank table that is broadcast.
-_BROADCAST_ROWS = 100_000
 #: Distinct values whose shares are held at once, for all labels.
 _KS_VALUES = 4096
 
 
+# Workers get these helpers by value, so they need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str], method: str = "pearson") -> DataFrame:
     """``Feature`` and one column per feature; pairwise complete rows."""
     feats = list(features)
     if method == "pearson":
-        row = _pearson(df, feats)
-    elif method == "spearman":
-        row = _spearman(df, feats)
-    elif method == "kendall":
+        return _square(_pearson(df, feats), feats)
+    if method == "spearman":
+        return _spearman(df, feats)
+    if method == "kendall":
         return _kendall(df, feats)
-    else:
-        raise ValueError("method must be pearson, spearman or kendall")
-    return _square(row, feats)
+    raise ValueError("method must be pearson, spearman or kendall")
 
 
 def _pair(i: int, j: int) -> str:
@@ -111,122 +113,119 @@ def _pearson(df: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 
 def _spearman(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Pearson correlation of average ranks.
-
-    A rank depends on which rows the partner has values for, so a value gets one
-    rank per partner; all of them come from one table of counts per feature.
-    """
+    """Pearson correlation of average ranks; a rank depends on which rows the partner has values for."""
     n = len(feats)
-    data = df.select(*[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
-    totals = data.agg(
-        F.count(F.lit(1)).alias("n"), *[F.count(f"_x{i}").alias(f"_{i}") for i in range(n)],
-        *[F.approx_count_distinct(f"_x{i}").alias(f"_d{i}") for i in range(n)],
-    ).first()
-    # Partners without missing values all see the same rows.
-    full = [totals[f"_{i}"] == totals["n"] for i in range(n)]
-    mask = {(i, j): i if full[j] else j for i in range(n) for j in range(n)}
-    cuts = cut_points(data, data.columns, slice_count(df, totals["n"])) if totals["n"] > task_rows(df) else {}
-    ranked = data
-    for i in range(n):
-        x = f"_x{i}"
-        partners = sorted({mask[i, j] for j in range(n)})
-        counts = data.filter(F.col(x).isNotNull()).groupBy(x).agg(*[
-            F.count(F.col(f"_x{m}")).alias(f"_n{m}") for m in partners
-        ])
-        ranks = average_ranks(counts, [], x, {f"_n{m}": f"_rank{i}_{m}" for m in partners}, cuts.get(x))
-        named = ranks.withColumnRenamed(x, "_value")
-        if totals[f"_d{i}"] <= _BROADCAST_ROWS:
-            # A rank table this short saves moving all rows; a longer one is joined by key.
-            named = F.broadcast(named)
-        ranked = ranked.join(named, F.col(x) == F.col("_value"), "left").drop("_value")
-    # A rank with a mask is present only where the partner is.
-    shown = ranked.select(*[
-        F.when(F.col(f"_x{i}").isNotNull() & F.col(f"_x{m}").isNotNull(), F.col(f"_rank{i}_{m}")).alias(f"_rank{i}_{m}")
-        for i, m in sorted({(i, mask[i, j]) for i in range(n) for j in range(n)})
-    ])
-    # The mean rank of k rows is (k + 1) / 2, whatever the ties.  The number of rows with both
-    # values is not known here, but no more than a good centre is needed.
-    centres = {
-        f"_rank{i}_{m}": (min(totals[f"_{i}"], totals[f"_{m}"]) + 1) / 2
-        for i, m in {(i, mask[i, j]) for i in range(n) for j in range(n)}
-    }
-    return pair_correlations(shown, {
-        _pair(i, j): (f"_rank{i}_{mask[i, j]}", f"_rank{j}_{mask[j, i]}") for i in range(n) for j in range(i, n)
-    }, centres)
+    found = ranked(df, feats)
+    names = sorted({(i, found.partner(i, j)) for i in range(n) for j in range(n)})
+    # The mean rank of k rows is (k + 1) / 2, whatever the ties.
+    centres = {f"_avg{i}_{m}": (found.counts[i, m] + 1) / 2 for i, m in names}
+    row = pair_correlations(found.rows, {
+        _pair(i, j): (f"_avg{i}_{found.partner(i, j)}", f"_avg{j}_{found.partner(j, i)}") for i in range(n) for j in range(i, n)
+    }, centres).first()
+    found.release()
+    return _table(df, feats, {(i, j): row[_pair(i, j)] for i in range(n) for j in range(n)})
 
 
 def _kendall(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Tau-b for every pair of features."""
-    data = df.select(*[q(f).cast("double").alias(f"_x{i}") for i, f in enumerate(feats)])
-    sizes = data.agg(
-        F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in data.columns]
-    ).first()
-    rows = sizes["n"]
-    cuts = cut_points(data, data.columns, slice_count(df, rows)) if rows > task_rows(df) else {}
-    pairs = []
-    for i, j in combinations(range(len(feats)), 2):
-        # The column with fewer values has fewer rank bits; tau is symmetric.
-        y, x = sorted((f"_x{i}", f"_x{j}"), key=lambda c: sizes[c])
-        pairs.append(kendall_tau(data, x, y, cuts).select(
-            F.struct(F.lit(_pair(i, j)).alias("pair"), F.col("tau")).alias("_t")
-        ))
-    # One entry per pair of features.
-    taus = reduce(DataFrame.unionAll, pairs).agg(F.map_from_entries(F.collect_list("_t")).alias("_m"))
-    return _square(taus.select(
-        *[F.try_element_at("_m", F.lit(_pair(i, j))).alias(_pair(i, j)) for i, j in combinations(range(len(feats)), 2)],
-        *[F.lit(1.0).alias(_pair(i, i)) for i in range(len(feats))],
-    ), feats)
-
-
-def kendall_tau(df: DataFrame, x: str, y: str, cuts: dict[str, list[float]] | None = None) -> DataFrame:
-    """Tau-b of two columns, from counts only: (tau).
-
-    y is replaced by its dense rank.  Two points with different y ranks agree in the
-    leading bits of the rank up to one bit, where one has 0 and the other 1.  So for
-    each bit position and each common prefix, the points with a 1 are compared in x
-    with those with a 0: their concordance is a running count along x.  No pair of
-    points is ever formed, and the work is rows x bits.
+    """Tau-b for every pair of features, all pairs in one plan.
+
+    Values are replaced by their places (rows with a smaller value), so rows of a pair fall
+    into groups of neighbouring places of y that a task can hold.  Inside a group points are compared by
+    ``concordance``.  Points of different groups agree in the leading bits of the group's number
+    up to one bit, so for each bit and each common prefix those with a 1 are compared in x with those with
+    a 0, by a running count along x.  No pair of points is ever formed.
     """
-    cuts = cuts or {}
-    points = drop_missing(df.select(q(x).alias("x"), q(y).alias("y")), ["x", "y"])
-    cells = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
-    ones = cells.select("y").distinct().withColumn("one", F.lit(1).cast("long"))
-    rank = running_totals(ones, [], "y", ["one"], cuts.get(y)).select(
-        F.col("y").alias("_y"), (F.col("one_upto") - 1).alias("rank"), F.col("one_total").alias("_distinct")
-    )
-    # The slice of x is found once per cell, before the cells are spread over the bits.
-    spot = slice_of(F.col("x"), cuts[x]) if cuts.get(x) else F.lit(0)
-    placed = cells.withColumn("_spot", spot).join(rank, F.col("y") == F.col("_y"))
-    bits = F.ceil(F.log2(F.greatest(F.col("_distinct"), F.lit(2)).cast("double"))).cast("int")
-    level = F.col("level")
-    spread = placed.select("x", "_spot", "rank", "c", F.explode(F.sequence(F.lit(0), bits - 1)).alias("level"))
-    bit = F.expr("shiftright(rank, level) & 1")
-    sides = spread.groupBy(
-        level, F.expr("shiftright(rank, level + 1)").alias("prefix"), F.col("x"), F.col("_spot")
-    ).agg(
-        F.sum(F.when(bit == 0, F.col("c")).otherwise(0)).alias("zero"),
-        F.sum(F.when(bit == 1, F.col("c")).otherwise(0)).alias("one"),
-    )
-    run = running_totals(
-        sides, ["level", "prefix"], "x", ["zero"], F.col("_spot") if cuts.get(x) else None
-    )
-    # Counts of rows; their products may exceed a long.
-    factor, wide = "decimal(18,0)", "decimal(38,0)"
-    below_minus_above = 2 * F.col("zero_upto") - F.col("zero") - F.col("zero_total")
-    score = run.agg(F.coalesce(
-        F.sum(F.col("one").cast(factor) * below_minus_above.cast(factor)).cast(wide), F.lit(0).cast(wide)
-    ).cast("double")).scalar()
-
-    # All further numbers come from the same counted cells, whose shuffle is reused.
-    def tied(col: str) -> Column:
-        per = cells.groupBy(col).agg(F.sum("c").cast("double").alias("t"))
-        return per.agg(F.coalesce(F.sum(F.col("t") * (F.col("t") - 1) / 2), F.lit(0.0))).scalar()
-
-    n = cells.agg(F.sum("c").cast("double").alias("n"))
-    pairs = F.col("n") * (F.col("n") - 1) / F.lit(2.0)
-    return n.select(
-        F.try_divide(score, F.sqrt(pairs - tied("x")) * F.sqrt(pairs - tied("y"))).alias("tau")
-    )
+    n = len(feats)
+    found = ranked(df, feats)
+    pairs = list(combinations(range(n), 2))
+    limit = max(2, task_rows(df) // 2)
+    shift = limit.bit_length() - 1
+    rows = found.rows.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("pair"), found.below(i).alias("x"), found.below(j).alias("y")) for k, (i, j) in enumerate(pairs)
+    ])).alias("_p")).select("_p.*").filter("x is not null and y is not null") if pairs else None
+    scores = {}
+    if pairs:
+        cells = rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+        most = max(int(found.counts[j, j]) for _, j in pairs)
+        group = F.shiftright("y", shift) * 2
+        if most > limit:
+            # Ties of one y beyond the limit are a group of their own, behind the others with its leading bits; nothing in it is to be compared.
+            hot = rows.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_ties")).filter(F.col("_ties") > limit).select("pair", "y", F.lit(True).alias("_hot"))
+            cells = cells.join(hot, ["pair", "y"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+            group = group + F.col("_hot").cast("long")
+        else:
+            cells = cells.withColumn("_hot", F.lit(False))
+        cells = cells.withColumn("_group", group)
+        inner = cells.filter("not _hot").groupBy("pair", "_group").applyInArrow(_group_score, "pair int, score decimal(38,0)")
+        score = inner.groupBy("pair").agg(F.sum("score").alias("score"))
+        if most > limit:
+            score = score.unionByName(_across_groups(cells, (2 * (most >> shift) + 1).bit_length(), shift)).groupBy("pair").agg(F.sum("score").alias("score"))
+        scores = {r.pair: int(r.score) for r in score.collect()}
+    found.release()
+    taus = {(i, i): 1.0 for i in range(n)}
+    for k, (i, j) in enumerate(pairs):
+        m = int(found.counts[i, j])
+        both = m * (m - 1) / 2
+        spread = math.sqrt(max(0.0, both - found.ties[i, j])) * math.sqrt(max(0.0, both - found.ties[j, i]))
+        taus[i, j] = taus[j, i] = scores.get(k, 0) / spread if spread else None
+    return _table(df, feats, taus)
+
+
+def _table(df: DataFrame, feats: Sequence[str], values: dict) -> DataFrame:
+    return df.sparkSession.createDataFrame(
+        [(f, *(values[i, j] for j in range(len(feats)))) for i, f in enumerate(feats)],
+        T.StructType([T.StructField("Feature", T.StringType(), False), *(T.StructField(f, T.DoubleType()) for f in feats)]))
+
+
+def concordance(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> int:
+    """Concordant minus discordant pairs of points with multiplicities; ties in x or y count for nothing.
+
+    Bit by bit of y, from the highest: among points with one prefix, those with a 1 are compared in x with those
+    with a 0.  Points stay sorted by x inside a prefix.
+    """
+    y = np.unique(y, return_inverse=True)[1]
+    order = np.argsort(x, kind="stable")
+    x, y, c = x[order], y[order], c[order].astype(np.int64)
+    score = 0
+    for level in range(int(y.max()).bit_length() - 1, -1, -1) if len(y) else ():
+        prefix, one = y >> (level + 1), (y >> level) & 1
+        if level + 1 < int(y.max()).bit_length():
+            order = np.argsort(prefix, kind="stable")
+            x, y, c, prefix, one = x[order], y[order], c[order], prefix[order], one[order]
+        zeros = np.concatenate([[0], np.cumsum(np.where(one == 0, c, 0))])
+        first = np.flatnonzero(np.concatenate([[True], (prefix[1:] != prefix[:-1]) | (x[1:] != x[:-1])]))
+        ends = np.append(first[1:], len(x))
+        bounds = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+        part = np.searchsorted(bounds, first, side="right") - 1
+        begin, end = zeros[bounds][part], zeros[np.append(bounds[1:], len(x))][part]
+        ones = np.add.reduceat(np.where(one == 1, c, 0), first)
+        weight = (zeros[first] - begin) - (end - zeros[ends])
+        # Products of counts may exceed 64 bits in sum, not each.
+        score += sum(int(s) for s in np.add.reduceat(ones * weight, np.arange(0, len(ones), 1024)))
+    return score
+
+
+def _group_score(group: pa.Table) -> pa.Table:
+    columns = (group.column(c).to_numpy() for c in ("x", "y", "c"))
+    score = Decimal(concordance(*columns))
+    return pa.table({"pair": group.column("pair").slice(0, 1).combine_chunks(), "score": pa.array([score], pa.decimal128(38, 0))})
+
+
+def _across_groups(cells: DataFrame, bits: int, shift: int) -> DataFrame:
+    """(pair, score) of the points in different groups, bit by bit of the group's number."""
+    spread = cells.select("pair", "x", "_group", "c", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level"))
+    bit = F.expr("shiftright(_group, level) & 1")
+    sides = spread.groupBy("pair", "level", F.expr("shiftright(_group, level + 1)").alias("prefix"), "x").agg(
+        F.sum(F.when(bit == 0, F.col("c")).otherwise(0)).alias("zero"), F.sum(F.when(bit == 1, F.col("c")).otherwise(0)).alias("one"))
+    # Places cut x into slices of equal numbers of rows.
+    run = running_totals(sides, ["pair", "level", "prefix"], "x", ["zero"], F.shiftright("x", shift))
+    weight = 2 * F.col("zero_upto") - F.col("zero") - F.col("zero_total")
+    return run.groupBy("pair").agg(F.sum(F.col("one").cast("decimal(18,0)") * weight.cast("decimal(18,0)")).cast("decimal(38,0)").alias("score"))
+
+
+def kendall_tau(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Tau-b of two columns: (tau)."""
+    return _kendall(df, [x, y]).filter(F.col("Feature") == x).select(q(y).alias("tau"))
 
 
 def ks_test(

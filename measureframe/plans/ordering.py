@@ -10,7 +10,7 @@ group those rows belong to.  They decide where the work is done, not the result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -235,19 +235,3 @@ def counted_quantiles(
         return found
     # Groups in which every value is missing have no counts; they keep their row.
     return join_on(df.select(*by).distinct(), found, keys, "left")
-
-
-def average_ranks(
-    counts: DataFrame, keys: Sequence[str], order: str, n: Mapping[str, str],
-    cuts: Sequence[float] | None = None,
-) -> DataFrame:
-    """Average rank of each distinct value; ``n`` maps count columns to rank columns."""
-    run = running_totals(counts, keys, order, list(n), cuts)
-    return run.select(
-        *[q(c) for c in counts.columns if c not in n],
-        *[
-            # ranks (upto - n + 1) ... upto share their mean
-            (q(f"{c}_upto") - (q(c) - F.lit(1)) / F.lit(2.0)).alias(rank)
-            for c, rank in n.items()
-        ],
-    )

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 
 from measureframe.operators import statistics as s
+from measureframe.plans import ranking
 
 FEATURES = ["nadph_a2p", "photons", "fad_a1p"]
 
@@ -23,7 +24,8 @@ def tau_b(x, y):
 
 
 @pytest.mark.parametrize("small", ["10", "1000000"])
-def test_correlations_pairwise_complete(m, spark, small):
+def test_correlations_pairwise_complete(m, spark, small, monkeypatch):
+    monkeypatch.setattr(ranking, "TASK_VALUES", 50 * int(small))
     spark.conf.set("spark.measureframe.taskRows", small)
     try:
         pdf = m.toPandas()[FEATURES]
@@ -56,6 +58,39 @@ def test_kendall_against_all_pairs(spark, small):
         s.correlation_matrix(df, ["x"], "other")
 
 
+@pytest.mark.parametrize("small", ["20", "1000000"])
+def test_kendall_and_spearman_with_missing_values_and_hot_ties(spark, small, monkeypatch):
+    """A third of each column is one value, other places are missing; groups are smaller than the ties."""
+    monkeypatch.setattr(ranking, "TASK_VALUES", 30)
+    rng = np.random.default_rng(8)
+    cols = {}
+    for k, name in enumerate("xyzw"):
+        v = rng.integers(0, 50, 240).astype(float) + (cols["x"] if k == 1 else 0)
+        v[rng.random(240) < 0.33] = 17.0
+        if k:
+            v[rng.random(240) < 0.1 * k] = np.nan
+        cols[name] = v
+    pdf = pd.DataFrame(cols)
+    spark.conf.set("spark.measureframe.taskRows", small)
+    try:
+        got = {k: s.correlation_matrix(spark.createDataFrame(pdf), list("xyzw"), k).toPandas().set_index("Feature") for k in ("kendall", "spearman")}
+    finally:
+        spark.conf.unset("spark.measureframe.taskRows")
+    for a, b in itertools.permutations("xyzw", 2):
+        both = pdf[[a, b]].dropna()
+        assert got["kendall"].loc[a, b] == pytest.approx(tau_b(both[a].to_numpy(), both[b].to_numpy()))
+        assert got["spearman"].loc[a, b] == pytest.approx(both.rank().corr().iloc[0, 1])
+
+
+def test_concordance_against_all_pairs():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        k = rng.integers(1, 40)
+        x, y, c = rng.integers(0, 9, k), rng.integers(0, 12, k), rng.integers(1, 4, k)
+        want = sum(int(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) * c[i] * c[j]) for i in range(k) for j in range(i))
+        assert s.concordance(x, y, c) == want
+
+
 def test_constant_column_has_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert s.correlation_matrix(df, ["x", "y"]).first()["y"] is None
