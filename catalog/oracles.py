@@ -200,9 +200,8 @@ def _corr_pairs(feats: list[str], expr) -> str:
     return " UNION ALL ".join(rows)
 
 
-def _spearman() -> str:
+def _spearman(feats: list[str]) -> str:
     """Ranks among the rows with both values, pair by pair."""
-    feats = _FEATURES
     ctes, cells = [], {}
     for i, a in enumerate(feats):
         for b in feats[i:]:
@@ -240,6 +239,28 @@ def _kendall() -> str:
     return _m(" UNION ALL ".join(rows), *ctes)
 
 
+def _kendall_continuous() -> str:
+    """One feature of each pair has few values: for each of them, running counts along the other feature."""
+    feats = ["nadph_t2", "photons", "nadph_a2p"]
+    ctes, cells = [], {(f, f): "1.0" for f in feats}
+    for i, a in enumerate(feats):
+        for b in feats[i + 1:]:
+            n = f"{a}_{b}"
+            ctes += [
+                f"c_{n} AS (SELECT {a} AS x, {b} AS y, count(*) AS c FROM m WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2)",
+                f"g_{n} AS (SELECT x, v, sum(CASE WHEN y = v THEN c ELSE 0 END) AS z, sum(CASE WHEN y > v THEN c ELSE 0 END) AS o "
+                f"FROM c_{n}, (SELECT DISTINCT y AS v FROM c_{n}) GROUP BY x, v)",
+                f"s_{n} AS (SELECT sum(o * (2 * upto - z - total)) AS s FROM (SELECT o, z, sum(z) OVER (PARTITION BY v ORDER BY x) AS upto, "
+                f"sum(z) OVER (PARTITION BY v) AS total FROM g_{n}))",
+                f"t_{n} AS (SELECT (SELECT sum(c) * (sum(c) - 1) / 2 FROM c_{n}) AS n0, "
+                f"(SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(c) AS t FROM c_{n} GROUP BY x)) AS n1, "
+                f"(SELECT sum(t * (t - 1) / 2) FROM (SELECT sum(c) AS t FROM c_{n} GROUP BY y)) AS n2)",
+            ]
+            cells[a, b] = cells[b, a] = f"(SELECT round(s / (sqrt(n0 - n1) * sqrt(n0 - n2)), 6) FROM s_{n}, t_{n})"
+    rows = [f"SELECT '{a}' AS \"Feature\", " + ", ".join(f"{cells[a, b]} AS {b}" for b in feats) for a in feats]
+    return _m(" UNION ALL ".join(rows), *ctes)
+
+
 def _ks(source: str, x: str, comp: str, groups: list[str], prefix: str) -> str:
     g = ", ".join(groups)
     gs = (g + ", ") if g else ""
@@ -515,8 +536,10 @@ def all_oracles() -> dict[str, str]:
         "WHERE x IS NOT NULL GROUP BY treatment, fov")
 
     o["corr_pearson"] = _m(_corr_pairs(_FEATURES, lambda a, b: f"corr({a}, {b})"))
-    o["corr_spearman"] = _spearman()
+    o["corr_spearman"] = _spearman(_FEATURES)
+    o["corr_spearman_continuous"] = _spearman(["nadph_t2", "fad_t2", "photons"])
     o["corr_kendall"] = _kendall()
+    o["corr_kendall_continuous"] = _kendall_continuous()
     o["ks_statistic"] = _ks("lineitem", "l_extendedprice", "l_returnflag", [], "WITH")
     o["ks_default"] = _ks("m", "photons", "treatment", ["fov"], f"WITH m AS ({MEASUREMENT_SQL}),")
     lines = "(SELECT l_extendedprice, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS l_quantity FROM lineitem)"

@@ -546,6 +546,16 @@ def corr_kendall(spark, sf):
         measurements(spark, sf), ["nadph_a2p", "photons", "fad_a1p"], "kendall"))
 
 
+@query
+def corr_spearman_continuous(spark, sf):
+    return rounded(statistics.correlation_matrix(measurements(spark, sf), ["nadph_t2", "fad_t2", "photons"], "spearman"))
+
+
+@query
+def corr_kendall_continuous(spark, sf):
+    return rounded(statistics.correlation_matrix(measurements(spark, sf), ["nadph_t2", "photons", "nadph_a2p"], "kendall"))
+
+
 @query
 def ks_statistic(spark, sf):
     out = statistics.ks_test(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag", pvalue="asymptotic")
