@@ -21,6 +21,8 @@ BANDS, ROWS = 48, 5
 HUBS, MORE_HUBS = 32, 256
 #: Counters, a power of two, that tell common shingles from rare ones.
 COUNTERS = 1 << 20
+#: Bits of the parity map of a set, a multiple of 64.
+PARITY = 512
 
 
 def _permuted(x: np.ndarray, seed: tuple[int, int]) -> np.ndarray:
@@ -137,30 +139,42 @@ def _rarity(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, width: int) -> DataFrame:
-    """bucket, node, n, indexed: the rarest shingles of each node, as many as decide a link.
+    """bucket, node, n, indexed, parity: the rarest shingles of each node, as many as decide a link.
 
     In one order of all shingles, rare ones first, two sets of sizes m <= n with a similarity of 3/4 share one that is among the
-    first m - ceil(6/7 m) + 1 of the smaller (``indexed``) and the first n - ceil(3/4 n) + 1 of the larger.
+    first m - ceil(6/7 m) + 1 of the smaller (``indexed``) and the first n - ceil(3/4 n) + 1 of the larger.  A bit of
+    ``parity`` tells whether an odd number of shingles falls on it.
     """
     sent = texts.sparkSession.sparkContext.broadcast(_rarity(texts, width))
 
     def run(batches):
         memo = WordHashes()
         for batch in short(batches):
-            parts, sizes, indexed = [], [], []
+            parts, sizes, indexed, parity = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(memo.of(lower_words(text)), width)
                 n = len(own)
+                odd = np.bincount((own >> np.uint64(32) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 own = own[np.lexsort((own, sent.value[_counter(own)]))][: n + (-3 * n // 4) + 1]
                 parts.append(own)
                 sizes.append(n)
                 indexed.append(np.arange(len(own)) < n + (-6 * n // 7) + 1)
             times = [len(p) for p in parts]
+            maps = np.repeat(np.stack(parity), times, axis=0)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(parts)), times))),
-                pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(np.concatenate(indexed))], ["bucket", "node", "n", "indexed"])
+                pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(np.concatenate(indexed)),
+                pa.ListArray.from_arrays(np.arange(len(maps) + 1, dtype=np.int32) * maps.shape[1], maps.ravel())], ["bucket", "node", "n", "indexed", "parity"])
 
-    return texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint, indexed boolean")
+    return texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint, indexed boolean, parity array<bigint>")
+
+
+def _may_share(n: str, other_n: str, parity: str, other_parity: str):
+    """Whether the sets may have the wanted similarity: each bit that differs is a shingle that only one of them has, at least."""
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.get(parity, F.lit(k)).bitwiseXOR(F.get(other_parity, F.lit(k)))) for k in range(PARITY // 64)])
+    both = F.col(n) + F.col(other_n)
+    return both - apart >= 2 * F.ceil(3 * both / 7)
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -183,8 +197,8 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
     rare shingle, as sets with the wanted similarity must (``_prefixes``); strangers with a common passage share none.  In
     every group of nodes by such a shingle that has several components, some indexed members of its smallest components are hubs:
     they are tested against the members of other components and leave the group, until no indexed member is
-    left or the group is one component.  A pair is left out only when its components are joined already, or sizes or
-    shingles exclude the link; a round makes pairs in proportion to the members.
+    left or the group is one component.  A pair is left out only when its components are joined already, or sizes,
+    shingles or parity maps (``_may_share``) exclude the link for certain; a round makes pairs in proportion to the members.
     """
     rows = reps.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
     shared = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -212,19 +226,19 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
         # Few rows a group leave each task, so no group is gathered for its ranks.
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("part", "node"))
         chosen = written(placed.filter("indexed").withColumn("nth", order).filter(F.col("nth") <= hubs).select(
-            "bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root")), "hubs")
+            "bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("parity").alias("hub_parity")), "hubs")
         if not chosen.limit(1).count():
             return roots
         # The smaller set of a pair is the indexed one.
         decides = (F.col("hub_n") <= F.col("n")) | F.col("indexed")
-        pairs = placed.join(chosen, "bucket").filter("root != hub_root").filter(decides).filter(_alike_in_size("n", "hub_n")).select(
+        pairs = placed.join(chosen, "bucket").filter("root != hub_root").filter(decides).filter(_alike_in_size("n", "hub_n")).filter(_may_share("n", "hub_n", "parity", "hub_parity")).select(
             F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         before = reduce(DataFrame.unionAll, tested)
         fresh = written(pairs.distinct().join(before, ["a", "b"], "left_anti"), "tested")
         tested = [written(before.unionAll(fresh), "tested")]
         roots = _merged(roots, confirmed(fresh, texts, width))
         gone = chosen.select("bucket", F.col("hub").alias("node"))
-        groups, hubs = placed.select("bucket", "node", "n", "indexed").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
+        groups, hubs = placed.select("bucket", "node", "n", "indexed", "parity").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
