@@ -634,6 +634,21 @@ def kmeans_sizes(spark, sf):
     return summary.group_counts(out, "Cluster")
 
 
+@query
+def kmeans_nearest(spark, sf):
+    """Rows, clusters, and rows that lie nearer to another cluster's mean than to their own's."""
+    feats = ["nadph_a2p", "photons"]
+    out = learning.standardize(learning.kmeans(measurements(spark, sf), feats, 3, tol=0.0), feats)
+    z = [f"{f}__standardized" for f in feats]
+    means = out.groupBy("Cluster").agg(*[F.avg(c).alias(f"_{c}") for c in z])
+    centres = means.agg(F.collect_list(F.struct("Cluster", *[F.col(f"_{c}").alias(c) for c in z]))).scalar()
+    apart = F.transform("_means", lambda m: F.struct(sum((F.pow(F.col(c) - m[c], F.lit(2)) for c in z), F.lit(0.0)).alias("d"), m["Cluster"].alias("c")))
+    own = F.filter(F.col("_apart"), lambda a: a["c"] == F.col("Cluster"))
+    far = F.get(own, F.lit(0))["d"] > F.array_min("_apart")["d"] + 1e-9
+    return out.select("Cluster", *z, centres.alias("_means")).select("Cluster", apart.alias("_apart")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("Cluster").alias("clusters"), F.count_if(far).alias("misplaced"))
+
+
 @query
 def forest_importance(spark, sf):
     m = measurements(spark, sf)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,6 +21,10 @@ from measureframe.roles import (
 )
 
 
+# Workers get these helpers by value, so they need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def standardize(df: DataFrame, features: Sequence[str], sep: str = SEP) -> DataFrame:
     """Append ``<feature>`` + ``standardized``: z-scores with the population deviation."""
     stats = df.agg(F.struct(
@@ -84,11 +90,64 @@ def pca(
     return scored.select(*out), explained
 
 
+def _sums(width: int, centres: list[np.ndarray]):
+    """Per start and cluster: counts, sums of the points and of their squared distances, over a task's rows."""
+    def run(batches):
+        total = [np.zeros((len(c), width + 2)) for c in centres]
+        for batch in batches:
+            x, n = _points(batch, width)
+            for s, c in enumerate(centres):
+                apart = _squared(x, c)
+                label = apart.argmin(axis=1)
+                values = np.column_stack([n, x * n[:, None], apart[np.arange(len(x)), label] * n])
+                for k in range(values.shape[1]):
+                    total[s][:, k] += np.bincount(label, values[:, k], len(c))
+        flat = np.concatenate([t.ravel() for t in total])
+        yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.float64()))], names=["sums"])
+
+    return run
+
+
+def _points(batch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(batch.column(0).flatten(), np.float64).reshape(-1, width), batch.column(1).to_numpy().astype(np.float64)
+
+
+def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of all points from all centres."""
+    return sum((x[:, i:i + 1] - centres[None, :, i]) ** 2 for i in range(x.shape[1]))
+
+
+def _drawn(width: int, centres: list[np.ndarray], squares: bool, seed: int):
+    """Per start, a task's point with the largest key; the largest of all is drawn in proportion to count x squared distance.
+
+    Without ``squares`` all points that are no centre yet are drawn in proportion to their counts.  The key is log(u) / weight with u from a hash of the point, so a rerun, or other partitions, draw the same.
+    """
+    def run(batches):
+        best: list[tuple[float, list[float]]] = [(-np.inf, [])] * len(centres)
+        for batch in batches:
+            x, n = _points(batch, width)
+            h = batch.column(2).to_numpy().view(np.uint64)
+            for s, c in enumerate(centres):
+                far = _squared(x, c).min(axis=1) if len(c) else np.ones(len(x))
+                weight = n * (far if squares else far > 0)
+                mixed = h ^ np.uint64((seed * 1_000_003 + s * 8191 + len(c) * 131 + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                    mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+                u = ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+                key = np.where(weight > 0, np.log(u) / np.where(weight > 0, weight, 1.0), -np.inf)
+                if len(key) and key.max() > best[s][0]:
+                    best[s] = float(key.max()), x[int(key.argmax())].tolist()
+        yield pa.RecordBatch.from_arrays([
+            pa.array(range(len(best)), pa.int32()), pa.array([k for k, _ in best]), pa.array([p for _, p in best], pa.list_(pa.float64()))], names=["start", "key", "point"])
+
+    return run
+
+
 def kmeans(
     df: DataFrame,
     features: Sequence[str],
     n_clusters: int = 2,
-    init: str = "k-means||",
+    init: str = "k-means++",
     n_init: int = 4,
     max_iter: int = 300,
     tol: float = 1e-4,
@@ -97,31 +156,55 @@ def kmeans(
 ) -> DataFrame:
     """Label ``Cluster 1``... on z-scores: the cheapest of ``n_init`` starts.
 
-    ``tol`` bounds the squared shift of the centres, on features of variance 1.
-    Clusters are numbered by their sorted centres.
+    Distinct points with their counts are kept once.  Every pass serves all starts: one for each centre that is
+    drawn (``init``: ``k-means++``, in proportion to the squared distance from the centres so far, or ``random``), then
+    one for each iteration, in which a task hands over the sums of its points per start and cluster.  ``tol`` bounds
+    the squared shift of the centres, on features of variance 1; 0 goes on until no centre moves.
+    Clusters are numbered by their sorted centres; a cluster that runs empty keeps its centre.
     """
-    feats = list(features)
-    rows = settled(_z_vectors(df, feats).select("_z"))
+    if init not in ("k-means++", "random"):
+        raise ValueError("init must be 'k-means++' or 'random'")
+    feats, width = list(features), len(features)
+    complete = drop_missing(df, feats)
+    stats = complete.agg(*[F.avg(q(f)) for f in feats], *[F.stddev_pop(q(f)) for f in feats]).first()
+    z = [(q(f).cast("double") - F.lit(stats[i])) / F.lit(stats[width + i] or 1.0) for i, f in enumerate(feats)]
+    points = complete.select(F.array(*z).alias("_z")) if stats[0] is not None else complete.select(F.array(*[F.lit(0.0)] * width).alias("_z"))
+    rows = settled(points.groupBy("_z").agg(F.count(F.lit(1)).alias("_n")).withColumn("_h", F.xxhash64("_z")))
     try:
-        models = [
-            KMeans(
-                featuresCol="_z", predictionCol="_k", k=n_clusters, maxIter=max_iter, tol=tol**0.5,
-                seed=seed + i, initMode="random" if init == "random" else "k-means||", solver="block",
-            ).fit(rows)
-            for i in range(n_init)
-        ]
+        starts = [np.zeros((0, width)) for _ in range(n_init)]
+        for _ in range(n_clusters):
+            # One row for each task and start.
+            best: dict[int, tuple] = {}
+            for r in rows.mapInArrow(_drawn(width, starts, init == "k-means++", seed), "start int, key double, point array<double>").collect():
+                if r.point and (r.start not in best or (r.key, r.point) > best[r.start]):
+                    best[r.start] = r.key, r.point
+            # Fewer distinct points than clusters: there is nothing more to draw.
+            starts = [np.vstack([c, best[s][1]]) if s in best else c for s, c in enumerate(starts)]
+        costs, moving = [np.inf] * n_init, [s for s in range(n_init) if len(starts[s])]
+        for _ in range(max_iter + 1):
+            if not moving:
+                break
+            flat = np.sum([r.sums for r in rows.mapInArrow(_sums(width, [starts[s] for s in moving]), "sums array<double>").collect()], axis=0)
+            still = []
+            for s in moving:
+                part, flat = flat[:len(starts[s]) * (width + 2)].reshape(-1, width + 2), flat[len(starts[s]) * (width + 2):]
+                costs[s] = part[:, -1].sum()
+                new = np.where(part[:, :1] > 0, part[:, 1:-1] / np.maximum(part[:, :1], 1), starts[s])
+                shift = ((new - starts[s]) ** 2).sum()
+                if shift > tol:
+                    starts[s] = new
+                    still.append(s)
+            moving = still
     finally:
         rows.unpersist()
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    centres = [tuple(c) for c in best.clusterCenters()]
-    number = {old: new + 1 for new, old in enumerate(sorted(range(len(centres)), key=lambda i: centres[i]))}
+    best_start = min(range(n_init), key=lambda s: costs[s])
+    centres = sorted(map(tuple, starts[best_start].tolist()))
     label = F.lit(None).cast("string")
-    for old, new in number.items():
-        label = F.when(F.col("_k") == old, F.lit(f"Cluster {new}")).otherwise(label)
+    if centres:
+        apart = F.array(*[sum(((x - F.lit(c[i])) * (x - F.lit(c[i])) for i, x in enumerate(z)), F.lit(0.0)) for c in centres])
+        label = F.concat(F.lit("Cluster "), F.array_position(apart, F.array_min(apart)).cast("string"))
     cats = [c for c in categories(df) if c != name]
-    return best.transform(_z_vectors(df, feats)).select(
-        *[q(c) for c in cats], as_category(label, name), *[q(f) for f in feats]
-    )
+    return complete.select(*[q(c) for c in cats], as_category(label, name), *[q(f) for f in feats])
 
 
 def label_encode(df: DataFrame, columns: str | Sequence[str], suffix: str = " code") -> tuple[DataFrame, object]:

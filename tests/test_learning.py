@@ -36,6 +36,25 @@ def test_kmeans_finds_two_lumps(spark):
     assert out.columns == ["k", "Cluster", "a", "b"]
 
 
+@pytest.mark.parametrize("init", ["k-means++", "random"])
+def test_kmeans_does_not_depend_on_partitions_and_copies_count(spark, init):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b)) for c in ((0, 0), (6, 0), (0, 7), (9, 9)) for a, b in rng.normal(c, 0.5, (60, 2))] * 2
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = [sorted(map(tuple, learning.kmeans(df.repartition(k), ["a", "b"], 4, init=init, n_init=6, tol=0.0, seed=2).collect())) for k in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    by = {}
+    for name, a, b in got[0]:
+        by.setdefault(name, []).append((a, b))
+    assert sorted(len(v) for v in by.values()) == [120] * 4
+
+
+def test_kmeans_of_fewer_points_than_clusters_and_of_nothing(spark):
+    df = spark.createDataFrame([(1.0, 1.0)] * 3 + [(2.0, 1.0)], "a double, b double")
+    assert sorted(r["Cluster"] for r in learning.kmeans(df, ["a", "b"], 5).collect()) == ["Cluster 1"] * 3 + ["Cluster 2"]
+    assert learning.kmeans(df.limit(0), ["a", "b"], 2).count() == 0
+
+
 def test_forest(m):
     df = m.withColumn("kind", F.when(F.col("nadph_t2") > 4000, "hi").otherwise("lo"))
     scores, accuracy = learning.random_forest(df, FEATURES, "kind", n_trees=10, max_depth=4)
