@@ -550,6 +550,8 @@ def all_oracles() -> dict[str, str]:
         "SELECT row_key, round(nadph_t2, 6) AS nadph_t2, photons, " + ", ".join(
             f"round(({f} - (SELECT avg({f}) FROM m)) / (SELECT stddev_pop({f}) FROM m), 6) + 0.0 AS {f}__standardized"
             for f in ("nadph_t2", "photons")) + " FROM m")
+    o["line_bootstrap_order"] = _m(
+        "SELECT treatment, fov, count(*) AS n, round(avg(nadph_t2), 6) AS mean, true AS inside FROM m WHERE nadph_t2 IS NOT NULL GROUP BY treatment, fov")
     o["kmeans_nearest"] = _m("SELECT count(*) AS n, 3 AS clusters, 0 AS misplaced FROM m WHERE nadph_a2p IS NOT NULL AND photons IS NOT NULL")
     o["minmax_impute"] = _m(
         "SELECT row_key, treatment, " + ", ".join(

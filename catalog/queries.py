@@ -502,6 +502,14 @@ def line_bootstrap(spark, sf):
     return distributions.line_ci(measurements(spark, sf), "treatment", "photons", "fov", 95, "bootstrap")
 
 
+@query
+def line_bootstrap_order(spark, sf):
+    """The parts of the bootstrap line that do not depend on the draws."""
+    out = distributions.line_ci(measurements(spark, sf), "treatment", "nadph_t2", "fov", 95, "bootstrap")
+    inside = (F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))
+    return rounded(out.select("treatment", "fov", "n", "mean", inside.alias("inside")))
+
+
 @query
 def scatter_points(spark, sf):
     return rounded(distributions.scatter_points(measurements(spark, sf), "photons", "nadph_t2", "treatment"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from measureframe.operators.reshape import label_values
@@ -17,6 +19,12 @@ from measureframe.roles import as_list, drop_missing, inf_to_null, pick_features
 
 BINS = 100
 GRID = 200
+#: Values whose kernels are evaluated at once, and weights that are drawn at once.
+_KERNEL_ROWS, _DRAWS = 4096, 2_000_000
+
+# Workers get these helpers by value, so they need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _group_title(keys: Sequence[str]) -> Column:
     if not keys:
@@ -161,13 +169,49 @@ def kde_long(
         placed = counts.withColumn("_row", row).filter(F.col("_row").isNotNull()).select(
             "_x", "_c", *[F.col("_row")[c].alias(c) for c in ("_n", "_h", "_lo", "_hi")]
         )
-    grid = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
-    x = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("i") / F.lit(float(points - 1))
-    z = (x - F.col("_x")) / F.col("_h")
-    norm = F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))
-    return grid.select(
-        *by, "i", x.alias("x"), (F.col("_c") * F.exp(z * z * F.lit(-0.5)) / norm).alias("_y")
-    ).groupBy(*by, F.col("i")).agg(F.max("x").alias("x"), F.sum("_y").alias("y"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    schema = T.StructType([
+        *[T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)], T.StructField("i", T.IntegerType()),
+        T.StructField("x", T.DoubleType()), T.StructField("_y", T.DoubleType())])
+    sums = placed.select(*[q(k).alias(n) for k, n in zip(keys, names)], "_x", "_c", "_n", "_h", "_lo", "_hi").mapInPandas(
+        _kernel_sums(names, points), schema)
+    found = sums.groupBy(*names, "i").agg(F.max("x").alias("x"), F.sum("_y").alias("y"))
+    return found.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "i", "x", "y")
+
+
+def _kernel_sums(names: Sequence[str], points: int):
+    """A function on counted values: the density sums of each group that a task has, on the group's grid."""
+    share = np.arange(points) / (points - 1) if points > 1 else np.zeros(1)
+
+    def run(batches):
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+        def rows():
+            for label, (x, y) in held.items():
+                yield pd.DataFrame({**{n: [v] * points for n, v in zip(names, label)}, "i": np.arange(points, dtype=np.int32), "x": x, "_y": y})
+            held.clear()
+
+        for pdf in batches:
+            groups = pdf.groupby(list(names), sort=False, dropna=False) if names else [((), pdf)]
+            for label, own in groups:
+                n, h, low, high = (own[c].iloc[0] for c in ("_n", "_h", "_lo", "_hi"))
+                x = low + (high - low) * share
+                y = np.zeros(points)
+                values, counts = own["_x"].to_numpy(), own["_c"].to_numpy(np.float64)
+                for start in range(0, len(values), _KERNEL_ROWS):
+                    z = (x[None, :] - values[start:start + _KERNEL_ROWS, None]) / h
+                    y += counts[start:start + _KERNEL_ROWS] @ np.exp(-0.5 * z * z)
+                y /= n * h * math.sqrt(2 * math.pi)
+                key = label if isinstance(label, tuple) else (label,)
+                if key in held:
+                    held[key][1].__iadd__(y)
+                else:
+                    held[key] = x, y
+                if len(held) > 1000:  # bounded memory, whatever the number of groups
+                    yield from rows()
+        yield from rows()
+
+    return run
 
 
 def kde(
@@ -292,9 +336,27 @@ def line_ci(
     )
 
 
+def poisson_draws(h: np.ndarray, c: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(c) weights (rows x replicates): the quantile of a uniform number that the hash and the replicate give."""
+    x = h[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    out = np.empty(u.shape)
+    # Rows with one count share a table; a count's table spans twelve deviations and more.
+    for count in np.unique(c):
+        wide = 12 * math.sqrt(count) + 20
+        k = np.arange(max(0, math.floor(count - wide)), math.ceil(count + wide) + 1)
+        logs = np.concatenate([[0.0], np.cumsum(math.log(count) - np.log(k[1:]))])
+        mass = np.exp(logs - logs.max())
+        own = c == count
+        out[own] = k[np.minimum(np.searchsorted(np.cumsum(mass) / mass.sum(), u[own], side="right"), len(k) - 1)]
+    return out
+
+
 def _bootstrap_means(data: DataFrame, keys: Sequence[str], replicates: int, seed: int) -> DataFrame:
     """(keys, replicate, mean).  Every value gets Poisson weights drawn from a hash of
-    its group, value and replicate, so a rerun of a task gives the same weights."""
+    its group, value and replicate, so a rerun of a task gives the same weights.  Whole batches are drawn at once."""
     cols = [q(k) for k in keys]
     counted = data.groupBy(*cols, F.col("_y")).agg(F.count(F.lit(1)).alias("_c"))
     counted = counted.withColumn("_h", F.xxhash64(*cols, F.col("_y"), F.lit(seed)))
@@ -303,6 +365,7 @@ def _bootstrap_means(data: DataFrame, keys: Sequence[str], replicates: int, seed
         T.StructField("_wy", T.DoubleType()), T.StructField("_w", T.DoubleType()),
     ])
     key_names = list(keys)
+    rows_at_once = max(1, _DRAWS // replicates)
 
     def weigh(batches):
         sums: dict[tuple, np.ndarray] = {}
@@ -313,13 +376,20 @@ def _bootstrap_means(data: DataFrame, keys: Sequence[str], replicates: int, seed
                 yield pd.DataFrame({**out, "_r": np.arange(replicates, dtype=np.int32), "_wy": wy, "_w": w})
 
         for pdf in batches:
-            labels = list(zip(*[pdf[k] for k in key_names]))
-            for label, h, c, y in zip(labels, pdf["_h"].to_numpy().astype(np.uint64), pdf["_c"].to_numpy(), pdf["_y"].to_numpy()):
-                # The sum of c Poisson(1) weights, one generator for each value.
-                w = np.random.Generator(np.random.PCG64(int(h))).poisson(c, replicates)
-                own = sums.setdefault(label, np.zeros((2, replicates)))
-                own[0] += w * y
-                own[1] += w
+            codes = pdf.groupby(key_names, sort=False).ngroup().to_numpy()
+            order = np.argsort(codes, kind="stable")
+            pdf = pdf.iloc[order]
+            h, c, y, codes = pdf["_h"].to_numpy().view(np.uint64), pdf["_c"].to_numpy(), pdf["_y"].to_numpy(), codes[order]
+            for start in range(0, len(pdf), rows_at_once):
+                part = slice(start, start + rows_at_once)
+                w = poisson_draws(h[part], c[part], replicates)
+                first = np.flatnonzero(np.concatenate([[True], np.diff(codes[part]) != 0]))
+                parts = np.add.reduceat(w * y[part, None], first), np.add.reduceat(w, first)
+                for k, at in enumerate(first):
+                    label = tuple(pdf[n].iloc[start + at] for n in key_names)
+                    own = sums.setdefault(label, np.zeros((2, replicates)))
+                    own[0] += parts[0][k]
+                    own[1] += parts[1][k]
             if len(sums) > 1000:  # bounded memory, whatever the number of groups
                 yield from rows()
                 sums.clear()

@@ -336,33 +336,63 @@ def kolmogorov_tail(lam: Column) -> Column:
     return F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(2.0) * total)))
 
 
-def exact_tail():
-    """Exact P(D >= d) per result row, by counting lattice paths inside the band."""
-
-    def tail(d: float, m: int, n: int) -> float:
-        g = math.gcd(m, n)
-        mg, ng = m // g, n // g
-        steps = round(d * mg * n)
-        if steps == 0:
-            return 1.0
-        # out[j]: share of the paths to (t - j, j) that reach the distance, diagonal by diagonal.
-        out = np.zeros(n + 1)
-        for t in range(1, m + n + 1):
-            lo, hi = max(0, t - m), min(n, t)
-            j = np.arange(lo, hi + 1)
-            i = t - j
-            step = out[lo:hi + 1] * i
-            step[j > 0] += out[j[j > 0] - 1] * j[j > 0]
-            step /= t
-            step[np.abs(i * ng - j * mg) >= steps] = 1.0
-            out[lo:hi + 1] = step
-        return float(out[n])
+def lattice_tails(d: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Exact P(D >= d) of many tests at once, by lattice paths from (0, 0) to (m, n).
+
+    Diagonal by diagonal, for all tests together, each cell of the band that the distance leaves has the share of the
+    paths to it that have left the band; a cell outside has 1.  Only the band is held, at most about
+    d * max(m, n) cells wide, and its lower end moves by at most one cell a diagonal.
+    """
+    out = np.ones(len(d))
+    g = np.gcd(m, n)
+    mg, ng = m // g, n // g
+    steps = np.rint(d * mg * n).astype(np.int64)
+    live = np.flatnonzero(steps > 0)
+    live = live[np.argsort((m + n)[live], kind="stable")]
+    if not len(live):
+        return out
+    m, n, mg, ng, steps = (x[live].astype(np.int64) for x in (m, n, mg, ng, steps))
+
+    def low(t: int) -> np.ndarray:
+        return np.maximum(np.maximum(0, t - m), (t * ng - steps) // (mg + ng) + 1)
+
+    def high(t: int) -> np.ndarray:
+        return np.minimum(np.minimum(n, t), (t * ng + steps - 1) // (mg + ng))
+
+    width = int((2 * steps // (mg + ng)).max()) + 2
+    at = np.arange(width)
+    share = np.ones((len(m), width + 2))
+    share[:, 1] = 0.0  # the cell (0, 0), one place behind the one below the band
+    before = low(0)
+    for t in range(1, int((m + n).max()) + 1):
+        first = low(t)
+        j = first[:, None] + at
+        moved = (first > before)[:, None]
+        across = np.where(moved, share[:, 2:], share[:, 1:-1])
+        up = np.where(moved, share[:, 1:-1], share[:, :-2])
+        new = (across * (t - j) + up * j) / t
+        new[j > high(t)[:, None]] = 1.0
+        share[:, 1:-1] = new
+        before = first
+        done = int(np.searchsorted(m + n, t, side="right"))
+        if done:
+            out[live[:done]] = share[np.arange(done), 1 + n[:done] - first[:done]]
+            live, m, n, mg, ng, steps, share, before = (x[done:] for x in (live, m, n, mg, ng, steps, share, before))
+    return out
 
+
+def exact_tail():
+    """Exact P(D >= d) for a batch of result rows; the cells of a pass are bounded."""
     @F.pandas_udf("double")
     def exact(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
-        return pd.Series([
-            tail(float(a), int(b), int(c)) if a == a and a is not None else None
-            for a, b, c in zip(d, n1, n2)
-        ], dtype="float64")
+        known = np.flatnonzero(d.notna().to_numpy())
+        values, m, n = (x.to_numpy(np.float64)[known] for x in (d, n1, n2))
+        out = np.full(len(d), np.nan)
+        # Tests of like size go together, so that a band is not padded to another one's width.
+        order = np.argsort(values * np.maximum(m, n), kind="stable")
+        cells = np.cumsum(values[order] * np.maximum(m, n)[order] + 8)
+        for part in np.split(order, np.flatnonzero(np.diff(cells // 4_000_000)) + 1):
+            out[known[part]] = lattice_tails(values[part], m[part].astype(np.int64), n[part].astype(np.int64))
+        return pd.Series(out)
 
     return exact

@@ -91,3 +91,28 @@ def test_pairs_and_panel(m):
     assert bins.agg(F.sum("count")).first()[0] == d.scatter_points(m, "photons", "nadph_t1").count()
     with pytest.raises(ValueError):
         d.ratio_panel(m, ["fov"])
+
+
+def test_poisson_draws_have_the_moments_and_depend_on_hash_and_replicate_alone():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+    for c in (1, 3, 40, 10_000):
+        w = d.poisson_draws(h, np.full(400, c), 500)
+        assert w.mean() == pytest.approx(c, rel=0.02) and w.var() == pytest.approx(c, rel=0.05)
+    mixed = d.poisson_draws(h, np.arange(1, 401), 50)
+    alone = np.concatenate([d.poisson_draws(h[k:k + 1], np.array([k + 1]), 50) for k in range(400)])
+    assert (mixed == alone).all()
+
+
+def test_bootstrap_interval_against_the_normal_one(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v)) for g in ("a", "b") for v in rng.normal(10 if g == "a" else 20, 2, 400).round(1)]
+    df = spark.createDataFrame(rows, "g string, y double")
+    got = {r["g"]: r for r in d.line_ci(df.repartition(3), "g", "y").collect()}
+    want = {r["g"]: r for r in d.line_ci(df, "g", "y", method="normal").collect()}
+    for g in "ab":
+        assert got[g]["n"] == 400 and got[g]["mean"] == pytest.approx(want[g]["mean"])
+        for end in ("low", "high"):
+            assert got[g][end] == pytest.approx(want[g][end], abs=0.06)
+    for r in d.line_ci(df.repartition(1), "g", "y").collect():
+        assert tuple(r)[1:] == pytest.approx(tuple(got[r["g"]])[1:])

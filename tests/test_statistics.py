@@ -170,3 +170,36 @@ def test_many_labels_in_slices_and_pieces(spark, monkeypatch, sliced_rows):
     assert sorted((r["g"], r["k 1"], r["k 2"]) for r in some) == [("0", "9", "5"), ("1", "5", "2"), ("1", "9", "2"), ("1", "9", "5")]
 
 
+
+
+def whole_diagonals(d, m, n):
+    """The share of paths that leave the band, over all cells of every diagonal."""
+    g = math.gcd(m, n)
+    steps = round(d * (m // g) * n)
+    share = {(0, 0): 0.0}
+    for t in range(1, m + n + 1):
+        for j in range(max(0, t - m), min(n, t) + 1):
+            i = t - j
+            left, below = share.get((i - 1, j), 0.0), share.get((i, j - 1), 0.0)
+            share[i, j] = 1.0 if abs(i * (n // g) - j * (m // g)) >= steps else (left * i + below * j) / t
+    return share[m, n]
+
+
+def test_exact_tails_of_many_tests_at_once():
+    rng = np.random.default_rng(5)
+    m, n = rng.integers(1, 30, 120), rng.integers(1, 30, 120)
+    lcm = m * n // np.gcd(m, n)
+    d = np.array([rng.integers(0, k + 1) for k in lcm]) / lcm
+    got = s.lattice_tails(d, m, n)
+    want = [whole_diagonals(*map(float, (a,)), int(b), int(c)) if a > 0 else 1.0 for a, b, c in zip(d, m, n)]
+    assert got == pytest.approx(want, rel=1e-12, abs=1e-300)
+
+
+def test_exact_tail_of_twenty_thousand_against_the_series():
+    import time
+
+    start = time.monotonic()
+    p = s.lattice_tails(np.array([0.0136]), np.array([20_000]), np.array([20_000]))[0]
+    assert time.monotonic() - start < 20
+    lam = 0.0136 * math.sqrt(10_000)
+    assert p == pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 50)), rel=0.02)
