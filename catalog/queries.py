@@ -21,7 +21,7 @@ from measureframe.roles import as_category, q
 from measureframe.sources import sink, text
 from measureframe.sources.paths import parse_path
 from measureframe.streaming.measurements import import_new_files
-from measureframe.streaming.windows import stream_summary
+from measureframe.streaming.windows import read_summary, stream_summary, summary_to_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -779,29 +779,24 @@ def stream_import(spark, sf):
 
 @query
 def stream_daily(spark, sf):
-    """Available-now run over the events file; the complete result is one row per window."""
+    """Available-now run over the events file, written batch by batch; the latest row of each window."""
     schema = table(spark, sf, "events").schema
     # Relative to the file's folder, only the events file is read.
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     counted = stream_summary(stream, "ts", "value", "event_type")
-    name = f"stream_daily_{abs(hash(sf)) % 10**8}"
-    run = (
-        counted.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", _checkpoint_folder(spark, name))
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
+    folder = _checkpoint_folder(spark, "stream-daily")
+    summary_to_files(counted, f"{folder}/out", f"{folder}/state").awaitTermination()
+    latest = read_summary(spark, f"{folder}/out", "event_type")
     day = F.date_format("window start", "yyyy-MM-dd").alias("day")
-    return rounded(spark.table(name).select(day, *[q(c) for c in (
+    return rounded(latest.select(day, *[q(c) for c in (
         "event_type", "value__count", "value__mean", "value__std", "value__min", "value__max")]))
 
 
 def _checkpoint_folder(spark, name: str) -> str:
-    """A new folder in the shared checkpoint directory the session names; where it names none, in one of its own."""
+    """A new folder in the shared checkpoint directory that the session names; a local session may use one of its own."""
     shared = checkpoint_folder(spark)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="measureframe-")
-        spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4()}"
-
-

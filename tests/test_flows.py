@@ -85,3 +85,36 @@ def test_late_rows_are_left_out(spark, tmp_path):
     add(("2024-01-01 00:02:00", 9.0), ("2024-01-01 04:00:00", 3.0))  # the first one is too late
     got = {str(r["window start"]): r["v__count"] for r in spark.read.parquet(target).collect()}
     assert got["2024-01-01 00:00:00"] == 1 and got["2024-01-01 02:00:00"] == 1
+
+
+def test_summary_files_are_the_same_after_a_batch_that_runs_again(spark, tmp_path):
+    """Files arrive in three batches; one is written, forgotten by the checkpoint and run again."""
+
+    from measureframe.streaming.windows import read_summary, summary_to_files
+
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [(f"2024-01-01 00:{m:02d}:00", "a" if m % 3 else "b", float(m)) for m in range(60)]
+    table = spark.createDataFrame(rows, "t string, g string, v double").select(F.to_timestamp("t").alias("ts"), "g", "v")
+
+    def go():
+        stream = spark.readStream.schema(table.schema).parquet(source)
+        summary_to_files(stream_summary(stream, "ts", "v", "g", "10 minutes"), out, state).awaitTermination()
+
+    def rounded(df):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+    def found():
+        return rounded(read_summary(spark, out, "g"))
+
+    for k in range(3):
+        table.filter(F.minute("ts") % 3 == k).coalesce(1).write.mode("append").parquet(source)
+        go()
+    want = rounded(stream_summary(table, "ts", "v", "g", "10 minutes"))
+    assert found() == want
+    # The last batch was written, but its commit is lost.
+    (tmp_path / "state" / "commits" / "2").unlink()
+    for crc in (tmp_path / "state" / "commits").glob(".2.crc"):
+        crc.unlink()
+    before = sorted(p.name for p in (tmp_path / "out").iterdir())
+    go()
+    assert found() == want and sorted(p.name for p in (tmp_path / "out").iterdir()) == before
