@@ -18,7 +18,7 @@ from measureframe.llm.words import WordHashes, lower_words, mixed, shingle_set
 #: A pair with similarity 0.75 shares none of 48 bands of 5 coordinates once in 430 000; one with more, far less often.
 BANDS, ROWS = 48, 5
 #: Members of a group of open nodes that are hubs in its first round, and in each further one.
-HUBS, MORE_HUBS = 32, 256
+HUBS, MORE_HUBS = 64, 1024
 #: Counters, a power of two, that tell common shingles from rare ones.
 COUNTERS = 1 << 20
 #: Bits of the parity map of a set, a multiple of 64.
@@ -139,18 +139,18 @@ def _rarity(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, width: int) -> DataFrame:
-    """bucket, node, n, indexed, parity: the rarest shingles of each node, as many as decide a link.
+    """bucket, node, n, place, parity: the rarest shingles of each node, as many as decide a link.
 
-    In one order of all shingles, rare ones first, two sets of sizes m <= n with a similarity of 3/4 share one that is among the
-    first m - ceil(6/7 m) + 1 of the smaller (``indexed``) and the first n - ceil(3/4 n) + 1 of the larger.  A bit of
-    ``parity`` tells whether an odd number of shingles falls on it.
+    In one order of all shingles, rare ones first, sets of sizes m and n with a similarity of 3/4 share o = ceil(3/7 (m + n)), so
+    one of those is among the first m - o + 1 places of the one and the first n - o + 1 of the other.  No set needs more
+    than its first n - ceil(3/4 n) + 1.  A bit of ``parity`` tells whether an odd number of shingles falls on it.
     """
     sent = texts.sparkSession.sparkContext.broadcast(_rarity(texts, width))
 
     def run(batches):
         memo = WordHashes()
         for batch in short(batches):
-            parts, sizes, indexed, parity = [], [], [], []
+            parts, sizes, places, parity = [], [], [], []
             for text in batch.column(1).to_pylist():
                 own = shingle_set(memo.of(lower_words(text)), width)
                 n = len(own)
@@ -159,15 +159,20 @@ def _prefixes(texts: DataFrame, width: int) -> DataFrame:
                 own = own[np.lexsort((own, sent.value[_counter(own)]))][: n + (-3 * n // 4) + 1]
                 parts.append(own)
                 sizes.append(n)
-                indexed.append(np.arange(len(own)) < n + (-6 * n // 7) + 1)
+                places.append(np.arange(len(own)))
             times = [len(p) for p in parts]
             maps = np.repeat(np.stack(parity), times, axis=0)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(parts)), times))),
-                pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(np.concatenate(indexed)),
-                pa.ListArray.from_arrays(np.arange(len(maps) + 1, dtype=np.int32) * maps.shape[1], maps.ravel())], ["bucket", "node", "n", "indexed", "parity"])
+                pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(np.concatenate(places)),
+                pa.ListArray.from_arrays(np.arange(len(maps) + 1, dtype=np.int32) * maps.shape[1], maps.ravel())], ["bucket", "node", "n", "place", "parity"])
 
-    return texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint, indexed boolean, parity array<bigint>")
+    return texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint, place bigint, parity array<bigint>")
+
+
+def _within(place: str, n: str, other_n):
+    """Whether a place is among those that decide a link with a set of ``other_n`` shingles."""
+    return F.col(place) < F.col(n) - F.ceil(3 * (F.col(n) + other_n) / 7) + 1
 
 
 def _may_share(n: str, other_n: str, parity: str, other_parity: str):
@@ -195,9 +200,9 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
     hub among its buckets, one pair for each node at most, which settles families of copies.
     Buckets whose members still lie in several components are open.  Of their nodes only those go on that share a
     rare shingle, as sets with the wanted similarity must (``_prefixes``); strangers with a common passage share none.  In
-    every group of nodes by such a shingle that has several components, some indexed members of its smallest components are hubs:
-    they are tested against the members of other components and leave the group, until no indexed member is
-    left or the group is one component.  A pair is left out only when its components are joined already, or sizes,
+    every group of nodes by such a shingle that has several components, some members of its smallest components are hubs:
+    they are tested against the members of other components and leave the group, until what is left is one component or
+    has the shingle nowhere at an indexed place.  A pair is left out only when its components are joined already, or sizes,
     shingles or parity maps (``_may_share``) exclude the link for certain; a round makes pairs in proportion to the members.
     """
     rows = reps.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
@@ -214,31 +219,34 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
     several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     nodes = members.select("bucket", "node").join(several.select("bucket"), "bucket", "left_semi").select("node").distinct()
     groups = _prefixes(written(texts.join(nodes, "node", "left_semi"), "open-texts"), width)
-    # A shingle that one node has, or that nobody has indexed, brings no pair.
     groups = written(groups, "prefixes")
-    useful = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.max("indexed").alias("any")).filter("size > 1 and any").select("bucket")
-    groups, hubs = written(groups.join(useful, "bucket", "left_semi"), "groups"), HUBS
+    # Places matter up to what the smallest set of the group asks for; a shingle that one node has brings no pair.
+    sizes = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).filter("size > 1").drop("size")
+    least = F.greatest("least", F.ceil(3 * F.col("n") / 4))
+    groups = groups.join(sizes, "bucket").filter(_within("place", "n", least)).withColumn("indexed", _within("place", "n", F.col("n")))
+    groups, hubs = written(groups.drop("least"), "groups"), HUBS
     while True:
         placed = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"), F.max("indexed").alias("any"))
-        several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.max("any").alias("any")).filter("roots > 1 and any").select("bucket")
-        placed = written(placed.join(several, "bucket", "left_semi").join(parts.drop("any"), ["bucket", "root"]), "open")
+        parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"), F.count_if("indexed").alias("marked"))
+        several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.sum("marked").alias("marked"), (F.sum("part") - F.max("part")).alias("outside"))
+        # The smaller of a pair's sets has the shingle at an indexed place, and one of them lies outside the largest component: the fewer are hubs.
+        several = several.filter("roots > 1 and marked > 0").select("bucket", (F.col("marked") <= F.col("outside")).alias("by_mark"))
+        placed = written(placed.join(several, "bucket").join(parts.drop("marked"), ["bucket", "root"]), "open")
         # Few rows a group leave each task, so no group is gathered for its ranks.
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("part", "node"))
-        chosen = written(placed.filter("indexed").withColumn("nth", order).filter(F.col("nth") <= hubs).select(
-            "bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"), F.col("parity").alias("hub_parity")), "hubs")
+        chosen = written(placed.filter("indexed or not by_mark").withColumn("nth", order).filter(F.col("nth") <= hubs).select(
+            "bucket", *[F.col(c).alias(f"hub_{c}") for c in ("node", "n", "root", "place", "parity")]), "hubs")
         if not chosen.limit(1).count():
             return roots
-        # The smaller set of a pair is the indexed one.
-        decides = (F.col("hub_n") <= F.col("n")) | F.col("indexed")
+        decides = _within("place", "n", F.col("hub_n")) & _within("hub_place", "hub_n", F.col("n"))
         pairs = placed.join(chosen, "bucket").filter("root != hub_root").filter(decides).filter(_alike_in_size("n", "hub_n")).filter(_may_share("n", "hub_n", "parity", "hub_parity")).select(
-            F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"))
         before = reduce(DataFrame.unionAll, tested)
         fresh = written(pairs.distinct().join(before, ["a", "b"], "left_anti"), "tested")
         tested = [written(before.unionAll(fresh), "tested")]
         roots = _merged(roots, confirmed(fresh, texts, width))
-        gone = chosen.select("bucket", F.col("hub").alias("node"))
-        groups, hubs = placed.select("bucket", "node", "n", "indexed", "parity").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
+        gone = chosen.select("bucket", F.col("hub_node").alias("node"))
+        groups, hubs = placed.select("bucket", "node", "n", "place", "parity", "indexed").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
