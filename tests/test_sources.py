@@ -216,3 +216,33 @@ def test_specification():
     assert jobs.missing_keys(jobs.remove(spec, ("filters", "ranges"))) == [("filters", "ranges")]
     with pytest.raises(ValueError):
         jobs.load_spec('{"steps": [{"op": "nonsense"}]}')
+
+
+def test_job_with_several_inputs_in_any_order(spark, folder, tmp_path):
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "b_T1_c1.txt").write_text("NAD(P)H t1\tscore\n100\t1\n300\t2\n")
+    spec = jobs.load_spec(json.dumps({
+        "parser": "fov_treatment_cell",  # misplaced: belongs to import
+        "import": {"exclude": ["skip.txt"]},
+        "filters": {"ranges": None},
+        "imports": {"second": {"paths": [str(other)]}},
+        "steps": [
+            {"op": "group_counts", "input": "both", "args": {"grouping": "Source"}, "as": "counts"},
+            {"op": "pca", "input": "both", "args": {"features": ["NAD(P)H t1"], "n_components": 1}, "as": "pc"},
+            {"op": "concat_rows", "inputs": {"one": "data", "two": "second"}, "as": "both"},
+            {"op": "summarize", "input": "pc components", "args": {"grouping": "Source", "features": ["PC 1"], "aggs": ["count"]}, "as": "scores"},
+        ],
+    }))
+    assert spec["import"]["parser"] == "fov_treatment_cell" and "parser" not in spec and spec["filters"]["ranges"] == []
+    assert [jobs.step_names(spec)[i] for i in jobs.step_order(spec)] == ["both", "counts", "pc", "scores"]
+    held = []
+    tables = jobs.run_job(spark, [folder], spec, held)
+    assert len(held) == 1 and tables["both"].storageLevel.useMemory
+    counts = {r["Source"]: r["count"] for r in tables["counts"].collect()}
+    assert counts == {"one": tables["data"].count(), "two": 2}
+    assert {r["Source"]: r["PC 1__count"] for r in tables["scores"].collect()}["two"] == 2
+    assert set(tables) == {"data", "second", "both", "counts", "pc components", "pc explained", "scores"}
+    for bad in ([{"op": "pca", "input": "nothing"}], [{"op": "derive", "input": "b", "as": "a"}, {"op": "derive", "input": "a", "as": "b"}]):
+        with pytest.raises(ValueError):
+            jobs.load_spec(json.dumps({"steps": bad}))
