@@ -550,6 +550,27 @@ def all_oracles() -> dict[str, str]:
         "SELECT row_key, round(nadph_t2, 6) AS nadph_t2, photons, " + ", ".join(
             f"round(({f} - (SELECT avg({f}) FROM m)) / (SELECT stddev_pop({f}) FROM m), 6) + 0.0 AS {f}__standardized"
             for f in ("nadph_t2", "photons")) + " FROM m")
+    o["job_merge_pca"] = _m(
+        "SELECT unnest(['PC 1', 'PC 2']) AS \"PC\", round(unnest([(1 + abs(r)) / 2, (1 - abs(r)) / 2]), 6) "
+        'AS "explained var ratio", n AS rows FROM (SELECT corr(photons, nadph_t2) AS r, 2 * count(*) AS n FROM m)')
+    o["sort_rows"] = _m("SELECT count(*) AS n, 0 AS inside, 0 AS between FROM m")
+    o["inf_to_missing"] = _m("SELECT row_key, line_no, CASE WHEN photons BETWEEN 6 AND 40 THEN photons END AS photons FROM m")
+    used = "photons BETWEEN 5 AND 40 AND nadph_t2 BETWEEN 2500 AND 6000 AND fad_a1p BETWEEN 10 AND 70"
+    o["apply_filters"] = _m(
+        "SELECT count(*) AS n, 3 AS used, 2 AS skipped, 5 AS reported FROM k WHERE (fov, compartment, cell) IN ("
+        "SELECT (fov, compartment, cell) FROM k GROUP BY fov, compartment, cell HAVING count(DISTINCT treatment) FILTER (treatment IN ('Ctrl', 'T15')) = 2)",
+        f"k AS (SELECT * FROM m WHERE {used})")
+    o["default_ranges"] = _m(
+        "SELECT count(*) AS n, 2 AS ranges, 0.0::DOUBLE AS low, 100.0::DOUBLE AS high FROM m WHERE photons BETWEEN 0 AND 100")
+    o["preview_rows"] = _m("SELECT least(50, 50) AS most, 0 AS longer FROM (SELECT count(*) FROM m)")
+    o["group_split_sides"] = _m(
+        "SELECT n, n AS groups, CAST(round(0.7 * n) AS BIGINT) AS training FROM (SELECT count(*) AS n FROM (SELECT DISTINCT fov, compartment, cell FROM m))")
+    o["pca_moments"] = _m(
+        "SELECT count(*) AS n, true AS uncorrelated, true AS centred, true AS as_shared, 1.0::DOUBLE AS total FROM m "
+        "WHERE nadph_a2p IS NOT NULL AND fad_a1p IS NOT NULL AND photons IS NOT NULL AND nadph_t2 IS NOT NULL")
+    o["forest_sums"] = _m("SELECT 4 AS features, 1.0::DOUBLE AS total, true AS positive, true AS accurate FROM (SELECT count(*) FROM m)")
+    o["ae_fit_tables"] = _m(
+        "SELECT 2 * count(*) AS decoded, 2 AS finals, 2 AS sides, true AS falling, 6 AS losses, 4 AS models FROM m")
     o["line_bootstrap_order"] = _m(
         "SELECT treatment, fov, count(*) AS n, round(avg(nadph_t2), 6) AS mean, true AS inside FROM m WHERE nadph_t2 IS NOT NULL GROUP BY treatment, fov")
     o["kmeans_nearest"] = _m("SELECT count(*) AS n, 3 AS clusters, 0 AS misplaced FROM m WHERE nadph_a2p IS NOT NULL AND photons IS NOT NULL")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from catalog.views import STANDARD_NAMES, measurements, table
 from measureframe.functions.derive import add_constant, derive
@@ -15,9 +16,9 @@ from measureframe.operators import (
     columns, distributions, filters, joins, learning, networks, reshape, series, statistics, summary,
 )
 from measureframe.operators.filters import RangeFilter
-from measureframe.plans import flows
+from measureframe.plans import flows, jobs
 from measureframe.plans.lineage import checkpoint_folder
-from measureframe.roles import as_category, q
+from measureframe.roles import as_category, inf_to_null, q
 from measureframe.sources import sink, text
 from measureframe.sources.paths import parse_path
 from measureframe.streaming.measurements import import_new_files
@@ -763,6 +764,121 @@ def flow_features_ks(spark, sf):
     return out["KS"]
 
 
+# jobs
+
+@query
+def job_merge_pca(spark, sf):
+    """A job specification with two imports: rows of both, merged with means of the second, then components."""
+    folder = _text_files(spark, sf)
+    spec = jobs.load_spec(json.dumps({
+        "import": {"parser": {"FOV": r".*/fov=(.*?)/"}},
+        "imports": {"again": {"paths": [folder]}},
+        "steps": [
+            {"op": "pca", "input": "merged", "args": {"features": ["FAD photons", "NAD(P)H t2"], "n_components": None}, "as": "pc"},
+            {"op": "merge_tables", "inputs": {"left": "rows", "right": "means"}, "args": {"how": "inner"}, "as": "merged"},
+            {"op": "concat_rows", "inputs": {"first": "data", "second": "again"}, "as": "rows"},
+            {"op": "summarize", "input": "again", "args": {"grouping": ["FOV", "Treatment"], "features": ["FAD photons"], "aggs": ["mean"]}, "as": "means"},
+        ],
+    }))
+    held = []
+    tables = jobs.run_job(spark, [folder], spec, held)
+    out = tables["pc explained"].withColumn("rows", F.lit(tables["merged"].count()))
+    for used in held:
+        used.unpersist()
+    return rounded(out)
+
+
+@query
+def sort_rows(spark, sf):
+    """Neighbours in the sorted table that are out of order: none; missing values come last."""
+    m = measurements(spark, sf).select("fov", "photons")
+    placed = reshape.sort_rows(m, ["fov", "photons"]).withColumn("_at", F.monotonically_increasing_id())
+    # The order of a part, and its ends, tell whether the whole is sorted.
+    part = F.shiftright("_at", 33)
+    key = F.struct("fov", F.col("photons").isNull(), "photons")
+    inside = Window.partitionBy(part).orderBy("_at")
+    own = placed.withColumn("_before", F.lag(key).over(inside))
+    ends = placed.groupBy(part.alias("part")).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    apart = ends.withColumn("_before", F.lag("high").over(Window.orderBy("part"))).agg(F.count_if(F.col("_before") > F.col("low")).alias("between"))
+    return own.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_before") > key).alias("inside")).withColumn("between", F.lit(apart.first()[0]))
+
+
+@query
+def inf_to_missing(spark, sf):
+    m = measurements(spark, sf).select("row_key", "line_no", "photons")
+    infinite = m.withColumn("photons", F.when(F.col("photons") > 40, F.lit(float("inf"))).when(F.col("photons") < 6, F.lit(float("-inf"))).otherwise(F.col("photons")))
+    return inf_to_null(infinite, ["photons"])
+
+
+@query
+def apply_filters(spark, sf):
+    """Rows that the used ranges leave, how many ranges are used and skipped, and rows that each drops."""
+    out, used, skipped, report = filters.apply_filters(measurements(spark, sf), [*_RANGES, RangeFilter("absent", 0, 1, True)], {"treatment": ["Ctrl", "T15"]})
+    return out.agg(F.count(F.lit(1)).alias("n")).withColumns({"used": F.lit(len(used)), "skipped": F.lit(len(skipped)), "reported": F.lit(report.count())})
+
+
+@query
+def default_ranges(spark, sf):
+    """The default range of each feature, applied."""
+    named = measurements(spark, sf).select("row_key", F.col("nadph_t1").alias("NAD(P)H t1"), F.col("photons").alias("other"))
+    ranges = {f.name: f for f in filters.default_ranges(named.drop("row_key"))}
+    low, high = ranges["other"].low, ranges["other"].high
+    return named.filter(F.col("other").between(low, high)).agg(F.count(F.lit(1)).alias("n"), F.lit(len(ranges)).alias("ranges"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"))
+
+
+@query
+def preview_rows(spark, sf):
+    """At most 50 rows of each file."""
+    out = text.preview(spark, _text_files(spark, sf), _text_spec(), 50)
+    return out.groupBy("Directory", "File").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count_if(F.col("n") > 50).alias("longer"))
+
+
+@query
+def group_split_sides(spark, sf):
+    """Groups on either side of the split."""
+    keys = ["fov", "compartment", "cell"]
+    out = learning.group_split(measurements(spark, sf), CELLS, 0.7, series="treatment")
+    return out.select(*keys, "training").distinct().agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(*[F.col(k) for k in keys]).alias("groups"), F.count_if("training").alias("training"))
+
+
+@query
+def pca_moments(spark, sf):
+    """Scores are centred, uncorrelated, and vary by their shares; the shares sum to one."""
+    feats = ["nadph_a2p", "fad_a1p", "photons", "nadph_t2"]
+    scores, explained = learning.pca(measurements(spark, sf), feats, None)
+    names = [f"PC {i + 1}" for i in range(4)]
+    shares = explained.agg(F.map_from_entries(F.collect_list(F.struct("PC", "explained var ratio")))).scalar()
+    apart = [F.abs(F.corr(a, b)) for k, a in enumerate(names) for b in names[k + 1:]]
+    found = scores.select(*[q(n) for n in names], shares.alias("_shares")).agg(
+        F.count(F.lit(1)).alias("n"), (F.greatest(*apart) < 1e-6).alias("uncorrelated"),
+        (F.greatest(*[F.abs(F.avg(q(n))) for n in names]) < 1e-9).alias("centred"),
+        (F.greatest(*[F.abs(F.var_samp(q(n)) / 4 - F.try_element_at(F.first("_shares"), F.lit(n))) for n in names]) < 1e-4).alias("as_shared"))
+    return found.withColumn("total", F.lit(explained.agg(F.round(F.sum("explained var ratio"), 6)).first()[0]))
+
+
+@query
+def forest_sums(spark, sf):
+    """Importances are not negative and sum to one; an accuracy is a share."""
+    m = measurements(spark, sf)
+    scores, accuracy = learning.random_forest(m, ["nadph_a2p", "nadph_t2", "photons", "fad_a1p"], "compartment", n_trees=5, max_depth=4)
+    share = accuracy.select(F.col("Accuracy").between(0.4, 1.0)).scalar()
+    return scores.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("Importance Score"), 6).alias("total"), (F.min("Importance Score") >= 0).alias("positive"), F.first(share).alias("accurate"))
+
+
+@query
+def ae_fit_tables(spark, sf):
+    """The tables of a fit: epochs x grid losses that fall, kept models, rows decoded by each final model."""
+    out = networks.ae_fit(
+        measurements(spark, sf), ["nadph_a2p", "photons"], ["fov", "compartment", "cell"], "treatment",
+        network="AE Simulator 1-3", epochs=3, learning_rates=[1e-2, 1e-3], checkpoint_interval=2)
+    loss = out["loss"].groupBy("Learning Rate").agg(F.max_by("Training Loss", "Epoch").alias("last"), F.min_by("Training Loss", "Epoch").alias("first"))
+    falling = loss.agg(F.bool_and(F.col("last") < F.col("first"))).scalar()
+    return out["decoded"].agg(
+        F.count(F.lit(1)).alias("decoded"), F.count_distinct("model_file").alias("finals"), F.count_distinct("Autoencoder").alias("sides"),
+        F.first(falling).alias("falling")).withColumns({"losses": F.lit(out["loss"].count()), "models": F.lit(out["models"].count())})
+
+
 # streaming
 
 @query
