@@ -9,7 +9,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from measureframe.llm.store import short
 
@@ -164,15 +163,16 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        own = sent.value
-        for batch in short(batches):
-            found = [own.predict(t) for t in batch.column(0).field(text_col).to_pylist()]
-            score = np.array([s for _, s in found])
-            label = [name for name, _ in found]
-            rejected = (score < own.least) | np.array([x == "und" for x in label], bool)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label, pa.string()), pa.array(score), pa.array(rejected)], ["row", "lang_pred", "score", "rejected"])
+    # Only the text goes to Python, and little comes back; the rows stay where they are.
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predicted(texts: pa.Array) -> pa.Array:
+        own, labels, scores = sent.value, [], []
+        for start in range(0, len(texts), 256):
+            for label, score in map(own.predict, texts.slice(start, 256).to_pylist()):
+                labels.append(label)
+                scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = T.StructType([*rows.schema, *(T.StructField(n, k) for n, k in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("rejected", T.BooleanType())))])
-    return rows.mapInArrow(run, schema)
+    found = rows.withColumn("_found", predicted(F.col("row")[text_col])).select("row", "_found.lang_pred", "_found.score")
+    return found.withColumn("rejected", (F.col("score") < F.lit(float(model.least))) | (F.col("lang_pred") == "und"))
