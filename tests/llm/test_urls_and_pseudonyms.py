@@ -151,3 +151,12 @@ def test_phone_keeps_its_whole_country_code_and_its_extension():
     for _ in range(2000):
         text = f"+{rng.choice([49, 33, 7, 358, 852, 299, 62])}" + "".join(rng.choice(" .-") * rng.randint(0, 1) + str(rng.randint(0, 9)) for _ in range(rng.randint(6, 13))) + rng.choice(["", " 15", " 2021-05-06", " 1.2.3.4"])
         assert own.replace(own.replace(text)[0], back=True)[0] == text
+
+
+def test_a_date_with_a_time_behind_it_is_replaced_and_comes_back():
+    own = Pseudonyms(b"key")
+    plain = own.replace("on 2021-05-06 at", False)[0].split()[1]
+    for text in ("2021-05-06T10:00:00", "2021-05-06T10:00:00Z,", "(2021-05-06T23:59+02:00)"):
+        new, counts = own.replace(text, False)
+        assert counts["date"] == 1 and new == text.replace("2021-05-06", plain) and own.replace(new, True)[0] == text
+    assert own.replace("2021-05-06Tx 2021-05-06T1", False)[1]["date"] == 0
