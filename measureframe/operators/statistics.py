@@ -301,8 +301,9 @@ def ks_test(
 
 
 def _beside(places: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every slice with every label, where there is a single group."""
-    return places.withColumn("_one", F.lit(1)).join(labels.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """Every slice with every label, where there is a single group; the result has their pairs, so the labels are few."""
+    listed = labels.agg(F.collect_list(F.struct("_label", "_total"))).scalar()
+    return places.withColumn("_all", listed).select("_slice", F.inline("_all"))
 
 
 def _ks_columns(found: DataFrame, keys: Sequence[str], comparison: str, alpha: float, pvalue: str) -> DataFrame:
