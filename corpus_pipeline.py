@@ -25,6 +25,8 @@ from measureframe.llm.store import delete, next_stage, shared_folder
 
 #: Slots of the mixture that are written by one task.
 SLOTS_A_TASK = 256
+#: Rows of a batch that goes to Python.
+BATCH_ROWS = "256"
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -34,6 +36,8 @@ def stage(function: Stage) -> Stage:
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         next_stage(spark)
+        # Workers live on from stage to stage with what they once held, so the batches sent to them are small.  No result depends on it.
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         return function(spark, docs, sf_dir)
 
     return run
