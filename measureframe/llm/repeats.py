@@ -14,7 +14,7 @@ from measureframe.llm.store import shard_count, short, written
 from measureframe.llm.words import mixed
 
 #: Bytes of text that one task sorts, on average, and queue entries that it holds before they go to disk.
-SHARD_BYTES, QUEUE_ENTRIES = 8 << 20, 1 << 24
+SHARD_BYTES, QUEUE_ENTRIES = 4 << 20, 1 << 24
 #: Distinct stretches with one key beyond which they are dealt out anew, window by window.
 HOT = 20_000
 #: Bytes of a gram, at most; a window of the wanted length holds several.
