@@ -11,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from measureframe.plans.ordering import cut_points, join_on, running_totals, slice_count, slice_of, task_rows
@@ -54,7 +54,7 @@ def _square(row: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 
 def pair_correlations(
-    df: DataFrame, pairs: dict[str, tuple[str, str]], centres: dict[str, float] | None = None
+    df: DataFrame, pairs: dict[str, tuple[str, str]], centres: dict[str, float] | None = None, count: str | None = None
 ) -> DataFrame:
     """One row with the correlation of each named pair of columns, pairwise complete.
 
@@ -69,7 +69,7 @@ def pair_correlations(
         middle = [means[f"m{i}"] for i in range(len(cols))]
     else:
         middle = [F.lit(float(centres[c])) for c in cols]
-    centred = df.select(*[(q(c) - mid).alias(f"_z{i}") for i, (c, mid) in enumerate(zip(cols, middle))])
+    centred = df.select(*[(q(c) - mid).alias(f"_z{i}") for i, (c, mid) in enumerate(zip(cols, middle))], (q(count) if count else F.lit(1)).alias("_weight"))
     names = list(pairs)
     left = [cols.index(pairs[p][0]) for p in names]
     right = [cols.index(pairs[p][1]) for p in names]
@@ -77,11 +77,12 @@ def pair_correlations(
     def moments(batches):
         total = None
         for pdf in batches:
-            z = pdf.to_numpy(dtype=np.float64, na_value=np.nan)
+            z, weight = np.split(pdf.to_numpy(dtype=np.float64, na_value=np.nan), [len(cols)], axis=1)
             mask = ~np.isnan(z)
             z = np.where(mask, z, 0.0)
             mask = mask.astype(np.float64)
-            n, s, ss, cross = mask.T @ mask, z.T @ mask, (z * z).T @ mask, z.T @ z
+            often, zs = mask * weight, z * weight
+            n, s, ss, cross = mask.T @ often, zs.T @ mask, (zs * z).T @ mask, zs.T @ z
             part = np.stack([
                 n[left, right], s[left, right], s[right, left], ss[left, right], ss[right, left], cross[left, right]
             ])
@@ -121,7 +122,7 @@ def _spearman(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     centres = {f"_avg{i}_{m}": (found.counts[i, m] + 1) / 2 for i, m in names}
     row = pair_correlations(found.rows, {
         _pair(i, j): (f"_avg{i}_{found.partner(i, j)}", f"_avg{j}_{found.partner(j, i)}") for i in range(n) for j in range(i, n)
-    }, centres).first()
+    }, centres, "_count").first()
     found.release()
     return _table(df, feats, {(i, j): row[_pair(i, j)] for i in range(n) for j in range(n)})
 
@@ -140,17 +141,17 @@ def _kendall(df: DataFrame, feats: Sequence[str]) -> DataFrame:
     pairs = list(combinations(range(n), 2))
     limit = max(2, task_rows(df) // 2)
     shift = limit.bit_length() - 1
-    rows = found.rows.select(F.explode(F.array(*[
+    rows = found.rows.select("_count", F.explode(F.array(*[
         F.struct(F.lit(k).alias("pair"), found.below(i).alias("x"), found.below(j).alias("y")) for k, (i, j) in enumerate(pairs)
-    ])).alias("_p")).select("_p.*").filter("x is not null and y is not null") if pairs else None
+    ])).alias("_p")).select("_p.*", "_count").filter("x is not null and y is not null") if pairs else None
     scores = {}
     if pairs:
-        cells = rows.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("c"))
+        counted = cells = rows.groupBy("pair", "x", "y").agg(F.sum("_count").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
         most = max(int(found.counts[j, j]) for _, j in pairs)
         group = F.shiftright("y", shift) * 2
         if most > limit:
             # Ties of one y beyond the limit are a group of their own, behind the others with its leading bits; nothing in it is to be compared.
-            hot = rows.groupBy("pair", "y").agg(F.count(F.lit(1)).alias("_ties")).filter(F.col("_ties") > limit).select("pair", "y", F.lit(True).alias("_hot"))
+            hot = counted.groupBy("pair", "y").agg(F.sum("c").alias("_ties")).filter(F.col("_ties") > limit).select("pair", "y", F.lit(True).alias("_hot"))
             cells = cells.join(hot, ["pair", "y"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
             group = group + F.col("_hot").cast("long")
         else:
@@ -161,6 +162,7 @@ def _kendall(df: DataFrame, feats: Sequence[str]) -> DataFrame:
         if most > limit:
             score = score.unionByName(_across_groups(cells, (2 * (most >> shift) + 1).bit_length(), shift)).groupBy("pair").agg(F.sum("score").alias("score"))
         scores = {r.pair: int(r.score) for r in score.collect()}
+        counted.unpersist()
     found.release()
     taus = {(i, i): 1.0 for i in range(n)}
     for k, (i, j) in enumerate(pairs):

@@ -1,4 +1,4 @@
-"""Ranks of several features at once: one range partitioning of all values, carried totals, ranks back beside the rows."""
+"""Ranks of several features at once: one range partitioning of all distinct values, carried totals, ranks back beside the distinct rows."""
 
 from __future__ import annotations
 
@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from measureframe.roles import q
 
-#: Values of all features that one task sorts, on average.
+#: Distinct values of all features that one task sorts, on average.
 TASK_VALUES = 1_000_000
+#: Distinct values of a feature, as counted, whose ranks go to every task.
+_FEW_VALUES = 50_000
 
 # Workers get these helpers by value, so they need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,7 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass
 class Ranked:
-    """``rows`` has a row for each row with any value; call ``release`` when its plans have run.
+    """``rows`` has a row for each distinct row with any value, and its ``_count``; call ``release`` when its plans have run.
 
     ``counts[i, j]`` are the rows with values of features i and j, ``ties[i, j]`` the pairs of those
     rows that tie in i.  ``partners[i]`` are the features for which i has ranks of its own: itself, and those with
@@ -33,7 +35,7 @@ class Ranked:
     counts: np.ndarray
     ties: np.ndarray
     partners: list[list[int]]
-    _held: DataFrame
+    _held: tuple[DataFrame, ...]
 
     def partner(self, i: int, j: int) -> int:
         """The feature whose missing values decide the ranks of i beside j."""
@@ -48,7 +50,8 @@ class Ranked:
         return F.col(f"_low{i}")
 
     def release(self) -> None:
-        self._held.unpersist()
+        for used in self._held:
+            used.unpersist()
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,96 +61,106 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(batches):
-    """The rows of a task, feature by feature: (feature, row ids, values, masks), sorted by value."""
+    """The values of a task, feature by feature: (feature, values, masks, counts), sorted by value."""
     parts = [tuple(t.column(k).to_numpy(zero_copy_only=False) for k in range(4)) for t in batches]
     if not parts:
         return
-    feature, row, value, mask = (np.concatenate(c) for c in zip(*parts))
+    feature, value, mask, count = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((value, feature))
     starts, _ = _runs(feature[order])
     for part in np.split(order, starts[1:]):
-        yield int(feature[part[0]]), row[part], value[part], mask[part]
+        if len(part):
+            yield int(feature[part[0]]), value[part], mask[part], count[part]
 
 
-def _present(mask: np.ndarray, partner: int) -> np.ndarray:
-    return (mask >> partner & 1).astype(np.int64)
+def _present(mask: np.ndarray, count: np.ndarray, partner: int) -> np.ndarray:
+    return (mask >> partner & 1) * count
 
 
 def _totals(partners):
     def run(batches):
         task, out = TaskContext.get().partitionId(), []
-        for i, _, value, mask in _blocks(batches):
+        for i, value, mask, count in _blocks(batches):
             first, _ = _runs(value)
             for m in partners[i]:
-                per = np.add.reduceat(_present(mask, m), first)
-                out.append((task, i, m, int(per.sum()), float((per.astype(np.float64) * (per - 1)).sum() / 2)))
-        columns = list(zip(*out)) if out else [[]] * 5
+                per = np.add.reduceat(_present(mask, count, m), first)
+                out.append((task, i, m, int(per.sum()), float((per.astype(np.float64) * (per - 1)).sum() / 2), len(first)))
+        columns = list(zip(*out)) if out else [[]] * 6
         yield pa.RecordBatch.from_arrays([
-            *(pa.array(c, pa.int32()) for c in columns[:3]), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.float64())], names=["task", "i", "m", "n", "ties"])
+            *(pa.array(c, pa.int32()) for c in columns[:3]), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.float64()),
+            pa.array(columns[5], pa.int64())], names=["task", "i", "m", "n", "ties", "values"])
 
     return run
 
 
 def _ranks(partners, before, width):
-    """Rows (row, i, low, ranks): places are counted on from what lies in the tasks before."""
+    """Rows (i, x, low, ranks), one for each distinct value: places are counted on from what lies in the tasks before."""
     def run(batches):
         task = TaskContext.get().partitionId()
-        for i, row, value, mask in _blocks(batches):
-            first, run_of = _runs(value)
-            ranks, low = np.full((len(row), width), np.nan), None
+        for i, value, mask, count in _blocks(batches):
+            first, _ = _runs(value)
+            ranks, low = np.full((len(first), width), np.nan), None
             for k, m in enumerate(partners[i]):
-                per = np.add.reduceat(_present(mask, m), first)
+                per = np.add.reduceat(_present(mask, count, m), first)
                 upto = np.cumsum(per) + before.get((task, i, m), 0)
-                ranks[:, k] = (upto - (per - 1) / 2)[run_of]
-                ranks[_present(mask, m) == 0, k] = np.nan
+                ranks[:, k] = upto - (per - 1) / 2
                 if m == i:
-                    low = (upto - per)[run_of]
+                    low = upto - per
             yield pa.RecordBatch.from_arrays([
-                pa.array(row), pa.array(np.full(len(row), i, np.int32)), pa.array(low), *(pa.array(ranks[:, k], mask=np.isnan(ranks[:, k])) for k in range(width))],
-                names=["row", "i", "low", *(f"r{k}" for k in range(width))])
+                pa.array(np.full(len(first), i, np.int32)), pa.array(value[first]), pa.array(low), *(pa.array(ranks[:, k], mask=np.isnan(ranks[:, k])) for k in range(width))],
+                names=["i", "x", "low", *(f"r{k}" for k in range(width))])
 
     return run
 
 
 def ranked(df: DataFrame, features: Sequence[str]) -> Ranked:
-    """Average ranks and places of every feature, pairwise complete, on the rows.
+    """Average ranks and places of every feature, pairwise complete, on the distinct rows.
 
-    All (feature, value) are range-partitioned together, once; equal values meet in one task, which streams
-    them.  A task tells how many rows of each feature it has, a few numbers that the driver adds up in the
-    order of the tasks, and counts its own ranks on from there.  A second shuffle brings the ranks back
-    to their rows.  Plans have the same size for any number of rows.  A missing value has no rank.
+    Equal rows are counted first, and then equal (feature, value), so a value that many rows share is one entry for each
+    pattern of missing values.  The entries are range-partitioned together, once; equal values meet in one task.  A task
+    tells how many rows of each feature it has, a few numbers that the driver adds up in the order of the tasks, and
+    counts its own ranks on from there.  A join for each feature brings the ranks back, those of few values (as
+    counted) by broadcast.  A missing value has no rank.
     """
     n = len(features)
     if n > 62:
         raise ValueError("at most 62 features are ranked together")
     known = lambda x: F.when(~F.isnan(x), x)
-    data = df.select(*[known(q(f).cast("double")).alias(f"_x{i}") for i, f in enumerate(features)])
-    sizes = data.agg(F.count(F.lit(1)), *[F.count(c) for c in data.columns]).first()
+    # + 0.0: a negative zero is a zero.
+    data = df.select(*[(known(q(f).cast("double")) + 0.0).alias(f"_x{i}") for i, f in enumerate(features)])
+    cells = data.groupBy(*data.columns).agg(F.count(F.lit(1)).alias("_count")).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = cells.agg(F.sum("_count"), *[F.sum(F.when(F.col(c).isNotNull(), F.col("_count"))) for c in data.columns]).first()
+    sizes = [size or 0 for size in sizes]
     partners = [[i, *(j for j in range(n) if j != i and sizes[1 + j] < sizes[0])] for i in range(n)]
     mask = sum((F.when(F.col(f"_x{i}").isNotNull(), F.lit(1 << i)).otherwise(0).cast("long") for i in range(n)), F.lit(0).cast("long"))
     entries = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_x{i}").alias("x")) for i in range(n)])
-    rows = data.withColumn("_row", F.monotonically_increasing_id()).withColumn("_mask", mask).select("_row", "_mask", F.explode(entries).alias("_e"))
-    rows = rows.select(F.col("_e.i").alias("i"), F.col("_row").alias("row"), F.col("_e.x").alias("x"), F.col("_mask").alias("mask")).filter("x is not null")
+    values = cells.select(mask.alias("mask"), "_count", F.explode(entries).alias("_e")).select("_e.*", "mask", "_count").filter("x is not null")
+    values = values.groupBy("i", "x", "mask").agg(F.sum("_count").alias("count"))
     cores = df.sparkSession.sparkContext.defaultParallelism
     parts = max(cores, -(-sum(sizes[1:]) // TASK_VALUES))
-    held = rows.repartitionByRange(parts, "i", "x").persist(StorageLevel.MEMORY_AND_DISK)
+    held = values.repartitionByRange(parts, "i", "x").persist(StorageLevel.MEMORY_AND_DISK)
 
-    counts, ties = np.zeros((n, n), np.int64), np.zeros((n, n))
+    counts, ties, distinct = np.zeros((n, n), np.int64), np.zeros((n, n)), [0] * n
     before: dict[tuple[int, int, int], int] = {}
     # One row for each task and feature that it has, and partner.
-    for r in sorted(held.mapInArrow(_totals(partners), "task int, i int, m int, n bigint, ties double").collect(), key=lambda r: r.task):
+    totals = held.mapInArrow(_totals(partners), "task int, i int, m int, n bigint, ties double, values bigint")
+    for r in sorted(totals.collect(), key=lambda r: r.task):
         before[r.task, r.i, r.m] = int(counts[r.i, r.m])
         counts[r.i, r.m] += r.n
         ties[r.i, r.m] += r.ties
+        distinct[r.i] += r["values"] if r.m == r.i else 0
     for i in range(n):
         for j in range(n):
             if j not in partners[i]:
                 counts[i, j], ties[i, j] = counts[i, i], ties[i, i]
     width = max(map(len, partners), default=1)
-    schema = "row bigint, i int, low bigint, " + ", ".join(f"r{k} double" for k in range(width))
-    found = held.mapInArrow(_ranks(partners, before, width), schema)
-    here = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
-    wide = found.groupBy("row").agg(
-        *[here(i, "low").alias(f"_low{i}") for i in range(n)],
-        *[here(i, f"r{k}").alias(f"_avg{i}_{m}") for i in range(n) for k, m in enumerate(partners[i])])
-    return Ranked(wide, counts, ties, partners, held)
+    schema = "i int, x double, low bigint, " + ", ".join(f"r{k} double" for k in range(width))
+    found = held.mapInArrow(_ranks(partners, before, width), schema).persist(StorageLevel.MEMORY_AND_DISK)
+    wide = cells
+    for i in range(n):
+        own = found.filter(F.col("i") == i).select(
+            F.col("x").alias(f"_v{i}"), F.col("low").alias(f"_low{i}"), *[F.col(f"r{k}").alias(f"_avg{i}_{m}") for k, m in enumerate(partners[i])])
+        wide = wide.join(F.broadcast(own) if distinct[i] <= _FEW_VALUES else own, F.col(f"_x{i}") == F.col(f"_v{i}"), "left")
+    rank = lambda i, m: F.when(F.col(f"_x{m}").isNotNull(), F.col(f"_avg{i}_{m}")).alias(f"_avg{i}_{m}")
+    rows = wide.select("_count", *[F.col(f"_low{i}") for i in range(n)], *[rank(i, m) for i in range(n) for m in partners[i]])
+    return Ranked(rows, counts, ties, partners, (cells, held, found))
