@@ -21,6 +21,10 @@ from measureframe.roles import as_category, as_list, drop_missing, q
 # c(alpha) of the critical distance.
 KS_COEFFICIENT = {0.10: 1.22, 0.05: 1.36, 0.025: 1.48, 0.01: 1.63, 0.005: 1.73, 0.001: 1.95}
 KS_TERMS = 100
+#: P(D >= d) is at most 2.17 exp(-2 lam^2); beyond this lam, no double but 0 is nearer to it.
+_KS_NOTHING = 19.4
+#: A band of so many cells is wide enough for a test to be computed alone.
+_KS_WIDE = 256
 #: Distinct values whose shares are held at once, for all labels.
 _KS_VALUES = 4096
 
@@ -61,7 +65,7 @@ def pair_correlations(
     Tasks reduce their rows to the moments of each pair with matrix products, so the
     shuffle carries one row per pair and task.  Values are centred first (on the column
     means, unless the caller knows the ``centres`` and saves that pass), which keeps the
-    differences of squares exact enough.
+    differences of squares exact enough.  A row stands for as many as its ``count`` column says.
     """
     cols = sorted({c for p in pairs.values() for c in p})
     if centres is None:
@@ -311,6 +315,9 @@ def _beside(places: DataFrame, labels: DataFrame) -> DataFrame:
 def _ks_columns(found: DataFrame, keys: Sequence[str], comparison: str, alpha: float, pvalue: str) -> DataFrame:
     n1, n2, d = F.col("_n1").cast("double"), F.col("_n2").cast("double"), F.col("_d")
     exact = pvalue == "exact"
+    if exact:
+        # Few rows with long work: dealt out, in a number that AQE leaves alone.
+        found = found.repartition(8 * found.sparkSession.sparkContext.defaultParallelism, *[q(k) for k in keys], "_a", "_b")
     found = found.withColumn("_p", exact_tail()(d, n1, n2) if exact else kolmogorov_tail(d * F.sqrt(n1 * n2 / (n1 + n2))))
     critical = F.lit(KS_COEFFICIENT[alpha]) * F.sqrt((n1 + n2) / (n1 * n2))
     apart = (d > critical) & (F.col("_p") < alpha)
@@ -384,6 +391,31 @@ def lattice_tails(d: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def lattice_tail(steps: int, m: int, n: int, mg: int, ng: int) -> float:
+    """One test of ``lattice_tails`` with a wide band: the same cells, updated in place along plain slices."""
+    t = np.arange(1, m + n + 1)
+    low = np.concatenate([[0], np.maximum(np.maximum(0, t - m), (t * ng - steps) // (mg + ng) + 1)])
+    high = np.concatenate([[0], np.minimum(np.minimum(n, t), (t * ng + steps - 1) // (mg + ng))])
+    size = int((high - low).max()) + 3
+    # The cell j of a diagonal is at j - low + 1; both neighbours of the band have 1.
+    share, new, other = np.ones(size), np.ones(size), np.empty(size)
+    share[1] = 0.0
+    places = np.arange(n + 2, dtype=np.float64)
+    firsts, lasts = low.tolist(), high.tolist()
+    for t in range(1, m + n + 1):
+        first, last = firsts[t], lasts[t]
+        moved, cells = first - firsts[t - 1], last - first + 1
+        j, out, part = places[first:last + 1], new[1:cells + 1], other[:cells]
+        np.subtract(t, j, out=part)
+        np.multiply(share[1 + moved:1 + moved + cells], part, out=out)
+        np.multiply(share[moved:moved + cells], j, out=part)
+        out += part
+        out /= t
+        new[cells + 1:cells + 3] = 1.0
+        share, new = new, share
+    return float(share[1 + n - firsts[-1]])
+
+
 def exact_tail():
     """Exact P(D >= d) for a batch of result rows; the cells of a pass are bounded."""
     @F.pandas_udf("double")
@@ -391,6 +423,15 @@ def exact_tail():
         known = np.flatnonzero(d.notna().to_numpy())
         values, m, n = (x.to_numpy(np.float64)[known] for x in (d, n1, n2))
         out = np.full(len(d), np.nan)
+        beyond = values * np.sqrt(m * n / (m + n)) > _KS_NOTHING
+        out[known[beyond]] = 0.0
+        values, m, n, known = (x[~beyond] for x in (values, m, n, known))
+        wide = 2 * values * m * n / (m + n) > _KS_WIDE
+        for k in np.flatnonzero(wide):
+            a, b = int(m[k]), int(n[k])
+            g = math.gcd(a, b)
+            out[known[k]] = lattice_tail(round(values[k] * (a // g) * b), a, b, a // g, b // g)
+        values, m, n, known = (x[~wide] for x in (values, m, n, known))
         # Tests of like size go together, so that a band is not padded to another one's width.
         order = np.argsort(values * np.maximum(m, n), kind="stable")
         cells = np.cumsum(values[order] * np.maximum(m, n)[order] + 8)

@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from measureframe.operators import statistics as s
 from measureframe.plans import ranking
@@ -203,3 +204,39 @@ def test_exact_tail_of_twenty_thousand_against_the_series():
     assert time.monotonic() - start < 20
     lam = 0.0136 * math.sqrt(10_000)
     assert p == pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * lam * lam) for k in range(1, 50)), rel=0.02)
+
+
+def test_one_wide_exact_tail_is_that_of_the_batch():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        m, n = (int(k) for k in rng.integers(1, 60, 2))
+        g = math.gcd(m, n)
+        steps = int(rng.integers(1, m // g * n + 1))
+        want = s.lattice_tails(np.array([steps / (m // g * n)]), np.array([m]), np.array([n]))[0]
+        assert s.lattice_tail(steps, m, n, m // g, n // g) == want
+
+
+def test_exact_tests_are_spread_over_tasks(spark):
+    """A test of the largest size is one task's; 300 of them were one task's, too."""
+    rows = [(g, l, float(i % (7 + k))) for g in range(12) for k, l in enumerate("abc") for i in range(30)]
+    out = s.ks_test(spark.createDataFrame(rows, "g int, l string, x double"), "x", "l", "g", pvalue="exact")
+    parts = out.withColumn("_part", F.spark_partition_id()).select("_part").distinct().count()
+    assert out.count() == 36 and parts > 8
+    # Beyond every double the tail is 0, without the lattice.
+    far = [(l, float(i + 10 * k)) for k, l in enumerate("ab") for i in range(2000)] + [("c", float(i + 10**6)) for i in range(2000)]
+    got = {r["l 1 & 2"]: r["p-values"] for r in s.ks_test(spark.createDataFrame(far, "l string, x double"), "x", "l", pvalue="exact").collect()}
+    assert got["a-c"] == got["b-c"] == 0.0 and got["a-b"] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_values_that_many_rows_share_are_one_entry(spark):
+    """Ranks are counted on from distinct values, so no task holds the rows of one value."""
+    from measureframe.plans.ranking import ranked
+
+    df = spark.range(480).selectExpr("double(id % 3) AS x", "if(id % 4 = 0, null, double(id % 5)) AS y")
+    found = ranked(df, ["x", "y"])
+    rows = found.rows.collect()
+    assert found._held[1].count() == 3 * 2 + 5 and len(rows) == 3 * 6 and sum(r["_count"] for r in rows) == 480
+    found.release()
+    for kind in ("spearman", "kendall"):
+        got = s.correlation_matrix(df, ["x", "y"], kind).toPandas().set_index("Feature")
+        assert got.loc["x", "y"] == pytest.approx(df.toPandas().corr(kind).loc["x", "y"] if kind == "spearman" else tau_b(*df.dropna().toPandas().to_numpy().T), abs=1e-9)
