@@ -57,9 +57,10 @@ def merge_tables(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
 
     if how != "outer":
         return shaped(a.join(b, match, how), True, True)
-    # A skewed key can be split in a left and in an anti join, but not in a full join.
+    # A skewed key can be split in a left and in an anti join, but not in a full join.  The anti join needs a key once.
+    present = a.select(*[q("_l_" + k) for k in keys]).distinct()
     return shaped(a.join(b, match, "left"), True, True).unionByName(
-        shaped(b.join(a, match, "left_anti"), False, True)
+        shaped(b.join(present, match, "left_anti"), False, True)
     )
 
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from measureframe.operators import joins, reshape
-from measureframe.roles import categories, value_order
+from measureframe.roles import categories, mark_categories, value_order
 
 
 @pytest.fixture
@@ -101,3 +101,13 @@ def test_category_order(spark):
     assert value_order(out, "s") == ["hi", "lo"] and categories(out) == ["s"]
     more = reshape.order_categories(df, {"s": ["hi"]}, append_unseen=True)
     assert [r["s"] for r in more.collect()] == ["hi", "lo", "odd"]
+
+
+def test_outer_merge_reads_each_key_once_for_the_rows_of_the_right(spark):
+    """The anti join takes distinct keys, so a key's rows are not sorted for it."""
+    left = mark_categories(spark.range(1000).selectExpr("if(id % 3 = 0, null, string(id % 3)) AS k", "id AS a"), ["k"])
+    right = mark_categories(spark.createDataFrame([("1", 1.0), (None, 2.0), ("9", 3.0)], "k string, b double"), ["k"])
+    out = joins.merge_tables(left, right, "outer")
+    assert out.count() == 1001 and [tuple(r) for r in out.filter("a is null").collect()] == [("9", None, 3.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("LeftAnti"):]
