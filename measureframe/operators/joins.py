@@ -8,7 +8,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from measureframe.plans.ordering import join_on
+from measureframe.plans.ordering import join_groups, join_on
 from measureframe.roles import (
     as_category, as_list, categories, features, q, unique_name,
 )
@@ -124,7 +124,7 @@ def zip_columns(
 
 def join_labels(df: DataFrame, labels: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """Attach one result row per group to the rows of the group."""
-    return join_on(df, labels, as_list(keys), "left")
+    return join_groups(df, labels, as_list(keys))
 
 
 def distinct_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

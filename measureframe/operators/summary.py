@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from measureframe.functions import registry
 from measureframe.operators.reshape import label_values, numeric_features, pivot_table
-from measureframe.plans.ordering import group_quantiles, join_on
+from measureframe.plans.ordering import group_quantiles, join_groups, join_on
 from measureframe.roles import (
     SEP, as_category, as_list, categories, drop_missing, join_name, q,
 )
@@ -217,7 +217,7 @@ def relative_change(
         raise ValueError("method must be 'mean' or 'median'")
     if keys:
         # A missing label is no group, so such rows get no reference.
-        joined = join_on(df, drop_missing(refs, keys), keys, "left")
+        joined = join_groups(df, drop_missing(refs, keys), keys)
     else:
         one = refs.select(F.struct(*[F.col(n) for n in names]).alias("_s")).scalar()
         joined = df.withColumn("_s", one).select(
@@ -247,7 +247,7 @@ def group_transform(
         stats = group_quantiles(df, keys, feats, [_QUANTILES[agg]], lambda f, p: at[f])
     else:
         stats = df.groupBy(*[q(k) for k in keys]).agg(*[_simple(agg, f).alias(n) for f, n in at.items()])
-    return join_on(df, drop_missing(stats, keys), keys, "left")
+    return join_groups(df, drop_missing(stats, keys), keys)
 
 
 def right_closed(
@@ -363,7 +363,7 @@ def categorize_by_change(
     )
     keys = [c for c in grouping if c not in normalize_to]
     kept = df.select(*[q(c) for c in df.columns if c != name])
-    joined = join_on(kept, table.select(*[q(c) for c in [*keys, name]]), keys, "left")
+    joined = join_groups(kept, table.select(*[q(c) for c in [*keys, name]]), keys)
     cats = [c for c in categories(df) if c != name]
     rows = joined.select(
         *[q(c) for c in cats],

@@ -59,6 +59,15 @@ def join_on(
     return left.join(other, match, how).drop(*renamed)
 
 
+def join_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Rows next to the result of their group.
+
+    A group result lies by its keys already, so the join would follow in the same stage, with all rows sorted by key, a
+    big group in one task.  A stage of its own shows AQE its size: it is broadcast when small, and else a hot key can be split.
+    """
+    return join_on(df, groups.hint("rebalance"), keys, how)
+
+
 def cut_points(df: DataFrame, columns: Sequence[str], slices: int = SLICES) -> dict[str, list[float]]:
     """``slices - 1`` approximate quantiles per column, all in one aggregate (one row back)."""
     shares = [i / slices for i in range(1, slices)]
