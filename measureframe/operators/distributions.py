@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from measureframe.operators.reshape import label_values
 from measureframe.operators.summary import _side_by_side, mean_error
-from measureframe.plans.ordering import group_quantiles, join_on
+from measureframe.plans.ordering import group_quantiles, join_groups, join_on
 from measureframe.roles import as_list, drop_missing, inf_to_null, pick_features, q
 
 BINS = 100
@@ -264,7 +264,7 @@ def _boxes(data: DataFrame, keys: Sequence[str], quantiles: str) -> DataFrame:
 
 
 def _with_box(data: DataFrame, boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return _side_by_side(data, boxes, []) if not keys else join_on(data, boxes, keys)
+    return _side_by_side(data, boxes, []) if not keys else join_groups(data, boxes, keys, "inner")
 
 
 def box_outliers(

@@ -133,3 +133,15 @@ def test_registered_aggregates(m):
     assert row["photons__spread_for_test"] == row["photons__max"] - 3
     rows = summary.summarize(m, "fov", "photons", ["min", "max", "middle_for_test"]).collect()
     assert all(r["photons__middle_for_test"] == (r["photons__min"] + r["photons__max"]) / 2 for r in rows)
+
+
+def test_group_results_join_the_rows_in_a_stage_of_their_own(m):
+    """Otherwise the rows of a group are sorted in one task for the join."""
+    from measureframe.operators import distributions, joins, summary
+
+    means = summary.summarize(m, ["fov"], "photons", ["mean"])
+    for out in (
+        summary.relative_change(m, ["fov"], ["photons"], "treatment", "Ctrl", "median"), summary.relative_change(m, ["fov"], ["photons"], "treatment", "Ctrl"),
+        summary.group_transform(m, ["fov"], ["photons"]), distributions.box_outliers(m, "photons", "fov"), joins.join_labels(m, means, ["fov"]),
+    ):
+        assert "RebalancePartitions" in out._jdf.queryExecution().optimizedPlan().toString()
