@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 import re
 import sys
+import tempfile
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -32,6 +34,10 @@ NETWORKS: dict[str, tuple[tuple[int, ...], int]] = {
     "AE Dimensionality Reduction 2-10": ((10, 1, 10), 1),
     "AE Dimensionality Reduction 2-5": ((5, 1, 5), 1),
 }
+#: Turns of an epoch, at most; tasks hand weights on after each.
+_TURNS = 64
+#: Held-back rows that are scored at once.
+_SCORED = 100_000
 # RMSprop constants.
 _ALPHA, _EPS = 0.99, 1e-8
 
@@ -127,47 +133,87 @@ def _together(values: np.ndarray, tasks: int) -> np.ndarray:
     return np.sum([np.frombuffer(base64.b64decode(g)) for g in gathered], axis=0).reshape(values.shape)
 
 
-def _training(shape, grid, weights, squares, seed, first, last, blocks, tasks):
+class _Blocks:
+    """The rows of one task in files of its own, a block in memory at a time."""
+
+    def __init__(self, folder: str, batches, width: int):
+        self.folder, self.width, self.n_held, self.known = folder, width, 0, set()
+        for t in batches:
+            block, fits, h = t.column(0).to_numpy(), t.column(2).to_numpy(zero_copy_only=False), t.column(1).to_numpy()
+            x = matrix(t.column(3), width)
+            self.n_held += int((~fits).sum())
+            self._append("held", x[~fits])
+            rows = np.column_stack([h.view(np.float64), x])
+            for k in np.unique(block[fits]).tolist():
+                self.known.add(k)
+                self._append(k, rows[fits & (block == k)])
+        for k in self.known:
+            rows = np.fromfile(self._path(k)).reshape(-1, 1 + width)
+            h, x = np.ascontiguousarray(rows[:, 0]).view(np.int64), rows[:, 1:]
+            x[np.lexsort((*x.T[::-1], h))].tofile(self._path(k))
+
+    def _path(self, name) -> str:
+        return os.path.join(self.folder, str(name))
+
+    def _append(self, name, rows: np.ndarray) -> None:
+        with open(self._path(name), "ab") as file:
+            file.write(rows.tobytes())
+
+    def rows(self, k: int) -> np.ndarray:
+        return np.fromfile(self._path(k)).reshape(-1, self.width)
+
+    def held(self):
+        if self.n_held:
+            with open(self._path("held"), "rb") as file:
+                while len(part := np.fromfile(file, count=_SCORED * self.width)):
+                    yield part.reshape(-1, self.width)
+
+
+def _training(shape, grid, weights, squares, seed, first, last, blocks, turns, tasks):
     """A function of one task: its part in epochs ``first`` to ``last`` of mini-batch RMSprop.
 
-    Rows are dealt into blocks by their hash, and a task holds whole blocks.  An epoch visits the blocks, and
-    the rows of a block, in orders drawn from the seed, so each point of the grid takes the steps of one sequential run on
-    any number of tasks.  In a stage a block's task trains on it and hands weights on to all; the points
-    of the grid follow each other through the blocks, one block apart, so as many tasks work as the grid has
+    Rows are dealt into blocks by their hash, blocks into turns, and a task has whole turns, in files.  An epoch visits the
+    turns, the blocks of a turn, and the rows of a block, in orders drawn from the seed, so each point of the grid takes
+    the steps of one sequential run on any number of tasks.  In a stage a turn's task trains on it and hands weights on to all;
+    the points of the grid follow each other through the turns, one turn apart, so as many tasks work as the grid has
     points.  The weights of a finished epoch are scored on the held-back rows of all tasks in the stage that
     begins the next epoch.
     """
     width, size, epochs = shape.widths[0], shape.size, last - first + 1
 
     def run(batches):
-        parts = [(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(zero_copy_only=False), matrix(t.column(3), width)) for t in batches]
-        block, h, fits, x = (np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0), np.zeros(0, bool), np.zeros((0, width)))
-        held, own = x[~fits], {}
-        for k in np.unique(block[fits]).tolist():
-            here = np.flatnonzero(fits & (block == k))
-            own[k] = x[here[np.lexsort((*x[here].T[::-1], h[here]))]]
-        n_held = int(_together(np.array([float(len(held))]), tasks)[0])
-        orders = [np.random.default_rng([seed, e]).permutation(blocks) for e in range(first, last + 1)]
+        with tempfile.TemporaryDirectory() as folder:
+            yield from trained(_Blocks(folder, batches, width))
+
+    def trained(own):
+        n_held = int(_together(np.array([float(own.n_held)]), tasks)[0])
+        orders = [np.random.default_rng([seed, e]).permutation(turns) for e in range(first, last + 1)]
         state = [(w.copy(), v.copy()) for w, v in zip(weights, squares)]
         # By point of the grid and epoch: summed loss, mini-batches, summed squares on the held-back rows, and the weights.
         done = {(c, e): [0.0, 0.0, 0.0, None] for c in range(len(grid)) for e in range(epochs)}
-        for stage in range(epochs * blocks + len(grid)):
+        for stage in range(epochs * turns + len(grid)):
             sent = np.zeros((len(grid), 2 * size + 4))
             for c, (batch, rate, decay) in enumerate(grid):
-                epoch, i = divmod(stage - c, blocks)
+                epoch, i = divmod(stage - c, turns)
                 if epoch >= 1 and i == 0 and epoch <= epochs:
-                    sent[c, 0] = np.sum((forward(shape, state[c][0], held)[-1] - held) ** 2)
-                if 0 <= epoch < epochs and (k := int(orders[epoch][i])) in own:
+                    sent[c, 0] = sum(np.sum((forward(shape, state[c][0], part)[-1] - part) ** 2) for part in own.held())
+                if not 0 <= epoch < epochs:
+                    continue
+                turn = int(orders[epoch][i])
+                visited = np.random.default_rng([seed, first + epoch, turn, 1]).permutation(range(turn, blocks, turns)).tolist()
+                if visited := [k for k in visited if k in own.known]:
                     w, v = state[c][0].copy(), state[c][1].copy()
-                    rows = own[k][np.random.default_rng([seed, first + epoch, k]).permutation(len(own[k]))]
-                    for start in range(0, len(rows), batch):
-                        loss, gradient = loss_and_gradient(shape, w, rows[start:start + batch])
-                        descend(w, v, gradient, rate, decay)
-                        sent[c, 1:3] += loss, 1
+                    for k in visited:
+                        rows = own.rows(k)
+                        rows = rows[np.random.default_rng([seed, first + epoch, k]).permutation(len(rows))]
+                        for start in range(0, len(rows), batch):
+                            loss, gradient = loss_and_gradient(shape, w, rows[start:start + batch])
+                            descend(w, v, gradient, rate, decay)
+                            sent[c, 1:3] += loss, 1
                     sent[c, 3], sent[c, 4:4 + size], sent[c, 4 + size:] = 1, w, v
             known = _together(sent, tasks)
             for c in range(len(grid)):
-                epoch, i = divmod(stage - c, blocks)
+                epoch, i = divmod(stage - c, turns)
                 if epoch >= 1 and i == 0 and epoch <= epochs:
                     done[c, epoch - 1][2] = known[c, 0]
                 if 0 <= epoch < epochs:
@@ -219,9 +265,9 @@ def ae_fit(
     """Train the grid; returns ``loss``, ``models``, ``decoded`` and ``encoded`` tables.
 
     One job trains ``checkpoint_interval`` epochs.  Losses and weights are those of one sequential run, however the
-    rows are dealt: rows form blocks of ``spark.measureframe.taskRows`` rows, a task holds blocks in memory, and with more
-    than one the tasks are a barrier stage that passes the weights on from block to block (``_training``).
-    ``tasks`` are as many as blocks, at most as many as run at once.  A lost executor costs the epochs since
+    rows are dealt: rows form blocks of ``spark.measureframe.taskRows`` rows, a task keeps them in files and one in memory, and with more
+    than one the tasks are a barrier stage that passes the weights on from turn to turn (``_training``); a turn is one block, or
+    more when there are many.  ``tasks`` are as many as turns, at most as many as run at once.  A lost executor costs the epochs since
     the last job.  The training loss is the mean over the mini-batches, the validation loss that over the held-back rows.
     """
     spark = df.sparkSession
@@ -234,10 +280,11 @@ def ae_fit(
     low, high = list(bounds[1:len(feats) + 1]), list(bounds[len(feats) + 1:])
     scaled = _unit_scaled(split, feats, low, high)
     blocks = max(1, -(-bounds["n"] // task_rows(df)))
-    tasks = max(1, min(blocks, tasks or spark.sparkContext.defaultParallelism))
+    turns = min(blocks, _TURNS)
+    tasks = max(1, min(turns, tasks or spark.sparkContext.defaultParallelism))
     rows = scaled.select("_train", F.array(*[q(f) for f in feats]).alias("_x")).withColumn("_h", F.xxhash64(F.lit(seed), "_x"))
     rows = rows.select(F.pmod("_h", F.lit(blocks)).cast("int").alias("_block"), "_h", "_train", "_x")
-    rows = rows.repartition(tasks, "_block") if tasks > 1 else rows.coalesce(1)
+    rows = rows.repartition(tasks, F.pmod("_block", F.lit(turns))) if tasks > 1 else rows.coalesce(1)
     several = epochs > checkpoint_interval
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK) if several else rows
     weights = [initial_weights(shape, seed) for _ in grid]
@@ -246,7 +293,7 @@ def ae_fit(
     try:
         for first in range(1, epochs + 1, checkpoint_interval):
             last = min(epochs, first + checkpoint_interval - 1)
-            train = _training(shape, grid, weights, squares, seed, first, last, blocks, tasks)
+            train = _training(shape, grid, weights, squares, seed, first, last, blocks, turns, tasks)
             # One row for each epoch and point of the grid.
             for r in sorted(rows.mapInArrow(train, _EPOCH_SCHEMA, barrier=tasks > 1).collect(), key=lambda r: (r.epoch, r.config)):
                 batch, rate, decay = grid[r.config]

@@ -136,3 +136,31 @@ def test_training_equals_one_sequential_run(spark, m, limit, tasks, parts, arrow
     for r in found:
         fitted, checked = want[int(r["Epoch"]), [g[0] for g in grid].index(int(r["Batch Size"]))]
         assert r["Training Loss"] == pytest.approx(fitted, abs=1e-9) and r["Validation Loss"] == pytest.approx(checked, abs=1e-9)
+
+
+def test_a_task_keeps_its_rows_in_files(tmp_path):
+    """One block is in memory at a time, in the order that the whole had."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    x, h = rng.integers(0, 3, (1000, 2)).astype(float), rng.integers(-(2**62), 2**62, 1000)
+    block, fits = rng.integers(0, 3, 1000).astype(np.int32), rng.random(1000) < 0.7
+    table = pa.table([pa.array(block), pa.array(h), pa.array(fits), pa.array(list(x), pa.list_(pa.float64()))], names=list("bhfx"))
+    own = n._Blocks(str(tmp_path), table.to_batches(max_chunksize=64), 2)
+    for k in range(3):
+        here = fits & (block == k)
+        assert own.rows(k).tolist() == x[here][np.argsort(h[here])].tolist()
+    assert np.concatenate(list(own.held())).tolist() == x[~fits].tolist() and own.n_held == int((~fits).sum())
+
+
+def test_turns_of_several_blocks_are_one_sequential_run(spark, m, monkeypatch):
+    """Many blocks share a turn, so weights are handed on a bounded number of times."""
+    monkeypatch.setattr(n, "_TURNS", 3)
+    spark.conf.set("spark.measureframe.taskRows", "700")
+    try:
+        runs = [n.ae_fit(m, ["photons"], ["fov", "cell"], "treatment", "AE Simulator 1-3", epochs=2, learning_rates=[1e-2, 1e-3],
+                         checkpoint_interval=2, tasks=tasks)["loss"].collect() for tasks in (1, 3)]
+    finally:
+        spark.conf.unset("spark.measureframe.taskRows")
+    for a, b in zip(*runs):
+        assert a["Training Loss"] == pytest.approx(b["Training Loss"]) and a["Validation Loss"] == pytest.approx(b["Validation Loss"])
