@@ -25,7 +25,9 @@ from measureframe.sources.paths import parse_path, path_patterns, plain_path
 
 EXTENSIONS = (".txt", ".csv")
 PREVIEW_ROWS = 200
-_PATH = "_source_path"
+_PATH, _URI = "_source_path", "_source_uri"
+#: Most files whose labels are broadcast.
+BROADCAST_FILES = 100_000
 # Cells read as missing.
 MISSING_TEXT = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -176,7 +178,7 @@ def _numeric_columns(df: DataFrame, candidates: list[str]) -> set[str]:
     if not candidates:
         return set()
     bad = df.agg(*[
-        F.count_if(_present(q(c)).isNotNull() & _number(q(c)).isNull()).alias(f"_{i}")
+        F.count_if(~F.trim(q(c)).rlike(_NUMBER) & ~F.trim(q(c)).isin(*MISSING_TEXT)).alias(f"_{i}")
         for i, c in enumerate(candidates)
     ]).first()
     return {c for i, c in enumerate(candidates) if bad[i] == 0}
@@ -191,17 +193,40 @@ def _typed(df: DataFrame, labels: set[str], types: Mapping[str, str] | None) ->
         if c == _PATH:
             made.append(q(c))
             continue
-        cell = _present(q(c))
         kind = types.get(c, "string") if c not in labels else "string"
         numeric = kind in ("double", "float", "int", "bigint", "long", "smallint", "tinyint")
-        made.append((cell if kind == "string" else _number(cell, kind) if numeric else F.trim(cell).try_cast(kind)).alias(c))
+        # No text that stands for a missing cell reads as a number.
+        cell = _number(q(c), kind) if numeric else _present(q(c))
+        made.append((cell if numeric or kind == "string" else F.trim(cell).try_cast(kind)).alias(c))
     return df.select(*made)
 
 
-def transform_measurements(df: DataFrame, spec: ImportSpec, path: str = _PATH) -> DataFrame:
-    """Path labels, renaming, dropping, combining, ordering, deriving: all row by row."""
-    df = df.withColumn(path, plain_path(F.col(path)))
-    df = parse_path(df, path, spec.parser).drop(path)
+def _file_uris(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files as readers name them to their rows, by one listing without contents."""
+    listing = spark.read.format("binaryFile").load(_literal(paths)).select(F.col("_metadata.file_path").alias(_PATH))
+    return [r[_PATH] for r in listing.distinct().toLocalIterator()]
+
+
+def _path_labels(df: DataFrame, spec: ImportSpec, path: str, files: list[str] | None) -> DataFrame:
+    """Labels from the path instead of it: once for each of the ``files``, or by row where they are not known."""
+    if files is None or spec.parser == "none":
+        return parse_path(df.withColumn(path, plain_path(F.col(path))), path, spec.parser).drop(path)
+    named = df.sparkSession.createDataFrame([(f, f) for f in files], f"{_URI} string, {_PATH} string")
+    labels = parse_path(named.withColumn(_PATH, plain_path(F.col(_PATH))), _PATH, spec.parser).drop(_PATH)
+    made = [c for c in labels.columns if c != _URI]
+    kept = [c for c in df.columns if c not in made]
+    # The driver has the files of the readers anyway; so many of them that they are better shuffled also spread the rows.
+    few = F.broadcast(labels) if len(files) <= BROADCAST_FILES else labels
+    joined = df.select(*[q(c) for c in kept]).join(few, F.col(path) == F.col(_URI), "left")
+    return joined.select(*[q(c) for c in kept if c != path], *[q(c) for c in made])
+
+
+def transform_measurements(df: DataFrame, spec: ImportSpec, path: str = _PATH, files: list[str] | None = None) -> DataFrame:
+    """Path labels, renaming, dropping, combining, ordering, deriving.
+
+    With ``files``, all paths that rows can have, labels come from one row for each file; everything else is row by row.
+    """
+    df = _path_labels(df, spec, path, files)
     df = drop_columns(rename_columns(df, spec.rename), spec.drop)
     labels = reserved_labels(spec)
     df = mark_categories(df, [c for c in df.columns if c in labels])
@@ -236,7 +261,7 @@ def read_measurements(
         table = part if table is None else table.unionByName(part, allowMissingColumns=True)
     if rows_per_file is not None:
         table = first_rows(table, rows_per_file)
-    return transform_measurements(_typed(table, reserved_labels(spec), spec.types), spec)
+    return transform_measurements(_typed(table, reserved_labels(spec), spec.types), spec, files=_file_uris(spark, listed))
 
 
 def first_rows(df: DataFrame, n: int, path: str = _PATH) -> DataFrame:

@@ -12,7 +12,7 @@ from measureframe.operators.filters import RangeFilter, filter_table
 from measureframe.operators.summary import categorize
 from measureframe.roles import q
 from measureframe.sources.text import (
-    _PATH, ImportSpec, _cells, _clean_header, _header_groups, _split_regex, _typed, reserved_labels, transform_measurements,
+    _PATH, ImportSpec, _cells, _clean_header, _file_uris, _header_groups, _split_regex, _typed, reserved_labels, transform_measurements,
 )
 
 
@@ -91,7 +91,7 @@ def import_new_files(
     new = [r["path"] for r in new.toLocalIterator()]
 
     def shaped(raw: DataFrame) -> DataFrame:
-        table = transform_measurements(_typed(raw, reserved_labels(spec), columns), spec)
+        table = transform_measurements(_typed(raw, reserved_labels(spec), columns), spec, files=_file_uris(spark, new) if new else None)
         table = filter_table(table, ranges)
         return categorize(table, **categorize_by) if categorize_by else table
 

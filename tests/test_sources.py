@@ -50,6 +50,18 @@ def test_import(spark, folder):
     assert df.columns[: len(cats)] == sorted(cats)
 
 
+def test_labels_are_read_once_for_a_file(spark, folder, monkeypatch):
+    def found():
+        df = text.read_measurements(spark, folder, SPEC).filter(q("FOV").isNotNull() & q("NAD(P)H t1").isNotNull())
+        return df, sorted(map(str, df.collect()))
+
+    df, rows = found()
+    scans = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan csv" in line]
+    assert scans and not [line for line in scans if "translate(" in line]
+    monkeypatch.setattr(text, "BROADCAST_FILES", 0)
+    assert len(rows) == 3 and found()[1] == rows
+
+
 def test_delimiter_characters_are_alternatives(spark, tmp_path):
     (tmp_path / "one.csv").write_text("x\ty,z|w\n1,2\t3,4\n5\t\t7|t\n")
     df = text.read_measurements(spark, str(tmp_path), ImportSpec(delimiter="\t,|"))
