@@ -285,13 +285,24 @@ def run_steps(df: DataFrame, spec: Mapping, others: Mapping[str, DataFrame] | No
 
 
 def run_job(spark: SparkSession, inputs: Sequence[str], spec: Mapping, held: list[DataFrame] | None = None) -> dict[str, DataFrame]:
-    """Import, derive, filter, then the steps.  ``held`` receives the tables to unpersist when the results have been used."""
+    """Import, derive, filter, then the steps.  ``held`` receives the tables to unpersist when the results have been used.
+
+    Imports of the same paths in the same way are one table.
+    """
+    read: list[tuple[list[str], dict, DataFrame]] = []
+
+    def table(paths: Sequence[str], part: dict) -> DataFrame:
+        for have, how, df in read:
+            if (have, how) == (list(paths), part):
+                return df
+        df = run_filters(read_measurements(spark, list(paths), import_spec({**spec, "import": part})), spec)
+        read.append((list(paths), part, df))
+        return df
+
     others = {}
     for name, own in spec.get("imports", {}).items():
-        part = {**spec["import"], **{k: v for k, v in own.items() if k != "paths"}}
-        others[name] = run_filters(read_measurements(spark, list(own["paths"]), import_spec({**spec, "import": part})), spec)
-    data = run_filters(read_measurements(spark, list(inputs), import_spec(spec)), spec)
-    return run_steps(data, spec, others, held)
+        others[name] = table(own["paths"], {**spec["import"], **{k: v for k, v in own.items() if k != "paths"}})
+    return run_steps(table(inputs, spec["import"]), spec, others, held)
 
 
 def arguments(argv: Sequence[str] | None = None) -> argparse.Namespace:

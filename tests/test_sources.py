@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from measureframe.operators.filters import RangeFilter
 from measureframe.plans import jobs
@@ -258,3 +259,22 @@ def test_job_with_several_inputs_in_any_order(spark, folder, tmp_path):
     for bad in ([{"op": "pca", "input": "nothing"}], [{"op": "derive", "input": "b", "as": "a"}, {"op": "derive", "input": "a", "as": "b"}]):
         with pytest.raises(ValueError):
             jobs.load_spec(json.dumps({"steps": bad}))
+
+
+def test_equal_imports_of_a_job_are_read_once(spark, folder, monkeypatch):
+    calls = []
+
+    def counted(session, paths, spec):
+        calls.append(spec.parser)
+        return text.read_measurements(session, paths, spec)
+
+    monkeypatch.setattr(jobs, "read_measurements", counted)
+    spec = jobs.load_spec(json.dumps({
+        "import": {"parser": "celltype_compartment_fov_treatment_cell", "exclude": ["skip.txt"]},
+        "imports": {"again": {"paths": [folder]}, "plain": {"paths": [folder], "parser": "none"}},
+        "steps": [{"op": "concat_rows", "inputs": {"a": "data", "b": "again", "c": "plain"}, "as": "rows"}],
+    }))
+    rows = jobs.run_job(spark, [folder], spec)["rows"]
+    assert sorted(calls) == ["celltype_compartment_fov_treatment_cell", "none"]
+    assert {r["Source"]: (r["n"], r["fovs"]) for r in rows.groupBy("Source").agg(F.count("*").alias("n"), F.count("FOV").alias("fovs")).collect()} == {
+        "a": (3, 3), "b": (3, 3), "c": (3, 0)}
