@@ -38,6 +38,8 @@ NETWORKS: dict[str, tuple[tuple[int, ...], int]] = {
 _TURNS = 64
 #: Held-back rows that are scored at once.
 _SCORED = 100_000
+#: Equal rows that are numbered at once.
+_RUN = 1000
 # RMSprop constants.
 _ALPHA, _EPS = 0.99, 1e-8
 
@@ -451,8 +453,14 @@ def ae_augment(
     rows = df.select(*[q(c) for c in cats], *[q(f).cast("double").alias(f) for f in feats])
     if add_noise:
         # Rows that repeat are numbered from their count, so each gets noise of its own.
-        counted = rows.groupBy(*[q(c) for c in rows.columns]).agg(F.count(F.lit(1)).alias("_rows"))
-        rows = counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).drop("_rows")
+        content = [q(c) for c in rows.columns]
+        counted = rows.groupBy(*content).agg(F.count(F.lit(1)).alias("_rows"))
+        # Counts are small, what comes of them is not: runs of a count are dealt out, by their number of rows.
+        runs = counted.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_rows") - 1) / F.lit(_RUN)))))
+        parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() * sets // task_rows(df)))
+        dealt = runs.repartition(parts, *content, "_run")
+        nth = F.sequence(F.col("_run") * _RUN + 1, F.least((F.col("_run") + 1) * _RUN, F.col("_rows")))
+        rows = dealt.withColumn("_nth", F.explode(nth)).drop("_rows", "_run")
     copies = rows.withColumn("_set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
     renumbered = F.when(
         span["text"] == 0, (number + span["top"] * F.col("_set")).cast("string")

@@ -77,6 +77,14 @@ def test_augment(spark, fitted, m):
     assert modelled.count() == 2 * 2 * m.count()
 
 
+def test_noise_of_equal_rows_is_dealt_out(spark):
+    df = spark.range(10_500).select((F.col("id") % 2).cast("string").alias("g"), F.lit(5.0).alias("x"))
+    out = n.ae_augment(df, ["x"], ["g"], 2, add_noise=True, snr_db=20.0)
+    held = out.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == 21_000 and max(r["count"] for r in held) < 15_000
+    assert out.select("x").distinct().count() == 21_000
+
+
 def test_noise_level(spark):
     df = spark.range(20000).select(F.lit("a").alias("g"), (F.lit(10.0) + F.col("id") * 0).alias("x"))
     out = n.ae_augment(df, ["x"], ["g"], 1, add_noise=True, snr_db=20.0)
