@@ -21,6 +21,8 @@ BINS = 100
 GRID = 200
 #: Values whose kernels are evaluated at once, and weights that are drawn at once.
 _KERNEL_ROWS, _DRAWS = 4096, 2_000_000
+#: Weights drawn in one step, cells of the unit interval in a guide, guides that a task keeps.
+_BLOCK, _CELLS, _GUIDES = 16_384, 1 << 16, 64
 
 # Workers get these helpers by value, so they need no installed copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -336,21 +338,52 @@ def line_ci(
     )
 
 
-def poisson_draws(h: np.ndarray, c: np.ndarray, replicates: int) -> np.ndarray:
-    """Poisson(c) weights (rows x replicates): the quantile of a uniform number that the hash and the replicate give."""
-    x = h[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    out = np.empty(u.shape)
+def poisson_draws(h: np.ndarray, c: np.ndarray, replicates: int, guides: dict | None = None) -> np.ndarray:
+    """Poisson(c) weights (rows x replicates): the quantile of a uniform number that the hash and the replicate give.
+
+    ``guides`` keeps the tables of frequent counts from call to call.
+    """
+    out = np.empty((len(h), replicates))
+    steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    guides = {} if guides is None else guides
+    high = max(1, _BLOCK // replicates)
     # Rows with one count share a table; a count's table spans twelve deviations and more.
-    for count in np.unique(c):
-        wide = 12 * math.sqrt(count) + 20
-        k = np.arange(max(0, math.floor(count - wide)), math.ceil(count + wide) + 1)
-        logs = np.concatenate([[0.0], np.cumsum(math.log(count) - np.log(k[1:]))])
-        mass = np.exp(logs - logs.max())
-        own = c == count
-        out[own] = k[np.minimum(np.searchsorted(np.cumsum(mass) / mass.sum(), u[own], side="right"), len(k) - 1)]
+    for count, rows in zip(*np.unique(c, return_counts=True)):
+        own, guide = np.flatnonzero(c == count), guides.get(int(count))
+        if guide is None:
+            wide = 12 * math.sqrt(count) + 20
+            k = np.arange(max(0, math.floor(count - wide)), math.ceil(count + wide) + 1)
+            logs = np.concatenate([[0.0], np.cumsum(math.log(count) - np.log(k[1:]))])
+            mass = np.exp(logs - logs.max())
+            ends = np.cumsum(mass) / mass.sum()
+            guide = k, ends, None
+        k, ends, sure = guide
+        if sure is None and rows * replicates >= 4 * _CELLS:
+            # The weight that all numbers of a cell give; none where an end lies inside the cell.
+            cell = np.arange(_CELLS, dtype=np.uint64) << np.uint64(37)
+            low, last = (np.searchsorted(ends, (cell + np.uint64(e)).astype(np.float64) / (1 << 53), side="right") for e in (0, (1 << 37) - 1))
+            sure = np.where(low == last, k[np.minimum(low, len(k) - 1)], np.nan)
+            guide = k, ends, sure
+            if len(guides) < _GUIDES:
+                guides[int(count)] = guide
+        # Blocks stay in a core's cache.
+        for start in range(0, len(own), high):
+            at = own[start:start + high]
+            x = h[at][:, None] + steps[None, :]
+            mixed = np.empty_like(x)
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                np.right_shift(x, np.uint64(shift), out=mixed)
+                np.bitwise_xor(x, mixed, out=x)
+                np.multiply(x, np.uint64(factor), out=x)
+            np.right_shift(x, np.uint64(31), out=mixed)
+            np.bitwise_xor(x, mixed, out=x)
+            x, drawn, open_ = x.ravel(), np.empty(x.size), slice(None)
+            if sure is not None:
+                np.take(sure, np.right_shift(x, np.uint64(48), out=mixed.ravel()).view(np.int64), out=drawn, mode="clip")
+                open_ = np.flatnonzero(np.isnan(drawn))
+            u = (x[open_] >> np.uint64(11)).astype(np.float64) / (1 << 53)
+            drawn[open_] = k[np.minimum(np.searchsorted(ends, u, side="right"), len(k) - 1)]
+            out[at] = drawn.reshape(-1, replicates)
     return out
 
 
@@ -369,6 +402,7 @@ def _bootstrap_means(data: DataFrame, keys: Sequence[str], replicates: int, seed
 
     def weigh(batches):
         sums: dict[tuple, np.ndarray] = {}
+        guides: dict[int, tuple] = {}
 
         def rows():
             for label, (wy, w) in sums.items():
@@ -382,7 +416,7 @@ def _bootstrap_means(data: DataFrame, keys: Sequence[str], replicates: int, seed
             h, c, y, codes = pdf["_h"].to_numpy().view(np.uint64), pdf["_c"].to_numpy(), pdf["_y"].to_numpy(), codes[order]
             for start in range(0, len(pdf), rows_at_once):
                 part = slice(start, start + rows_at_once)
-                w = poisson_draws(h[part], c[part], replicates)
+                w = poisson_draws(h[part], c[part], replicates, guides)
                 first = np.flatnonzero(np.concatenate([[True], np.diff(codes[part]) != 0]))
                 parts = np.add.reduceat(w * y[part, None], first), np.add.reduceat(w, first)
                 for k, at in enumerate(first):

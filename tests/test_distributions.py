@@ -93,6 +93,15 @@ def test_pairs_and_panel(m):
         d.ratio_panel(m, ["fov"])
 
 
+def test_poisson_draws_of_frequent_counts_by_their_guide_are_those_of_the_search():
+    h, guides = np.arange(1, 601, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D), {}
+    for c in (1, 3, 40):
+        many = d.poisson_draws(h, np.full(600, c), 1000, guides)
+        alone = np.concatenate([d.poisson_draws(h[k:k + 1], np.array([c]), 1000) for k in range(600)])
+        assert np.array_equal(many, alone)
+    assert sorted(guides) == [1, 3, 40]
+
+
 def test_poisson_draws_have_the_moments_and_depend_on_hash_and_replicate_alone():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 63, 400).astype(np.uint64)
