@@ -33,8 +33,14 @@ def write_table(
     mode: str = "errorifexists",
     delimiter: str = "\t",
 ) -> None:
-    """Write as Parquet (default) or as delimited text with a header."""
-    writer = (flat_headers(df) if fmt == "csv" else df).write.mode(mode)
+    """Write as Parquet (default) or as delimited text with a header.
+
+    A task sorts its rows by the columns of ``partition_by``, so they are dealt out in parts of a size that AQE holds to, a big label in several.
+    """
+    rows = flat_headers(df) if fmt == "csv" else df
+    if partition_by:
+        rows = rows.hint("rebalance", *[q(c) for c in partition_by])
+    writer = rows.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":

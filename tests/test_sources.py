@@ -278,3 +278,16 @@ def test_equal_imports_of_a_job_are_read_once(spark, folder, monkeypatch):
     assert sorted(calls) == ["celltype_compartment_fov_treatment_cell", "none"]
     assert {r["Source"]: (r["n"], r["fovs"]) for r in rows.groupBy("Source").agg(F.count("*").alias("n"), F.count("FOV").alias("fovs")).collect()} == {
         "a": (3, 3), "b": (3, 3), "c": (3, 0)}
+
+
+def test_rows_are_dealt_out_before_they_are_written_by_label(spark, tmp_path):
+    df = spark.range(60_000, numPartitions=40).select(F.lit("only").alias("label"), "id", F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1m")
+    try:
+        sink.write_table(df, str(tmp_path / "out"), "csv", ["label"])
+    finally:
+        spark.conf.set(size, before)
+    assert 1 < len(list((tmp_path / "out" / "label=only").glob("*.csv"))) < 20
+    assert spark.read.option("sep", "\t").csv(str(tmp_path / "out"), header=True).select("id").distinct().count() == 60_000
