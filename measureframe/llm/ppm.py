@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measureframe.llm.store import short, shard_count, shard_of, written
+from measureframe.llm.store import settled_in, short, shard_count, shard_of, written
+from measureframe.llm.words import mixed
 
 #: Bytes of context; a gram is a context and the symbol behind it.
 ORDER = 5
@@ -52,6 +53,18 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """An array of eight-byte values in few bytes; of integers, bytes of one weight lie side by side."""
+    raw = values.view(np.uint8)
+    return pa.compress(np.ascontiguousarray(raw.reshape(-1, 8).T) if values.dtype == np.int64 else raw, codec="zstd", asbytes=True)
+
+
+def restored(packed: bytes, size: int, kind: type) -> np.ndarray:
+    """The ``size`` values that ``squeezed`` made ``packed`` of."""
+    raw = np.frombuffer(pa.decompress(packed, 8 * size, codec="zstd", asbytes=True), np.uint8)
+    return (np.ascontiguousarray(raw.reshape(8, -1).T) if kind is np.int64 else raw).reshape(-1).view(kind)
+
+
 class Trie:
     """The contexts of some grams, of every length from ``low`` to ``order``, as sorted arrays.
 
@@ -148,9 +161,18 @@ def adaptive(body: bytes, order: int = ORDER) -> float:
     return float(total)
 
 
-def _counted(order: int):
-    """Per task and block: distinct grams and words, with their counts among the training rows."""
-    names = ["block", "gram", "word", "n"]
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each gram, by the last symbols of its context."""
+    tail = keys >> BITS & ((1 << BITS * SHORT) - 1)
+    return (mixed(tail.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(parts)).astype(np.int32)
+
+
+#: The columns of what a block names: packed grams of one part with their counts, or a short gram or a word with its count.
+_COUNTED = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("size", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("short", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+
+
+def _counted(order: int, parts: int):
+    """Per task and block: distinct grams, in order and packed by part, short grams and words, with their counts among the training rows."""
 
     class Block:
         def __init__(self, number: int) -> None:
@@ -160,7 +182,7 @@ def _counted(order: int):
             for gram in grams(body, order):
                 self.raw.append(gram << 1 | int(trains))
                 self.fresh += len(gram)
-            if self.fresh > 4 * CHUNK:
+            if self.fresh > 2 * CHUNK:
                 self.shrink()
             if trains:
                 self.words.update(body.split())
@@ -178,9 +200,17 @@ def _counted(order: int):
         def rows(self):
             self.shrink()
             keys, counts = _summed(*map(np.concatenate, zip(*self.summed)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), self.number, np.int32)), pa.array(keys), pa.nulls(len(keys), pa.binary()), pa.array(counts)], names)
-            n = len(self.words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.number, np.int32)), pa.nulls(n, pa.int64()), pa.array(list(self.words), pa.binary()), pa.array(list(self.words.values()), pa.int64())], names)
+            part = part_of(keys, parts)
+            at = np.argsort(part, kind="stable")
+            own = np.split(at, np.flatnonzero(np.diff(part[at])) + 1)
+            yield self.batch(len(own), part=part[[i[0] for i in own]], size=[len(i) for i in own], grams=[squeezed(keys[i]) for i in own], counts=[squeezed(counts[i]) for i in own])
+            low, n = _summed(keys & ((1 << BITS * SHORT) - 1), counts)
+            yield self.batch(len(low), short=low, n=n)
+            yield self.batch(len(self.words), word=list(self.words), n=list(self.words.values()))
+
+        def batch(self, rows: int, **columns):
+            columns["block"] = np.full(rows, self.number, np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _COUNTED], schema=_COUNTED)
 
     def run(batches):
         block = None
@@ -213,6 +243,10 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
     A null text counts as empty: one token, its end.  Rows that repeat are learned and scored each; other columns
     are not read; an empty table gives no rows.  Without training rows every symbol is as likely as any.
     """
+    return settled_in(docs.sparkSession, lambda: _score(docs, training, order, id_col, text_col), "scores")
+
+
+def _score(docs: DataFrame, training: Column, order: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"), F.count(F.when(training, 1)).alias("ends")).first()
@@ -221,7 +255,8 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(training, F.lit(False)).alias("trains"), text.alias("text"))
     rows = rows.withColumn("block", shard_of(blocks, F.col("doc_id"), F.col("text")))
     dealt = rows.repartition(blocks, "block").sortWithinPartitions("block")
-    counted = written(dealt.mapInArrow(_counted(order), "block int, gram bigint, word binary, n bigint"), "grams")
+    parts = max(64, 4 * blocks)
+    counted = written(dealt.mapInArrow(_counted(order, parts), "block int, part int, size bigint, grams binary, counts binary, short bigint, word binary, n bigint"), "grams")
 
     words = counted.filter("word is not null")
     known = words.groupBy("word").agg(F.sum("n").alias("c"))
@@ -229,42 +264,38 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
     # The end is a word of its own, once in every training text.
     tokens, distinct = sums.tokens + size.ends, sums.words + (size.ends > 0)
     floor = float(np.log10(tokens + 0.5 * (distinct + 1)))
-    answered_words = words.select("block", "word").join(known, "word").select("block", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("values"), "word", "c")
+    answer_type = "block int, size bigint, grams binary, values binary, word binary, c bigint"
+    none = [F.lit(None).cast(kind_).alias(name) for name, kind_ in (("size", "bigint"), ("grams", "binary"), ("values", "binary"))]
+    answered_words = words.select("block", "word").join(known, "word").select("block", *none, "word", "c")
 
-    asked = counted.filter("gram is not null")
-    low = asked.groupBy(F.col("gram").bitwiseAND((1 << BITS * SHORT) - 1).alias("gram")).agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
+    low = counted.filter("short is not null").groupBy("short").agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
     lower = Trie(low.column(0).to_numpy(), low.column(1).to_numpy(), SHORT - 1)
     sent = spark.sparkContext.broadcast(lower)
-    tail = F.shiftright("gram", BITS).bitwiseAND((1 << BITS * SHORT) - 1)
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
-        gram, n = group["gram"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
-        distinct, where = np.unique(gram, return_inverse=True)
-        values = Trie(gram, n, order, SHORT, sent.value).log10(distinct)
         # One row for each block: its grams in this part, in order, and their values.
-        block = group["block"].to_numpy()
-        at = np.lexsort((gram, block))
-        cuts = np.flatnonzero(np.diff(block[at])) + 1
-        own = np.split(at, cuts)
+        own = [restored(p, n, np.int64) for p, n in zip(group["grams"], group["size"])]
+        gram, n = np.concatenate(own), np.concatenate([restored(p, n, np.int64) for p, n in zip(group["counts"], group["size"])])
+        distinct = np.unique(gram)
+        values = Trie(gram, n, order, SHORT, sent.value).log10(distinct)
         return pd.DataFrame({
-            "block": np.array([block[i[0]] for i in own], np.int32), "grams": [gram[i].tobytes() for i in own],
-            "values": [values[where[i]].tobytes() for i in own], "word": None, "c": pd.array([None] * len(own), "Int64")})
+            "block": group["block"], "size": group["size"], "grams": group["grams"], "values": [squeezed(values[np.searchsorted(distinct, g)]) for g in own],
+            "word": None, "c": pd.array([None] * len(own), "Int64")})
 
-    parts = max(64, 4 * blocks)
-    answered_grams = asked.withColumn("part", shard_of(parts, tail)).groupBy("part").applyInPandas(answer, "block int, grams binary, values binary, word binary, c bigint")
-    answers = answered_grams.union(answered_words)
+    asked = counted.filter("part is not null").select("block", "part", "size", "grams", "counts")
+    answers = asked.groupBy("part").applyInPandas(answer, answer_type).union(answered_words)
 
     def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         packed = right["word"].isna().to_numpy()
-        gram = np.frombuffer(b"".join(right["grams"][packed]), np.int64)
-        share = np.frombuffer(b"".join(right["values"][packed]), np.float64)
-        order_ = np.argsort(gram)
-        gram, share = gram[order_], share[order_]
+        sizes = right["size"][packed].astype(np.int64)
+        # A hash table: a search in sorted grams takes several times as long.
+        place = pd.Index(np.concatenate([restored(p, n, np.int64) for p, n in zip(right["grams"][packed], sizes)]))
+        share = np.concatenate([restored(p, n, np.float64) for p, n in zip(right["values"][packed], sizes)])
         counts = dict(zip(right["word"][~packed], right["c"][~packed].astype(np.int64)))
         out = []
         for trains, text in zip(left["trains"], left["text"]):
             body = lowered(text)
-            total = sum(float(share[np.searchsorted(gram, g)].sum()) for g in grams(body, order))
+            total = sum(float(share[place.get_indexer(g)].sum()) for g in grams(body, order))
             found = np.array([counts[w] for w in body.split()] + [size.ends], np.int64)
             base = float(np.log10(found + 0.5).sum() - floor * len(found))
             out.append((bool(trains), len(found), int((found > 0).sum()), tokens, base, total))

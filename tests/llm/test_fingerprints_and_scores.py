@@ -6,6 +6,8 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from measureframe.llm import merkle, ppm
 from measureframe.llm.merkle import WordEnds, compare_edits, edited, fingerprint, likeness
@@ -181,3 +183,24 @@ def test_adaptive_code_length():
         if not done:
             total -= math.log10(257 - len(out))
     assert ppm.adaptive(body, order) == pytest.approx(total)
+
+
+def test_grams_travel_packed_by_part():
+    words = random.Random(2).choices(["stream", "measure", "Block", "of", "rows", "sorted"], k=20_000)
+    text = pa.RecordBatch.from_arrays([pa.array([3, 3], pa.int32()), pa.array([True, False]), pa.array([" ".join(words), "Other text"])], ["block", "trains", "text"])
+    rows = pa.Table.from_batches(ppm._counted(4, 16)([text])).to_pylist()
+    packed = [r for r in rows if r["part"] is not None]
+    assert len({r["part"] for r in packed}) == len(packed) <= 16
+    got = {}
+    for r in packed:
+        keys, counts = (ppm.restored(r[c], r["size"], np.int64) for c in ("grams", "counts"))
+        assert (np.diff(keys) > 0).all() and (ppm.part_of(keys, 16) == r["part"]).all()
+        got |= dict(zip(keys.tolist(), counts.tolist()))
+    want = Counter(g for c in ppm.grams(ppm.lowered(" ".join(words)), 4) for g in c.tolist())
+    for chunk in ppm.grams(b"other text", 4):
+        want.update(dict.fromkeys(chunk.tolist(), 0))
+    assert got == want
+    keys = np.array(sorted(got))
+    assert len(ppm.squeezed(keys)) < 8 * len(keys)
+    values = np.random.default_rng(0).random(100)
+    assert (ppm.restored(ppm.squeezed(values), 100, np.float64) == values).all()
