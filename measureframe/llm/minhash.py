@@ -19,6 +19,8 @@ from measureframe.llm.words import WordHashes, lower_words, mixed, shingle_set
 BANDS, ROWS = 48, 5
 #: Members of a group of open nodes that are hubs in its first round, and in each further one.
 HUBS, MORE_HUBS = 64, 1024
+#: Pairs of each node that are tested one after the other, the likest first, before all that are left.
+LIKEST = 3
 #: Counters, a power of two, that tell common shingles from rare ones.
 COUNTERS = 1 << 20
 #: Bits of the parity map of a set, a multiple of 64.
@@ -139,7 +141,7 @@ def _rarity(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, width: int) -> DataFrame:
-    """bucket, node, n, place, parity: the rarest shingles of each node, as many as decide a link.
+    """bucket, node, n, place, parity: the rarest shingles of each node, as many as decide a link; ``parity`` at place 0 only.
 
     In one order of all shingles, rare ones first, sets of sizes m and n with a similarity of 3/4 share o = ceil(3/7 (m + n)), so
     one of those is among the first m - o + 1 places of the one and the first n - o + 1 of the other.  No set needs more
@@ -161,11 +163,13 @@ def _prefixes(texts: DataFrame, width: int) -> DataFrame:
                 sizes.append(n)
                 places.append(np.arange(len(own)))
             times = [len(p) for p in parts]
-            maps = np.repeat(np.stack(parity), times, axis=0)
+            at = np.concatenate(places)
+            maps = np.stack(parity)
+            ends = np.concatenate([[0], np.cumsum(at == 0) * maps.shape[1]]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(parts).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(parts)), times))),
-                pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(np.concatenate(places)),
-                pa.ListArray.from_arrays(np.arange(len(maps) + 1, dtype=np.int32) * maps.shape[1], maps.ravel())], ["bucket", "node", "n", "place", "parity"])
+                pa.array(np.repeat(np.array(sizes, np.int64), times)), pa.array(at),
+                pa.ListArray.from_arrays(ends, maps.ravel())], ["bucket", "node", "n", "place", "parity"])
 
     return texts.select("node", "text").mapInArrow(run, "bucket bigint, node binary, n bigint, place bigint, parity array<bigint>")
 
@@ -175,11 +179,21 @@ def _within(place: str, n: str, other_n):
     return F.col(place) < F.col(n) - F.ceil(3 * (F.col(n) + other_n) / 7) + 1
 
 
+def _bits_apart(parity: str, other_parity: str):
+    return reduce(lambda a, b: a + b, [F.bit_count(F.get(parity, F.lit(k)).bitwiseXOR(F.get(other_parity, F.lit(k)))) for k in range(PARITY // 64)])
+
+
 def _may_share(n: str, other_n: str, parity: str, other_parity: str):
     """Whether the sets may have the wanted similarity: each bit that differs is a shingle that only one of them has, at least."""
-    apart = reduce(lambda a, b: a + b, [F.bit_count(F.get(parity, F.lit(k)).bitwiseXOR(F.get(other_parity, F.lit(k)))) for k in range(PARITY // 64)])
     both = F.col(n) + F.col(other_n)
-    return both - apart >= 2 * F.ceil(3 * both / 7)
+    return both - _bits_apart(parity, other_parity) >= 2 * F.ceil(3 * both / 7)
+
+
+def _apart(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose components are not joined yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -201,13 +215,15 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
     Buckets whose members still lie in several components are open.  Of their nodes only those go on that share a
     rare shingle, as sets with the wanted similarity must (``_prefixes``); strangers with a common passage share none.  In
     every group of nodes by such a shingle that has several components, some members of its smallest components are hubs:
-    they are tested against the members of other components and leave the group, until what is left is one component or
-    has the shingle nowhere at an indexed place.  A pair is left out only when its components are joined already, or sizes,
+    they are tested against the members of other components, each node's likest first, and leave the group, until what is left
+    is one component or has the shingle nowhere at an indexed place.  A pair is left out only when its components are joined already, or sizes,
     shingles or parity maps (``_may_share``) exclude the link for certain; a round makes pairs in proportion to the members.
     """
     rows = reps.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
-    shared = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = written(rows.join(shared.drop("size"), "bucket"), "members")
+    # Counted by the bare keys first: most buckets have one node and end there.
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = written(rows.join(shared.drop("size"), "bucket", "left_semi"), "shared")
+    members = written(members.join(members.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub")), "bucket"), "members")
     texts = texts_of(members.select("node").distinct())
     first = (
         members.filter(F.col("node") != F.col("hub.node")).withColumn("hub_n", F.col("hub.n")).filter(_alike_in_size("n", "hub_n"))
@@ -220,6 +236,7 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
     nodes = members.select("bucket", "node").join(several.select("bucket"), "bucket", "left_semi").select("node").distinct()
     groups = _prefixes(written(texts.join(nodes, "node", "left_semi"), "open-texts"), width)
     groups = written(groups, "prefixes")
+    maps, groups = groups.filter("place = 0").select("node", "parity"), groups.drop("parity")
     # Places matter up to what the smallest set of the group asks for; a shingle that one node has brings no pair.
     sizes = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least")).filter("size > 1").drop("size")
     least = F.greatest("least", F.ceil(3 * F.col("n") / 4))
@@ -231,7 +248,7 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
         several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("roots"), F.sum("marked").alias("marked"), (F.sum("part") - F.max("part")).alias("outside"))
         # The smaller of a pair's sets has the shingle at an indexed place, and one of them lies outside the largest component: the fewer are hubs.
         several = several.filter("roots > 1 and marked > 0").select("bucket", (F.col("marked") <= F.col("outside")).alias("by_mark"))
-        placed = written(placed.join(several, "bucket").join(parts.drop("marked"), ["bucket", "root"]), "open")
+        placed = written(placed.join(several, "bucket").join(parts.drop("marked"), ["bucket", "root"]).join(maps, "node"), "open")
         # Few rows a group leave each task, so no group is gathered for its ranks.
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("part", "node"))
         chosen = written(placed.filter("indexed or not by_mark").withColumn("nth", order).filter(F.col("nth") <= hubs).select(
@@ -240,13 +257,22 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
             return roots
         decides = _within("place", "n", F.col("hub_n")) & _within("hub_place", "hub_n", F.col("n"))
         pairs = placed.join(chosen, "bucket").filter("root != hub_root").filter(decides).filter(_alike_in_size("n", "hub_n")).filter(_may_share("n", "hub_n", "parity", "hub_parity")).select(
-            F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"))
+            F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"), (_bits_apart("parity", "hub_parity") / (F.col("n") + F.col("hub_n"))).alias("bits"))
         before = reduce(DataFrame.unionAll, tested)
-        fresh = written(pairs.distinct().join(before, ["a", "b"], "left_anti"), "tested")
-        tested = [written(before.unionAll(fresh), "tested")]
-        roots = _merged(roots, confirmed(fresh, texts, width))
+        fresh = written(pairs.distinct().join(before, ["a", "b"], "left_anti"), "fresh")
+        # Each node first meets the one that looks most like it, in another component each time; few pairs of a family are left then.
+        left = fresh
+        for _ in range(LIKEST):
+            if not left.limit(1).count():
+                break
+            each = left.select(F.explode(F.array("a", "b")).alias("node"), F.struct("bits", "a", "b").alias("pair"))
+            likest = written(each.groupBy("node").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "likest")
+            roots = _merged(roots, confirmed(likest, texts, width))
+            left = written(_apart(roots, left.join(likest, ["a", "b"], "left_anti")), "left")
+        roots = _merged(roots, confirmed(left.select("a", "b"), texts, width))
+        tested = [written(before.unionAll(fresh.select("a", "b")), "tested")]
         gone = chosen.select("bucket", F.col("hub_node").alias("node"))
-        groups, hubs = placed.select("bucket", "node", "n", "place", "parity", "indexed").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
+        groups, hubs = placed.select("bucket", "node", "n", "place", "indexed").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:

@@ -174,6 +174,28 @@ def test_strangers_with_a_common_passage_are_not_compared_in_pairs(spark, monkey
     assert sum(sizes) < 3 * 2000, sizes
 
 
+def test_near_copies_of_one_text_are_not_tested_again_and_again(spark, monkeypatch):
+    """A family of near copies: once a node's likest hub has joined it, its other hubs need no test."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base, rows, sizes = [word() for _ in range(100)], [], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(100)] = word()
+        rows.append((i, " ".join(words)))
+    plain = minhash.confirmed
+
+    def counted(pairs, texts, width):
+        sizes.append(pairs.count())
+        return plain(pairs, texts, width)
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_near(rows)
+    assert sum(sizes) < 4 * 400, sizes
+
+
 def test_near_dedup_of_a_very_long_text(spark):
     rng = random.Random(7)
     words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(200_000)]
