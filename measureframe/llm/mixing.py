@@ -7,6 +7,7 @@ from math import gcd
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def mix(docs: DataFrame, weights: dict[str, int], block_docs: int = 64, repeat:
     whole at least once, so the shares hold to the end and no row is lost.
 
     The driver holds a period of the schedule for each phase, as long as the sum of the weights left in it, and block
-    counts of the weighted sources; tasks get both as a table, the plan is the same for any number of sources.  Rows that repeat are mixed each; an empty table gives no rows;
+    counts of the weighted sources; tasks get both as tables, the plan is the same for any number of sources.  Rows that repeat are mixed each; an empty table gives no rows;
     columns may have any names and types but maps in the order's hash.
     """
     weights = reduced({OTHER: 1} | weights)
@@ -149,25 +150,21 @@ def mix(docs: DataFrame, weights: dict[str, int], block_docs: int = 64, repeat:
     weights = reduced({s: weights[s] for s in counts}) if counts else {}
     block = (F.col("rank") / block_docs).cast("long")
     placed = rows.withColumn("block", block).withColumn("place", (F.col("rank") % block_docs).cast("int"))
-    sent = docs.sparkSession.sparkContext.broadcast
+    spark = docs.sparkSession
     if repeat and counts:
         # As many periods as the source needs that takes longest; earlier epochs of others follow each other.
         periods = max(-(-n // weights[s]) for s, n in blocks.items())
-        lengths = sent({s: (n, periods * weights[s]) for s, n in blocks.items()})
-
-        def last_epochs(streams: pd.Series, number: pd.Series) -> pd.Series:
-            return _by_stream(streams, number, lambda s, n: (lengths.value[s][1] - n - 1) // lengths.value[s][0])
-
-        def turns(streams: pd.Series, number: pd.Series) -> pd.Series:
-            return _by_stream(streams, number, lambda s, n: n * lengths.value[s][0])
-
-        placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.pandas_udf(last_epochs, "long")("stream", "block"))))
-        placed = placed.withColumn("turn", F.col("block") + F.pandas_udf(turns, "long")("stream", "epoch"))
+        # A small table beside the rows: each Python function in a stage would keep workers of its own, with all that they have loaded.
+        lengths = spark.createDataFrame(pa.table({"stream": list(blocks), "blocks": list(blocks.values()), "turns": [periods * weights[s] for s in blocks]}))
+        placed = placed.join(F.broadcast(lengths), "stream")
+        last = F.expr("(turns - block - 1) div blocks")
+        placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        placed = placed.withColumn("turn", F.col("block") + F.col("epoch") * F.col("blocks"))
         parts = [(0, dict.fromkeys(counts, 0), weights, periods)]
     else:
         placed = placed.withColumn("epoch", F.lit(0).cast("long")).withColumn("turn", F.col("block"))
         parts = phases(blocks, weights)
-    table = sent(Slots(parts))
+    table = spark.sparkContext.broadcast(Slots(parts))
 
     def slots(streams: pd.Series, turn: pd.Series) -> pd.Series:
         return _by_stream(streams, turn, lambda s, t: table.value.of(s, t))

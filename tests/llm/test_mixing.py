@@ -132,3 +132,10 @@ def test_two_thousand_sources_of_different_lengths(spark):
     rows = mix(df, weights, block_docs=2).select("row.source", "slot", "place").collect()
     assert time.monotonic() - start < 60
     assert len(rows) == df.count() and len({(r.slot, r.place) for r in rows}) == len(rows)
+
+
+def test_repeats_call_python_once_a_task(spark):
+    """Every Python function in a stage has workers of its own, which stay with what they hold."""
+    _, df = table(spark, random.Random(2))
+    plan = mix(df, WEIGHTS, block_docs=4, repeat=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
