@@ -17,8 +17,8 @@ from measureframe.llm.words import WordHashes, lower_words, mixed, shingle_set
 
 #: A pair with similarity 0.75 shares none of 48 bands of 5 coordinates once in 430 000; one with more, far less often.
 BANDS, ROWS = 48, 5
-#: Members of a group of open nodes that are hubs in its first round, and in each further one.
-HUBS, MORE_HUBS = 64, 1024
+#: Members of a group of open nodes that are hubs in its first round; each further one has ``GROWTH`` times as many, up to ``MORE_HUBS``.
+HUBS, GROWTH, MORE_HUBS = 4, 8, 1024
 #: Pairs of each node that are tested one after the other, the likest first, before all that are left.
 LIKEST = 3
 #: Counters, a power of two, that tell common shingles from rare ones.
@@ -218,6 +218,7 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
     they are tested against the members of other components, each node's likest first, and leave the group, until what is left
     is one component or has the shingle nowhere at an indexed place.  A pair is left out only when its components are joined already, or sizes,
     shingles or parity maps (``_may_share``) exclude the link for certain; a round makes pairs in proportion to the members.
+    The first hubs are few, as they join most of a family of near copies, and what has joined makes no pairs with later ones.
     """
     rows = reps.select(F.explode("bands").alias("bucket"), "node", F.col("n_shingles").alias("n"))
     # Counted by the bare keys first: most buckets have one node and end there.
@@ -259,7 +260,8 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
         pairs = placed.join(chosen, "bucket").filter("root != hub_root").filter(decides).filter(_alike_in_size("n", "hub_n")).filter(_may_share("n", "hub_n", "parity", "hub_parity")).select(
             F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b"), (_bits_apart("parity", "hub_parity") / (F.col("n") + F.col("hub_n"))).alias("bits"))
         before = reduce(DataFrame.unionAll, tested)
-        fresh = written(pairs.distinct().join(before, ["a", "b"], "left_anti"), "fresh")
+        # A pair has its bits once, whichever group it comes from; it is one row before the tested ones are looked up.
+        fresh = written(pairs.groupBy("a", "b").agg(F.first("bits").alias("bits")).join(before, ["a", "b"], "left_anti"), "fresh")
         # Each node first meets the one that looks most like it, in another component each time; few pairs of a family are left then.
         left = fresh
         for _ in range(LIKEST):
@@ -272,7 +274,8 @@ def linked(reps: DataFrame, texts_of, width: int) -> DataFrame:
         roots = _merged(roots, confirmed(left.select("a", "b"), texts, width))
         tested = [written(before.unionAll(fresh.select("a", "b")), "tested")]
         gone = chosen.select("bucket", F.col("hub_node").alias("node"))
-        groups, hubs = placed.select("bucket", "node", "n", "place", "indexed").join(gone, ["bucket", "node"], "left_anti"), MORE_HUBS
+        groups = placed.select("bucket", "node", "n", "place", "indexed").join(gone, ["bucket", "node"], "left_anti")
+        hubs = min(GROWTH * hubs, max(hubs, MORE_HUBS))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:

@@ -196,6 +196,30 @@ def test_near_copies_of_one_text_are_not_tested_again_and_again(spark, monkeypat
     assert sum(sizes) < 4 * 400, sizes
 
 
+def test_near_copies_of_one_text_make_few_pairs_with_hubs(spark, monkeypatch):
+    """A family of near copies: pairs are made with few hubs first, and what those join makes none with the hubs that follow."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    base, rows, sizes = [word() for _ in range(100)], [], []
+    for i in range(600):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(100)] = word()
+        rows.append((i, " ".join(words)))
+    plain = minhash.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name == "fresh":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute_near(rows)
+    assert sum(sizes) < 20 * 600, sizes
+
+
 def test_near_dedup_of_a_very_long_text(spark):
     rng = random.Random(7)
     words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(200_000)]
