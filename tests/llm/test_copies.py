@@ -197,7 +197,7 @@ def test_near_copies_of_one_text_are_not_tested_again_and_again(spark, monkeypat
 
 
 def test_near_copies_of_one_text_make_few_pairs_with_hubs(spark, monkeypatch):
-    """A family of near copies: pairs are made with few hubs first, and what those join makes none with the hubs that follow."""
+    """A family of near copies: no round makes many pairs, as the first hubs are few and what they join makes none with those that follow."""
     rng = random.Random(9)
     word = lambda: "".join(rng.choices("abcdefghij", k=5))
     base, rows, sizes = [word() for _ in range(100)], [], []
@@ -217,7 +217,7 @@ def test_near_copies_of_one_text_make_few_pairs_with_hubs(spark, monkeypatch):
     monkeypatch.setattr(minhash, "written", counted)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == brute_near(rows)
-    assert sum(sizes) < 20 * 600, sizes
+    assert max(sizes) < 10 * 600, sizes  # with 64 hubs in the first round: 7288
 
 
 def test_near_dedup_of_a_very_long_text(spark):
