@@ -27,6 +27,10 @@ _KS_NOTHING = 19.4
 _KS_WIDE = 256
 #: Distinct values whose shares are held at once, for all labels.
 _KS_VALUES = 4096
+#: Values that are dealt out at once.
+_BLOCK_VALUES = 2_000_000
+#: A cell of slices has its rows ``c``; the sums of a slice have the others.
+_SCORES = "pair int, x int, y int, c bigint, score decimal(38,0), x_ties decimal(38,0), y_ties decimal(38,0)"
 
 
 # Workers get these helpers by value, so they need no installed copy of the package.
@@ -132,48 +136,43 @@ def _spearman(df: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 
 def _kendall(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Tau-b for every pair of features, all pairs in one plan.
-
-    Values are replaced by their places (rows with a smaller value), so rows of a pair fall
-    into groups of neighbouring places of y that a task can hold.  Inside a group points are compared by
-    ``concordance``.  Points of different groups agree in the leading bits of the group's number
-    up to one bit, so for each bit and each common prefix those with a 1 are compared in x with those with
-    a 0, by a running count along x.  No pair of points is ever formed.
+    """Tau-b for every pair of features, from one shuffle of the rows.
+
+    Cut points deal the values of each feature into slices that a task can hold; a value with a slice's share of the
+    rows is a slice of its own, in which there is nothing to compare.  Two points (x, y) lie in the same slice of x, or in
+    different ones but the same slice of y, or in different slices of both.  The first are compared in that slice of x
+    by y, the second in that slice of y by the number of their slice of x, both by ``concordance``; the last by the
+    rows of each pair of slices, bit by bit.  So a row is sent once for each feature in which it does not lie in a slice of one value,
+    in blocks, and no pair of points is ever formed.
     """
     n = len(feats)
-    found = ranked(df, feats)
     pairs = list(combinations(range(n), 2))
-    limit = max(2, task_rows(df) // 2)
-    shift = limit.bit_length() - 1
-    rows = found.rows.select("_count", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("pair"), found.below(i).alias("x"), found.below(j).alias("y")) for k, (i, j) in enumerate(pairs)
-    ])).alias("_p")).select("_p.*", "_count").filter("x is not null and y is not null") if pairs else None
-    scores = {}
+    known = lambda x: F.when(~F.isnan(x), x)
+    # + 0.0: a negative zero is a zero.
+    data = df.select(*[(known(q(f).cast("double")) + 0.0).alias(f"_x{i}") for i, f in enumerate(feats)])
+    found = {}
     if pairs:
-        counted = cells = rows.groupBy("pair", "x", "y").agg(F.sum("_count").alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
-        most = max(int(found.counts[j, j]) for _, j in pairs)
-        group = F.shiftright("y", shift) * 2
-        if most > limit:
-            # Ties of one y beyond the limit are a group of their own, behind the others with its leading bits; nothing in it is to be compared.
-            hot = counted.groupBy("pair", "y").agg(F.sum("c").alias("_ties")).filter(F.col("_ties") > limit).select("pair", "y", F.lit(True).alias("_hot"))
-            cells = cells.join(hot, ["pair", "y"], "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-            group = group + F.col("_hot").cast("long")
-        else:
-            cells = cells.withColumn("_hot", F.lit(False))
-        cells = cells.withColumn("_group", group)
-        inner = cells.filter("not _hot").groupBy("pair", "_group").applyInArrow(_group_score, "pair int, score decimal(38,0)")
-        score = inner.groupBy("pair").agg(F.sum("score").alias("score"))
-        if most > limit:
-            score = score.unionByName(_across_groups(cells, (2 * (most >> shift) + 1).bit_length(), shift)).groupBy("pair").agg(F.sum("score").alias("score"))
-        scores = {r.pair: int(r.score) for r in score.collect()}
-        counted.unpersist()
-    found.release()
+        rows = data.count()
+        cuts = cut_points(data, data.columns, slice_count(df, rows)) if rows > max(2, task_rows(df) // 2) else {}
+        slices = [_Slices(cuts.get(c, [])) for c in data.columns]
+        dealt = data.mapInArrow(_deal(slices, pairs), "part int, slice int, cells binary")
+        scored = dealt.groupBy("part", "slice").applyInArrow(_slice_scores(slices, pairs), _SCORES).persist(StorageLevel.MEMORY_AND_DISK)
+        cells = scored.filter("c is not null")
+        score = scored.select("pair", "c", "score", "x_ties", "y_ties")
+        for side in ("x", "y"):
+            # All rows with a value that is a slice of its own.
+            alone = cells.filter(F.col(side) % 2 == 1).groupBy("pair", side).agg(F.sum("c").cast("decimal(18,0)").alias("t"))
+            score = score.unionByName(alone.select("pair", (F.col("t") * (F.col("t") - 1) / 2).cast("decimal(38,0)").alias(f"{side}_ties")), True)
+        if cuts:
+            score = score.unionByName(_across_slices(cells, max(s.count for s in slices).bit_length()), True)
+        found = {r.pair: r for r in score.groupBy("pair").agg(*[F.sum(k).alias(k) for k in ("c", "score", "x_ties", "y_ties")]).collect()}
+        scored.unpersist()
     taus = {(i, i): 1.0 for i in range(n)}
     for k, (i, j) in enumerate(pairs):
-        m = int(found.counts[i, j])
-        both = m * (m - 1) / 2
-        spread = math.sqrt(max(0.0, both - found.ties[i, j])) * math.sqrt(max(0.0, both - found.ties[j, i]))
-        taus[i, j] = taus[j, i] = scores.get(k, 0) / spread if spread else None
+        r = found.get(k)
+        m, score, *ties = (int(v or 0) for v in r[1:]) if r else (0, 0, 0, 0)
+        spread = math.prod(math.sqrt(m * (m - 1) // 2 - t) for t in ties)
+        taus[i, j] = taus[j, i] = score / spread if spread else None
     return _table(df, feats, taus)
 
 
@@ -211,20 +210,132 @@ def concordance(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> int:
     return score
 
 
-def _group_score(group: pa.Table) -> pa.Table:
-    columns = (group.column(c).to_numpy() for c in ("x", "y", "c"))
-    score = Decimal(concordance(*columns))
-    return pa.table({"pair": group.column("pair").slice(0, 1).combine_chunks(), "score": pa.array([score], pa.decimal128(38, 0))})
-
-
-def _across_groups(cells: DataFrame, bits: int, shift: int) -> DataFrame:
-    """(pair, score) of the points in different groups, bit by bit of the group's number."""
-    spread = cells.select("pair", "x", "_group", "c", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level"))
-    bit = F.expr("shiftright(_group, level) & 1")
-    sides = spread.groupBy("pair", "level", F.expr("shiftright(_group, level + 1)").alias("prefix"), "x").agg(
+class _Slices:
+    """Numbers of the slices that cut points make, in the order of values: odd ones have a single value, missing is -1."""
+
+    def __init__(self, cuts: Sequence[float]):
+        self.edges, often = np.unique(np.array(cuts, np.float64), return_counts=True)
+        self.alone = np.append(often > 1, False)
+        self.count = 2 * len(self.edges) + 1
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.edges, x)
+        alone = self.alone[at] & (np.append(self.edges, np.nan)[at] == x)
+        return np.where(np.isnan(x), -1, 2 * at + alone)
+
+
+def _stretches(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal values."""
+    new = np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]) if len(sorted_values) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(sorted_values)))
+
+
+def _deal(slices: Sequence[_Slices], pairs: Sequence[tuple[int, int]]):
+    """Blocks (part, slice, cells): part i is feature i, with the values of all features of a slice's rows, column by column; beyond
+    the features there is a part for each pair, with (slice of y, rows) of a slice of x, where both have a single value."""
+    n = len(slices)
+
+    def run(batches):
+        for x in _column_blocks(batches, n):
+            numbers = [cut(v) for cut, v in zip(slices, x)]
+            part, number, cells = [], [], []
+            for i in range(n):
+                own = np.flatnonzero(numbers[i] & 1 == 0)
+                own = own[np.argsort(numbers[i][own], kind="stable")]
+                first, size = _stretches(numbers[i][own])
+                for a, k in zip(first, size):
+                    number.append(int(numbers[i][own[a]]))
+                    cells.append(x[:, own[a:a + k]].tobytes())
+                part += [i] * len(first)
+            for k, (i, j) in enumerate(pairs):
+                both = (numbers[i] >= 0) & (numbers[j] >= 0) & (numbers[i] & numbers[j] & 1 == 1)
+                kinds, count = np.unique(numbers[i][both] * slices[j].count + numbers[j][both], return_counts=True)
+                left, right = np.divmod(kinds, slices[j].count)
+                for a, size in zip(*_stretches(left)):
+                    number.append(int(left[a]))
+                    cells.append(np.stack([right[a:a + size], count[a:a + size]]).astype(np.int64).tobytes())
+                    part.append(n + k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), pa.array(number, pa.int32()), pa.array(cells, pa.binary())], names=["part", "slice", "cells"])
+
+    return run
+
+
+def _column_blocks(batches, n: int):
+    """The values of many batches: arrays with a row for each column, NaN where missing."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows * n >= _BLOCK_VALUES:
+            yield _columns(held)
+            held, rows = [], 0
+    if rows:
+        yield _columns(held)
+
+
+def _columns(batches) -> np.ndarray:
+    return np.stack([c.to_numpy() for c in pa.Table.from_batches(batches).columns])
+
+
+def _slice_scores(slices: Sequence[_Slices], pairs: Sequence[tuple[int, int]]):
+    """Rows of a slice: for each pair its score and ties, and its cells (slice of x, slice of y, rows) as far as no other slice has them."""
+    n, place = len(slices), {p: k for k, p in enumerate(pairs)}
+
+    def run(group: pa.Table) -> pa.Table:
+        part, number = group.column("part")[0].as_py(), group.column("slice")[0].as_py()
+        blocks = [np.frombuffer(c.as_buffer(), np.float64 if part < n else np.int64) for c in group.column("cells")]
+        cells, sums = [], []
+        if part >= n:
+            right, count = np.concatenate([b.reshape(2, -1) for b in blocks], axis=1)
+            order = np.argsort(right, kind="stable")
+            first, _ = _stretches(right[order])
+            cells.append((part - n, number, right[order][first], np.add.reduceat(count[order], first)))
+        else:
+            x = np.concatenate([b.reshape(n, -1) for b in blocks], axis=1)
+            x = x[:, np.argsort(x[part], kind="stable")]
+            for j in range(n):
+                both = np.flatnonzero(~np.isnan(x[j]))
+                if j == part or not len(both):
+                    continue
+                own, other = x[part][both], x[j][both]
+                size = _stretches(own)[1]
+                ties = int((size * (size - 1) // 2).sum())
+                there, count = np.unique(slices[j](other), return_counts=True)
+                once = np.ones(len(own), np.int64)
+                if part < j:
+                    k = place[part, j]
+                    sums.append((k, concordance(own, other, once), ties, 0))
+                    cells.append((k, number, there, count))
+                else:
+                    k, alone = place[j, part], there % 2 == 1
+                    sums.append((k, concordance(own, slices[j](other), once), 0, ties))
+                    cells.append((k, there[alone], number, count[alone]))
+        pair, left, right, count = ([np.broadcast_to(v, len(c[3])) for c in cells for v in (c[i],)] for i in range(4))
+        found = [pa.array(np.concatenate(v) if v else [], t) for v, t in zip((pair, left, right, count), (pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+        nothing = lambda k, t: pa.nulls(k, t)
+        whole = pa.decimal128(38, 0)
+        names = ["pair", "x", "y", "c", "score", "x_ties", "y_ties"]
+        return pa.concat_tables([
+            pa.table([*found, *(nothing(len(found[0]), whole) for _ in range(3))], names=names),
+            pa.table([pa.array([r[0] for r in sums], pa.int32()), *(nothing(len(sums), t) for t in (pa.int32(), pa.int32(), pa.int64())), *(pa.array([Decimal(r[i]) for r in sums], whole) for i in (1, 2, 3))], names=names)])
+
+    return run
+
+
+def _across_slices(cells: DataFrame, bits: int) -> DataFrame:
+    """(pair, score) of the points in different slices of x and of y, bit by bit of the latter's number.
+
+    Numbers agree in the leading bits up to one bit, so for each bit and each common prefix those with a 1 are compared in x with those with
+    a 0, by a running count along x.
+    """
+    spread = cells.select("pair", "x", "y", "c", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("level"))
+    bit = F.expr("shiftright(y, level) & 1")
+    sides = spread.groupBy("pair", "level", F.expr("shiftright(y, level + 1)").alias("prefix"), "x").agg(
         F.sum(F.when(bit == 0, F.col("c")).otherwise(0)).alias("zero"), F.sum(F.when(bit == 1, F.col("c")).otherwise(0)).alias("one"))
-    # Places cut x into slices of equal numbers of rows.
-    run = running_totals(sides, ["pair", "level", "prefix"], "x", ["zero"], F.shiftright("x", shift))
+    # Along x there are no more rows than slices.
+    run = running_totals(sides, ["pair", "level", "prefix"], "x", ["zero"])
     weight = 2 * F.col("zero_upto") - F.col("zero") - F.col("zero_total")
     return run.groupBy("pair").agg(F.sum(F.col("one").cast("decimal(18,0)") * weight.cast("decimal(18,0)")).cast("decimal(38,0)").alias("score"))
 

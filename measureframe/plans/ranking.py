@@ -26,14 +26,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 class Ranked:
     """``rows`` has a row for each distinct row with any value, and its ``_count``; call ``release`` when its plans have run.
 
-    ``counts[i, j]`` are the rows with values of features i and j, ``ties[i, j]`` the pairs of those
-    rows that tie in i.  ``partners[i]`` are the features for which i has ranks of its own: itself, and those with
-    missing values.
+    ``counts[i, j]`` are the rows with values of features i and j.  ``partners[i]`` are the features for which i has
+    ranks of its own: itself, and those with missing values.
     """
 
     rows: DataFrame
     counts: np.ndarray
-    ties: np.ndarray
     partners: list[list[int]]
     _held: tuple[DataFrame, ...]
 
@@ -45,10 +43,6 @@ class Ranked:
         """Average rank (from 1) of feature i among the rows that also have j."""
         return F.col(f"_avg{i}_{self.partner(i, j)}")
 
-    def below(self, i: int) -> Column:
-        """Rows with a smaller value of feature i."""
-        return F.col(f"_low{i}")
-
     def release(self) -> None:
         for used in self._held:
             used.unpersist()
@@ -84,37 +78,35 @@ def _totals(partners):
             first, _ = _runs(value)
             for m in partners[i]:
                 per = np.add.reduceat(_present(mask, count, m), first)
-                out.append((task, i, m, int(per.sum()), float((per.astype(np.float64) * (per - 1)).sum() / 2), len(first)))
-        columns = list(zip(*out)) if out else [[]] * 6
+                out.append((task, i, m, int(per.sum()), len(first)))
+        columns = list(zip(*out)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([
-            *(pa.array(c, pa.int32()) for c in columns[:3]), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.float64()),
-            pa.array(columns[5], pa.int64())], names=["task", "i", "m", "n", "ties", "values"])
+            *(pa.array(c, pa.int32()) for c in columns[:3]), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
+            names=["task", "i", "m", "n", "values"])
 
     return run
 
 
 def _ranks(partners, before, width):
-    """Rows (i, x, low, ranks), one for each distinct value: places are counted on from what lies in the tasks before."""
+    """Rows (i, x, ranks), one for each distinct value: places are counted on from what lies in the tasks before."""
     def run(batches):
         task = TaskContext.get().partitionId()
         for i, value, mask, count in _blocks(batches):
             first, _ = _runs(value)
-            ranks, low = np.full((len(first), width), np.nan), None
+            ranks = np.full((len(first), width), np.nan)
             for k, m in enumerate(partners[i]):
                 per = np.add.reduceat(_present(mask, count, m), first)
                 upto = np.cumsum(per) + before.get((task, i, m), 0)
                 ranks[:, k] = upto - (per - 1) / 2
-                if m == i:
-                    low = upto - per
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(first), i, np.int32)), pa.array(value[first]), pa.array(low), *(pa.array(ranks[:, k], mask=np.isnan(ranks[:, k])) for k in range(width))],
-                names=["i", "x", "low", *(f"r{k}" for k in range(width))])
+                pa.array(np.full(len(first), i, np.int32)), pa.array(value[first]), *(pa.array(ranks[:, k], mask=np.isnan(ranks[:, k])) for k in range(width))],
+                names=["i", "x", *(f"r{k}" for k in range(width))])
 
     return run
 
 
 def ranked(df: DataFrame, features: Sequence[str]) -> Ranked:
-    """Average ranks and places of every feature, pairwise complete, on the distinct rows.
+    """Average ranks of every feature, pairwise complete, on the distinct rows.
 
     Equal rows are counted first, and then equal (feature, value), so a value that many rows share is one entry for each
     pattern of missing values.  The entries are range-partitioned together, once; equal values meet in one task.  A task
@@ -140,27 +132,26 @@ def ranked(df: DataFrame, features: Sequence[str]) -> Ranked:
     parts = max(cores, -(-sum(sizes[1:]) // TASK_VALUES))
     held = values.repartitionByRange(parts, "i", "x").persist(StorageLevel.MEMORY_AND_DISK)
 
-    counts, ties, distinct = np.zeros((n, n), np.int64), np.zeros((n, n)), [0] * n
+    counts, distinct = np.zeros((n, n), np.int64), [0] * n
     before: dict[tuple[int, int, int], int] = {}
     # One row for each task and feature that it has, and partner.
-    totals = held.mapInArrow(_totals(partners), "task int, i int, m int, n bigint, ties double, values bigint")
+    totals = held.mapInArrow(_totals(partners), "task int, i int, m int, n bigint, values bigint")
     for r in sorted(totals.collect(), key=lambda r: r.task):
         before[r.task, r.i, r.m] = int(counts[r.i, r.m])
         counts[r.i, r.m] += r.n
-        ties[r.i, r.m] += r.ties
         distinct[r.i] += r["values"] if r.m == r.i else 0
     for i in range(n):
         for j in range(n):
             if j not in partners[i]:
-                counts[i, j], ties[i, j] = counts[i, i], ties[i, i]
+                counts[i, j] = counts[i, i]
     width = max(map(len, partners), default=1)
-    schema = "i int, x double, low bigint, " + ", ".join(f"r{k} double" for k in range(width))
+    schema = "i int, x double, " + ", ".join(f"r{k} double" for k in range(width))
     found = held.mapInArrow(_ranks(partners, before, width), schema).persist(StorageLevel.MEMORY_AND_DISK)
     wide = cells
     for i in range(n):
         own = found.filter(F.col("i") == i).select(
-            F.col("x").alias(f"_v{i}"), F.col("low").alias(f"_low{i}"), *[F.col(f"r{k}").alias(f"_avg{i}_{m}") for k, m in enumerate(partners[i])])
+            F.col("x").alias(f"_v{i}"), *[F.col(f"r{k}").alias(f"_avg{i}_{m}") for k, m in enumerate(partners[i])])
         wide = wide.join(F.broadcast(own) if distinct[i] <= _FEW_VALUES else own, F.col(f"_x{i}") == F.col(f"_v{i}"), "left")
     rank = lambda i, m: F.when(F.col(f"_x{m}").isNotNull(), F.col(f"_avg{i}_{m}")).alias(f"_avg{i}_{m}")
-    rows = wide.select("_count", *[F.col(f"_low{i}") for i in range(n)], *[rank(i, m) for i in range(n) for m in partners[i]])
-    return Ranked(rows, counts, ties, partners, (cells, held, found))
+    rows = wide.select("_count", *[rank(i, m) for i in range(n) for m in partners[i]])
+    return Ranked(rows, counts, partners, (cells, held, found))

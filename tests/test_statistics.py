@@ -83,6 +83,57 @@ def test_kendall_and_spearman_with_missing_values_and_hot_ties(spark, small, mon
         assert got["spearman"].loc[a, b] == pytest.approx(both.rank().corr().iloc[0, 1])
 
 
+def test_kendall_sends_a_row_once_a_feature_and_no_row_a_bit(spark):
+    """Rows of distinct values, more than a task may sort: what the shuffles write stays below the bytes of the values, once a feature."""
+    rng = np.random.default_rng(11)
+    k = 40_000
+    x = rng.normal(size=k)
+    pdf = pd.DataFrame({"x": x, "y": x + rng.normal(size=k), "z": rng.integers(0, 12, k).astype(float)})
+    df = spark.createDataFrame(pdf)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def kept():
+        found = disk.getAllFiles()
+        return {f.getPath(): f.length() for f in (found.apply(i) for i in range(found.size()))}
+
+    before = kept()
+    spark.conf.set("spark.measureframe.taskRows", "10000")
+    try:
+        got = s.correlation_matrix(df, ["x", "y", "z"], "kendall").toPandas().set_index("Feature")
+    finally:
+        spark.conf.unset("spark.measureframe.taskRows")
+    written = sum(size for path, size in kept().items() if path not in before)
+    once = np.ones(k, np.int64)
+    spread = {c: k * (k - 1) / 2 - sum(t * (t - 1) / 2 for t in pdf[c].value_counts()) for c in "xyz"}
+    for a, b in itertools.combinations("xyz", 2):
+        want = s.concordance(pdf[a].to_numpy(), pdf[b].to_numpy(), once) / math.sqrt(spread[a] * spread[b])
+        assert got.loc[a, b] == got.loc[b, a] == pytest.approx(want, rel=1e-12)
+    assert written < 3 * k * 3 * 8
+
+
+def test_kendall_slices_of_one_value_and_missing_values(spark):
+    """Values with a slice's share beside rare ones and infinities; partners that are missing, wholly or where a value is frequent."""
+    rng = np.random.default_rng(12)
+    k = 300
+    hot = np.where(rng.random(k) < 0.7, rng.choice([1.0, 2.0, 3.0], k), rng.normal(2, 1, k))
+    few = rng.choice([-0.0, 0.0, 5.0, 7.0], k)
+    cols = {"hot": hot, "few": few + (hot > 2) * 5, "fine": hot + rng.normal(size=k), "one": np.full(k, 4.0), "none": np.full(k, np.nan)}
+    cols["fine"][rng.random(k) < 0.1] = np.inf
+    cols["few"][(hot == 1.0) | (rng.random(k) < 0.1)] = np.nan
+    pdf = pd.DataFrame(cols)
+    spark.conf.set("spark.measureframe.taskRows", "60")
+    try:
+        got = s.correlation_matrix(spark.createDataFrame(pdf), list(cols), "kendall").toPandas().set_index("Feature")
+    finally:
+        spark.conf.unset("spark.measureframe.taskRows")
+    for a, b in itertools.permutations(cols, 2):
+        both = pdf[[a, b]].replace(np.inf, 1e9).dropna()
+        if "one" in (a, b) or "none" in (a, b):
+            assert pd.isna(got.loc[a, b])
+        else:
+            assert got.loc[a, b] == pytest.approx(tau_b(both[a].to_numpy(), both[b].to_numpy()), rel=1e-12)
+
+
 def test_concordance_against_all_pairs():
     rng = np.random.default_rng(1)
     for _ in range(50):
