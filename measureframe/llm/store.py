@@ -86,24 +86,9 @@ def next_stage(spark: SparkSession) -> None:
         _scopes.insert(0, _stage)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
-    """What runs inside sends batches of few rows to Python; behind it the session's own setting holds again.
-
-    Texts may be long, and an executor and its workers keep the memory that their largest batch took.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def settled_in(spark: SparkSession, build, name: str) -> DataFrame:
-    """``build()`` written, in small batches, and every table that was written on the way deleted."""
-    with scope(spark), small_batches(spark):
+    """``build()`` written, and every table that was written on the way deleted."""
+    with scope(spark):
         df = build()
         path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
         df.write.parquet(path)
